@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ASCII_SPACE, ascii_lower, plain_id, real_id, small_batches, table
 
@@ -129,7 +130,7 @@ def dropped_lines(docs: DataFrame, mode: str = "all", min_docs: int = 10, min_ch
     return found.where(F.col("kind") == _DROP).select("did", "rk", "pos").union(late.select("did", "rk", "pos"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _pack(n_lines: pd.Series, dropped: pd.Series) -> pd.Series:
     def one(n: int, at: np.ndarray | None) -> bytes:
         keep = np.ones(n, np.uint8)
@@ -140,7 +141,7 @@ def _pack(n_lines: pd.Series, dropped: pd.Series) -> pd.Series:
     return pd.Series([one(n, at) for n, at in zip(n_lines, dropped, strict=True)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _keep(text: pd.Series, bitmap: pd.Series) -> pd.Series:
     def one(t: str | None, b: bytes | None) -> str | None:
         if t is None or b is None:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, packing
+from . import lines, packing, quality, simhash, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,12 +19,28 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(_read(spark, sf_dir, "documents"), mode="all", min_docs=10, min_chars=1)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(_read(spark, sf_dir, "documents"), window=50)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), size=1024)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"), radius=2, width=3)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_dedup, op4_packing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_substring_dedup, op4_packing, op5_quality, op6_simhash)}
 
 
 OP1_SQL = r"""
@@ -37,6 +53,18 @@ SELECT doc_id, count(*) AS n_lines, count(hot.k) AS n_dropped,
 FROM lines LEFT JOIN hot ON lines.k = hot.k GROUP BY doc_id
 """
 
+OP3_SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+spans AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM docs, unnest(range(1, len(w) - 48)) AS r(i)),
+firsts AS (SELECT h, min(doc_id) AS first FROM spans GROUP BY h),
+later AS (SELECT doc_id, i FROM spans JOIN firsts USING (h) WHERE doc_id > first),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM later, unnest(range(0, 50)) AS r(j)),
+words AS (SELECT doc_id, p, w[p] AS word FROM docs, unnest(range(1, len(w) + 1)) AS r(p))
+SELECT d.doc_id, len(any_value(d.w)) AS n_words, count(gone.p) AS n_removed,
+  sha256(coalesce(string_agg(word, ' ' ORDER BY words.p) FILTER (WHERE gone.p IS NULL), '')) AS kept_sha256
+FROM docs d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p GROUP BY d.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_substring_dedup": OP3_SQL}
