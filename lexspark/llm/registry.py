@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import lines, packing, quality, simhash, substrings, toxicity
+from . import decontamination, licenses, lines, packing, quality, simhash, substrings, topk, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,8 +40,25 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"), radius=2, width=3)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(_read(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), similarity=0.8)
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_substring_dedup, op4_packing, op5_quality, op6_simhash)}
+    made = (op1_line_dedup, op2_toxicity, op3_substring_dedup, op4_packing, op5_quality, op6_simhash, op7_licenses, op8_decontamination, op9_top_k, op10_urls)
+    return {f.__name__: f for f in made}
 
 
 OP1_SQL = r"""
@@ -66,5 +84,17 @@ FROM docs d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN gone ON gone.do
 """
 
 
+OP9_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * v.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op3_substring_dedup": OP3_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op9_top_k": OP9_SQL}
