@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, ascii_lower, plain_id, real_id, small_batches, table
+from .common import ASCII_SPACE, ascii_lower, plain_id, small_batches, table
 
 _DROP, _OPEN, _MARK = 0, 1, 2
 _FOUND = "kind int, h1 long, h2 long, did long, rk long, pos int"
@@ -184,6 +184,3 @@ def line_dedup(docs: DataFrame, mode: str = "all", min_docs: int = 10, min_chars
 def digest(docs: DataFrame, **how) -> DataFrame:
     kept = line_dedup(docs.select("doc_id", "text"), **how)
     return kept.select("doc_id", F.col("n_lines_").alias("n_lines"), F.col("n_dropped_").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
-
-
-__all__ = ["digest", "dropped_lines", "keep_lines", "line_bitmaps", "line_dedup", "real_id"]

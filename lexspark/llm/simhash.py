@@ -17,10 +17,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain_id, real_id, small_batches, table
+from .common import NO_ID, plain_id, real_id, small_batches, table
 from .graph import components
 
 #: Fingerprints of a leaf, and at most so many sampled ones in the driver (8 MB).
@@ -44,15 +44,19 @@ def _prints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t, width) for t in batch.column("text").cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array(prints.view(np.int64))], names=["did", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("rk"), pa.array(prints.view(np.int64))], names=["did", "rk", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """did, fp (long) of every row."""
+    """did, rk (a hash of the text), fp (long) of every row."""
     small_batches(docs.sparkSession)
-    return docs.select(plain_id().alias("did"), "text").mapInArrow(_prints(width), "did long, fp long")
+    return docs.select(plain_id().alias("did"), _row_key().alias("rk"), "text").mapInArrow(_prints(width), "did long, rk long, fp long")
+
+
+def _row_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
@@ -168,13 +172,27 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     return prints.select("fp").mapInArrow(route, "leaf int, fp long, home boolean").groupBy("leaf").applyInPandas(join, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
-    """Per row: doc_id, fingerprint (16 hex digits), component_id."""
+def _grouped(docs: DataFrame, radius: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows; and of each fingerprint, the root of its component and its smallest doc_id."""
     prints = table(fingerprints(docs, width), "prints")
     groups = table(prints.groupBy("fp").agg(F.min(real_id()).alias("least")), "groups")
     roots = components(links(groups, radius)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    named = groups.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return prints, groups.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
+    """Per row: doc_id, fingerprint (16 hex digits), component_id."""
+    prints, named = _grouped(docs, radius, width)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.select("fp", "root").join(least, "root").select("fp", "component_id")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return prints.join(of, "fp").select(real_id().alias("doc_id"), hexed.alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
+    """Of each component the row with the smallest doc_id (null ids last, then by the text's hash), in the columns of ``docs``."""
+    prints, named = _grouped(docs, radius, width)
+    first = F.min(F.struct((F.col("did") == NO_ID).alias("none"), "did", "rk")).alias("first")
+    kept = prints.join(named.select("fp", "root"), "fp").groupBy("root").agg(first).select(F.col("first.did").alias("did_"), F.col("first.rk").alias("rk_"))
+    keyed = docs.withColumn("did_", plain_id()).withColumn("rk_", _row_key())
+    return keyed.join(kept.hint("shuffle_hash"), ["did_", "rk_"], "left_semi").dropDuplicates(["did_", "rk_"]).select(*docs.columns)

@@ -245,6 +245,12 @@ def scorer(model: Model):
     return toxicity
 
 
+def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **how) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, in their columns."""
+    score = scorer(fit(docs, labels, **how))
+    return docs.where(score("text") < threshold)
+
+
 def digest(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
     score = scorer(fit(docs, labels, **how))
