@@ -23,11 +23,19 @@ def trim(x: Column | str) -> Column:
     return F.regexp_replace(col(x), r"(?U)^\s+|\s+\z", "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def byte_prefix(x: Column | str, most: int) -> Column:
     """The longest run of whole characters from the start within ``most`` bytes."""
-    x = col(x)
-    fits = F.filter(F.sequence(F.lit(0), F.lit(most)), lambda i: F.octet_length(F.left(x, i)) <= most)
-    return F.when(F.octet_length(x) <= most, x).otherwise(F.left(x, F.array_max(fits)))
+
+    def cut(short: Column) -> Column:
+        fits = F.filter(F.sequence(F.lit(0), F.lit(most)), lambda i: F.octet_length(F.left(short, i)) <= most)
+        return F.when(F.octet_length(short) <= most, short).otherwise(F.left(short, F.array_max(fits)))
+
+    return let(F.left(col(x), F.lit(most)), cut)
 
 
 def redact(x: Column | str) -> Column:
@@ -43,8 +51,7 @@ def redact(x: Column | str) -> Column:
 def vocabulary_words(x: Column | str) -> Column:
     """Lower-case runs of letters, digits, _ and -, of 3 bytes or more, without stopwords; repeats included."""
     words = F.split(F.lower(col(x)), r"[^\p{L}\p{N}_-]+")
-    stop = F.array(*map(F.lit, sorted(lexicon.STOPWORDS)))
-    return F.filter(words, lambda w: (F.octet_length(w) >= 3) & ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: (F.octet_length(w) >= 3) & ~w.isin(*sorted(lexicon.STOPWORDS)))
 
 
 def word_tokens(x: Column | str) -> Column:
@@ -58,7 +65,9 @@ _PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuu
 
 
 def fold(x: Column | str) -> Column:
-    return F.translate(col(x), _MARKED, _PLAIN)
+    """Texts of one byte per character have nothing to fold."""
+    x = col(x)
+    return F.when(F.octet_length(x) == F.length(x), x).otherwise(F.translate(x, _MARKED, _PLAIN))
 
 
 def byte_levenshtein(a: Column | str, b: Column | str, most: Column | int | None = None) -> Column:
@@ -83,13 +92,13 @@ def human_bytes(n: Column | str) -> Column:
 
 
 def head(x: Column | str, most: int) -> Column:
-    """At most ``most`` characters, the last being … where some are cut."""
+    """The first ``most`` characters, and … where some are cut."""
     x = col(x)
-    return F.when(F.length(x) <= most, x).otherwise(F.concat(F.left(x, F.lit(most - 1)), F.lit("…")))
+    return F.when(F.length(x) <= most, x).otherwise(F.concat(F.left(x, F.lit(most)), F.lit("…")))
 
 
-def head_tail(x: Column | str, most: int, share: float = 0.75) -> Column:
-    """The first ``share`` and the end of a text, with … between, in ``most`` characters."""
+def head_tail(x: Column | str, most: int) -> Column:
+    """Three quarters of ``most`` characters from the start, the others from the end, with … between."""
     x = col(x)
-    front = int((most - 1) * share)
-    return F.when(F.length(x) <= most, x).otherwise(F.concat(F.left(x, F.lit(front)), F.lit("…"), F.right(x, F.lit(most - 1 - front))))
+    front = most * 3 // 4
+    return F.when(F.length(x) <= most, x).otherwise(F.concat(F.left(x, F.lit(front)), F.lit("…"), F.right(x, F.lit(most - front))))

@@ -41,23 +41,30 @@ def has_code(x: Column) -> Column:
     return F.contains(x, F.lit("```")) & x.rlike(CODE_BLOCK)
 
 
-def plain_chunks(x: Column, lines_per_chunk: int = LINES) -> Column:
-    """array<struct<title, content>>: one chunk for a short text, blank-line sections if there are a few small ones, else
-    windows of lines that overlap by two."""
-    lines = F.split(x, "\n")
-    n = F.size(lines)
+def first_line(content: Column) -> Column:
+    return byte_prefix(trim(F.substring_index(content, "\n", 1)), TITLE_BYTES)
+
+
+def plain_pieces(docs: DataFrame, key: str, text: str = "text", lines_per_chunk: int = LINES) -> DataFrame:
+    """key, chunk_no, title, content of plain texts: one chunk for a short text, blank-line sections if there are a few small
+    ones, else windows of lines that overlap by two. Each step stands in a projection of its own, so that a text is split once."""
     step = max(lines_per_chunk - OVERLAP, 1)
-    row = lambda title, content: F.struct(title.alias("title"), content.alias("content"))
-    first_line = lambda t: byte_prefix(trim(F.substring_index(t, "\n", 1)), TITLE_BYTES)
-    titled = lambda t, other: row(F.when(first_line(t) == "", other).otherwise(first_line(t)), t)
-    full = lambda chunks: F.filter(chunks, lambda c: c["content"] != "")
-    sections = F.split(x, rf"\n{SPACE}*\n")
-    few = F.size(sections).between(*SECTIONS) & F.forall(sections, lambda s: F.octet_length(s) <= SECTION_BYTES)
-    by_section = F.transform(sections, lambda s, i: titled(trim(s), F.format_string("Section %d", i + 1)))
+    split = docs.select(key, F.col(text).alias("text_"), F.split(text, "\n").alias("lines_"))
+    n = F.size("lines_")
+    split = split.withColumn("parts_", F.when(n > lines_per_chunk, F.split("text_", rf"\n{SPACE}*\n")))
+    few = F.size("parts_").between(*SECTIONS) & F.forall("parts_", lambda s: F.octet_length(s) <= SECTION_BYTES)
+    split = split.withColumn("shape_", F.when(n <= lines_per_chunk, "whole").when(few, "sections").otherwise("windows"))
     starts = F.sequence(F.lit(0), F.ceil((n - lines_per_chunk) / step).cast("int") * step, F.lit(step))
-    window = lambda s: trim(F.array_join(F.slice(lines, s + 1, lines_per_chunk), "\n"))
-    by_lines = F.transform(starts, lambda s: titled(window(s), F.format_string("Lines %d-%d", s + 1, F.least(s + lines_per_chunk, n))))
-    return F.when(n <= lines_per_chunk, F.array(row(F.lit("Output"), trim(x)))).when(few, full(by_section)).otherwise(full(by_lines))
+    windows = F.transform(starts, lambda s: F.array_join(F.slice("lines_", s + 1, lines_per_chunk), "\n"))
+    pieces = F.when(F.col("shape_") == "whole", F.array("text_")).when(F.col("shape_") == "sections", F.col("parts_")).otherwise(windows)
+    row = lambda p, i: F.struct(i.alias("i"), trim(p).alias("content"))
+    full = F.filter(F.transform(pieces, row), lambda r: (r["content"] != "") | (F.col("shape_") == "whole"))
+    each = split.select(key, "shape_", n.alias("n_"), F.posexplode(full).alias("chunk_no", "r_")).select("*", F.col("r_.i").alias("i_"), F.col("r_.content").alias("content"))
+    each = each.withColumn("first_", first_line(F.col("content")))
+    start = F.col("i_") * step
+    other = F.when(F.col("shape_") == "sections", F.format_string("Section %d", F.col("i_") + 1)).otherwise(F.format_string("Lines %d-%d", start + 1, F.least(start + lines_per_chunk, F.col("n_"))))
+    title = F.when(F.col("shape_") == "whole", "Output").when(F.col("first_") == "", other).otherwise(F.col("first_"))
+    return each.select(key, "chunk_no", title.alias("title"), "content")
 
 
 _HEADING, _RULE, _BLANK, _CODE = re.compile(r"(#{1,4})[\t\n\f\r ]+(.+)"), re.compile(r"[-_*]{3,}[\t\n\f\r ]*"), re.compile(r"\n[\t\n\f\r ]*\n"), re.compile(r"```[0-9A-Za-z_]*\n.*?```", re.S)
@@ -242,19 +249,16 @@ def oversized_chunks(text: Column, most: int = MAX_BYTES) -> Column:
 
 def chunk_plain(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, chunk_no (from 0), title, content, has_code, content_type of plain texts, with no Python."""
-    parts = docs.select(key, F.posexplode(plain_chunks(F.col(text))).alias("chunk_no", "c"))
-    return parts.select(key, "chunk_no", "c.title", "c.content", F.lit(False).alias("has_code"), F.lit("prose").alias("content_type"))
+    return plain_pieces(docs, key, text).select("*", F.lit(False).alias("has_code"), F.lit("prose").alias("content_type"))
 
 
 def chunk(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """As :func:`chunk_plain`, by each text's own type. Only Markdown and JSON texts are sent to Python."""
-    kind = content_type(F.col(text))
-    typed = docs.select(key, F.col(text).alias("text"), kind.alias("kind"))
+    typed = docs.select(key, F.col(text).alias("text")).withColumn("kind", content_type(F.col("text")))
     of = lambda k: F.when(F.col("kind") == k, F.col("text"))
-    typed = typed.select(key, "text", markdown_chunks(of("markdown")).alias("m"), json_text_chunks(of("json")).alias("j"))
-    plain = F.transform(plain_chunks(F.col("text")), lambda c: F.struct(c["title"].alias("title"), c["content"].alias("content"), F.lit(False).alias("has_code")))
-    whole = F.array(F.struct(F.lit("Content").alias("title"), F.col("text").alias("content"), F.lit(False).alias("has_code")))
-    found = F.coalesce("m", "j", plain)
-    found = F.when(F.size(found) == 0, whole).otherwise(found)
-    parts = typed.select(key, F.posexplode(found).alias("chunk_no", "c"))
-    return parts.select(key, "chunk_no", "c.title", "c.content", "c.has_code", F.when(F.col("c.has_code"), "code").otherwise("prose").alias("content_type"))
+    cut = typed.where("kind <> 'plaintext'").withColumn("c", F.coalesce(markdown_chunks(of("markdown")), json_text_chunks(of("json"))))
+    plain = typed.where("kind = 'plaintext'").select(key, "text").union(cut.where("c is null").select(key, "text"))
+    made = cut.where("size(c) > 0").select(key, F.posexplode("c").alias("chunk_no", "x")).select(key, "chunk_no", "x.title", "x.content", "x.has_code")
+    whole = cut.where("size(c) = 0").select(key, F.lit(0).alias("chunk_no"), F.lit("Content").alias("title"), F.col("text").alias("content"), F.lit(False).alias("has_code"))
+    parts = made.unionByName(whole).unionByName(plain_pieces(plain, key).withColumn("has_code", F.lit(False)))
+    return parts.withColumn("content_type", F.when(F.col("has_code"), "code").otherwise("prose"))

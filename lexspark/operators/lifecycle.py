@@ -154,16 +154,22 @@ def smart_truncate(x: Column | str, most: int = 100_000, share: float = 0.6) ->
     lines = F.split(x, "\n")
 
     def fitting(ls: Column, room: int) -> Column:
-        """How many lines from the start fit into ``room`` bytes with their line ends."""
-        start = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).alias("n"))
-        step = lambda s, l: F.struct((s["size"] + F.octet_length(l) + 1).alias("size"), (s["n"] + (s["size"] + F.octet_length(l) + 1 <= room).cast("int")).alias("n"))  # noqa: E731, E741
-        return F.aggregate(ls, start, step)["n"]
+        """How many lines from the start fit into ``room`` bytes with their line ends; the first always does."""
+        sizes = F.transform(ls, lambda x: F.octet_length(x) + 1)
+        start = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).alias("n"), F.lit(True).alias("on"))
+
+        def step(s: Column, size: Column) -> Column:
+            on = s["on"] & ((s["size"] + size <= room) | (s["n"] == 0))
+            return F.struct((s["size"] + F.when(on, size).otherwise(0)).alias("size"), (s["n"] + on.cast("int")).alias("n"), on.alias("on"))
+
+        return F.aggregate(sizes, start, step)
 
     room = int(most * share)
-    front, back = fitting(lines, room), fitting(F.reverse(lines), most - room)
-    left = F.size(lines) - front - back
-    note = F.format_string("\n… [%d lines truncated] …\n", left)
-    cut = F.concat(F.array_join(F.slice(lines, F.lit(1), front), "\n"), note, F.array_join(F.slice(lines, F.size(lines) - back + 1, back), "\n"))
+    front = fitting(lines, room)
+    back = fitting(F.reverse(F.slice(lines, front["n"] + 1, F.greatest(F.lit(0), F.size(lines) - front["n"]))), most - room)
+    note = F.format_string("\n\n... [%d lines / %.1fKB truncated — showing first %d + last %d lines] ...\n\n", F.size(lines) - front["n"] - back["n"], (F.octet_length(x) - front["size"] - back["size"]) / 1024.0, front["n"], back["n"])
+    tail = F.slice(lines, F.size(lines) - back["n"] + 1, back["n"])
+    cut = F.concat(F.array_join(F.slice(lines, F.lit(1), front["n"]), "\n"), note, F.array_join(tail, "\n"))
     return F.when(F.octet_length(x) <= most, x).otherwise(cut)
 
 

@@ -28,7 +28,7 @@ def query_terms(query: Column | str) -> Column:
     """Lower-case words without search syntax and edge punctuation, each once; stopwords go unless all are."""
     words = F.split(trim(F.regexp_replace(col(query), _SPECIAL, " ")), r"[\t\n\x0B\f\r ]+")
     words = F.array_distinct(F.filter(F.transform(words, lambda w: F.lower(F.btrim(w, F.lit(".,!?;:")))), lambda w: w != ""))
-    kept = F.filter(words, lambda w: ~F.array_contains(_literals(sorted(lexicon.STOPWORDS)), w))
+    kept = F.filter(words, lambda w: ~w.isin(*sorted(lexicon.STOPWORDS)))
     return F.when(F.size(kept) == 0, words).otherwise(kept)
 
 
@@ -147,8 +147,8 @@ def correct(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     at most, so the join is by length.
     """
     length = F.octet_length("word")
-    known = _literals(sorted(t for g in lexicon.SYNONYM_GROUPS for t in g.split()))
-    open_ = words.select("word").distinct().where((length >= 3) & ~F.array_contains(_literals(sorted(lexicon.STOPWORDS)), F.col("word")) & ~F.array_contains(known, F.col("word")))
+    left = sorted(lexicon.STOPWORDS | {t for g in lexicon.SYNONYM_GROUPS for t in g.split()})
+    open_ = words.select("word").distinct().where((length >= 3) & ~F.col("word").isin(*left))
     open_ = open_.join(vocabulary.select("word"), "word", "left_anti")
     edits = max_edits(length)
     probes = open_.select("word", edits.alias("edits"), F.explode(F.sequence(length - edits, length + edits)).alias("size"))

@@ -17,7 +17,10 @@ WINDOW, STEP, MIN_PAIRS, MIN_BYTES, PROMPT_CHARS = 4, 3, 2, 200, 768
 NOISE = r"(?s)<system-reminder>.*?</system-reminder>"
 TAGS = r"(?s)<local-command-caveat>.*?</local-command-caveat>|<local-command-stdout>.*?</local-command-stdout>|<command-name>.*?</command-name>|<command-message>.*?</command-message>|<command-args>.*?</command-args>"
 #: Tools whose use leaves a line, and the input that the line shows.
-ENRICHED = (("Read", "file_path"), ("Write", "file_path"), ("Edit", "file_path"), ("Grep", "pattern"), ("Glob", "pattern"), ("Bash", "command"))
+ENRICHED = (("Read", "file_path"), ("Write", "file_path"), ("Edit", "file_path"), ("Grep", "pattern"))
+#: Tools whose prompt is text of the conversation.
+PAL = tuple(f"mcp__pal__{x}" for x in "chat thinkdeep codereview consensus analyze debug planner challenge secaudit refactor".split())
+AGENT, TASK = "Agent", "subagent task"
 
 LINE = "type string, subtype string, uuid string, timestamp string, sessionId string, cwd string, gitBranch string, aiTitle string, prUrl string, prRepository string, prNumber string, content string, message string"
 
@@ -76,13 +79,21 @@ def tool_line(name: Column, raw: Column) -> Column:
     for tool, key in ENRICHED:
         value = F.coalesce(got(key), F.lit(""))
         shown = F.when(name == tool, F.when(value == "", F.lit(f"[{tool}]")).otherwise(F.concat(F.lit(f"[{tool}: "), value, F.lit("]")))).otherwise(shown)
-    agent = F.concat(F.lit("[Agent: "), F.coalesce(got("subagent_type"), F.lit("")), F.lit(' — "'), F.coalesce(got("description"), F.lit("")), F.lit('"]'))
-    return F.when(name.isin("Agent", "Task"), agent).otherwise(shown)
+    agent = F.concat(F.lit("[Agent: "), _or(got("subagent_type"), AGENT), F.lit(" — "), _quoted(_or(got("description"), TASK)), F.lit("]"))
+    return F.when(name == "Agent", agent).otherwise(shown)
+
+
+def _or(x: Column, other: str) -> Column:
+    return F.coalesce(F.nullif(x, F.lit("")), F.lit(other))
+
+
+def _quoted(x: Column) -> Column:
+    return F.concat(F.lit('"'), F.regexp_replace(x, r'(["\\\\])', r"\\$1"), F.lit('"'))
 
 
 def promoted(name: Column, raw: Column) -> Column:
     """The prompt of a consulting tool is text of its own; null for other tools."""
-    return F.when(F.startswith(name, F.lit("mcp__pal__")), F.left(F.coalesce(F.get_json_object(raw, "$.prompt"), F.lit("")), F.lit(PROMPT_CHARS)))
+    return F.when(name.isin(*PAL), F.left(F.coalesce(F.get_json_object(raw, "$.prompt"), F.lit("")), F.lit(PROMPT_CHARS)))
 
 
 def messages(parsed: DataFrame) -> DataFrame:
@@ -145,21 +156,24 @@ def indexable(pairs: DataFrame) -> DataFrame:
 
 
 def render_pairs(pairs: DataFrame) -> DataFrame:
-    """Adds text: the pair as it stands in a transcript; consecutive pairs of one subagent share a head line."""
+    """Adds text: the pair as it stands in a transcript. Consecutive pairs of one subagent stand in one block."""
     if "is_subagent" not in pairs.columns:
         pairs = pairs.withColumns({"is_subagent": F.lit(False), "agent_type": F.lit(""), "agent_description": F.lit("")})
     who = F.struct("is_subagent", "agent_type", "agent_description")
-    before = F.lag(who).over(W.partitionBy("session").orderBy("pair_no"))
-    new = F.col("is_subagent") & (before.isNull() | (before != who))
-    titled = F.concat(F.lit("### Sub-agent: "), "agent_type", F.when(F.col("agent_description") == "", "").otherwise(F.concat(F.lit(" — "), "agent_description")), F.lit("\n\n"))
-    human = F.when(F.col("human") == "", "").otherwise(F.concat(F.lit("Human: "), "human", F.lit("\n\n")))
-    tools = F.when(F.size("tool_lines") == 0, "").otherwise(F.concat(F.lit("\n"), F.array_join("tool_lines", "\n")))
-    body = F.concat(F.when(F.col("new"), titled).otherwise(""), human, F.lit("Assistant: "), "assistant", tools)
-    return pairs.withColumn("new", new).withColumn("text", body).drop("new")
+    w = W.partitionBy("session").orderBy("pair_no")
+    marked = pairs.withColumn("opens", ~F.lag(who).over(w).eqNullSafe(who)).withColumn("closes", ~F.lead(who).over(w).eqNullSafe(who))
+    head = F.concat(F.lit("--- Subagent: "), _or(F.col("agent_type"), AGENT), F.lit(" — "), _quoted(_or(F.col("agent_description"), TASK)), F.lit(" ---\n"))
+    own = F.col("is_subagent")
+    tools = F.array_join(F.transform("tool_lines", lambda t: F.concat(t, F.lit("\n"))), "")
+    talk = F.concat(F.lit("Human: "), "human", F.lit("\nAssistant: "), "assistant", F.lit("\n"), tools)
+    summary = F.concat(F.lit("[Session summary: "), "assistant", F.lit("]\n"))
+    body = F.when(~own & (F.col("human") == ""), summary).otherwise(talk)
+    text = F.concat(F.when(own & F.col("opens"), head).otherwise(""), body, F.when(own & F.col("closes"), "--- End subagent ---\n").otherwise(""))
+    return marked.withColumn("text", text).drop("opens", "closes")
 
 
 def transcripts(rendered: DataFrame) -> DataFrame:
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pair_no", "text"))), lambda x: x["text"]), "\n\n")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pair_no", "text"))), lambda x: x["text"]), "\n")
     return rendered.groupBy("session").agg(text.alias("transcript"), F.count("*").alias("pairs"))
 
 
@@ -172,13 +186,13 @@ def chunk_title(start_time: Column, first: Column, last: Column, tools: Column,
     return F.concat(head, part("Subagent", F.array_sort(F.array_distinct(agents))), part("PAL", F.array_distinct(pal)), part("Tools", F.array_distinct(other)))
 
 
-def windows(rendered: DataFrame, starts_at: DataFrame, most: int = MAX_BYTES) -> DataFrame:
+def windows(rendered: DataFrame, starts_at: DataFrame, most: int = MAX_BYTES, split: bool = True) -> DataFrame:
     """session, chunk_no, title, content, has_code: the whole session if it is short, else windows of 4 pairs that overlap by one.
 
-    ``starts_at``: session, start_time. A window over ``most`` bytes is split at blank lines.
+    ``starts_at``: session, start_time. With ``split``, a window over ``most`` bytes is split at blank lines.
     """
-    sizes = rendered.groupBy("session").agg(F.count("*").alias("n"), F.sum(F.octet_length("text") + 2).alias("bytes"))
-    short = F.col("bytes") - 2 <= most
+    sizes = rendered.groupBy("session").agg(F.count("*").alias("n"), F.sum(F.octet_length("text") + 1).alias("bytes"))
+    short = F.col("bytes") - 1 <= most
     first = F.when(short, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.col("n") - WINDOW) / STEP)).cast("int") * STEP, F.lit(STEP)))
     spans = sizes.select("session", F.explode(first).alias("first"), "n", short.alias("short"))
     spans = spans.withColumn("last", F.when(F.col("short"), F.col("n") - 1).otherwise(F.least(F.col("first") + WINDOW - 1, F.col("n") - 1)))
@@ -188,7 +202,10 @@ def windows(rendered: DataFrame, starts_at: DataFrame, most: int = MAX_BYTES) ->
     inside = F.array_sort(F.collect_list(F.struct("pair_no", "text", "tools", "agent")))
     held = rows.groupBy("session", "first", "last").agg(inside.alias("xs")).join(starts_at, "session", "left")
     pick = lambda k: F.transform("xs", lambda x: x[k])
-    titled = held.select("session", "first", trim(F.array_join(pick("text"), "\n\n")).alias("content"), chunk_title(F.col("start_time"), F.col("first"), F.col("last"), F.flatten(pick("tools")), F.filter(pick("agent"), lambda a: a.isNotNull())).alias("title"))
+    titled = held.select("session", "first", trim(F.array_join(pick("text"), "\n")).alias("content"), chunk_title(F.col("start_time"), F.col("first"), F.col("last"), F.flatten(pick("tools")), F.filter(pick("agent"), lambda a: a.isNotNull())).alias("title"))
+    if not split:
+        no = F.row_number().over(W.partitionBy("session").orderBy("first")) - 1
+        return titled.withColumn("chunk_no", no).select("session", "chunk_no", "title", "content", has_code(F.col("content")).alias("has_code"))
     big = F.octet_length("content") > most
     pieces = titled.withColumn("cut", oversized_chunks(F.when(big, F.col("content")), most))
     each = pieces.select("session", "first", "title", F.explode(F.coalesce(F.transform("cut", lambda c: c["content"]), F.array("content"))).alias("content")).where("content <> ''")

@@ -56,7 +56,8 @@ def messages(parsed: DataFrame) -> DataFrame:
     mine = merged_blocks(parsed).select("session", "line_no", "ts", F.lit("assistant").alias("role"), F.lit(0).alias("no"), F.array_join(F.filter(F.transform("blocks", part), lambda t: t.isNotNull() & (t != "")), "\n").alias("text"))
     said = F.when(F.col("type") == "pr-link", pr_link(F.col("prNumber"), F.col("prRepository"), F.col("prUrl"))).when(F.col("type") == "attachment", _attachment(F.col("message"))).otherwise(trim(F.coalesce("content", F.lit(""))))
     system = parsed.where("type in ('pr-link', 'attachment') or type = 'system' and subtype = 'away_summary'").select("session", "line_no", "ts", F.lit("system").alias("role"), F.lit(0).alias("no"), said.alias("text"))
-    rows = human.unionByName(tools).unionByName(mine).unionByName(system).withColumn("text", redact(trim("text"))).where("text <> ''")
+    rows = human.unionByName(tools).unionByName(mine).unionByName(system).withColumn("text", trim("text"))
+    rows = rows.withColumn("text", redact("text")).where("text <> ''")
     return number_turns(rows)
 
 
@@ -150,7 +151,7 @@ def per_project(archive: DataFrame) -> DataFrame:
 def search(rows: DataFrame, archive: DataFrame, query: str, role: str = "", limit: int = 20, stemmed: bool = True, **filters) -> DataFrame:
     """The best messages that hold all words of ``query``: session, turn_index, message_index, role, score, snippet."""
     spark = rows.sparkSession
-    keyed = rows.withColumn("chunk_id", F.xxhash64("session", "turn_index", "message_index")).withColumn("title", F.lit("")).withColumnRenamed("text", "content")
+    keyed = rows.persist().withColumn("chunk_id", F.xxhash64("session", "turn_index", "message_index")).withColumn("title", F.lit("")).withColumnRenamed("text", "content")
     words = [w for w in dict.fromkeys(query.split()) if w]
     terms = spark.createDataFrame([(w,) for w in words], "term string")
     scored = index.bm25(index.word_hits(keyed, terms, stemmed), index.word_lengths(keyed))
