@@ -6,6 +6,7 @@ so is their bound. Statistics are those of all chunks, whatever a search filters
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,27 +19,44 @@ MAX_TERMS = 10_000
 #: Saturation, length normalisation, the least weight of a term, and the weights of title and content.
 K1, B, LEAST_IDF, TITLE_WEIGHT, CONTENT_WEIGHT = 1.2, 0.75, 1e-6, 2.0, 1.0
 
-HITS = "term string, chunk_id long, title_hits long, content_hits long"
-
 
 def chunk_id(source_id: Column | str = "source_id", chunk_no: Column | str = "chunk_no") -> Column:
     return col(source_id) * 2**20 + col(chunk_no)
 
 
-def word_lengths(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_id", (F.size(word_tokens("title")) + F.size(word_tokens("content"))).cast("long").alias("dl"))
+def tokenised(chunks: DataFrame) -> DataFrame:
+    """chunk_id, tokens (of title and content), dl: how many."""
+    both = chunks.select("chunk_id", F.array(word_tokens("title"), word_tokens("content")).alias("tokens"))
+    return both.withColumn("dl", F.aggregate("tokens", F.lit(0).cast("long"), lambda n, t: n + F.size(t)))
+
+
+def word_stats(chunks: DataFrame) -> tuple[int, float]:
+    """How many chunks, and their mean length in tokens."""
+    return _stats(tokenised(chunks))
 
 
-def trigram_lengths(chunks: DataFrame) -> DataFrame:
+def trigram_length() -> Column:
     n = lambda x: F.greatest(F.lit(0), F.length(x) - 2)
-    return chunks.select("chunk_id", (n("title") + n("content")).cast("long").alias("dl"))
+    return (n("title") + n("content")).cast("long")
+
+
+def trigram_stats(chunks: DataFrame) -> tuple[int, float]:
+    return _stats(chunks.select(trigram_length().alias("dl")))
+
+
+def _stats(lengths: DataFrame) -> tuple[int, float]:
+    n, mean = lengths.agg(F.count("*"), F.avg("dl")).first()
+    return n, mean or 1.0
+
+
+def _exploded(tokens: DataFrame) -> DataFrame:
+    per_column = tokens.select("chunk_id", "dl", F.posexplode("tokens").alias("col", "ts"))
+    return per_column.select("chunk_id", "dl", "col", F.posexplode("ts").alias("pos", "token"))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
     """chunk_id, col (0 title, 1 content), pos, term: every token."""
-    both = F.array(word_tokens("title"), word_tokens("content"))
-    per_column = chunks.select("chunk_id", F.posexplode(both).alias("col", "tokens"))
-    return per_column.select("chunk_id", "col", F.posexplode("tokens").alias("pos", "term"))
+    return _exploded(tokenised(chunks)).select("chunk_id", "col", "pos", F.col("token").alias("term"))
 
 
 def _terms(terms: DataFrame) -> list[str]:
@@ -49,41 +67,49 @@ def _terms(terms: DataFrame) -> list[str]:
 
 
 def word_hits(chunks: DataFrame, terms: DataFrame, stemmed: bool = True) -> DataFrame:
-    """HITS of one column of terms; a term of several tokens is a phrase of adjacent ones."""
+    """term, chunk_id, dl, title_hits, content_hits of one column of terms; a term of several tokens is a phrase of adjacent ones.
+
+    Tokens that no term has are left inside their chunk: only hits are exploded into rows and shuffled.
+    """
     spark = chunks.sparkSession
     found = _terms(terms)
-    wanted = spark.createDataFrame([(t,) for t in found], "term string").select("term", word_tokens("term").alias("tokens"))
+    wanted = spark.createDataFrame(pa.table({"term": pa.array(found, pa.string())})).select("term", word_tokens("term").alias("tokens"))
     wanted = wanted.select("term", F.size("tokens").alias("n"), F.posexplode("tokens").alias("no", "token"))
-    tokens = postings(chunks).withColumnRenamed("term", "token")
+    tokens = tokenised(chunks)
     if stemmed:
         wanted = wanted.withColumn("token", stem_udf("token"))
-        known = tokens.select("token").distinct().withColumn("stem", stem_udf("token"))
+        # a stem begins like its words, but for a y that has become i: only such words go through Python, each once
+        begin = lambda c: F.translate(F.left(c, F.lit(2)), "y", "i")
+        known = tokens.select(F.explode(F.array_distinct(F.flatten("tokens"))).alias("token"))
+        known = known.join(F.broadcast(wanted.select(begin(F.col("token")).alias("b")).distinct()), begin(F.col("token")) == F.col("b"), "left_semi")
+        known = known.distinct().withColumn("stem", stem_udf("token"))
         wanted = known.join(F.broadcast(wanted.withColumnRenamed("token", "stem")), "stem").drop("stem")
-    here = tokens.join(F.broadcast(wanted), "token")
-    runs = here.groupBy("term", "n", "chunk_id", "col", (F.col("pos") - F.col("no")).alias("start")).agg(F.count_distinct("no").alias("met")).where("met = n")
+    here = _exploded(tokens).join(F.broadcast(wanted), "token")
+    runs = here.groupBy("term", "n", "chunk_id", "dl", "col", (F.col("pos") - F.col("no")).alias("start")).agg(F.count_distinct("no").alias("met")).where("met = n")
     side = lambda c: F.count_if(F.col("col") == c)
-    return runs.groupBy("term", "chunk_id").agg(side(0).alias("title_hits"), side(1).alias("content_hits"))
+    return runs.groupBy("term", "chunk_id", "dl").agg(side(0).alias("title_hits"), side(1).alias("content_hits"))
 
 
 def trigram_hits(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """HITS of substrings, case folded; overlapping ones count."""
+    """As word_hits for substrings, case folded; overlapping ones count."""
     wanted = F.array(*map(F.lit, _terms(terms))).cast("array<string>")
-    lower = chunks.select("chunk_id", F.lower("title").alias("t"), F.lower("content").alias("c"))
+    lower = chunks.select("chunk_id", trigram_length().alias("dl"), F.lower("title").alias("t"), F.lower("content").alias("c"))
     met = F.filter(wanted, lambda w: F.contains(F.col("c"), w) | F.contains(F.col("t"), w))
-    each = lower.select("chunk_id", "t", "c", F.explode(met).alias("term"))
+    each = lower.select("chunk_id", "dl", "t", "c", F.explode(met).alias("term"))
     count = lambda x: F.regexp_count(x, F.concat(F.lit(r"(?=\Q"), F.col("term"), F.lit(r"\E)"))).cast("long")
-    return each.select("term", "chunk_id", count("t").alias("title_hits"), count("c").alias("content_hits"))
+    return each.select("term", "chunk_id", "dl", count("t").alias("title_hits"), count("c").alias("content_hits"))
 
 
-def bm25(hits: DataFrame, lengths: DataFrame) -> DataFrame:
-    """term, chunk_id, score: negative, lower is better."""
-    n, mean = lengths.agg(F.count("*"), F.avg("dl")).first()
+def bm25(hits: DataFrame, stats: tuple[int, float]) -> DataFrame:
+    """term, chunk_id, score: negative, lower is better. ``stats`` are those of all chunks."""
+    n, mean = stats
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(LEAST_IDF)
     tf = TITLE_WEIGHT * F.col("title_hits") + CONTENT_WEIGHT * F.col("content_hits")
-    score = -idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / (mean or 1.0)))
+    score = -idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / mean))
+    hits = hits.persist()
     counts = hits.groupBy("term").agg(F.count("*").alias("df"))
-    return hits.join(F.broadcast(counts), "term").join(lengths, "chunk_id").select("term", "chunk_id", score.alias("score"))
+    return hits.join(F.broadcast(counts), "term").select("term", "chunk_id", score.alias("score"))
 
 
 def vocabulary(chunks: DataFrame) -> DataFrame:

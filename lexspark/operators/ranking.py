@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -64,21 +63,21 @@ def layer(groups: DataFrame, scored: DataFrame, every_group: bool) -> DataFrame:
     return met.select("query_id", "chunk_id", "score")
 
 
-def top(ranked: DataFrame, k: int) -> DataFrame:
+def top(ranked: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """The k best of each query, with rank0 from 0."""
-    order = W.partitionBy("query_id").orderBy("score", "chunk_id")
+    order = W.partitionBy(*keys).orderBy("score", "chunk_id")
     return ranked.withColumn("rank0", F.row_number().over(order) - 1).where(F.col("rank0") < k)
 
 
-def fuse(layers: dict[str, DataFrame], chunks: DataFrame) -> DataFrame:
-    """Reciprocal rank fusion by (source_id, title): the chunk with the best score of its own stands for its namesakes.
+def fuse(ranked: DataFrame, chunks: DataFrame, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """Reciprocal rank fusion of rows keys, layer, chunk_id, score, rank0 by (source_id, title): the chunk with the best score
+    of its own stands for its namesakes.
 
-    query_id, source_id, title, chunk_id, fused_score, layers, match_layer.
+    keys, source_id, title, chunk_id, fused_score, layers, match_layer.
     """
-    both = reduce(DataFrame.unionByName, [df.withColumn("layer", F.lit(name)) for name, df in layers.items()])
-    named = both.join(chunks.select("chunk_id", "source_id", "title"), "chunk_id")
+    named = ranked.join(chunks.select("chunk_id", "source_id", "title"), "chunk_id")
     best = F.min_by("chunk_id", F.struct("score", "layer", "chunk_id")).alias("chunk_id")
-    fused = named.groupBy("query_id", "source_id", "title").agg(F.sum(1.0 / (RRF_K + F.col("rank0"))).alias("fused_score"), best, F.array_sort(F.collect_set("layer")).alias("layers"))
+    fused = named.groupBy(*keys, "source_id", "title").agg(F.sum(1.0 / (RRF_K + F.col("rank0"))).alias("fused_score"), best, F.array_sort(F.collect_set("layer")).alias("layers"))
     # a single layer's best single rank is 1/60: more than that is taken for a hit in both
     tag = F.when(F.col("fused_score") > 1.0 / RRF_K, "rrf(porter+trigram)").otherwise(F.get("layers", F.lit(0)))
     return fused.withColumn("match_layer", tag)

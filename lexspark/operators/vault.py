@@ -154,7 +154,7 @@ def search(rows: DataFrame, archive: DataFrame, query: str, role: str = "", limi
     keyed = rows.persist().withColumn("chunk_id", F.xxhash64("session", "turn_index", "message_index")).withColumn("title", F.lit("")).withColumnRenamed("text", "content")
     words = [w for w in dict.fromkeys(query.split()) if w]
     terms = spark.createDataFrame([(w,) for w in words], "term string")
-    scored = index.bm25(index.word_hits(keyed, terms, stemmed), index.word_lengths(keyed))
+    scored = index.bm25(index.word_hits(keyed, terms, stemmed), index.word_stats(keyed))
     best = scored.groupBy("chunk_id").agg(F.sum("score").alias("score"), F.count_distinct("term").alias("n")).where(F.col("n") == len(words))
     found = keyed.join(best, "chunk_id").join(filtered(archive, **filters).select("session"), "session", "left_semi")
     found = found.where(F.col("role") == role) if role else found

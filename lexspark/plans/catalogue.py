@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,7 +38,8 @@ def sha(c: Column | str) -> Column:
 
 
 def _batch(spark: SparkSession, rows=QUERIES) -> DataFrame:
-    return spark.createDataFrame(list(rows), "query_id int, query string")
+    ids, texts = zip(*rows, strict=True)
+    return spark.createDataFrame(pa.table({"query_id": pa.array(ids, pa.int32()), "query": pa.array(texts)}))
 
 
 def _corpus(spark: SparkSession, sf: str) -> search.Corpus:
@@ -123,13 +125,13 @@ def distinctive_terms(spark, sf):
 
 
 def _layer(spark, sf, kind: str, every: bool, expand: bool = False) -> DataFrame:
-    corpus = tables.chunks(spark, sf)
+    corpus = tables.chunks(spark, sf).persist()
     maker = ranking.word_groups if kind == "word" else ranking.trigram_groups
     groups = maker(_batch(spark), expand)
     if kind == "word":
-        scored = index.bm25(index.word_hits(corpus, groups.select("term"), stemmed=False), index.word_lengths(corpus))
+        scored = index.bm25(index.word_hits(corpus, groups.select("term"), stemmed=False), index.word_stats(corpus))
     else:
-        scored = index.bm25(index.trigram_hits(corpus, groups.select("term")), index.trigram_lengths(corpus))
+        scored = index.bm25(index.trigram_hits(corpus, groups.select("term")), index.trigram_stats(corpus))
     ranked = ranking.layer(groups, scored, every).withColumn("score", F.round("score", 9))
     return ranking.top(ranked, 20)
 
@@ -161,10 +163,10 @@ def bm25_trigram_topk(spark, sf):
 def _fused(spark, sf) -> DataFrame:
     chunks = tables.chunks(spark, sf).persist()
     groups = {"porter": ranking.word_groups(_batch(spark), False), "trigram": ranking.trigram_groups(_batch(spark), False)}
-    word = index.bm25(index.word_hits(chunks, groups["porter"].select("term"), stemmed=False), index.word_lengths(chunks))
-    tri = index.bm25(index.trigram_hits(chunks, groups["trigram"].select("term")), index.trigram_lengths(chunks))
-    layers = {name: ranking.top(ranking.layer(groups[name], s, False).withColumn("score", F.round("score", 9)), 20) for name, s in (("porter", word), ("trigram", tri))}
-    return ranking.fuse(layers, chunks)
+    word = index.bm25(index.word_hits(chunks, groups["porter"].select("term"), stemmed=False), index.word_stats(chunks))
+    tri = index.bm25(index.trigram_hits(chunks, groups["trigram"].select("term")), index.trigram_stats(chunks))
+    ranked = [ranking.top(ranking.layer(groups[n], s, False).withColumn("score", F.round("score", 9)), 20).withColumn("layer", F.lit(n)) for n, s in (("porter", word), ("trigram", tri))]
+    return ranking.fuse(ranked[0].unionByName(ranked[1]), chunks)
 
 
 @query
@@ -233,7 +235,7 @@ def and_or_fallback(spark, sf):
     batch = ((1, "general public license"), (5, "pathetic apache"), (6, "idiot general scum trash loser"))
     chunks = tables.chunks(spark, sf)
     groups = ranking.word_groups(_batch(spark, batch), False)
-    scored = index.bm25(index.word_hits(chunks, groups.select("term"), stemmed=False), index.word_lengths(chunks)).persist()
+    scored = index.bm25(index.word_hits(chunks, groups.select("term"), stemmed=False), index.word_stats(chunks)).persist()
     strict, flat = ranking.layer(groups, scored, True), ranking.layer(groups, scored, False)
     both = strict.withColumn("mode", F.lit("and")).union(flat.join(strict.select("query_id").distinct(), "query_id", "left_anti").withColumn("mode", F.lit("or")))
     return both.select("query_id", "chunk_id", "mode", r6("score").alias("score"))
@@ -259,9 +261,9 @@ def entity_boost(spark, sf):
 
 @query
 def porter_search(spark, sf):
-    chunks = tables.chunks(spark, sf)
+    chunks = tables.chunks(spark, sf).persist()
     groups = ranking.word_groups(_batch(spark), False)
-    scored = index.bm25(index.word_hits(chunks, groups.select("term")), index.word_lengths(chunks))
+    scored = index.bm25(index.word_hits(chunks, groups.select("term")), index.word_stats(chunks))
     return _shown(ranking.top(ranking.layer(groups, scored, True), 20))
 
 

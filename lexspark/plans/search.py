@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,50 +64,64 @@ def source_filter(options: Options) -> Column:
 
 class Corpus:
     """Chunks (chunk_id, source_id, chunk_no, title, content, content_type) and sources (source_id, label, kind), with what
-    a search needs of them. ``persist`` keeps the chunks for several passes."""
+    a search needs of them. ``persist`` keeps the chunks for several passes; the statistics are worked out once."""
 
     def __init__(self, chunks: DataFrame, sources: DataFrame, persist: bool = False):
         self.chunks = chunks.persist() if persist else chunks
         self.sources = sources
-        self._vocabulary: DataFrame | None = None
 
-    @property
+    @cached_property
     def vocabulary(self) -> DataFrame:
-        if self._vocabulary is None:
-            self._vocabulary = index.vocabulary(self.chunks)
-        return self._vocabulary
+        return index.vocabulary(self.chunks)
+
+    @cached_property
+    def word_stats(self) -> tuple[int, float]:
+        return index.word_stats(self.chunks)
+
+    @cached_property
+    def trigram_stats(self) -> tuple[int, float]:
+        return index.trigram_stats(self.chunks)
 
     def scoped(self, options: Options) -> DataFrame:
         return self.chunks.join(self.sources.select("source_id", "label", "kind"), "source_id").where(source_filter(options))
 
 
-def _scores(corpus: Corpus, groups: DataFrame, stemmed: bool | None) -> DataFrame:
-    """Of all terms of some groups, in the word index, or (``stemmed`` None) in the trigram index."""
-    if stemmed is None:
-        return index.bm25(index.trigram_hits(corpus.chunks, groups.select("term")), index.trigram_lengths(corpus.chunks))
-    return index.bm25(index.word_hits(corpus.chunks, groups.select("term"), stemmed), index.word_lengths(corpus.chunks))
+def _compiled(queries: DataFrame, options: Options) -> DataFrame:
+    """layer, strict, query_id, group_no, term, n (groups of the query there): one small job, then a local table.
+
+    strict 1: groups of synonyms, all of which must be met; 0: any of the query's own terms."""
+    makers = {"porter": ranking.word_groups, "trigram": ranking.trigram_groups}
+    parts = [make(queries, every).select(F.lit(name).alias("layer"), F.lit(int(every)).alias("strict"), "query_id", F.col("group_no").cast("long").alias("group_no"), "term") for name, make in makers.items() for every in (True, False)]
+    rows = [tuple(r) for r in reduce(DataFrame.union, parts).limit(4 * index.MAX_TERMS + 1).collect()]
+    if len(rows) > 4 * index.MAX_TERMS:
+        raise ValueError(f"a batch of queries may hold {index.MAX_TERMS} terms")
+    sizes: dict[tuple, set] = {}
+    terms: dict[tuple, int] = {}
+    for layer, strict, query_id, group_no, _ in rows:
+        sizes.setdefault((layer, strict, query_id), set()).add(group_no)
+        terms[layer, strict, query_id] = terms.get((layer, strict, query_id), 0) + 1
+    if options.compat == "flat":
+        rows = [r for r in rows if not r[1] or len(sizes[r[:3]]) in (1, terms[r[:3]])]
+    names = ["layer", "strict", "query_id", "group_no", "term"]
+    cols = list(zip(*rows, strict=True)) or [()] * 5
+    made = {n: pa.array(c, pa.string() if n in ("layer", "term") else pa.int64()) for n, c in zip(names, cols, strict=True)}
+    made["n"] = pa.array([len(sizes[r[:3]]) for r in rows], pa.int64())
+    return queries.sparkSession.createDataFrame(pa.table(made))
 
 
 def _pass(corpus: Corpus, queries: DataFrame, options: Options) -> DataFrame:
     """Fused and reranked candidates: query_id, chunk_id, source_id, title, fused_score, layers, match_layer, rank.
 
-    The pass with groups of synonyms counts where it finds anything, else the flat one."""
-    scope = corpus.scoped(options).select("chunk_id").persist()
-    makers = {"porter": (ranking.word_groups, True), "trigram": (ranking.trigram_groups, None)}
-    found: dict[bool, dict[str, DataFrame]] = {True: {}, False: {}}
-    fetch = max(5 * options.limit, 10)
-    for name, (groups, stemmed) in makers.items():
-        of = {every: groups(queries, every) for every in (True, False)}
-        scored = _scores(corpus, of[True].union(of[False]), stemmed)
-        if options.compat == "flat":
-            sized = of[True].groupBy("query_id").agg(F.count_distinct("group_no").alias("g"), F.count("*").alias("t"))
-            of[True] = of[True].join(sized.where("g = 1 or g = t").select("query_id"), "query_id", "left_semi")
-        for every in (True, False):
-            ranked = ranking.layer(of[every], scored, every).join(scope, "chunk_id", "left_semi")
-            found[every][name] = ranking.top(ranked, fetch)
-    strict = ranking.fuse(found[True], corpus.chunks).withColumn("strict", F.lit(1))
-    flat = ranking.fuse(found[False], corpus.chunks).withColumn("strict", F.lit(0))
-    both = strict.unionByName(flat)
+    The strict groups count where they find anything, else the flat ones. Both indexes and both modes go through one plan."""
+    groups = _compiled(queries, options)
+    of = lambda name: groups.where(F.col("layer") == name).select("term")
+    word = index.bm25(index.word_hits(corpus.chunks, of("porter")), corpus.word_stats).withColumn("layer", F.lit("porter"))
+    tri = index.bm25(index.trigram_hits(corpus.chunks, of("trigram")), corpus.trigram_stats).withColumn("layer", F.lit("trigram"))
+    scope = corpus.scoped(options).select("chunk_id")
+    keys = ("query_id", "strict", "layer")
+    met = F.broadcast(groups).join(word.unionByName(tri), ["layer", "term"]).groupBy(*keys, "n", "chunk_id").agg(F.sum("score").alias("score"), F.count_distinct("group_no").alias("met"))
+    met = met.where("strict = 0 or met = n").join(scope, "chunk_id", "left_semi")
+    both = ranking.fuse(ranking.top(met, max(5 * options.limit, 10), keys), corpus.chunks, ("query_id", "strict"))
     either = both.withColumn("best", F.max("strict").over(W.partitionBy("query_id"))).where("strict = best").drop("strict", "best")
     terms = ranking.query_terms("query")
     groups = F.transform(terms, lambda t: F.concat(F.array(t), ranking._synonyms(t)))
