@@ -212,7 +212,7 @@ SELECT 1 AS query_id, source_id, chunk_id, place FROM p WHERE place <= 50""",
         "proximity_span": f"""WITH {TOKENS}, {_terms(catalogue.QUERIES)}, pos_ AS (SELECT query_id, chunk_id, group_no, p FROM terms JOIN (SELECT chunk_id, p, ct[p + 1] AS term FROM tk, unnest(range(0, len(ct))) AS r(p)) USING (term)),
 gs AS (SELECT query_id, count(DISTINCT group_no) AS gn FROM terms GROUP BY 1), ok AS (SELECT query_id, chunk_id FROM pos_ JOIN gs USING (query_id) GROUP BY query_id, chunk_id, gn HAVING count(DISTINCT group_no) = gn),
 nx AS (SELECT a.query_id, a.chunk_id, a.p, b.group_no, min(b.p) AS nxt FROM pos_ a JOIN ok USING (query_id, chunk_id) JOIN pos_ b ON b.query_id = a.query_id AND b.chunk_id = a.chunk_id AND b.p >= a.p GROUP BY ALL),
-sp AS (SELECT query_id, chunk_id, p, max(nxt) - p AS span, count(*) AS k FROM nx GROUP BY ALL) SELECT query_id, chunk_id, CAST(min(span) AS INTEGER) AS span FROM sp JOIN gs USING (query_id) WHERE k = gn GROUP BY query_id, chunk_id""",
+sp AS (SELECT query_id, chunk_id, p, max(nxt) - p AS span, count(*) AS k FROM nx GROUP BY query_id, chunk_id, p) SELECT query_id, chunk_id, CAST(min(span) AS INTEGER) AS span FROM sp JOIN gs USING (query_id) WHERE k = gn GROUP BY query_id, chunk_id""",
         "snippet_windows": """WITH h AS (SELECT doc_id AS id, length(text) AS n, i - 1 AS pos FROM documents, unnest(range(1, length(text) + 1)) AS r(i) WHERE contains(lower(text), 'license') AND substr(lower(text), i, 7) = 'license'),
 s AS (SELECT id, pos, greatest(0, pos - 300) AS s, least(n, pos + 300) AS e FROM h), m AS (SELECT *, CASE WHEN lag(e) OVER w IS NULL OR s > lag(e) OVER w THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY id ORDER BY pos)),
 i AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY pos) AS isl FROM m) SELECT id, CAST(min(s) AS INTEGER) AS start, CAST(max(e) AS INTEGER) AS end_ FROM i GROUP BY id, isl""",
