@@ -148,10 +148,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return float(w[0]), max(0.0, float(w[1])), max(0.0, float(w[2]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, terms: int = 20_000, prior: float = 50.0, flat: float = 0.5, sure: float = 3.0, min_docs: int = 5) -> Model:
-    """sure: the z-score from which a token's log-odds count. prior, flat: pseudo-counts of all tokens together, and of each."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, terms: int = 20_000, prior: float = 50.0, flat: float = 0.5, sure: float = 3.0, least: float = 2.0, min_docs: int = 5) -> Model:
+    """sure, least: the z-score and the log-odds from which a token counts. prior, flat: pseudo-counts of all tokens together, and of each."""
     small_batches(docs.sparkSession)
-    train = sample(docs, labels, "toxic", held_out(5, 0), most).select("text", "label")
+    # copies of a text say no more than one
+    train = sample(docs, labels, "toxic", held_out(5, 0), most).groupBy("text").agg(F.max("label").alias("label"))
     tokens = train.mapInArrow(_counts, "token binary, clean_docs long, toxic_docs long")
     tokens = tokens.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("clean_docs", "toxic_docs")])
     whole = F.substring("token", -1, 1) != F.lit(b"*")
@@ -166,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, terms: int = 20_
     ranked = tokens.where(F.col("toxic_docs") + F.col("clean_docs") >= min_docs)
     ranked = ranked.withColumn("weight", odds("toxic_docs", n_toxic) - odds("clean_docs", n_clean))
     ranked = ranked.withColumn("z", F.col("weight") / F.sqrt(1 / (F.col("clean_docs") + alpha) + 1 / (F.col("toxic_docs") + alpha)))
-    top = ranked.where(F.col("z") >= sure).orderBy(F.desc("z"), "token").limit(terms).select("token", "weight").collect()
+    top = ranked.where((F.col("z") >= sure) & (F.col("weight") >= least)).orderBy(F.desc("z"), "token").limit(terms).select("token", "weight").collect()
     weights = {bytes(r.token): float(r.weight) for r in top}
     # words without weight of their own speak a little against toxicity: the mean must be negative
     model = Model(weights, default=-0.1)
