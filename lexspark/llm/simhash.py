@@ -40,19 +40,21 @@ def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def _prints(width: int):
+def _prints(widths: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t, width) for t in batch.column("text").cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("rk"), pa.array(prints.view(np.int64))], names=["did", "rk", "fp"])
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            made = [pa.array(np.array([fingerprint(t, w) for t in texts], np.uint64).view(np.int64)) for w in widths]
+            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("rk"), *made], names=["did", "rk", *(f"f{w}" for w in widths)])
 
     return run
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """did, rk (a hash of the text), fp (long) of every row."""
+def fingerprints(docs: DataFrame, *widths: int) -> DataFrame:
+    """did, rk (a hash of the text), f<width> (long) of every row."""
     small_batches(docs.sparkSession)
-    return docs.select(plain_id().alias("did"), _row_key().alias("rk"), "text").mapInArrow(_prints(width), "did long, rk long, fp long")
+    schema = "did long, rk long, " + ", ".join(f"f{w} long" for w in widths)
+    return docs.select(plain_id().alias("did"), _row_key().alias("rk"), "text").mapInArrow(_prints(widths), schema)
 
 
 def _row_key() -> Column:
@@ -118,81 +120,105 @@ class Tree:
             todo.append((right, who[go_right], (home & ~near)[go_right]))
 
 
-def _join(own: np.ndarray, visitors: np.ndarray, radius: int, rng: np.random.Generator, out: list[tuple[int, int]]) -> None:
+def _near(points: np.ndarray, point: np.ndarray, reach: tuple[int, int]) -> np.ndarray:
+    """Rows (fingerprint, second fingerprint, node) within reach of a point by both fingerprints."""
+    hit = distance(points[:, 0], point[0]) <= reach[0]
+    if reach[1] < 64 and hit.any():
+        hit[hit] = distance(points[hit, 1], point[1]) <= reach[1]
+    return hit
+
+
+def _join(own: np.ndarray, visitors: np.ndarray, reach: tuple[int, int], rng: np.random.Generator, out: list[tuple[int, int]]) -> None:
     """Stars of the components that links to ``own`` make, by a smaller tree or, for few points, by search from point to point."""
-    cut = _split(own, radius, rng) if len(own) > LEAF else None
+    radius = reach[0]
+    cut = _split(own[:, 0], radius, rng) if len(own) > LEAF else None
     if cut is not None:
-        d, e = distance(own, cut[0]).astype(np.int64), distance(visitors, cut[0]).astype(np.int64)
+        d, e = distance(own[:, 0], cut[0]).astype(np.int64), distance(visitors[:, 0], cut[0]).astype(np.int64)
         near, over = d <= cut[1], (d <= cut[1]) & (d > cut[1] - radius)
         if min(near.sum(), (~near).sum()) > len(own) // 50:
-            _join(own[near], visitors[e <= cut[1] + radius], radius, rng, out)
-            _join(own[~near], np.concatenate([visitors[e > cut[1] - radius], own[over]]), radius, rng, out)
+            _join(own[near], visitors[e <= cut[1] + radius], reach, rng, out)
+            _join(own[~near], np.concatenate([visitors[e > cut[1] - radius], own[over]]), reach, rng, out)
             return
     while len(own):
         group, todo = [own[0]], [(own[0], True)]
         own = own[1:]
         while todo:
             point, is_own = todo.pop()
-            hit = distance(own, point) <= radius
+            hit = _near(own, point, reach)
             if hit.any():
-                group += own[hit].tolist()
-                todo += [(np.uint64(x), True) for x in own[hit].tolist()]
+                group += list(own[hit])
+                todo += [(x, True) for x in own[hit]]
                 own = own[~hit]
             if is_own and len(visitors):
-                hit = distance(visitors, point) <= radius
+                hit = _near(visitors, point, reach)
                 if hit.any():
-                    group += visitors[hit].tolist()
-                    todo += [(np.uint64(x), False) for x in visitors[hit].tolist()]
+                    group += list(visitors[hit])
+                    todo += [(x, False) for x in visitors[hit]]
                     visitors = visitors[~hit]
         if len(group) > 1:
-            signed = np.array([int(x) for x in group], np.uint64).view(np.int64)
-            out += [(int(x), int(signed.min())) for x in signed if x != signed.min()]
+            nodes = np.array([x[2] for x in group], np.uint64).view(np.int64)
+            out += [(int(x), int(nodes.min())) for x in nodes if x != nodes.min()]
 
 
-def links(prints: DataFrame, radius: int = 2) -> DataFrame:
-    """Of distinct fingerprints fp: edges a, b that connect exactly those within reach of ``radius`` differing bits."""
+def links(prints: DataFrame, radius: int = 2, second_radius: int = 64, leaf: int = LEAF) -> DataFrame:
+    """Of distinct rows fp, second, node: edges a, b of nodes that connect exactly those within reach of ``radius`` differing
+    bits, and of ``second_radius`` bits of the second fingerprint."""
     n = prints.count()
-    leaves = max(1, min(n // LEAF, SAMPLE // 64))
+    leaves = max(1, min(n // leaf, SAMPLE // 64))
     size = 64 * leaves
     part = prints.select("fp") if n <= size else prints.select("fp").sample(size / n, 7)
     sample = np.array(sorted(r.fp for r in part.toLocalIterator()), np.int64).view(np.uint64)
     tree = Tree(sample, leaves, radius)
+    reach = (radius, second_radius)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy()
-            for leaf, who, home in tree.route(fp.view(np.uint64)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), leaf, np.int32)), pa.array(fp[who]), pa.array(home)], names=["leaf", "fp", "home"])
+            cols = [batch.column(i).to_numpy() for i in range(3)]
+            for at, who, home in tree.route(cols[0].view(np.uint64)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), at, np.int32)), *(pa.array(c[who]) for c in cols), pa.array(home)], names=["leaf", "fp", "second", "node", "home"])
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp, home, out = pdf["fp"].to_numpy().view(np.uint64), pdf["home"].to_numpy(), []
-        _join(np.unique(fp[home]), np.unique(fp[~home]), radius, np.random.default_rng(7), out)
+        out: list[tuple[int, int]] = []
+        rows, home = np.column_stack([pdf[c].to_numpy() for c in ("fp", "second", "node")]).view(np.uint64), pdf["home"].to_numpy()
+        rows, first = np.unique(rows, axis=0, return_index=True)
+        _join(rows[home[first]], rows[~home[first]], reach, np.random.default_rng(7), out)
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return prints.select("fp").mapInArrow(route, "leaf int, fp long, home boolean").groupBy("leaf").applyInPandas(join, "a long, b long")
-
-
-def _grouped(docs: DataFrame, radius: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """The fingerprints of all rows; and of each fingerprint, the root of its component and its smallest doc_id."""
-    prints = table(fingerprints(docs, width), "prints")
-    groups = table(prints.groupBy("fp").agg(F.min(real_id()).alias("least")), "groups")
-    roots = components(links(groups, radius)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    return prints, groups.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    routed = prints.select("fp", "second", "node").mapInArrow(route, "leaf int, fp long, second long, node long, home boolean")
+    return routed.groupBy("leaf").applyInPandas(join, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id."""
-    prints, named = _grouped(docs, radius, width)
+    fp = F.col(f"f{width}")
+    prints = table(fingerprints(docs, width).select("did", fp.alias("fp")), "prints")
+    groups = table(prints.groupBy("fp").agg(F.min(real_id()).alias("least")), "groups")
+    points = groups.select("fp", F.lit(0).cast("long").alias("second"), F.col("fp").alias("node"))
+    roots = components(links(points, radius)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    named = groups.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.select("fp", "root").join(least, "root").select("fp", "component_id")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return prints.join(of, "fp").select(real_id().alias("doc_id"), hexed.alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
-    """Of each component the row with the smallest doc_id (null ids last, then by the text's hash), in the columns of ``docs``."""
-    prints, named = _grouped(docs, radius, width)
+def representatives(docs: DataFrame, radius: int = 2, width: int = 3, words_radius: int = 3, shingle_radius: int = 11) -> DataFrame:
+    """Of each group of near copies the row with the smallest doc_id (null ids last, then by the text's hash), in the columns of ``docs``.
+
+    Rows are linked as in :func:`near_duplicates`; and also where their fingerprints over single words differ in at most
+    ``words_radius`` bits and those over five-word shingles in at most ``shingle_radius``. The bits of shingles that a few
+    changed words touch are too many for a search by distance, those of words are not; texts of a similarity of 0.8 or more
+    over five-word shingles lie within both bounds nine times in ten, unrelated ones differ in about half of the bits of shingles.
+    """
+    prints = fingerprints(docs, 1, width, 5).withColumn("node", F.xxhash64("f1", f"f{width}", "f5"))
+    prints = table(prints, "prints")
+    nodes = table(prints.select("f1", F.col(f"f{width}").alias("fw"), "f5", "node").distinct(), "nodes")
+    zero = F.lit(0).cast("long").alias("second")
+    close = links(nodes.select(F.col("fw").alias("fp"), zero, "node"), radius)
+    alike = links(nodes.select(F.col("f1").alias("fp"), F.col("f5").alias("second"), "node"), words_radius, shingle_radius, 4 * LEAF)
+    roots = components(close.union(alike)).select(F.col("a").alias("node"), F.col("b").alias("root"))
     first = F.min(F.struct((F.col("did") == NO_ID).alias("none"), "did", "rk")).alias("first")
-    kept = prints.join(named.select("fp", "root"), "fp").groupBy("root").agg(first).select(F.col("first.did").alias("did_"), F.col("first.rk").alias("rk_"))
+    named = prints.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = named.groupBy("root").agg(first).select(F.col("first.did").alias("did_"), F.col("first.rk").alias("rk_"))
     keyed = docs.withColumn("did_", plain_id()).withColumn("rk_", _row_key())
     return keyed.join(kept.hint("shuffle_hash"), ["did_", "rk_"], "left_semi").dropDuplicates(["did_", "rk_"]).select(*docs.columns)
