@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower
 
-#: What is not part of a word.
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What is not part of a word, in a text whose capitals are not folded yet.
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Label, keyword, names of the license (over lower-case words), its SPDX identifier as words.
 LICENSES = (
