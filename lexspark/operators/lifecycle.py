@@ -102,6 +102,19 @@ def upsert_plan(incoming: DataFrame, sources: DataFrame) -> DataFrame:
     return joined.withColumn("action", action)
 
 
+def numbered(df: DataFrame, order: str, name: str, start: int = 0) -> DataFrame:
+    """df with consecutive numbers in the order of a column. Ranges are numbered apart, after their sizes (a number for each
+    partition) are known: no task sees all rows."""
+    ranged = df.repartitionByRange(order).withColumn("range_", F.spark_partition_id()).persist()
+    sizes = dict(tuple(r) for r in ranged.groupBy("range_").agg(F.count("*")).collect())
+    before, at = {}, start
+    for k in sorted(sizes):
+        before[k], at = at, at + sizes[k]
+    first = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("range_")] if before else F.lit(start)
+    nth = F.row_number().over(W.partitionBy("range_").orderBy(order)) - 1
+    return ranged.withColumn(name, (first + nth).cast("long")).drop("range_")
+
+
 def apply_upsert(sources: DataFrame, plan: DataFrame, as_of: Column) -> DataFrame:
     """The new sources. Skips and rekinds touch last_accessed_at; inserts and replacements get ids after the largest."""
     top = sources.agg(F.coalesce(F.max("source_id"), F.lit(-1))).first()[0]
@@ -109,7 +122,7 @@ def apply_upsert(sources: DataFrame, plan: DataFrame, as_of: Column) -> DataFram
     kept = sources.join(plan.select("label", "action", F.col("kind").alias("new_kind")), "label", "left").where("action is null or action <> 'replace'")
     touched = F.col("action").isin("skip", "rekind")
     kept = kept.withColumn("kind", F.when(F.col("action") == "rekind", F.col("new_kind")).otherwise(F.col("kind"))).withColumn("last_accessed_at", F.when(touched, at).otherwise(F.col("last_accessed_at")))
-    fresh = plan.where(F.col("action").isin("insert", "replace")).withColumn("source_id", top + F.row_number().over(W.orderBy("seq")))
+    fresh = numbered(plan.where(F.col("action").isin("insert", "replace")), "seq", "source_id", top + 1)
     made = fresh.select("source_id", "label", "kind", "content_hash", at.alias("indexed_at"), at.alias("last_accessed_at"), F.lit(0).alias("access_count"))
     return kept.select(*sources.columns).unionByName(made, allowMissingColumns=True)
 

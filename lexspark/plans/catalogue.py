@@ -635,6 +635,25 @@ def niah_summary(spark, sf):
     return means.select(F.coalesce("content_type", F.lit("(all)")).alias("content_type"), r6("recall_at_10").alias("recall_at_10"), r6("mrr").alias("mrr"), r6("avg_context_recall").alias("avg_context_recall"), r6("avg_context_recall_all").alias("avg_context_recall_all"), "case_count", "negative_case_count")
 
 
+@query
+def niah_search(spark, sf):
+    """The search itself on the needles: each item's first words as a query, among all chunks, whatever their kind."""
+    cases = _cases(spark, sf).persist()
+    found = search.search(_corpus(spark, sf), cases.select("query_id", "query"), search.Options(limit=10, kinds=search.KINDS))
+    # a chunk is trimmed and redacted, so a needle counts by its first words' line
+    needles = cases.withColumn("needles", F.transform("needles", lambda n: F.left(F.trim(F.substring_index(n, "\n", 1)), F.lit(40))))
+    held = needles.join(F.broadcast(_held(spark, sf)), "query_id", "left_semi")
+    means = evaluate.summary(evaluate.case_metrics(found.select("query_id", "rank", "content"), held))
+    return means.select(F.coalesce("content_type", F.lit("(all)")).alias("content_type"), *[r6(c).alias(c) for c in NAMES[:-1]], r6("avg_context_recall").alias("avg_context_recall"), "case_count")
+
+
+def _held(spark, sf) -> DataFrame:
+    """Items that some document holds."""
+    docs = tables.read(spark, sf, "documents").select(F.col("text").alias("content"))
+    items = tables.read(spark, sf, "benchmark")
+    return docs.join(F.broadcast(items.select(F.col("item_id").alias("query_id"), "text")), F.contains("content", F.col("text"))).select("query_id").distinct()
+
+
 @query
 def report_compare(spark, sf):
     """The metrics of even items against those of odd ones."""
