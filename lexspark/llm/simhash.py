@@ -25,14 +25,29 @@ from .graph import components
 
 #: Fingerprints of a leaf, and at most so many sampled ones in the driver (8 MB).
 LEAF, SAMPLE = 4096, 2**20
+#: Words of the shingles by which near copies are verified; members of candidate groups that a task verifies at once.
+SHINGLE, GROUP = 5, 2000
 
 
-def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
+def _grams(text: bytes | None, width: int, seed: int = 42) -> np.ndarray:
+    """Hashes of the runs of ``width`` words; a shorter text is one run."""
     words = text.lower().split() if text else []
-    if not words:
+    grams = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)] if words else []
+    return np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), np.uint64)
+
+
+def shingles(text: bytes | None) -> np.ndarray:
+    """The set of a text's shingles, as sorted hashes."""
+    return np.unique(_grams(text, SHINGLE))
+
+
+def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
+    return _folded(_grams(text, width, seed))
+
+
+def _folded(hashes: np.ndarray) -> int:
+    if not len(hashes):
         return 0
-    grams = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), np.uint64)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
         bits = np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -202,21 +217,101 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     return prints.join(of, "fp").select(real_id().alias("doc_id"), hexed.alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, radius: int = 2, width: int = 3, words_radius: int = 3, shingle_radius: int = 11) -> DataFrame:
+def alike_sets(sets: list[np.ndarray], similarity: float = 0.8) -> np.ndarray:
+    """The number of each set's component; sets are linked if their Jaccard similarity is ``similarity`` or more.
+
+    Exact: two such sets share an item among the rarest of each (a prefix in one common order), so only those are compared.
+    A set that has been reached is not looked for again, so a large group costs a search for each member, not one for each pair.
+    """
+    n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    found, ids, count = np.unique(np.concatenate([*sets, np.array([], np.uint64)]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(found), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(found))
+    owner, starts = np.repeat(np.arange(n), sizes), np.concatenate([[0], np.cumsum(sizes)])
+    ids = rank[ids]
+    ids = ids[np.lexsort((ids, owner))]
+    prefix = np.where(sizes > 0, sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1, 0)
+    early = np.arange(len(ids)) - starts[owner] < prefix[owner]
+    order = np.argsort(ids[early], kind="stable")
+    items, holders = ids[early][order], owner[early][order]
+    at = np.searchsorted(items, np.arange(len(found) + 1))
+    root, free, left, built, mark = np.arange(n), np.ones(n, bool), n, n, np.zeros(len(found), bool)
+    for i in range(n):
+        todo = [i] if free[i] else []
+        left -= len(todo)
+        free[todo] = False
+        while todo and left:
+            x = todo.pop()
+            if left < built // 2:  # forget those that have been reached
+                items, holders, built = items[free[holders]], holders[free[holders]], left
+                at = np.searchsorted(items, np.arange(len(found) + 1))
+            own = ids[starts[x] : starts[x + 1]]
+            near = np.unique(np.concatenate([holders[at[t] : at[t + 1]] for t in own[: prefix[x]]] + [holders[:0]]))
+            near = near[free[near] & (sizes[near] >= similarity * len(own) - 1e-9) & (similarity * sizes[near] <= len(own) + 1e-9)]
+            if not len(near):
+                continue
+            ends = np.cumsum(sizes[near])
+            begins = ends - sizes[near]
+            mark[own] = True
+            same = np.add.reduceat(mark[ids[np.arange(ends[-1]) + np.repeat(starts[near] - begins, sizes[near])]], begins, dtype=np.int64)
+            mark[own] = False
+            hit = near[same >= similarity * (len(own) + sizes[near] - same) - 1e-9]
+            root[hit], free[hit] = i, False
+            left -= len(hit)
+            todo += hit.tolist()
+    return root
+
+
+def _marked(width: int):
+    """did, rk, node (a hash of the text's set of shingles) and the fingerprints f1, fw, f5 of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                grams = _grams(text, SHINGLE)
+                node = xxhash.xxh64_intdigest(np.unique(grams).tobytes())
+                rows.append((node, fingerprint(text, 1), fingerprint(text, width), _folded(grams)))
+            made = np.array(rows, np.uint64).reshape(-1, 4).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("rk"), *(pa.array(made[:, k]) for k in range(4))], names=["did", "rk", "node", "f1", "fw", "f5"])
+
+    return run
+
+
+def verified(docs: DataFrame, prints: DataFrame, groups: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Candidate groups (node a, its group b) -> node, root: the components that links of ``similarity`` or more over
+    the shingles' sets make in them. One text of each node is read again, so that only texts with candidates travel."""
+    members = groups.union(groups.select("b", "b")).distinct().select(F.col("a").alias("node"), F.col("b").alias("group"))
+    firsts = table(prints.join(members, "node").groupBy("node", "group").agg(F.min(F.struct("did", "rk")).alias("first")).select("node", "group", "first.*"), "firsts")
+    parts = max(1, firsts.count() // GROUP)
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("node").sort_values("node")
+        root = alike_sets([shingles(t) for t in pdf["text"]], similarity)
+        nodes = pdf["node"].to_numpy()
+        return pd.DataFrame({"node": nodes, "root": nodes[root]})
+
+    texts = docs.select(plain_id().alias("did"), _row_key().alias("rk"), F.col("text").cast("binary").alias("text"))
+    held = texts.join(firsts, ["did", "rk"]).select(F.pmod(F.xxhash64("group"), F.lit(parts)).alias("part"), "node", "text")
+    return held.groupBy("part").applyInPandas(settle, "node long, root long")
+
+
+def representatives(docs: DataFrame, radius: int = 2, width: int = 3, words_radius: int = 3, shingle_radius: int = 11, similarity: float = 0.8) -> DataFrame:
     """Of each group of near copies the row with the smallest doc_id (null ids last, then by the text's hash), in the columns of ``docs``.
 
-    Rows are linked as in :func:`near_duplicates`; and also where their fingerprints over single words differ in at most
-    ``words_radius`` bits and those over five-word shingles in at most ``shingle_radius``. The bits of shingles that a few
-    changed words touch are too many for a search by distance, those of words are not; texts of a similarity of 0.8 or more
-    over five-word shingles lie within both bounds nine times in ten, unrelated ones differ in about half of the bits of shingles.
+    Near copies have a Jaccard similarity of ``similarity`` or more over their sets of five-word shingles; groups are the
+    components of such links and nothing else. Fingerprints only find candidates: texts linked as in :func:`near_duplicates`;
+    and those whose fingerprints over single words differ in at most ``words_radius`` bits and those over five-word
+    shingles in at most ``shingle_radius``. Each group of candidates is then verified on its texts.
     """
-    prints = fingerprints(docs, 1, width, 5).withColumn("node", F.xxhash64("f1", f"f{width}", "f5"))
-    prints = table(prints, "prints")
-    nodes = table(prints.select("f1", F.col(f"f{width}").alias("fw"), "f5", "node").distinct(), "nodes")
+    small_batches(docs.sparkSession)
+    keyed = docs.select(plain_id().alias("did"), _row_key().alias("rk"), "text")
+    prints = table(keyed.mapInArrow(_marked(width), "did long, rk long, node long, f1 long, fw long, f5 long"), "prints")
+    nodes = table(prints.select("f1", "fw", "f5", "node").distinct(), "nodes")
     zero = F.lit(0).cast("long").alias("second")
     close = links(nodes.select(F.col("fw").alias("fp"), zero, "node"), radius)
     alike = links(nodes.select(F.col("f1").alias("fp"), F.col("f5").alias("second"), "node"), words_radius, shingle_radius, 4 * LEAF)
-    roots = components(close.union(alike)).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = table(verified(docs, prints, components(close.union(alike)), similarity), "roots")
     first = F.min(F.struct((F.col("did") == NO_ID).alias("none"), "did", "rk")).alias("first")
     named = prints.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = named.groupBy("root").agg(first).select(F.col("first.did").alias("did_"), F.col("first.rk").alias("rk_"))

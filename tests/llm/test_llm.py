@@ -355,6 +355,45 @@ def test_representatives_catch_most_edited_copies(spark):
     assert len(kept) <= 40 + 8
 
 
+def edited(seed, texts, n, changed, vocabulary=4000, skew=True):
+    """Texts in pairs: one of ``n`` words and its copy with so many words changed, far apart."""
+    rng = random.Random(seed)
+    weights = [1 / (k + 1) if skew else 1 for k in range(vocabulary)]
+    out = []
+    for _ in range(texts):
+        words = [f"w{k}" for k in rng.choices(range(vocabulary), weights, k=n)]
+        near = list(words)
+        for k in range(changed):
+            near[(2 * k + 1) * n // (2 * changed)] = f"new{rng.randrange(4000)}"
+        out += [" ".join(words), " ".join(near)]
+    return out
+
+
+def jaccard(a, b):
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    a, b = grams(a), grams(b)
+    return len(a & b) / len(a | b)
+
+
+def test_representatives_keep_what_is_no_near_copy(spark):
+    """Texts whose fingerprints are near, but less than 0.8 of whose shingles are common, all stay."""
+    texts = edited(5, 60, 400, 12)
+    assert all(0.6 < jaccard(a, b) < 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True))
+    assert simhash.representatives(docs(spark, texts)).count() == 120
+
+
+def test_alike_sets_equal_brute_force():
+    rng = random.Random(8)
+    sets = [np.array([], np.uint64)]
+    for _ in range(25):
+        base = rng.sample(range(300), rng.randrange(1, 40))
+        for _ in range(8):
+            sets.append(np.array(sorted({x for x in base if rng.random() > 0.06} | set(rng.sample(range(300), rng.randrange(3)))), np.uint64))
+    as_sets = [set(x.tolist()) for x in sets]
+    pairs = [(i, j) for i, j in combinations(range(len(sets)), 2) if as_sets[i] and 5 * len(as_sets[i] & as_sets[j]) >= 4 * len(as_sets[i] | as_sets[j])]
+    assert dict(enumerate(simhash.alike_sets(sets).tolist())) == union(range(len(sets)), pairs) and len(pairs) > 50
+
+
 # -- licenses ---------------------------------------------------------------------------------------------------------------
 
 
