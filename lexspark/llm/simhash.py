@@ -27,6 +27,8 @@ from .graph import components
 LEAF, SAMPLE = 4096, 2**20
 #: Words of the shingles by which near copies are verified; members of candidate groups that a task verifies at once.
 SHINGLE, GROUP = 5, 2000
+#: Bands of the second candidate search and least hashes in each: two sets of a similarity s meet with 1 - (1 - s^8)^64.
+BANDS, ROWS = 64, 8
 
 
 def _grams(text: bytes | None, width: int, seed: int = 42) -> np.ndarray:
@@ -41,6 +43,25 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.unique(_grams(text, SHINGLE))
 
 
+def _odd(seed: int, n: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 2**64, n, np.uint64) | np.uint64(1)
+
+
+_FLIP, _TIMES, _FOLD = _odd(1, BANDS * ROWS) - np.uint64(1), _odd(2, BANDS * ROWS), _odd(3, BANDS * ROWS).reshape(BANDS, ROWS)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A key per band of a set: a wider fingerprint, of which alike sets have whole bands in common however long they are."""
+    if not len(hashes):
+        return np.array([], np.uint64)
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 128):
+        mixed = hashes[at : at + 128, None] ^ _FLIP
+        mixed *= _TIMES
+        np.minimum(least, mixed.min(axis=0), out=least)
+    return (least.reshape(BANDS, ROWS) * _FOLD).sum(axis=1, dtype=np.uint64)
+
+
 def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
     return _folded(_grams(text, width, seed))
 
@@ -263,21 +284,30 @@ def alike_sets(sets: list[np.ndarray], similarity: float = 0.8) -> np.ndarray:
 
 
 def _marked(width: int):
-    """did, rk, node (a hash of the text's set of shingles) and the fingerprints f1, fw, f5 of each text."""
+    """did, rk, node (a hash of the text's set of shingles), the fingerprints f1, fw, f5 and the bands of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, wide = [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 grams = _grams(text, SHINGLE)
-                node = xxhash.xxh64_intdigest(np.unique(grams).tobytes())
+                own = np.unique(grams)
+                node = xxhash.xxh64_intdigest(own.tobytes())
+                wide.append(bands(own).view(np.int64))
                 rows.append((node, fingerprint(text, 1), fingerprint(text, width), _folded(grams)))
             made = np.array(rows, np.uint64).reshape(-1, 4).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("rk"), *(pa.array(made[:, k]) for k in range(4))], names=["did", "rk", "node", "f1", "fw", "f5"])
+            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("rk"), *(pa.array(made[:, k]) for k in range(4)), pa.array(wide, pa.list_(pa.int64()))], names=["did", "rk", "node", "f1", "fw", "f5", "bands"])
 
     return run
 
 
+def banded(nodes: DataFrame) -> DataFrame:
+    """Of distinct rows node, bands: edges a, b that connect the nodes with a band in common."""
+    keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    shared = keys.groupBy("band", "key").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").drop("most")
+    return keys.join(shared, ["band", "key"]).where("node != b").select(F.col("node").alias("a"), "b").distinct()
+
+
 def verified(docs: DataFrame, prints: DataFrame, groups: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Candidate groups (node a, its group b) -> node, root: the components that links of ``similarity`` or more over
     the shingles' sets make in them. One text of each node is read again, so that only texts with candidates travel."""
@@ -301,17 +331,19 @@ def representatives(docs: DataFrame, radius: int = 2, width: int = 3, words_radi
 
     Near copies have a Jaccard similarity of ``similarity`` or more over their sets of five-word shingles; groups are the
     components of such links and nothing else. Fingerprints only find candidates: texts linked as in :func:`near_duplicates`;
-    and those whose fingerprints over single words differ in at most ``words_radius`` bits and those over five-word
-    shingles in at most ``shingle_radius``. Each group of candidates is then verified on its texts.
+    those whose fingerprints over single words differ in at most ``words_radius`` bits and those over five-word shingles in
+    at most ``shingle_radius``; and those with one of the :func:`bands` in common, which misses a pair of 0.8 once in
+    100,000 whatever its length. Each group of candidates is then verified on its texts.
     """
     small_batches(docs.sparkSession)
     keyed = docs.select(plain_id().alias("did"), _row_key().alias("rk"), "text")
-    prints = table(keyed.mapInArrow(_marked(width), "did long, rk long, node long, f1 long, fw long, f5 long"), "prints")
+    prints = table(keyed.mapInArrow(_marked(width), "did long, rk long, node long, f1 long, fw long, f5 long, bands array<long>"), "prints")
     nodes = table(prints.select("f1", "fw", "f5", "node").distinct(), "nodes")
     zero = F.lit(0).cast("long").alias("second")
     close = links(nodes.select(F.col("fw").alias("fp"), zero, "node"), radius)
     alike = links(nodes.select(F.col("f1").alias("fp"), F.col("f5").alias("second"), "node"), words_radius, shingle_radius, 4 * LEAF)
-    roots = table(verified(docs, prints, components(close.union(alike)), similarity), "roots")
+    wide = banded(prints.select("node", "bands").dropDuplicates(["node"]))
+    roots = table(verified(docs, prints, components(close.union(alike).union(wide)), similarity), "roots")
     first = F.min(F.struct((F.col("did") == NO_ID).alias("none"), "did", "rk")).alias("first")
     named = prints.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = named.groupBy("root").agg(first).select(F.col("first.did").alias("did_"), F.col("first.rk").alias("rk_"))

@@ -382,6 +382,15 @@ def test_representatives_keep_what_is_no_near_copy(spark):
     assert simhash.representatives(docs(spark, texts)).count() == 120
 
 
+def test_representatives_miss_no_near_copy(spark):
+    """Short and evenly worded texts too: of every pair of 0.8 or more one text goes."""
+    texts = [t for n, changed, skew in ((60, 1, True), (60, 1, False), (100, 2, False), (300, 6, True), (300, 6, False), (900, 19, False)) for t in edited(n + skew, 25, n, changed, 3000, skew)]
+    assert all(0.79 < jaccard(a, b) < 0.92 for a, b in zip(texts[::2], texts[1::2], strict=True))
+    alike = [k for k in range(0, len(texts), 2) if jaccard(texts[k], texts[k + 1]) >= 0.8]
+    kept = {r.doc_id for r in simhash.representatives(docs(spark, texts)).collect()}
+    assert not [k for k in alike if k + 1 in kept] and len(alike) > 120 and {k for k in range(0, len(texts), 2)} <= kept
+
+
 def test_alike_sets_equal_brute_force():
     rng = random.Random(8)
     sets = [np.array([], np.uint64)]
