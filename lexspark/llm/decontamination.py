@@ -1,11 +1,15 @@
 """Benchmark decontamination by spaced-seed hashing, in built-in functions only.
 
-A mask names the positions of a short span that count; the others are ignored, so a changed word under one of them costs
-no hit. Test and training texts are hashed at each position under each mask and joined on the hash. Every hit fixes an
-alignment, along which the whole test item is compared word by word; an item is leaked if ``similarity`` of its words agree.
+A mask names the positions of a span that count; the others are ignored, so a changed word under one of them costs no hit.
+An item of n words of which at most k may be changed is cut into k + 1 seeds that share no word: neighbouring seeds lie in
+one another's gaps (every second word, or every third where a seed is left over), and an item of which no word may be
+changed is one seed. So however the changed words lie, one seed at least is whole, and no alignment of ``similarity`` or
+more is missed at any length. Test items are hashed at their seeds, training texts at each position under each mask that
+the items use, and both are joined on the hash. Every hit fixes an alignment, along which the whole test item is compared
+word by word; an item is leaked if ``similarity`` of its words agree.
 
 The test side is broadcast after its rows are counted, up to ``most`` (else it is joined like any table). Words are runs of
-letters and digits, in lower case. Defined cases: items of fewer words than a mask's span can't be told from chance and
+letters and digits, in lower case. Defined cases: items of under ten words
 never match; null and empty texts have no words; a null doc_id stays null; repeated rows count once.
 """
 
@@ -16,38 +20,48 @@ from pyspark.sql import functions as F
 
 from .licenses import words_of
 
-#: 1 counts, 0 is ignored.
-MASKS = ("1101001011", "1110010011", "1100110101")
+#: Most words of a seed: a part of a whole seed is whole too.
+WEIGHT = 8
 
 
 def _words(text: str) -> Column:
     return F.split(F.btrim(F.lower(words_of(F.col(text)))), " ")
 
 
-def _hashes(words: str, at: str, masks: tuple[str, ...]) -> Column:
-    """A hash per mask; the mask's number is hashed too."""
-    picked = lambda m: [F.get(words, F.col(at) + F.lit(k)) for k, c in enumerate(m) if c == "1"]
-    return F.array(*[F.xxhash64(F.lit(i), *picked(m)) for i, m in enumerate(masks)])
+def _seeds(tests: DataFrame, similarity: float) -> DataFrame:
+    """item_id, item, j (position of the seed's first word), stride, weight, hash: the seeds of each item."""
+    n = F.size("item")
+    changed = F.least(n - 1, F.floor(n * F.lit(1 - similarity) + F.lit(1e-9)).cast("int"))
+    cut = tests.where("size(item) >= 10").withColumn("seeds", changed + 1).withColumn("length", F.floor(n / F.col("seeds")).cast("int"))
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("seeds") - 1)).alias("p"))
+    # an odd number of seeds begins with three in one block, the others go in pairs
+    three = F.when(F.col("seeds") % 2 == 0, 0).otherwise(F.least("seeds", F.lit(3)))
+    rest = F.col("p") - three
+    j = F.when(rest < 0, F.col("p")).otherwise(three * F.col("length") + F.floor(rest / 2).cast("int") * 2 * F.col("length") + rest % 2)
+    stride = F.when(rest < 0, three).otherwise(2)
+    placed = cut.select("item_id", "item", j.cast("int").alias("j"), stride.cast("int").alias("stride"), F.least("length", F.lit(WEIGHT)).cast("int").alias("weight"))
+    picked = F.transform(F.sequence(F.lit(0), F.col("weight") - 1), lambda k: F.get("item", F.col("j") + k * F.col("stride")))
+    return placed.select("*", F.xxhash64("stride", "weight", picked).alias("hash"))
 
 
-def _positions(df: DataFrame, words: str, masks: tuple[str, ...], at: str) -> DataFrame:
-    """A row for each position and mask: ``at`` and ``hash``."""
-    span = len(masks[0])
-    starts = F.sequence(F.lit(0), F.size(words) - span)
-    every = df.where(F.size(words) >= span).select("*", F.explode(starts).alias(at))
-    return every.select("*", F.explode(_hashes(words, at, masks)).alias("hash"))
+def _positions(texts: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
+    """A row for each position and mask (stride, weight): ``i`` and ``hash``."""
+    words = lambda stride, weight: [F.get("w", F.col("i") + F.lit(k * stride)) for k in range(weight)]
+    hashes = F.array(*[F.when(F.col("i") + stride * (weight - 1) < F.size("w"), F.xxhash64(F.lit(stride), F.lit(weight), *words(stride, weight))) for stride, weight in masks])
+    every = texts.select("*", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
+    return every.select("*", F.explode(hashes.cast("array<bigint>")).alias("hash"))
 
 
-def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, masks: tuple[str, ...] = MASKS, most: int = 2_000_000) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, most: int = 2_000_000) -> DataFrame:
     """doc_id, item_id, similarity, begin (word of the text where the item's first word stands), hits: the leaked items of each text."""
-    if len({len(m) for m in masks}) != 1:
-        raise ValueError("masks must have one length")
     tests = items.select(F.col("item_id").cast("long").alias("item_id"), _words("text").alias("item")).distinct()
-    seeds = _positions(tests, "item", masks, "j").select("hash", "item_id", "item", "j")
-    fits = seeds.count() <= most
+    seeds = _seeds(tests, similarity)
+    used = seeds.groupBy("stride", "weight").count().orderBy("stride", "weight").collect()  # at most three strides by WEIGHT weights
+    fits = sum(r["count"] for r in used) <= most
+    seeds = seeds.select("hash", "item_id", "item", "j")
     seeds = F.broadcast(seeds) if fits else seeds
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _words("text").alias("w"))
-    hits = _positions(texts, "w", masks, "i").join(seeds, "hash")
+    hits = _positions(texts, [(r.stride, r.weight) for r in used]).join(seeds, "hash")
     # the comparison sits in a generator: as a filter it would move into the join and take that out of generated code
     compared = F.struct((F.col("i") - F.col("j")).alias("begin"), (_same() / F.size("item")).alias("similarity"))
     checked = hits.select("doc_id", "item_id", F.explode(F.filter(F.array(compared), lambda c: c["similarity"] >= similarity)).alias("c"))

@@ -474,6 +474,32 @@ def test_leaks(spark):
     assert left.columns == docs(spark, texts).columns and left.count() == 60 - len({i for i, _ in expected})
 
 
+def agreeing(text, item):
+    return max(sum(0 <= k + n < len(text) and text[k + n] == x for n, x in enumerate(item)) / len(item) for k in range(-len(item), len(text)))
+
+
+def held_leaks(spark, items, texts):
+    """The found (text, item), and those that a comparison along every alignment finds."""
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs(spark, [" ".join(t) for t in texts]), bench).collect()}
+    return got, {(i, j) for i, t in enumerate(texts) for j, x in enumerate(items) if agreeing(t, x) >= 0.8}
+
+
+def test_leaks_with_a_fifth_of_the_words_changed(spark):
+    """At each length and however the changed words lie, up to the last alignment of 0.8."""
+    rng = random.Random(12)
+    items = [[f"i{n}x{k}" for k in range(n)] for n in [*range(10, 32), 45, 59, 100]]
+    texts = []
+    for item in items:
+        for most in (len(item) // 5,) * 10 + (len(item) // 5 + 1,):
+            text = list(item)
+            for k in rng.sample(range(len(item)), most):
+                text[k] = "changed"
+            texts.append(["before"] * rng.randrange(3) + text + ["after"] * rng.randrange(3))
+    got, expected = held_leaks(spark, items, texts)
+    assert got == expected and len(got) == 10 * len(items)
+
+
 def test_leaks_odd(spark):
     df = odd(spark)
     bench = spark.createDataFrame([(1, "word " * 12), (2, None), (3, "")], "item_id long, text string")
