@@ -9,8 +9,8 @@ the items use, and both are joined on the hash. Every hit fixes an alignment, al
 word by word; an item is leaked if ``similarity`` of its words agree.
 
 The test side is broadcast after its rows are counted, up to ``most`` (else it is joined like any table). Words are runs of
-letters and digits, in lower case. Defined cases: items of under ten words
-never match; null and empty texts have no words; a null doc_id stays null; repeated rows count once.
+letters and digits, in lower case. Defined cases: an item of few words matches like any other, one of a single word wherever
+that word stands; null and empty texts have no words and match nothing; a null doc_id stays null; repeated rows count once.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def _seeds(tests: DataFrame, similarity: float) -> DataFrame:
     """item_id, item, j (position of the seed's first word), stride, weight, hash: the seeds of each item."""
     n = F.size("item")
     changed = F.least(n - 1, F.floor(n * F.lit(1 - similarity) + F.lit(1e-9)).cast("int"))
-    cut = tests.where("size(item) >= 10").withColumn("seeds", changed + 1).withColumn("length", F.floor(n / F.col("seeds")).cast("int"))
+    cut = tests.where("item[0] != ''").withColumn("seeds", changed + 1).withColumn("length", F.floor(n / F.col("seeds")).cast("int"))
     cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("seeds") - 1)).alias("p"))
     # an odd number of seeds begins with three in one block, the others go in pairs
     three = F.when(F.col("seeds") % 2 == 0, 0).otherwise(F.least("seeds", F.lit(3)))

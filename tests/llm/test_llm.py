@@ -485,10 +485,18 @@ def held_leaks(spark, items, texts):
     return got, {(i, j) for i, t in enumerate(texts) for j, x in enumerate(items) if agreeing(t, x) >= 0.8}
 
 
+def test_leaks_of_short_items_and_in_short_texts(spark):
+    items = [[f"s{n}x{k}" for k in range(n)] for n in range(1, 10)]
+    filler = [f"f{k}" for k in range(40)]
+    texts = [filler[:20] + x + filler[20:] for x in items] + items + [filler[:9], *(x[:-1] + ["CHANGED"] for x in items[1:])]
+    got, expected = held_leaks(spark, items, texts)
+    assert got == expected and {(i, i) for i in range(9)} | {(9 + i, i) for i in range(9)} <= got
+
+
 def test_leaks_with_a_fifth_of_the_words_changed(spark):
     """At each length and however the changed words lie, up to the last alignment of 0.8."""
     rng = random.Random(12)
-    items = [[f"i{n}x{k}" for k in range(n)] for n in [*range(10, 32), 45, 59, 100]]
+    items = [[f"i{n}x{k}" for k in range(n)] for n in [*range(5, 32), 45, 59, 100]]
     texts = []
     for item in items:
         for most in (len(item) // 5,) * 10 + (len(item) // 5 + 1,):
