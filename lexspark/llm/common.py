@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import string
 import tempfile
 import uuid
@@ -18,12 +19,20 @@ NO_ID = -(2**63)
 _tables: list[tuple[SparkSession, str]] = []
 
 
+_own: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a new temporary one only where none is configured."""
+    """The folder that driver and executors share. Where none is configured, a local master gets a temporary one of its
+    own; on a cluster that would be another folder on each machine, so it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lexspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _own:
+            _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="lexspark-")
+        root = _own[context.applicationId]
     return root.rstrip("/")
 
 
@@ -38,7 +47,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 @atexit.register
 def drop_tables() -> None:
-    """Remove the tables written by :func:`table`."""
+    """Remove the tables written by :func:`table`. A driver that lives long calls it once its results are written."""
     while _tables:
         spark, path = _tables.pop()
         try:
@@ -55,6 +64,24 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def packed(docs: DataFrame, *extra: Column) -> DataFrame:
+    """``docs`` as one struct column ``row``, and ``extra`` beside it: names of an operator's own can't clash with the input's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *extra)
+
+
+def unpacked(df: DataFrame, columns: list[str], *extra: Column) -> DataFrame:
+    """The columns of a :func:`packed` table under their own names, then ``extra``."""
+    return df.select(*[F.col(f"row.`{c}`").alias(c) for c in columns], *extra)
+
+
+def salted(left: DataFrame, right: DataFrame, key: str, spread: Column, salts: int = 32, how: str = "inner") -> DataFrame:
+    """An equi-join whose left side may hold a third of its rows under one key: they are dealt to ``salts`` tasks by
+    ``spread``, and each row of ``right`` (one per key, two or three numbers wide) goes to all of them."""
+    dealt = left.withColumn("salt_", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    every = right.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(every, [key, "salt_"], how).drop("salt_")
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
 from .licenses import words_of
 
 #: Most words of a seed: a part of a whole seed is whole too.
@@ -78,7 +79,6 @@ def _same() -> Column:
 
 def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` without leaked items, in their columns. Rows with a null doc_id are told apart by their text."""
-    marked = docs.withColumn("row_key_", F.xxhash64(F.col("doc_id"), F.col("text")))
-    keyed = marked.select(F.col("row_key_").alias("doc_id"), "text")
-    bad = leaks(keyed, items, **how).select(F.col("doc_id").alias("row_key_")).distinct()
-    return marked.join(bad, "row_key_", "left_anti").select(*docs.columns)
+    key = F.xxhash64(F.col("doc_id"), F.col("text"))
+    bad = leaks(docs.select(key.alias("doc_id"), "text"), items, **how).select(F.col("doc_id").alias("key")).distinct()
+    return unpacked(packed(docs, key.alias("key")).join(bad, "key", "left_anti"), docs.columns)

@@ -1,98 +1,30 @@
 """License scans: ordered signature rules over normalised words, in built-in functions only.
 
-A text becomes its lower-cased words with one space between. A rule is a regular expression over that, a label, a keyword
-without which it isn't tried, and a priority. A detection is dropped if another one's words contain its own and come first:
-by priority, then by length, then by the rules' order. Base rules are literal phrases; their detections always stay.
+A text becomes its lower-cased words with one space between. A rule (see ``signatures``) is a regular expression over that, a
+label, a keyword without which it isn't tried, and a priority. A detection is dropped if another one's words contain its own
+and come first: by priority, then by length, then by the rules' order. Base rules are literal phrases; their detections stay.
+Each expression is a literal of its own, so a task compiles it once; a detection is compared only with those that begin near it.
 
-Defined cases: null and empty texts have no words, no labels and score 0; ids and other columns pass as they are.
+Defined cases: null and empty texts have no words, no labels and score 0; ids and other columns pass as they are, but for
+columns that have the names of the results, which give way to them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, packed, unpacked
+from .signatures import STEMS, rules
 
 #: What is not part of a word, in a text whose capitals are not folded yet.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-
-#: Label, keyword, names of the license (over lower-case words), its SPDX identifier as words.
-LICENSES = (
-    ("mit", "mit", "mit", "mit"),
-    ("mit-0", "mit", "mit (?:0|no attribution)", "mit 0"),
-    ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version| v)? 1 1", "apache 1 1"),
-    ("apache-2", "apache", "apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?|apache license", "apache 2 0"),
-    ("bsd-2-clause", "bsd", "(?:simplified bsd|2 clause bsd|bsd 2 clause|freebsd)", "bsd 2 clause"),
-    ("bsd-3-clause", "bsd", "(?:(?:new|revised|modified) bsd|3 clause bsd|bsd 3 clause)", "bsd 3 clause"),
-    ("bsd-4-clause", "bsd", "(?:original bsd|4 clause bsd|bsd 4 clause)", "bsd 4 clause"),
-    ("bsd", "bsd", "bsd(?: style)?", "bsd"),
-    ("gpl-1", "gpl|general public", "(?:gnu )?(?:gpl|general public license) ?(?:version |v)?1(?: 0)?", "gpl 1 0(?: only| or later)?"),
-    ("gpl-2", "gpl|general public", "(?:gnu )?(?:gpl|general public license) ?(?:version |v)?2(?: 0)?", "gpl 2 0(?: only| or later)?"),
-    ("gpl-3", "gpl|general public", "(?:gnu )?(?:gpl|general public license) ?(?:version |v)?3(?: 0)?", "gpl 3 0(?: only| or later)?"),
-    ("gpl", "gpl|general public", "(?:gnu )?(?:gpl|general public license)", "gpl"),
-    ("lgpl-2.1", "lgpl|lesser", "(?:gnu )?(?:lgpl|lesser general public license) ?(?:version |v)?2 1", "lgpl 2 1(?: only| or later)?"),
-    ("lgpl-3", "lgpl|lesser", "(?:gnu )?(?:lgpl|lesser general public license) ?(?:version |v)?3(?: 0)?", "lgpl 3 0(?: only| or later)?"),
-    ("lgpl", "lgpl|lesser|library general", "(?:gnu )?(?:lgpl|lesser general public license|library general public license)", "lgpl"),
-    ("agpl-3", "agpl|affero", "(?:gnu )?(?:agpl|affero general public license) ?(?:version |v)?3(?: 0)?", "agpl 3 0(?: only| or later)?"),
-    ("agpl", "agpl|affero", "(?:gnu )?(?:agpl|affero general public license)", "agpl"),
-    ("gfdl", "gfdl|free documentation", "(?:gnu )?(?:gfdl|free documentation license)(?: (?:version |v)?1 [123])?", "gfdl 1 [123](?: only| or later)?"),
-    ("mpl-1.1", "mpl|mozilla", "(?:mpl|mozilla public license) ?(?:version |v)?1 [01]", "mpl 1 [01]"),
-    ("mpl-2", "mpl|mozilla", "(?:mpl|mozilla public license)(?: ?(?:version |v)?2(?: 0)?)?", "mpl 2 0"),
-    ("epl-1", "epl|eclipse", "(?:epl|eclipse public license) ?(?:version |v)?1(?: 0)?", "epl 1 0"),
-    ("epl-2", "epl|eclipse", "(?:epl|eclipse public license)(?: ?(?:version |v)?2(?: 0)?)?", "epl 2 0"),
-    ("cddl", "cddl|common development", "(?:cddl|common development and distribution license)(?: (?:version |v)?1 [01])?", "cddl 1 [01]"),
-    ("cpl", "common public", "common public license(?: (?:version |v)?1(?: 0)?)?", "cpl 1 0"),
-    ("isc", "isc", "isc", "isc"),
-    ("zlib", "zlib", "zlib(?: libpng)?", "zlib"),
-    ("bsl-1", "boost", "boost software(?: license)?(?: (?:version |v)?1(?: 0)?)?", "bsl 1 0"),
-    ("unlicense", "unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "wtfpl|what the fuck", "(?:wtfpl|do what the fuck you want to(?: public license)?)", "wtfpl"),
-    ("artistic-1", "artistic", "artistic(?: license)? ?(?:version |v)?1(?: 0)?", "artistic 1 0"),
-    ("artistic-2", "artistic", "artistic(?: license)?(?: ?(?:version |v)?2(?: 0)?)?", "artistic 2 0"),
-    ("python-2", "python|psf", "(?:python software foundation|psf)(?: license)?(?: ?(?:version |v)?2)?", "(?:python|psf) 2 0"),
-    ("postgresql", "postgresql", "postgresql", "postgresql"),
-    ("openssl", "openssl", "openssl", "openssl"),
-    ("php-3", "php", "php(?: license)?(?: (?:version |v)?3 0?1?)?", "php 3 0?1?"),
-    ("ruby", "ruby", "ruby", "ruby"),
-    ("ofl-1.1", "ofl|open font", "(?:sil )?(?:ofl|open font license)(?: ?(?:version |v)?1 1)?", "ofl 1 1"),
-    ("eupl-1.2", "eupl|european union", "(?:eupl|european union public licen[cs]e)(?: ?(?:version |v)?1 [12])?", "eupl 1 [12]"),
-    ("odbl", "odbl|open database", "(?:odbl|open database license)(?: ?(?:version |v)?1(?: 0)?)?", "odbl 1 0"),
-    ("odc-by", "odc|open data commons", "(?:odc by|open data commons attribution)(?: license)?(?: ?(?:version |v)?1(?: 0)?)?", "odc by 1 0"),
-    ("cc0", "cc0|cc 0|creative commons zero", "(?:cc ?0|creative commons zero)(?: ?1(?: 0)?)?(?: universal)?", "cc0 1 0"),
-    ("cc-by", "cc by|creative commons", "(?:cc by|creative commons attribution)(?: [1234] [05])?(?: international)?", "cc by [1234] [05]"),
-    ("cc-by-sa", "cc by|creative commons", "(?:cc by sa|creative commons attribution share ?alike)(?: [1234] [05])?(?: international)?", "cc by sa [1234] [05]"),
-    ("cc-by-nd", "cc by|creative commons", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)(?: [1234] [05])?(?: international)?", "cc by nd [1234] [05]"),
-    ("cc-by-nc", "cc by|creative commons", "(?:cc by nc|creative commons attribution non ?commercial)(?: [1234] [05])?(?: international)?", "cc by nc [1234] [05]"),
-    ("cc-by-nc-sa", "cc by|creative commons", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1234] [05])?(?: international)?", "cc by nc sa [1234] [05]"),
-    ("cc-by-nc-nd", "cc by|creative commons", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)(?: [1234] [05])?(?: international)?", "cc by nc nd [1234] [05]"),
-    ("proprietary", "all rights", "all rights reserved", "licenseref proprietary"),
-    ("public-domain", "public domain", "public domain", "licenseref public domain"),
-)
-
-#: How a license is named in a text; priority of what is found so.
-FORMS = (
-    ("spdx license identifier (?:{spdx})", 100),
-    ("(?:re|dual |multi )?licen[cs]ed under (?:the )?(?:terms of (?:the )?)?(?:{name})(?: licen[cs]e)?(?: (?:version|v) ?\\d(?: \\d)?)?", 90),
-    ("(?:released|distributed|published|provided|available|shared|contributed|covered) (?:by|under) (?:the )?(?:terms of (?:the )?)?(?:{name})(?: licen[cs]e)?", 85),
-    ("(?:subject to|governed by|in accordance with|pursuant to) (?:the )?(?:terms of (?:the )?)?(?:{name})(?: licen[cs]e)?", 80),
-    ("(?:{name}) licen[cs]e(?:d|s)?", 60),
-    ("licen[cs]e (?:{spdx})", 55),
-)
-
 #: Phrases that are found wherever their words stand, and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: One of these is in each text that any rule can match.
-GATES = ("licen", "spdx", "released", "distributed", "published", "provided", "available", "shared", "contributed", "covered", "subject to", "governed", "in accordance", "pursuant")
-
-
-def rules(phrases=PHRASES) -> list[tuple[int, str, tuple[str, ...], str, int, int]]:
-    """order, label, keywords, pattern, priority, words of a base phrase (0: not one)."""
-    found = [(label, (phrase,), f"(?<= )(?={phrase} )", 100, len(phrase.split())) for phrase, label in phrases]
-    for form, priority in FORMS:
-        found += [(label, tuple(keyword.split("|")), f"(?<= )(?:{form.format(name=name, spdx=spdx)})(?= )", priority, 0) for label, keyword, name, spdx in LICENSES]
-    return [(i, *r) for i, r in enumerate(found)]
+_DETECTION = "struct<begin:int,last:int,less:int,order:int,label:string,base:boolean>"
 
 
 def words_of(text: Column) -> Column:
@@ -100,42 +32,78 @@ def words_of(text: Column) -> Column:
     return F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), SEPARATORS, " ")), F.lit(" "))
 
 
-def _detections(norm: Column, phrases) -> Column:
-    """array<struct<begin, end, priority, order, label, base>> of words begin..end-1."""
-    table = F.array(*[F.struct(F.lit(i).alias("order"), F.lit(label).alias("label"), F.array(*map(F.lit, keys)).alias("keys"), F.lit(pattern).alias("pattern"), F.lit(priority).alias("priority"), F.lit(n).alias("n")) for i, label, keys, pattern, priority, n in rules(phrases)])
+def _quoted(x: str) -> str:
+    escaped = x.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def _marked(norm: str, phrases) -> Column:
+    """For each rule the text with its matches between two marks, null where there is none."""
+    one = "CASE WHEN contains({0}, {1}) AND {0} RLIKE {2} THEN regexp_replace({0}, {2}, '\\x01$0\\x02') END"
+    one = one.replace("\\x01", "\x01").replace("\\x02", "\x02")
+    every = ", ".join(one.format("x", _quoted(r.keyword), _quoted(r.pattern)) for r in rules(phrases))
+    # inside a lambda, so that hundreds of branches don't become one generated method
+    return F.expr(f"get(transform(array({norm}), x -> array({every})), 0)")
+
+
+def _detections(marked: Column, phrases) -> Column:
+    """array<_DETECTION> of words begin..last-1; ``less`` is the negative priority."""
+    made = rules(phrases)
+    column = lambda values, kind: F.split(F.lit("|".join(map(str, values))), r"\|").cast(f"array<{kind}>")
+    labels, less, base = column((r.label for r in made), "string"), column((-r.priority for r in made), "int"), column((r.base for r in made), "int")
+
+    def found(text: Column, i: Column) -> Column:
+        words = F.split(text, " ")
+        at = lambda mark, shift: F.filter(F.transform(words, lambda w, k: F.when(mark(w), k + shift)), lambda k: k.isNotNull())
+        begins, n = at(lambda w: F.startswith(w, F.lit("\x01")), -1), F.get(base, i)
+        ends = F.when(n > 0, F.transform(begins, lambda b: b + n)).otherwise(at(lambda w: F.endswith(w, F.lit("\x02")), 0))
+        row = lambda b, e: F.struct(b.alias("begin"), e.alias("last"), F.get(less, i).alias("less"), i.alias("order"), F.get(labels, i).alias("label"), (n > 0).alias("base"))
+        return F.when(text.isNotNull(), F.zip_with(begins, ends, row))
+
+    return F.flatten(F.filter(F.transform(marked, found), lambda x: x.isNotNull())).cast(f"array<{_DETECTION}>")
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value worked out once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
-    def found(rule: Column) -> Column:
-        words = F.split(F.regexp_replace(norm, rule["pattern"], F.lit("\x01$0\x02")), " ")
-        begins = F.filter(F.transform(words, lambda w, i: F.when(w.startswith("\x01"), i - 1)), lambda i: i.isNotNull())
-        ends = F.filter(F.transform(words, lambda w, i: F.when(w.endswith("\x02"), i)), lambda i: i.isNotNull())
-        ends = F.when(rule["n"] > 0, F.transform(begins, lambda b: b + rule["n"])).otherwise(ends)
-        row = lambda b, e: F.struct(b.alias("begin"), e.alias("end"), rule["priority"].alias("priority"), rule["order"].alias("order"), rule["label"].alias("label"), (rule["n"] > 0).alias("base"))
-        return F.zip_with(begins, ends, row)
+def suppressed(all_: Column) -> Column:
+    """The detections that stay, in order of begin. They are cut into blocks of as many words as the longest one has (64 at least): what
+    contains a detection begins in its own block or the one before, so only those are compared."""
+    size = lambda x: x["last"] - x["begin"]
+    rank = lambda x: F.struct(-x["less"], size(x), -x["order"])
+    before = lambda e, d: (e["begin"] <= d["begin"]) & (e["last"] >= d["last"]) & (rank(e) > rank(d))
 
-    tried = F.filter(table, lambda r: F.exists(r["keys"], lambda k: F.contains(norm, k)))
-    return F.flatten(F.transform(tried, found))
+    def kept(own: Column, earlier: Column) -> Column:
+        return F.filter(own, lambda d: d["base"] | ~(F.exists(own, lambda e: before(e, d)) | F.coalesce(F.exists(earlier, lambda e: before(e, d)), F.lit(False))))
 
+    def cut(found: Column, starts: Column) -> Column:
+        """Blocks of detections in order, from the (one-based) places where they start."""
+        return F.transform(starts, lambda s, k: F.slice(found, s, F.coalesce(F.get(starts, k + 1), F.size(found) + 1) - s))
 
-def _kept(all_: Column) -> Column:
-    def before(e: Column, d: Column) -> Column:
-        size = lambda x: x["end"] - x["begin"]
-        rank = lambda x: F.struct(x["priority"], size(x), -x["order"])
-        return (e["begin"] <= d["begin"]) & (e["end"] >= d["end"]) & (rank(e) > rank(d))
+    def sorted_(found: Column) -> Column:
+        reach = F.greatest(F.lit(64), F.array_max(F.transform(found, size)))
+        numbers = _let(reach, lambda n: F.transform(found, lambda d: F.floor(d["begin"] / n).cast("int")))
+        starts = _let(numbers, lambda ns: F.transform(F.array_distinct(ns), lambda b: F.array_position(ns, b).cast("int")))
+        blocks = _let(starts, lambda at: cut(found, at))
+        return _let(blocks, lambda bs: F.flatten(F.transform(bs, lambda own, k: kept(own, F.get(bs, k - 1)))))
 
-    return F.filter(all_, lambda d: d["base"] | ~F.exists(all_, lambda e: before(e, d)))
+    return _let(F.array_sort(all_), sorted_)
 
 
 def scan(docs: DataFrame, text: str = "text", phrases=PHRASES) -> DataFrame:
     """The columns of ``docs``, n_words_ and detections_: those that stay after suppression, null where no rule was tried."""
-    bare = words_of(F.col(text))
-    n_words = F.when(F.length("norm_") <= 2, F.lit(0)).otherwise(F.length("norm_") - F.length(F.replace("norm_", F.lit(" "))) - 1)
-    some = F.lit(False)
-    for g in (*GATES, *(phrase for phrase, _ in phrases)):
-        some |= F.contains("low_", F.lit(g))
-    gated = docs.select("*", bare.alias("norm_")).withColumn("low_", F.lower("norm_")).withColumn("n_words_", n_words.cast("long"))
-    gated = gated.withColumn("norm_", F.when(some, ascii_lower(F.col("norm_"))))
-    found = gated.withColumn("all_", F.when(F.col("norm_").isNotNull(), _detections(F.col("norm_"), phrases)))
-    return found.withColumn("detections_", F.when(F.size("all_") > 0, _kept(F.col("all_")))).drop("norm_", "low_", "all_")
+    own = [c for c in docs.columns if c not in ("n_words_", "detections_")]
+    n_words = F.when(F.length("bare") <= 2, F.lit(0)).otherwise(F.length("bare") - F.length(F.replace("bare", F.lit(" "))) - 1)
+    some = reduce(lambda a, b: a | b, [F.contains("low", F.lit(g)) for g in (*STEMS, *(phrase for phrase, _ in phrases))])
+    held = packed(docs, words_of(F.col(f"`{text}`")).alias("bare"))
+    gated = held.select("row", "bare", F.lower("bare").alias("low"), n_words.cast("long").alias("n_words"))
+    gated = gated.select("row", "n_words", F.when(some, ascii_lower(F.col("bare"))).alias("norm"))
+    marked = gated.select("row", "n_words", F.when(F.col("norm").isNotNull(), _marked("norm", phrases)).alias("marked"))
+    found = marked.select("row", "n_words", F.when(F.col("marked").isNotNull(), _detections(F.col("marked"), phrases)).alias("all"))
+    kept = found.select("row", "n_words", F.when(F.size("all") > 0, suppressed(F.col("all"))).alias("detections"))
+    return unpacked(kept, own, F.col("n_words").alias("n_words_"), F.col("detections").alias("detections_"))
 
 
 def digest(docs: DataFrame, phrases=PHRASES) -> DataFrame:
@@ -143,7 +111,7 @@ def digest(docs: DataFrame, phrases=PHRASES) -> DataFrame:
     base = F.filter("detections_", lambda d: d["base"])
     names = lambda x: F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform(x, lambda d: d["label"]))), ","), F.lit(""))
     begins = F.transform(base, lambda d: d["begin"])
-    score = F.coalesce(F.array_max(F.transform("detections_", lambda d: d["priority"] / 100)), F.lit(0.0))
+    score = F.coalesce(F.array_max(F.transform("detections_", lambda d: d["less"] / -100)), F.lit(0.0))
     n_base = F.when(F.col("detections_").isNull(), F.lit(0)).otherwise(F.size(base)).cast("long")
     return found.select(
         "doc_id", F.col("n_words_").alias("n_words"), n_base.alias("n_base"), F.array_min(begins).cast("long").alias("first_word"), F.array_max(begins).cast("long").alias("last_word"),

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, ascii_lower, plain_id, small_batches, table
+from .common import ASCII_SPACE, ascii_lower, packed, plain_id, small_batches, table
 
 _DROP, _OPEN, _MARK = 0, 1, 2
 _FOUND = "kind int, h1 long, h2 long, did long, rk long, pos int"
@@ -167,8 +167,8 @@ def line_bitmaps(docs: DataFrame, mode: str = "all", min_docs: int = 10, min_cha
 def keep_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with the bitmaps applied to text (null: empty), plus n_lines and n_dropped. The columns of ``docs`` keep their names."""
     own = docs.columns
-    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), plain_id().alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("rk"))
-    joined = left.join(bitmaps.hint("shuffle_hash"), ["did", "rk"], "left")
+    left = packed(docs, plain_id().alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("rk"))
+    joined = left.join(bitmaps, ["did", "rk"], "left")
     text = F.coalesce(F.col("row.text"), F.lit(""))
     some = F.col("n_dropped") > 0
     cut = _keep(F.when(some, text), F.when(some, F.col("keep")))

@@ -136,7 +136,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, **how) -> Trees:
     small_batches(docs.sparkSession)
-    train = sample(docs, labels, "quality", held_out(3, 1), most).select("text", "label")
+    train = sample(docs, labels, "quality", held_out(3, 1), most)
     got = train.mapInArrow(_measured, "label int, x array<double>").toPandas()
     x = np.array(got["x"].tolist(), float).reshape(-1, len(STATISTICS))
     order = np.lexsort((*x.T, got["label"].to_numpy()))  # the same model whatever order the rows come in

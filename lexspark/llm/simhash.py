@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, plain_id, real_id, small_batches, table
+from .common import NO_ID, packed, plain_id, real_id, salted, small_batches, table, unpacked
 from .graph import components
 
 #: Fingerprints of a leaf, and at most so many sampled ones in the driver (8 MB).
@@ -235,7 +235,8 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.select("fp", "root").join(least, "root").select("fp", "component_id")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return prints.join(of, "fp").select(real_id().alias("doc_id"), hexed.alias("fingerprint"), "component_id")
+    # copies of one fingerprint may be a third of all rows
+    return salted(prints, of, "fp", F.col("did")).select(real_id().alias("doc_id"), hexed.alias("fingerprint"), "component_id")
 
 
 def alike_sets(sets: list[np.ndarray], similarity: float = 0.8) -> np.ndarray:
@@ -346,6 +347,6 @@ def representatives(docs: DataFrame, radius: int = 2, width: int = 3, words_radi
     roots = table(verified(docs, prints, components(close.union(alike).union(wide)), similarity), "roots")
     first = F.min(F.struct((F.col("did") == NO_ID).alias("none"), "did", "rk")).alias("first")
     named = prints.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = named.groupBy("root").agg(first).select(F.col("first.did").alias("did_"), F.col("first.rk").alias("rk_"))
-    keyed = docs.withColumn("did_", plain_id()).withColumn("rk_", _row_key())
-    return keyed.join(kept.hint("shuffle_hash"), ["did_", "rk_"], "left_semi").dropDuplicates(["did_", "rk_"]).select(*docs.columns)
+    kept = named.groupBy("root").agg(first).select("first.did", "first.rk")
+    keyed = packed(docs, plain_id().alias("did"), _row_key().alias("rk"))
+    return unpacked(keyed.join(kept, ["did", "rk"], "left_semi").dropDuplicates(["did", "rk"]), docs.columns)

@@ -6,7 +6,7 @@ values reached, weighted by the query, can't beat the kth score. The blocks' lis
 
 Defined cases: vectors that are null, or that hold null or non-finite components, and rows with a null vec_id take no part;
 vectors meet only those of the same length; rows with the query's vec_id are never its candidates; repeated rows are
-candidates each. Scores are exact while they fit in 64 bits.
+candidates each, but a query that is repeated is asked once. A vec_id with several vectors asks with each of them. Scores are exact while they fit in 64 bits.
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     mark = F.xxhash64("vec_id", "v")
     candidates = v.select("dim", "vec_id", "v", F.pmod(mark, F.lit(blocks)).cast("int").alias("block"), every(chunks).alias("chunk"))
-    queries = v.where(is_query).select("dim", "vec_id", "v", mark.alias("mark"), F.pmod(mark, F.lit(chunks)).cast("int").alias("chunk"), every(blocks).alias("block"))
+    queries = v.where(is_query).dropDuplicates(["vec_id", "v"]).select("dim", "vec_id", "v", mark.alias("mark"), F.pmod(mark, F.lit(chunks)).cast("int").alias("chunk"), every(blocks).alias("block"))
     keys = ["dim", "block", "chunk"]
     found = candidates.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(_search(k), "query_id long, mark long, vec_id long, score long")
     order = W.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")

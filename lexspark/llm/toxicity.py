@@ -1,7 +1,7 @@
 """Toxicity: maximum-scoring segments over token log-odds.
 
-A token is a lower-cased word without ASCII punctuation, or, for a word that the fit has not seen often, its first five or
-four bytes. Its weight is the log-odds between toxic and clean documents that hold it, under a Dirichlet prior that is flat
+A token is a lower-cased word without ASCII punctuation, or, for a word that the fit has not seen often, its longest known
+beginning of eight to four bytes. Its weight is the log-odds between toxic and clean documents that hold it, under a Dirichlet prior that is flat
 plus proportional to the counts of both. A linear scan finds all maximal segments (Ruzzo and Tompa, 1999); their scores become E-values under the
 extreme-value law of Karlin and Altschul, whose two parameters come from clean documents. The best segment's and the sum of
 all significant segments' evidence go through a logistic calibration.
@@ -27,7 +27,7 @@ from .common import small_batches
 from .labelled import held_out, sample
 
 _BLANK = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
-_PREFIXES = (5, 4)
+_PREFIXES = (8, 7, 6, 5, 4)
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -148,11 +148,13 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return float(w[0]), max(0.0, float(w[1])), max(0.0, float(w[2]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, terms: int = 20_000, prior: float = 50.0, flat: float = 0.5, sure: float = 3.0, least: float = 2.0, min_docs: int = 5) -> Model:
-    """sure, least: the z-score and the log-odds from which a token counts. prior, flat: pseudo-counts of all tokens together, and of each."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, terms: int = 20_000, prior: float = 50.0, flat: float = 0.5, sure: float | None = None, least: float = 2.0, min_docs: int | None = None) -> Model:
+    """sure, least: the z-score and the log-odds from which a token counts (unless given, 3 and, where fewer than 100 toxic
+    texts are known, 2.5). min_docs: texts that hold it (5, or 4). prior, flat: pseudo-counts of all tokens together, and of each."""
     small_batches(docs.sparkSession)
-    # copies of a text say no more than one
-    train = sample(docs, labels, "toxic", held_out(5, 0), most).groupBy("text").agg(F.max("label").alias("label"))
+    train = sample(docs, labels, "toxic", held_out(5, 0), most)
+    few = (train.agg(F.sum("label")).first()[0] or 0) < 100
+    sure, min_docs = sure or (2.5 if few else 3.0), min_docs or (4 if few else 5)
     tokens = train.mapInArrow(_counts, "token binary, clean_docs long, toxic_docs long")
     tokens = tokens.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("clean_docs", "toxic_docs")])
     whole = F.substring("token", -1, 1) != F.lit(b"*")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexspark.llm import decontamination, graph, licenses, lines, packing, quality, registry, simhash, substrings, topk, toxicity, urls
+from lexspark.llm import decontamination, graph, licenses, lines, packing, quality, registry, signatures, simhash, substrings, topk, toxicity, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, did long, h1 string"
 ODD = [None, "", " ", "\n", "\n\n", "a", "É é \t x\u00a0y", "word " * 3000, "x" * 30_000, "same\nline\nsame"]
@@ -420,7 +420,58 @@ def test_licenses(spark):
     assert got[5].labels == "" and got[5].score == 0.0
     assert (got[6].n_base, got[6].first_word, got[6].last_word) == (2, 1, 6)
     assert [got[i].n_words for i in (7, 8, 9)] == [0, 0, 1]
-    assert len(licenses.rules()) > 200
+
+
+def test_license_rules():
+    """Hand-written, each with a keyword that some stem lets through; matches are of bounded length."""
+    rules = signatures.rules(licenses.PHRASES)
+    assert len(rules) > 250 and len({r.pattern for r in rules}) == len(rules)
+    assert not [r for r in rules if not r.base and not any(s in r.keyword for s in signatures.STEMS)]
+    assert not [r.pattern for r in rules if "*" in r.pattern or "+" in r.pattern.replace("[a-z]+", "")]
+
+
+#: A text as it is found, and its label.
+NOTICES = (
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in", "mit"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following", "bsd"),
+    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "gpl-3"),
+    ("it under the terms of the GNU Lesser General Public License; you should have received a copy of the GNU Lesser General Public License along with this", "lgpl"),
+    ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "apache-2"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice", "isc"),
+    ("Distributed under the Boost Software License, Version 1.0.", "bsl-1"), ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("https://creativecommons.org/licenses/by-sa/4.0/", "cc-by-sa"), ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+    ("SPDX-License-Identifier: AGPL-3.0-or-later", "agpl-3"), ("under the GNU Free Documentation License", "gfdl"), ("Code licensed under GPLv2", "gpl-2"),
+    ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "bsd-3-clause"),
+    ("Copyright 2020 Someone. All rights reserved.", "proprietary"), ("he asked for permission and licensed nothing", ""), ("mit der Zeit", ""),
+)
+
+
+def test_license_notices(spark):
+    got = {r.doc_id: r.labels for r in licenses.digest(docs(spark, [t for t, _ in NOTICES])).collect()}
+    assert [got[i] for i in range(len(NOTICES))] == [x for _, x in NOTICES]
+
+
+def test_license_suppression_equals_brute_force(spark):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(150):
+        found = []
+        for _ in range(rng.randrange(40)):
+            begin = rng.randrange(200)
+            found.append((begin, begin + rng.choice([1, 2, 5, 9, 90]), -rng.choice([50, 60, 100]), rng.randrange(9), "x", rng.random() < 0.1))
+        texts.append(found)
+    rank = lambda d: (-d[2], d[1] - d[0], -d[3])
+    expected = [sorted(d for d in found if d[5] or not any(e[0] <= d[0] and e[1] >= d[1] and rank(e) > rank(d) for e in found)) for found in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), f"i int, found array<{licenses._DETECTION}>")
+    got = df.select("i", licenses.suppressed(F.col("found")).alias("kept")).orderBy("i").collect()
+    assert [sorted(map(tuple, r.kept)) for r in got] == expected
+
+
+def test_license_text_of_many_detections(spark):
+    text = "Released under the MIT License. SPDX-License-Identifier: GPL-2.0-only\n" * 4000
+    row = licenses.digest(docs(spark, [text])).first()
+    assert (row.n_base, row.labels) == (4000, "gpl-2,mit")
 
 
 def test_licenses_base_equals_brute_force(spark):
@@ -441,6 +492,9 @@ def test_licenses_odd(spark):
     df = odd(spark)
     assert licenses.digest(df).count() == df.count() and licenses.digest(df.limit(0)).count() == 0
     assert licenses.scan(df).columns == [*df.columns, "n_words_", "detections_"]
+    clash = df.withColumns({"bare": F.lit(1), "low": F.lit("x"), "norm": F.lit("y"), "row": F.lit(2), "detections_": F.lit(3)})
+    got = licenses.scan(clash)
+    assert got.columns == [*clash.columns[:-1], "n_words_", "detections_"] and {(r.bare, r.low, r.norm, r.row) for r in got.collect()} == {(1, "x", "y", 2)}
 
 
 # -- decontamination ------------------------------------------------------------------------------------------------------
