@@ -1,16 +1,22 @@
 """Benchmark decontamination by spaced-seed hashing, in built-in functions only.
 
 A mask names the positions of a span that count; the others are ignored, so a changed word under one of them costs no hit.
-An item of n words of which at most k may be changed is cut into k + 1 seeds that share no word: neighbouring seeds lie in
-one another's gaps (every second word, or every third where a seed is left over), and an item of which no word may be
-changed is one seed. So however the changed words lie, one seed at least is whole, and no alignment of ``similarity`` or
-more is missed at any length. Test items are hashed at their seeds, training texts at each position under each mask that
-the items use, and both are joined on the hash. Every hit fixes an alignment, along which the whole test item is compared
-word by word; an item is leaked if ``similarity`` of its words agree.
-
-The test side is broadcast after its rows are counted, up to ``most`` (else it is joined like any table). Words are runs of
-letters and digits, in lower case. Defined cases: an item of few words matches like any other, one of a single word wherever
-that word stands; null and empty texts have no words and match nothing; a null doc_id stays null; repeated rows count once.
+An item is leaked into a text if, along one alignment, ``similarity`` of all its words agree, or ``similarity`` of any
+``window`` consecutive ones (an overlap). Two families of seeds hit every such alignment:
+
+* whole items: an item of n words of which at most k may be changed is cut into k + 1 seeds that share no word: neighbouring
+  seeds lie in one another's gaps (every second word, or every third where a seed is left over), and an item of which no word
+  may be changed is one seed. However the changed words lie, one seed at least is whole, at any length.
+* overlaps: of a window in which c words may be changed, the c + 1 interleaved seeds of every (c + 1)th word share no word
+  either, so one of them is whole. An item has such a seed at each of its positions.
+
+Items are hashed at their seeds, texts at each position under each mask that the items use, and both are joined on the hash.
+Every hit fixes an alignment, along which the whole item and the windows around the hit are compared word by word.
+
+The item side is broadcast if its bytes, counted first, are at most ``most_bytes``; else hashes are joined like any table, in
+rows of a few numbers, and words are fetched for the hits alone. Words are runs of letters and digits, in lower case. Defined
+cases: an item of few words matches like any other, one of a single word wherever that word stands; items shorter than a
+window have no overlaps; null and empty texts have no words and match nothing; a null doc_id stays null; repeated rows count once.
 """
 
 from __future__ import annotations
@@ -29,11 +35,16 @@ def _words(text: str) -> Column:
     return F.split(F.btrim(F.lower(words_of(F.col(text)))), " ")
 
 
-def _seeds(tests: DataFrame, similarity: float) -> DataFrame:
-    """item_id, item, j (position of the seed's first word), stride, weight, hash: the seeds of each item."""
+def _picked(j: Column, stride: Column, weight: Column) -> Column:
+    words = F.transform(F.sequence(F.lit(0), weight - 1), lambda k: F.get("item", j + k * stride))
+    return F.xxhash64(stride, weight, words)
+
+
+def _whole_seeds(tests: DataFrame, similarity: float) -> DataFrame:
+    """item_id, j (position of the seed's first word), stride, weight, hash: the seeds that share no word."""
     n = F.size("item")
     changed = F.least(n - 1, F.floor(n * F.lit(1 - similarity) + F.lit(1e-9)).cast("int"))
-    cut = tests.where("item[0] != ''").withColumn("seeds", changed + 1).withColumn("length", F.floor(n / F.col("seeds")).cast("int"))
+    cut = tests.withColumn("seeds", changed + 1).withColumn("length", F.floor(n / F.col("seeds")).cast("int"))
     cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("seeds") - 1)).alias("p"))
     # an odd number of seeds begins with three in one block, the others go in pairs
     three = F.when(F.col("seeds") % 2 == 0, 0).otherwise(F.least("seeds", F.lit(3)))
@@ -41,8 +52,30 @@ def _seeds(tests: DataFrame, similarity: float) -> DataFrame:
     j = F.when(rest < 0, F.col("p")).otherwise(three * F.col("length") + F.floor(rest / 2).cast("int") * 2 * F.col("length") + rest % 2)
     stride = F.when(rest < 0, three).otherwise(2)
     placed = cut.select("item_id", "item", j.cast("int").alias("j"), stride.cast("int").alias("stride"), F.least("length", F.lit(WEIGHT)).cast("int").alias("weight"))
-    picked = F.transform(F.sequence(F.lit(0), F.col("weight") - 1), lambda k: F.get("item", F.col("j") + k * F.col("stride")))
-    return placed.select("*", F.xxhash64("stride", "weight", picked).alias("hash"))
+    return placed.select("item_id", "j", "stride", "weight", _picked(F.col("j"), F.col("stride"), F.col("weight")).alias("hash"))
+
+
+class Window:
+    """The overlaps that count: ``words`` of an item of which ``changed`` may differ, and the mask that finds them."""
+
+    def __init__(self, words: int, similarity: float):
+        self.words, self.changed = words, int(words * (1 - similarity) + 1e-9)
+        self.stride = self.changed + 1
+        self.weight = words // self.stride
+        self.span = self.stride * (self.weight - 1) + 1
+
+    def seeds(self, tests: DataFrame) -> DataFrame:
+        """As _whole_seeds, at each position of the items that have a window."""
+        long = tests.where(F.size("item") >= self.words)
+        placed = long.select("item_id", "item", F.explode(F.sequence(F.lit(0), F.size("item") - self.span)).alias("j"))
+        stride, weight = F.lit(self.stride), F.lit(self.weight)
+        return placed.select("item_id", "j", stride.alias("stride"), weight.alias("weight"), _picked(F.col("j"), stride, weight).alias("hash"))
+
+    def starts(self) -> Column:
+        """Where in the item the windows begin that hold the hit and agree."""
+        first, last = F.greatest(F.lit(0), F.col("j") + (self.span - self.words)), F.least(F.col("j"), F.size("item") - self.words)
+        agree = lambda a: F.size(F.filter(F.sequence(F.lit(0), F.lit(self.words - 1)), lambda k: _agrees(F.get("item", a + k), a + k))) >= self.words - self.changed
+        return F.when(first <= last, F.filter(F.sequence(first, last), agree)).otherwise(F.array().cast("array<int>"))
 
 
 def _positions(texts: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
@@ -53,28 +86,48 @@ def _positions(texts: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
     return every.select("*", F.explode(hashes.cast("array<bigint>")).alias("hash"))
 
 
-def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, most: int = 2_000_000) -> DataFrame:
-    """doc_id, item_id, similarity, begin (word of the text where the item's first word stands), hits: the leaked items of each text."""
-    tests = items.select(F.col("item_id").cast("long").alias("item_id"), _words("text").alias("item")).distinct()
-    seeds = _seeds(tests, similarity)
-    used = seeds.groupBy("stride", "weight").count().orderBy("stride", "weight").collect()  # at most three strides by WEIGHT weights
-    fits = sum(r["count"] for r in used) <= most
-    seeds = seeds.select("hash", "item_id", "item", "j")
-    seeds = F.broadcast(seeds) if fits else seeds
+def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, window: int = 13, most_bytes: int = 64 << 20) -> DataFrame:
+    """The leaked items of each text: doc_id, item_id, similarity of the whole item along its best alignment, begin (word of the
+    text where its first word stands there), hits (seeds' places) of that alignment, covered (words of the item in overlaps, of all alignments)."""
+    overlap = Window(window, similarity)
+    tests = items.select(F.col("item_id").cast("long").alias("item_id"), _words("text").alias("item")).where("item[0] != ''").distinct()
+    # an item_id with several texts has a number for each
+    tests = tests.select(F.xxhash64("item_id", "item").alias("key"), "item_id", "item")
+    keyed = tests.select(F.col("key").alias("item_id"), "item")
+    seeds = _whole_seeds(keyed, similarity).union(overlap.seeds(keyed)).distinct()
+    used = seeds.groupBy("stride", "weight").count().orderBy("stride", "weight").collect()  # at most four strides by WEIGHT weights
+    size = 48 * sum(r["count"] for r in used) + (tests.agg(F.sum(F.octet_length(F.array_join("item", " ")) + 16 * F.size("item"))).first()[0] or 0)
+    masks = [(r.stride, r.weight) for r in used]
+    seeds = seeds.select("hash", F.col("item_id").alias("key"), "j")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _words("text").alias("w"))
-    hits = _positions(texts, [(r.stride, r.weight) for r in used]).join(seeds, "hash")
+    if size <= most_bytes:
+        hits = _positions(texts, masks).join(F.broadcast(seeds), "hash").join(F.broadcast(tests), "key")
+    else:
+        rows = texts.withColumn("row", F.xxhash64("doc_id", "w")).dropDuplicates(["row"])
+        slim = _positions(rows, masks).select("row", "i", "hash").join(seeds, "hash").select("row", "key", "i", "j").distinct()
+        hits = slim.join(tests, "key").join(rows, "row")
     # the comparison sits in a generator: as a filter it would move into the join and take that out of generated code
-    compared = F.struct((F.col("i") - F.col("j")).alias("begin"), (_same() / F.size("item")).alias("similarity"))
-    checked = hits.select("doc_id", "item_id", F.explode(F.filter(F.array(compared), lambda c: c["similarity"] >= similarity)).alias("c"))
-    found = checked.groupBy("doc_id", "item_id", F.col("c.begin").alias("begin")).agg(F.max("c.similarity").alias("similarity"), F.count("*").alias("hits"))
-    best = F.max(F.struct("similarity", -F.col("begin"), "hits")).alias("best")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best")["col2"]).cast("int").alias("begin"), F.col("best.hits").alias("hits"))
+    compared = F.struct((F.col("i") - F.col("j")).alias("begin"), (_same() / F.size("item")).alias("similarity"), overlap.starts().alias("starts"))
+    good = F.filter(F.array(compared), lambda c: (c["similarity"] >= similarity) | (F.size(c["starts"]) > 0))
+    checked = hits.select("doc_id", "item_id", "j", F.explode(good).alias("c")).select("doc_id", "item_id", "j", "c.*")
+    # distinct starts and places are no more than the item's words, however often the text repeats them
+    starts = F.flatten(F.collect_set("starts"))
+    found = checked.groupBy("doc_id", "item_id", "begin").agg(F.max("similarity").alias("similarity"), F.size(F.collect_set("j")).cast("long").alias("hits"), F.array_sort(F.array_distinct(starts)).alias("starts"))
+    best = F.max(F.struct("similarity", (-F.col("begin")).alias("minus"), "hits")).alias("best")
+    each = found.groupBy("doc_id", "item_id").agg(best, F.array_distinct(starts).alias("starts"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("starts", lambda a: F.sequence(a, a + (window - 1))))))
+    return each.select("doc_id", "item_id", "best.similarity", (-F.col("best.minus")).cast("int").alias("begin"), "best.hits", covered.alias("covered"))
+
+
+def _agrees(word: Column, k: Column) -> Column:
+    """Whether the item's word k stands at its place in the text; those before or after the text count as changed."""
+    at = F.col("i") - F.col("j") + k
+    return (at >= 0) & F.get("w", F.greatest(F.lit(0), at)).eqNullSafe(word)
 
 
 def _same() -> Column:
-    """How many of an item's words stand along the alignment; those before or after the text count as changed."""
-    at = lambda k: F.col("i") - F.col("j") + k
-    return F.size(F.filter(F.transform("item", lambda x, k: (at(k) >= 0) & F.get("w", F.greatest(F.lit(0), at(k))).eqNullSafe(x)), lambda x: x))
+    """How many of an item's words stand along the alignment."""
+    return F.size(F.filter(F.transform("item", _agrees), lambda x: x))
 
 
 def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
