@@ -1,12 +1,14 @@
 """Substring dedup by level-wise doubling.
 
-Level 1 hashes windows of half the length. One of them in each full window is enough: the smallest hash among those
-inside it (so two documents that share a full window share that anchor). Anchors found in two or more different texts are
-extended to twice the length: only the full windows around them are hashed, with 128 bits, and of each window all
-documents but the one with the smallest doc_id lose its words. With ``doublings`` above 1 there are more, shorter levels.
+The lengths double from a short one to the window: 7, 13, 25 and 50 words. At the first level one run in each full window is
+enough: the smallest hash among those inside it, so two documents that share a full window share that anchor. Only runs that
+are found in two or more different texts are extended to the next length, once to the left and once to the right: whichever
+full window holds a run holds one of its extensions too. Levels go on while candidates survive. At the last one only the full
+windows around what survived are hashed, with 128 bits, and of each window all documents but the one with the smallest doc_id
+lose its words.
 
-Before each shuffle a task settles what its own rows show (a window that it has seen in two documents), so a window that a
-third of all documents share sends a row or two per task. Whole copies of a text are represented by the smallest doc_id.
+Before each shuffle a task settles what its own rows show (a run that it has seen in two documents), so a run that a third
+of all documents share sends a row or two per task. Whole copies of a text are represented by the smallest doc_id.
 
 Defined cases: null text has no words; a null doc_id counts as smaller than any other; rows with one doc_id and text get
 one and the same result; rows with one doc_id and different texts do not take words from each other.
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import plain_id, real_id, small_batches, table
+from .common import plain_id, real_id, salted, small_batches, table
 
 _BASES = (0x9E3779B97F4A7C13, 0xC2B2AE3D27D4EB53)
 #: Rows that a task settles at a time.
@@ -205,19 +207,30 @@ def _around(batch: pa.RecordBatch, at: np.ndarray, had: int, length: int) -> np.
     """Positions where a run of ``length`` starts that holds one of the runs of ``had`` words that ``at`` lists."""
     spread = length - had
     turn = np.zeros(at[-1] + spread + 2, np.int64)
-    lists = batch.column("at")
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    doc = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    flat, doc = _listed(batch, at)
     np.add.at(turn, np.maximum(flat - spread, 0) + at[doc], 1)
     np.add.at(turn, flat + 1 + at[doc], -1)
     return np.flatnonzero((np.cumsum(turn)[: at[-1]] > 0) & _inside(at, length))
 
 
+def _listed(batch: pa.RecordBatch, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The positions that the lists ``at`` hold, counted from the batch's first word, and the row of each."""
+    lists = batch.column("at")
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    doc = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return flat, doc
+
+
 def _find_longer(had: int, length: int):
+    """The two extensions of each run: to the right, and to the left."""
+
     def find(batch: pa.RecordBatch) -> Columns:
         words, at = word_hashes(_bytes(batch, "text"))
-        pos = _around(batch, at, had, length)
-        doc = np.searchsorted(at, pos, "right") - 1
+        flat, doc = _listed(batch, at)
+        start, doc = np.concatenate([flat, flat - (length - had)]), np.concatenate([doc, doc])
+        fits = (start >= 0) & (start + length <= np.diff(at)[doc])
+        pos, first = np.unique((start + at[doc])[fits], return_index=True)
+        doc = doc[fits][first]
         return [rolling(words, length, _BASES[0])[pos].view(np.int64), batch.column("dh").to_numpy()[doc], pos - at[doc]]
 
     return find
@@ -315,32 +328,44 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(plain_id().alias("did"), F.xxhash64(text).alias("dh"), text.alias("text"))
 
 
-def repeated(docs: DataFrame, window: int = 50, doublings: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(texts, cut). texts: dh and the smallest did of each text. cut: did, dh, n_removed, kept of texts that lose words."""
+def lengths(window: int, shortest: int) -> list[int]:
+    """The window halved (upwards) until a length is ``shortest`` or less, in ascending order: two at least."""
+    found = [window]
+    while found[0] > shortest or len(found) < 2:
+        found.insert(0, -(-found[0] // 2))
+    return found
+
+
+def repeated(docs: DataFrame, window: int = 50, shortest: int = 7) -> tuple[DataFrame, DataFrame]:
+    """(texts, cut). texts: dh and the smallest did of texts that stand in several rows. cut: did, dh, n_removed, kept of texts that lose words."""
     small_batches(docs.sparkSession)
     texts = _texts(docs)
-    lengths = [-(-window // 2**k) for k in range(doublings, -1, -1)]
-    firsts = texts.groupBy("dh").agg(F.min("did").alias("did"))
-    windows = texts.select("dh", "text").mapInArrow(_level(_find_anchors(lengths[0], window)), _WINDOWS)
-    for had, length in zip(lengths[:-1], lengths[1:], strict=True):
-        at = _in_two_texts(windows).join(firsts, "dh")
-        held = table(texts.join(at.hint("shuffle_hash"), ["did", "dh"]).dropDuplicates(["did", "dh"]), "repeats")
-        if length < window:
-            windows = held.select("dh", "text", "at").mapInArrow(_level(_find_longer(had, length)), _WINDOWS)
-    last = held.mapInArrow(_windows(lengths[-2], window), _LAST)
+    sizes = lengths(window, shortest)
+    firsts = texts.groupBy("dh").agg(F.min("did").alias("did"), F.count("*").alias("n"))
+    at = _in_two_texts(texts.select("dh", "text").mapInArrow(_level(_find_anchors(sizes[0], window)), _WINDOWS)).join(firsts.drop("n"), "dh")
+    # the only texts that are written: one of each that holds a candidate
+    held = table(texts.join(at, ["did", "dh"]).dropDuplicates(["did", "dh"]), "repeats")
+    left, had, at = held, sizes[0], held
+    for length in sizes[1:-1]:
+        if at.isEmpty():
+            break
+        at = table(_in_two_texts(left.select("dh", "text", "at").mapInArrow(_level(_find_longer(had, length)), _WINDOWS)), "survivors")
+        left, had = held.drop("at").join(at, "dh"), length
+    last = left.select("did", "dh", "text", "at").mapInArrow(_windows(had, window), _LAST)
     key = F.when(F.col("known") == 1, F.xxhash64("did", "start")).otherwise(F.col("h1"))
     later = last.repartition(key).sortWithinPartitions("known", "h1", "h2", "did").mapInArrow(_later, "did long, dh long, start int, n int")
     spans = later.groupBy("did", "dh").agg(F.collect_list(F.struct("start", "n")).alias("at"))
-    joined = held.drop("at").join(spans.hint("shuffle_hash"), ["did", "dh"])
-    return firsts, joined.mapInArrow(_cover(window), "did long, dh long, n_removed long, kept string")
+    joined = held.drop("at").join(spans, ["did", "dh"])
+    return firsts.where("n > 1").drop("n"), joined.mapInArrow(_cover(window), "did long, dh long, n_removed long, kept string")
 
 
-def digest(docs: DataFrame, window: int = 50, doublings: int = 1) -> DataFrame:
+def digest(docs: DataFrame, window: int = 50, shortest: int = 7) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256."""
-    firsts, cut = repeated(docs, window, doublings)
+    firsts, cut = repeated(docs, window, shortest)
     cut = cut.select("did", "dh", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("sha"))
     whole = _texts(docs).select("did", "dh", _whole("text").alias("w")).select("did", "dh", "w.*")
-    both = whole.join(firsts.withColumnRenamed("did", "first"), "dh").join(cut, ["did", "dh"], "left")
+    # copies of one text may be a third of all rows
+    both = salted(whole, firsts.withColumnRenamed("did", "first"), "dh", F.col("did"), how="left").join(cut, ["did", "dh"], "left")
     copy = (F.col("did") != F.col("first")) & (F.col("n_words") >= window)
     empty = hashlib.sha256(b"").hexdigest()
     removed = F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
