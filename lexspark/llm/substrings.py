@@ -241,20 +241,27 @@ def _find_longer(had: int, length: int):
 _LAST = "h1 long, h2 long, did long, dh long, start int, n int, known int"
 
 
-def _settle_docs(cols: Columns) -> Columns:
-    """h1, h2, did, dh, start -> _LAST: open rows of the smallest did of each window here; known runs of n starts of the others."""
+def _runs(cols: Columns, same: int, window: int) -> tuple[Columns, np.ndarray]:
+    """Rows with the first ``same`` columns in common whose starts (the last column) are at most a window apart cover one
+    stretch of words: the first of them, and from its start to the last one's, how many starts."""
+    new = _new(cols[:same])
+    new[1:] |= cols[-1][1:] > cols[-1][:-1] + window
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(new)) - 1
+    return _take(cols, first), cols[-1][last] - cols[-1][first] + 1 if len(first) else np.zeros(0, np.int64)
+
+
+def _settle_docs(cols: Columns, window: int) -> Columns:
+    """h1, h2, did, dh, start -> _LAST: of each window here the smallest did, open, and known runs of the others. A text that
+    repeats a few words without end has one window at many starts: one row."""
     cols = _take(cols, np.lexsort((cols[4], cols[3], cols[2], cols[1], cols[0])))
     run = _new(cols[:2])
     later = cols[2] != cols[2][np.flatnonzero(run)][np.cumsum(run) - 1]
-    left, known = _take(cols, ~later), _take(cols[2:], later)
-    one, none = np.ones(len(left[0]), np.int32), np.zeros(len(left[0]), np.int32)
-    known = _take(known, np.lexsort((known[2], known[1], known[0])))
-    begin = _new(known[:2])
-    begin[1:] |= known[2][1:] != known[2][:-1] + 1
-    starts = np.flatnonzero(begin)
-    n = np.diff(np.append(starts, len(begin)))
-    blank = np.zeros(len(starts), np.int64)
-    return [np.concatenate(x) for x in zip([*left, one, none], [blank, blank, *_take(known, starts), n, np.ones(len(starts), np.int32)], strict=True)]
+    left, n_left = _runs(_take(cols, ~later), 4, window)
+    known = _take(cols[2:], later)
+    known, n_known = _runs(_take(known, np.lexsort((known[2], known[1], known[0]))), 2, window)
+    none, blank = np.zeros(len(n_left), np.int32), np.zeros(len(n_known), np.int64)
+    return [np.concatenate(x) for x in zip([*left, n_left, none], [blank, blank, *known, n_known, np.ones(len(n_known), np.int32)], strict=True)]
 
 
 def _windows(had: int, window: int):
@@ -267,7 +274,7 @@ def _windows(had: int, window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in _chunks(find(b) for b in batches):
-            yield _batch(_LAST, _settle_docs(cols))
+            yield _batch(_LAST, _settle_docs(cols, window))
 
     return run
 
