@@ -6,12 +6,15 @@ so is their bound. Statistics are those of all chunks, whatever a search filters
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterable, Iterator
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.porter import stem_udf
+from ..functions.porter import stem, stem_udf
 from ..functions.text import col, vocabulary_words, word_tokens
 
 #: Distinct terms that one batch of queries may hold.
@@ -21,6 +24,7 @@ K1, B, LEAST_IDF, TITLE_WEIGHT, CONTENT_WEIGHT = 1.2, 0.75, 1e-6, 2.0, 1.0
 
 
 def chunk_id(source_id: Column | str = "source_id", chunk_no: Column | str = "chunk_no") -> Column:
+    """Sources of the permitted size have fewer than 2^20 chunks."""
     return col(source_id) * 2**20 + col(chunk_no)
 
 
@@ -59,14 +63,15 @@ def postings(chunks: DataFrame) -> DataFrame:
     return _exploded(tokenised(chunks)).select("chunk_id", "col", "pos", F.col("token").alias("term"))
 
 
-def _terms(terms: DataFrame) -> list[str]:
-    found = [r[0] for r in terms.distinct().limit(MAX_TERMS + 1).collect()]
+def _terms(terms: DataFrame | Iterable[str]) -> list[str]:
+    """The distinct terms of a column, or of a list that the driver has already."""
+    found = [r[0] for r in terms.distinct().limit(MAX_TERMS + 1).collect()] if isinstance(terms, DataFrame) else set(terms)
     if len(found) > MAX_TERMS:
         raise ValueError(f"a batch of queries may hold {MAX_TERMS} distinct terms")
     return sorted(found)
 
 
-def word_hits(chunks: DataFrame, terms: DataFrame, stemmed: bool = True) -> DataFrame:
+def word_hits(chunks: DataFrame, terms: DataFrame | Iterable[str], stemmed: bool = True) -> DataFrame:
     """term, chunk_id, dl, title_hits, content_hits of one column of terms; a term of several tokens is a phrase of adjacent ones.
 
     Tokens that no term has are left inside their chunk: only hits are exploded into rows and shuffled.
@@ -85,19 +90,34 @@ def word_hits(chunks: DataFrame, terms: DataFrame, stemmed: bool = True) -> Data
         known = known.distinct().withColumn("stem", stem_udf("token"))
         wanted = known.join(F.broadcast(wanted.withColumnRenamed("token", "stem")), "stem").drop("stem")
     here = _exploded(tokens).join(F.broadcast(wanted), "token")
-    runs = here.groupBy("term", "n", "chunk_id", "dl", "col", (F.col("pos") - F.col("no")).alias("start")).agg(F.count_distinct("no").alias("met")).where("met = n")
+    return _phrases(here.select("term", "n", "no", "chunk_id", "dl", "col", "pos"))
+
+
+def _phrases(places: DataFrame) -> DataFrame:
+    """Places of a term's tokens -> its hits: where all of its tokens stand in a row."""
+    runs = places.groupBy("term", "n", "chunk_id", "dl", "col", (F.col("pos") - F.col("no")).alias("start")).agg(F.count_distinct("no").alias("met")).where("met = n")
     side = lambda c: F.count_if(F.col("col") == c)
     return runs.groupBy("term", "chunk_id", "dl").agg(side(0).alias("title_hits"), side(1).alias("content_hits"))
 
 
-def trigram_hits(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+def trigram_hits(chunks: DataFrame, terms: DataFrame | Iterable[str]) -> DataFrame:
     """As word_hits for substrings, case folded; overlapping ones count."""
     wanted = F.array(*map(F.lit, _terms(terms))).cast("array<string>")
     lower = chunks.select("chunk_id", trigram_length().alias("dl"), F.lower("title").alias("t"), F.lower("content").alias("c"))
     met = F.filter(wanted, lambda w: F.contains(F.col("c"), w) | F.contains(F.col("t"), w))
-    each = lower.select("chunk_id", "dl", "t", "c", F.explode(met).alias("term"))
-    count = lambda x: F.regexp_count(x, F.concat(F.lit(r"(?=\Q"), F.col("term"), F.lit(r"\E)"))).cast("long")
-    return each.select("term", "chunk_id", "dl", count("t").alias("title_hits"), count("c").alias("content_hits"))
+    return _counted(lower.select("chunk_id", "dl", "t", "c", F.explode(met).alias("term")))
+
+
+def _counted(each: DataFrame) -> DataFrame:
+    """Candidates term, chunk_id, dl and the lower-cased t, c: those that hold the term, and how often; overlaps count."""
+    size = F.length("term")
+    # a term that begins as it ends may overlap itself: only then a regular expression has to look at each place
+    border = F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), size - 1)), lambda k: F.left("term", k) == F.right("term", k)) & (size > 1)
+    apart = lambda x: ((F.length(x) - F.length(F.replace(x, F.col("term")))) / size).cast("long")
+    every = lambda x: F.regexp_count(x, F.concat(F.lit(r"(?=\Q"), F.col("term"), F.lit(r"\E)"))).cast("long")
+    count = lambda x: F.when(F.col("border"), every(x)).otherwise(apart(x))
+    marked = each.withColumn("border", border)
+    return marked.select("term", "chunk_id", "dl", count("t").alias("title_hits"), count("c").alias("content_hits"))
 
 
 def bm25(hits: DataFrame, stats: tuple[int, float]) -> DataFrame:
@@ -107,16 +127,15 @@ def bm25(hits: DataFrame, stats: tuple[int, float]) -> DataFrame:
     idf = F.when(idf > 0, idf).otherwise(LEAST_IDF)
     tf = TITLE_WEIGHT * F.col("title_hits") + CONTENT_WEIGHT * F.col("content_hits")
     score = -idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / mean))
-    hits = hits.persist()
     counts = hits.groupBy("term").agg(F.count("*").alias("df"))
     return hits.join(F.broadcast(counts), "term").select("term", "chunk_id", score.alias("score"))
 
 
 def vocabulary(chunks: DataFrame) -> DataFrame:
-    """word, first_seq: the order of first insertion is by chunk, then by place in it."""
+    """word, and where it was first inserted: chunk_id, no (its place there)."""
     words = chunks.select("chunk_id", F.posexplode(vocabulary_words("content")).alias("no", "word"))
-    first = words.groupBy("word").agg(F.min(F.struct("chunk_id", "no")).alias("first_seq"))
-    return first.select("word", (F.col("first_seq.chunk_id") * 2**20 + F.col("first_seq.no")).alias("first_seq"))
+    first = words.groupBy("word").agg(F.min(F.struct("chunk_id", "no")).alias("first"))
+    return first.select("word", "first.chunk_id", "first.no")
 
 
 def doc_frequency(chunks: DataFrame) -> DataFrame:
@@ -138,8 +157,129 @@ def distinctive_terms(chunks: DataFrame, most: int = 40) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= most).select("source_id", "rank", "word", "score")
 
 
-def write_index(chunks: DataFrame, path: str, buckets: int = 64) -> None:
-    """Postings laid out for searches by term: partitioned by a hash of the term, sorted by term within."""
-    by = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    rows = postings(chunks).groupBy("term", "chunk_id", "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    rows.withColumn("bucket", by).repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "chunk_id").write.mode("overwrite").partitionBy("bucket").parquet(path)
+# -- the stored index -------------------------------------------------------------------------------------------------------
+
+#: Buckets of terms and of chunks: a search reads those of its terms. Beyond so many chunks a bucket, and with it a term that
+#: is in most of them, is written by several tasks.
+BUCKETS, CHUNKS_A_TASK = 32, 1_000_000
+_POSTINGS = "stem string, chunk_id long, dl long, title_at array<int>, at array<int>"
+
+
+def bucket(term: Column | str) -> Column:
+    return (F.crc32(col(term).cast("string").cast("binary")) % BUCKETS).cast("int")
+
+
+def source_of(chunk_id: Column | str) -> Column:
+    return F.shiftright(col(chunk_id), 20)
+
+
+def _stemmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """chunk_id, dl, tokens of title and content -> _POSTINGS: each chunk's stems with their places."""
+    memo: dict[str, str] = {}
+    for batch in batches:
+        rows: list[tuple] = []
+        for chunk, dl, columns in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            places: dict[str, tuple[list[int], list[int]]] = {}
+            for c, tokens in enumerate(columns):
+                for i, t in enumerate(tokens):
+                    s = memo.get(t)
+                    if s is None:
+                        s = memo[t] = stem(t)
+                    places.setdefault(s, ([], []))[c].append(i)
+            rows += [(s, chunk, dl, *both) for s, both in places.items()]
+        if len(memo) > 1_000_000:
+            memo.clear()
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _POSTINGS.split(", ")])
+
+
+def _grammed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """chunk_id and lower-cased texts -> gram, chunk_ids: of runs of chunks, so that a common trigram is a row for many of them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            found: dict[str, list[int]] = {}
+            for chunk, *texts in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                for g in {t[i : i + 3] for t in texts if t for i in range(len(t) - 2)}:
+                    found.setdefault(g, []).append(chunk)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["gram", "chunk_ids"])
+
+
+def write_index(chunks: DataFrame, path: str) -> None:
+    """chunks (chunk_id, source_id, chunk_no, title, content, content_type) as a folder of tables: ``chunks`` by bucket of the
+    source, ``words`` (postings with places, of stems) and ``grams`` (trigram, chunk_ids) by bucket of the term and sorted by it,
+    ``vocabulary``, and ``stats``. Built of one written table of chunks, in one pass for each other table."""
+    spark = chunks.sparkSession
+    counted = F.size(word_tokens("title")) + F.size(word_tokens("content"))
+    sized = chunks.select("chunk_id", "source_id", "chunk_no", "title", "content", "content_type", counted.cast("long").alias("n_words"), trigram_length().alias("n_grams"), bucket("source_id").alias("bucket"))
+    sized.repartition("bucket").sortWithinPartitions("bucket", "chunk_id").write.partitionBy("bucket").parquet(f"{path}/chunks")
+    held = spark.read.parquet(f"{path}/chunks")
+    parts = 1 + held.count() // CHUNKS_A_TASK
+    spread = F.pmod(F.xxhash64("chunk_id"), F.lit(parts))
+
+    def put(rows: DataFrame, term: str, name: str) -> None:
+        dealt = rows.withColumn("bucket", bucket(term)).repartition(BUCKETS * parts, "bucket", spread).sortWithinPartitions("bucket", term, "chunk_id")
+        dealt.write.partitionBy("bucket").parquet(f"{path}/{name}")
+
+    tokens = held.select("chunk_id", F.col("n_words").alias("dl"), F.array(word_tokens("title"), word_tokens("content")).alias("tokens"))
+    put(tokens.mapInArrow(_stemmed, _POSTINGS), "stem", "words")
+    texts = held.select("chunk_id", F.lower("title").alias("t"), F.lower("content").alias("c"))
+    put(texts.mapInArrow(_grammed, "gram string, chunk_ids array<long>").withColumn("chunk_id", F.get("chunk_ids", F.lit(0))), "gram", "grams")
+    vocabulary(held).write.parquet(f"{path}/vocabulary")
+    held.agg(F.count("*").alias("n"), F.avg("n_words").alias("words"), F.avg("n_grams").alias("grams")).write.parquet(f"{path}/stats")
+
+
+class Stored:
+    """A written index. Only the buckets of a search's terms are read, and of them the row groups with the terms."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.n, self.words, self.grams = spark.read.parquet(f"{path}/stats").first()
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    @property
+    def word_stats(self) -> tuple[int, float]:
+        return self.n, self.words or 1.0
+
+    @property
+    def trigram_stats(self) -> tuple[int, float]:
+        return self.n, self.grams or 1.0
+
+    def _of(self, name: str, column: str, terms: list[str]) -> DataFrame:
+        """The rows of a list of terms: filters on the bucket and on the term, so that partitions and row groups are skipped."""
+        buckets = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
+        return self.read(name).where(F.col("bucket").isin(*buckets) & F.col(column).isin(*terms))
+
+    def word_hits(self, terms: DataFrame | Iterable[str]) -> DataFrame:
+        """As :func:`word_hits`, stemmed."""
+        wanted = self.spark.createDataFrame(pa.table({"term": pa.array(_terms(terms), pa.string())})).select("term", word_tokens("term").alias("tokens"))
+        rows = wanted.select("term", F.size("tokens").alias("n"), F.posexplode("tokens").alias("no", "token")).collect()
+        made = [(r.term, r.n, r.no, stem(r.token)) for r in rows]
+        cols = list(zip(*made, strict=True)) or [()] * 4
+        wanted = self.spark.createDataFrame(pa.table(dict(zip(("term", "n", "no", "stem"), (pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)), strict=True))))
+        found = self._of("words", "stem", sorted({r[3] for r in made})).join(F.broadcast(wanted), "stem")
+        single = found.where("n = 1").select("term", "chunk_id", "dl", F.size("title_at").cast("long").alias("title_hits"), F.size("at").cast("long").alias("content_hits"))
+        if all(r[1] == 1 for r in made):
+            return single
+        places = found.where("n > 1").select("term", "n", "no", "chunk_id", "dl", F.posexplode(F.array("title_at", "at")).alias("col", "ps"))
+        return single.unionByName(_phrases(places.select("term", "n", "no", "chunk_id", "dl", "col", F.explode("ps").alias("pos"))))
+
+    def trigram_hits(self, terms: DataFrame | Iterable[str]) -> DataFrame:
+        """As :func:`trigram_hits`: chunks that hold some of a term's trigrams are its candidates; their texts are then looked at."""
+        # three of a term's trigrams, from its begin, middle and end, leave few wrong candidates
+        made = [(t, g, len(gs)) for t in _terms(terms) if len(t) >= 3 for gs in [{t[:3], t[(len(t) - 2) // 2 :][:3], t[-3:]}] for g in sorted(gs)]
+        cols = list(zip(*made, strict=True)) or [()] * 3
+        grams = F.broadcast(self.spark.createDataFrame(pa.table({"term": pa.array(cols[0], pa.string()), "gram": pa.array(cols[1], pa.string()), "n": pa.array(cols[2], pa.int64())})))
+        listed = self._of("grams", "gram", sorted(set(cols[1]))).select("gram", F.explode("chunk_ids").alias("chunk_id"))
+        met = listed.join(grams, "gram").groupBy("term", "n", "chunk_id").agg(F.count("*").alias("met"))
+        likely = met.where("met = n").select("term", "chunk_id")
+        texts = self.read("chunks").select("chunk_id", F.col("n_grams").alias("dl"), F.lower("title").alias("t"), F.lower("content").alias("c"))
+        return _counted(texts.join(likely, "chunk_id").where(F.contains("c", F.col("term")) | F.contains("t", F.col("term"))))
+
+    def texts(self, rows: DataFrame, *columns: str) -> DataFrame:
+        """Rows with a chunk_id, and columns of their chunks: few rows, so only the buckets of their sources are read."""
+        few = F.broadcast(rows.withColumn("bucket", bucket(source_of("chunk_id"))))
+        return self.read("chunks").select("bucket", "chunk_id", *columns).join(few, ["bucket", "chunk_id"]).drop("bucket")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions.text import col
 
 #: Decay per day, weight of recent access, tier borders, salience of code, mixed and prose sources.
@@ -105,7 +106,7 @@ def upsert_plan(incoming: DataFrame, sources: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, order: str, name: str, start: int = 0) -> DataFrame:
     """df with consecutive numbers in the order of a column. Ranges are numbered apart, after their sizes (a number for each
     partition) are known: no task sees all rows."""
-    ranged = df.repartitionByRange(order).withColumn("range_", F.spark_partition_id()).persist()
+    ranged = store.kept(df.repartitionByRange(order).withColumn("range_", F.spark_partition_id()), "ranged")
     sizes = dict(tuple(r) for r in ranged.groupBy("range_").agg(F.count("*")).collect())
     before, at = {}, start
     for k in sorted(sizes):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
@@ -31,9 +32,12 @@ def query_terms(query: Column | str) -> Column:
     return F.when(F.size(kept) == 0, words).otherwise(kept)
 
 
+_SYNONYMS = json.dumps({t: list(lexicon.synonyms(t)) for g in lexicon.SYNONYM_GROUPS for t in g.split()})
+
+
 def _synonyms(term: Column) -> Column:
-    pairs = [x for g in lexicon.SYNONYM_GROUPS for t in g.split() for x in (F.lit(t), _literals(lexicon.synonyms(t)))]
-    return F.coalesce(F.create_map(*pairs)[term], F.array().cast("array<string>"))
+    """The map is a constant that the optimizer works out once."""
+    return F.coalesce(F.from_json(F.lit(_SYNONYMS), "map<string,array<string>>")[term], F.array().cast("array<string>"))
 
 
 def word_groups(queries: DataFrame, expand: bool) -> DataFrame:
@@ -75,12 +79,16 @@ def fuse(ranked: DataFrame, chunks: DataFrame, keys: tuple[str, ...] = ("query_i
 
     keys, source_id, title, chunk_id, fused_score, layers, match_layer.
     """
-    named = ranked.join(chunks.select("chunk_id", "source_id", "title"), "chunk_id")
+    return fused(ranked.join(chunks.select("chunk_id", "source_id", "title"), "chunk_id"), keys)
+
+
+def fused(named: DataFrame, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """As :func:`fuse`, of rows that have their source_id and title."""
     best = F.min_by("chunk_id", F.struct("score", "layer", "chunk_id")).alias("chunk_id")
-    fused = named.groupBy(*keys, "source_id", "title").agg(F.sum(1.0 / (RRF_K + F.col("rank0"))).alias("fused_score"), best, F.array_sort(F.collect_set("layer")).alias("layers"))
+    made = named.groupBy(*keys, "source_id", "title").agg(F.sum(1.0 / (RRF_K + F.col("rank0"))).alias("fused_score"), best, F.array_sort(F.collect_set("layer")).alias("layers"))
     # a single layer's best single rank is 1/60: more than that is taken for a hit in both
     tag = F.when(F.col("fused_score") > 1.0 / RRF_K, "rrf(porter+trigram)").otherwise(F.get("layers", F.lit(0)))
-    return fused.withColumn("match_layer", tag)
+    return made.withColumn("match_layer", tag)
 
 
 def title_boost(title: Column | str, content_type: Column | str, terms: Column | str) -> Column:
@@ -102,11 +110,18 @@ def min_span(lists: list[list[int]]) -> int:
     return best
 
 
-def span_of(content: str, groups: list[list[str]]) -> int:
-    """min_span in bytes of the matched words of each group; where a group has none, of all its substrings. -1: not all met."""
-    low = content.lower()
-    stems = {stem(w) for g in groups for t in g for w in re.findall(r"[^\W_]+", t)}
-    words = [(len(low[: m.start()].encode()), m[0]) for m in re.finditer(r"[^\W_]+", low) if stem(m[0]) in stems]
+def span_of(content: str, groups: list[list[str]], memo: dict[str, str] | None = None) -> int:
+    """min_span in bytes of the matched words of each group; where a group has none, of all its substrings. -1: not all met.
+    ``memo`` keeps the stems of words from one call to the next."""
+    low, memo = content.lower(), {} if memo is None else memo
+
+    def stemmed(w: str) -> str:
+        if w not in memo:
+            memo[w] = stem(w)
+        return memo[w]
+
+    stems = {stemmed(w) for g in groups for t in g for w in re.findall(r"[^\W_]+", t)}
+    words = [(len(low[: m.start()].encode()), m[0]) for m in re.finditer(r"[^\W_]+", low) if stemmed(m[0]) in stems]
     lists = [[p for p, w in words if any(t in w for t in g)] for g in groups]
     if not all(lists):
         raw = low.encode()
@@ -117,10 +132,11 @@ def span_of(content: str, groups: list[list[str]]) -> int:
 @F.pandas_udf(T.DoubleType())
 def proximity_boost(content: pd.Series, groups: pd.Series) -> pd.Series:
     """1 + 1 / (1 + span / length), for candidates of queries with two terms or more; else 1."""
+    memo: dict[str, str] = {}
 
     def one(text: str, gs) -> float:
         lists = [list(g) for g in gs]
-        span = span_of(text or "", lists) if len(lists) > 1 else -1
+        span = span_of(text or "", lists, memo) if len(lists) > 1 else -1
         return 1.0 if span < 0 else 1.0 + 1.0 / (1.0 + span / max(len((text or "").encode()), 1))
 
     return pd.Series([one(t, g) for t, g in zip(content, groups, strict=True)], dtype=float)
@@ -151,9 +167,9 @@ def correct(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     open_ = open_.join(vocabulary.select("word"), "word", "left_anti")
     edits = max_edits(length)
     probes = open_.select("word", edits.alias("edits"), F.explode(F.sequence(length - edits, length + edits)).alias("size"))
-    pairs = vocabulary.select(F.col("word").alias("other"), "first_seq", F.octet_length("word").alias("size")).join(F.broadcast(probes), "size")
+    pairs = vocabulary.select(F.col("word").alias("other"), "chunk_id", "no", F.octet_length("word").alias("size")).join(F.broadcast(probes), "size")
     near = pairs.withColumn("distance", byte_levenshtein("word", "other")).where("distance <= edits")
-    best = near.groupBy("word").agg(F.min_by("other", F.struct("distance", "first_seq", "other")).alias("fixed"))
+    best = near.groupBy("word").agg(F.min_by("other", F.struct("distance", "chunk_id", "no", "other")).alias("fixed"))
     return words.select("word").distinct().join(best, "word", "left")
 
 

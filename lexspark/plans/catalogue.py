@@ -43,7 +43,7 @@ def _batch(spark: SparkSession, rows=QUERIES) -> DataFrame:
 
 
 def _corpus(spark: SparkSession, sf: str) -> search.Corpus:
-    return search.Corpus(tables.chunks(spark, sf), tables.bare_sources(spark, sf), persist=True)
+    return search.Indexed(tables.stored_index(spark, sf), tables.bare_sources(spark, sf))
 
 
 # -- text to chunks ---------------------------------------------------------------------------------------------------
@@ -124,15 +124,15 @@ def distinctive_terms(spark, sf):
 # -- ranking --------------------------------------------------------------------------------------------------------------
 
 
+def _scored(spark, sf, kind: str, groups: DataFrame) -> DataFrame:
+    stored = tables.stored_index(spark, sf)
+    terms = groups.select("term")
+    return index.bm25(stored.word_hits(terms), stored.word_stats) if kind == "word" else index.bm25(stored.trigram_hits(terms), stored.trigram_stats)
+
+
 def _layer(spark, sf, kind: str, every: bool, expand: bool = False) -> DataFrame:
-    corpus = tables.chunks(spark, sf).persist()
-    maker = ranking.word_groups if kind == "word" else ranking.trigram_groups
-    groups = maker(_batch(spark), expand)
-    if kind == "word":
-        scored = index.bm25(index.word_hits(corpus, groups.select("term"), stemmed=False), index.word_stats(corpus))
-    else:
-        scored = index.bm25(index.trigram_hits(corpus, groups.select("term")), index.trigram_stats(corpus))
-    ranked = ranking.layer(groups, scored, every).withColumn("score", F.round("score", 9))
+    groups = (ranking.word_groups if kind == "word" else ranking.trigram_groups)(_batch(spark), expand)
+    ranked = ranking.layer(groups, _scored(spark, sf, kind, groups), every).withColumn("score", F.round("score", 9))
     return ranking.top(ranked, 20)
 
 
@@ -161,12 +161,8 @@ def bm25_trigram_topk(spark, sf):
 
 
 def _fused(spark, sf) -> DataFrame:
-    chunks = tables.chunks(spark, sf).persist()
-    groups = {"porter": ranking.word_groups(_batch(spark), False), "trigram": ranking.trigram_groups(_batch(spark), False)}
-    word = index.bm25(index.word_hits(chunks, groups["porter"].select("term"), stemmed=False), index.word_stats(chunks))
-    tri = index.bm25(index.trigram_hits(chunks, groups["trigram"].select("term")), index.trigram_stats(chunks))
-    ranked = [ranking.top(ranking.layer(groups[n], s, False).withColumn("score", F.round("score", 9)), 20).withColumn("layer", F.lit(n)) for n, s in (("porter", word), ("trigram", tri))]
-    return ranking.fuse(ranked[0].unionByName(ranked[1]), chunks)
+    ranked = _layer(spark, sf, "word", False).withColumn("layer", F.lit("porter")).unionByName(_layer(spark, sf, "trigram", False).withColumn("layer", F.lit("trigram")))
+    return ranking.fused(tables.stored_index(spark, sf).texts(ranked, "source_id", "title"))
 
 
 @query
@@ -179,15 +175,22 @@ def title_boost(spark, sf):
     chunks = tables.chunks(spark, sf)
     terms = _batch(spark).select("query_id", ranking.query_terms("query").alias("terms"))
     pairs = chunks.where(F.col("title") != "Output").select("chunk_id", "title", F.when(F.col("chunk_no") % 2 == 0, "code").otherwise("prose").alias("content_type"))
-    wanted = F.broadcast(terms.select("query_id", "terms", F.explode("terms").alias("t")))
-    hit = pairs.join(wanted, F.contains(F.lower("title"), F.col("t"))).dropDuplicates(["query_id", "chunk_id"])
-    return hit.select("query_id", "chunk_id", r6(ranking.title_boost("title", "content_type", "terms")).alias("boost"))
+    # a stated batch of queries against all titles: the batch is an array beside each, boosts of 1 go
+    batch = F.array(*[F.struct(F.lit(r.query_id).alias("query_id"), F.array(*map(F.lit, r.terms)).alias("terms")) for r in terms.collect()])
+    rated = F.transform(batch, lambda q: F.struct(q["query_id"].alias("query_id"), ranking.title_boost("title", "content_type", q["terms"]).alias("boost")))
+    each = pairs.select("chunk_id", F.explode(F.filter(rated, lambda x: x["boost"] > 1)).alias("x"))
+    return each.select("x.query_id", "chunk_id", r6("x.boost").alias("boost"))
 
 
 @query
 def diversify(spark, sf):
     c = tables.chunks(spark, sf).select(F.lit(1).alias("query_id"), "source_id", "chunk_id", F.length("content").alias("n"))
-    ranked = c.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("n"), "chunk_id")))
+    # of a source at most as many as are shown can count: the others go before all sources meet in one window
+    nth = F.row_number().over(W.partitionBy("query_id", "source_id").orderBy(F.desc("n"), "chunk_id"))
+    best = c.withColumn("nth", nth).where("nth <= 50")
+    late = (F.col("nth") > 2).cast("int")
+    few = best.withColumn("late", late).orderBy("late", F.desc("n"), "chunk_id").limit(50)
+    ranked = few.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("n"), "chunk_id")))
     return ranking.diversify(ranked, 50, 2).select("query_id", "source_id", "chunk_id", F.col("place").cast("int").alias("place"))
 
 
@@ -233,9 +236,8 @@ def synonym_expand(spark, sf):
 def and_or_fallback(spark, sf):
     """All groups where any chunk holds them, else any group."""
     batch = ((1, "general public license"), (5, "pathetic apache"), (6, "idiot general scum trash loser"))
-    chunks = tables.chunks(spark, sf)
     groups = ranking.word_groups(_batch(spark, batch), False)
-    scored = index.bm25(index.word_hits(chunks, groups.select("term"), stemmed=False), index.word_stats(chunks)).persist()
+    scored = _scored(spark, sf, "word", groups)
     strict, flat = ranking.layer(groups, scored, True), ranking.layer(groups, scored, False)
     both = strict.withColumn("mode", F.lit("and")).union(flat.join(strict.select("query_id").distinct(), "query_id", "left_anti").withColumn("mode", F.lit("or")))
     return both.select("query_id", "chunk_id", "mode", r6("score").alias("score"))
@@ -244,7 +246,7 @@ def and_or_fallback(spark, sf):
 @query
 def fuzzy_correct(spark, sf):
     words = _batch(spark, TYPOS).select(F.explode(F.split(F.lower("query"), " ")).alias("word")).distinct()
-    return ranking.correct(words, index.vocabulary(tables.chunks(spark, sf)))
+    return ranking.correct(words, tables.stored_index(spark, sf).read("vocabulary"))
 
 
 @query
@@ -261,10 +263,8 @@ def entity_boost(spark, sf):
 
 @query
 def porter_search(spark, sf):
-    chunks = tables.chunks(spark, sf).persist()
-    groups = ranking.word_groups(_batch(spark), False)
-    scored = index.bm25(index.word_hits(chunks, groups.select("term")), index.word_stats(chunks))
-    return _shown(ranking.top(ranking.layer(groups, scored, True), 20))
+    """All groups of each query, by stems."""
+    return _shown(_layer(spark, sf, "word", True, True))
 
 
 @query
@@ -683,8 +683,8 @@ def snippet_text(spark, sf):
 
 @query
 def edit_distance(spark, sf):
-    near = tables.read(spark, sf, "nation").select("n_name", text.byte_levenshtein(F.lower("n_name"), F.lit("germány")).alias("d"))
-    return near.select("n_name", F.col("d").cast("int").alias("d"))
+    near = tables.read(spark, sf, "customer").select("c_custkey", text.byte_levenshtein(F.lower("c_name"), F.lit("cüstomer#00000042")).alias("d"))
+    return near.select("c_custkey", F.col("d").cast("int").alias("d"))
 
 
 @query

@@ -191,7 +191,7 @@ marks AS (SELECT of_, x, list_sum(list_transform(list_concat(l[1:49], CASE WHEN
 SELECT of_ AS of, CASE WHEN x[1] IN ('{{', '[') AND json_valid(x) THEN 'json' WHEN md THEN 'markdown' ELSE 'plaintext' END AS kind, count(*) AS n FROM marks GROUP BY ALL""",
         "chunk_plaintext": f"WITH {CHUNKS} SELECT source_id, chunk_no, title, sha256(content) AS content_sha FROM chunks",
         "chunk_code_flag": r"SELECT doc_id, regexp_matches(CASE WHEN doc_id % 2 = 0 THEN '```py' || chr(10) || text || chr(10) || '```' ELSE text END, '(?s)```[0-9A-Za-z_]*\n.*?```') AS has_code FROM documents",
-        "vocabulary": f"WITH {VOCAB} SELECT word, min(chunk_id * 1048576 + no) AS first_seq FROM vw GROUP BY word",
+        "vocabulary": f"WITH {VOCAB} SELECT word, chunk_id, CAST(no AS INTEGER) AS no FROM vw QUALIFY row_number() OVER (PARTITION BY word ORDER BY chunk_id, no) = 1",
         "doc_frequency": f"WITH {VOCAB} SELECT word, count(DISTINCT chunk_id) AS df FROM vw GROUP BY word",
         "distinctive_terms": f"""WITH {VOCAB}, n AS (SELECT source_id, count(*) AS n FROM chunks GROUP BY 1 HAVING count(*) >= 3), df AS (SELECT source_id, word, count(DISTINCT chunk_no) AS df FROM vw GROUP BY 1, 2),
 s AS (SELECT source_id, word, ln(n / df) + least(strlen(word) / 20.0, 0.5) + CASE WHEN contains(word, '_') THEN 1.5 WHEN strlen(word) >= 12 THEN 0.8 ELSE 0 END AS score FROM df JOIN n USING (source_id) WHERE df >= 2 AND df <= greatest(3, ceil(n * 0.4))),
@@ -283,7 +283,7 @@ s AS (SELECT content_type, metric, coalesce(avg(v) FILTER (WHERE query_id % 2 =
 SELECT content_type, metric, round(delta, 6) AS delta, delta < CASE WHEN metric = 'avg_context_recall' THEN 0 ELSE -0.02 END - 1e-4 AND abs(delta) >= 1e-4 AS regression FROM s""",
         "failure_diff": "WITH o AS (SELECT o_custkey AS case_id, o_orderstatus AS type, bool_or(o_orderkey % 2 = 0) AS b, bool_or(o_orderkey % 2 = 1) AS t FROM orders GROUP BY ALL) SELECT case_id, type, CASE WHEN t THEN 'new' ELSE 'resolved' END AS change FROM o WHERE b <> t",
         "output_budget": "WITH s AS (SELECT doc_id % 20 AS request, doc_id AS query_no, coalesce(sum(strlen(text)) OVER (PARTITION BY doc_id % 20 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) SELECT request, query_no FROM s WHERE before < 40960",
-        "edit_distance": "SELECT n_name, CAST(levenshtein(lower(n_name), 'germány') AS INTEGER) AS d FROM nation",
+        "edit_distance": "SELECT c_custkey, CAST(levenshtein(lower(c_name), 'cüstomer#00000042') AS INTEGER) AS d FROM customer",
         "composite_hash": "SELECT conv_id AS session, sha256(unhex(string_agg(lpad(printf('%x', CAST(4 AS BIGINT)), 16, '0') || hex(encode(printf('f%03d', turn))) || lpad(printf('%x', CAST(strlen(text) AS BIGINT)), 16, '0') || hex(encode(text)), '' ORDER BY turn))) AS content_hash, CAST(sum(strlen(text)) AS BIGINT) AS size_bytes FROM conversations GROUP BY conv_id",
         "line_scan": "WITH l AS (SELECT doc_id, string_split(replace(text, chr(10), chr(13) || chr(10) || chr(10)), chr(10)) AS l FROM documents), e AS (SELECT doc_id, i - 1 AS line_no, regexp_replace(l[i], '\\r$', '') AS line, strlen(l[i]) AS b, i = len(l) AS last FROM l, unnest(range(1, len(l) + 1)) AS r(i)) SELECT doc_id, count(*) AS lines, CAST(max(line_no) AS INTEGER) AS last_line FROM e WHERE b <= 5000 AND line <> '' GROUP BY doc_id",
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import store
 from ..operators import index, ranking
 
 #: Kinds of sources, and those searched unless a search says otherwise.
@@ -64,11 +66,10 @@ def source_filter(options: Options) -> Column:
 
 class Corpus:
     """Chunks (chunk_id, source_id, chunk_no, title, content, content_type) and sources (source_id, label, kind), with what
-    a search needs of them. ``persist`` keeps the chunks for several passes; the statistics are worked out once."""
+    a search needs of them; each search goes through all chunks. :class:`Indexed` is for more than a few searches."""
 
-    def __init__(self, chunks: DataFrame, sources: DataFrame, persist: bool = False):
-        self.chunks = chunks.persist() if persist else chunks
-        self.sources = sources
+    def __init__(self, chunks: DataFrame, sources: DataFrame):
+        self.chunks, self.sources = chunks, sources
 
     @cached_property
     def vocabulary(self) -> DataFrame:
@@ -82,12 +83,51 @@ class Corpus:
     def trigram_stats(self) -> tuple[int, float]:
         return index.trigram_stats(self.chunks)
 
-    def scoped(self, options: Options) -> DataFrame:
-        return self.chunks.join(self.sources.select("source_id", "label", "kind"), "source_id").where(source_filter(options))
+    def word_hits(self, terms: DataFrame | Iterable[str]) -> DataFrame:
+        return index.word_hits(self.chunks, terms)
 
+    def trigram_hits(self, terms: DataFrame | Iterable[str]) -> DataFrame:
+        return index.trigram_hits(self.chunks, terms)
 
-def _compiled(queries: DataFrame, options: Options) -> DataFrame:
-    """layer, strict, query_id, group_no, term, n (groups of the query there): one small job, then a local table.
+    def texts(self, rows: DataFrame, *columns: str) -> DataFrame:
+        """Rows with a chunk_id, and columns of their chunks."""
+        return self.chunks.select("chunk_id", *columns).join(rows, "chunk_id")
+
+    def scoped(self, hits: DataFrame, options: Options) -> DataFrame:
+        """The hits in sources and chunks that a search is for."""
+        inside = self.chunks.join(self.sources.select("source_id", "label", "kind"), "source_id").where(source_filter(options))
+        return hits.join(inside.select("chunk_id"), "chunk_id", "left_semi")
+
+
+class Indexed(Corpus):
+    """A corpus over a stored index: a search reads the postings of its terms and the chunks that it shows."""
+
+    def __init__(self, stored: index.Stored, sources: DataFrame):
+        super().__init__(stored.read("chunks").drop("bucket"), sources)
+        self.stored, self.texts = stored, stored.texts
+        self.word_hits, self.trigram_hits = stored.word_hits, stored.trigram_hits
+
+    @cached_property
+    def vocabulary(self) -> DataFrame:
+        return self.stored.read("vocabulary")
+
+    @property
+    def word_stats(self) -> tuple[int, float]:
+        return self.stored.word_stats
+
+    @property
+    def trigram_stats(self) -> tuple[int, float]:
+        return self.stored.trigram_stats
+
+    def scoped(self, hits: DataFrame, options: Options) -> DataFrame:
+        if options.content_type:
+            return super().scoped(hits, options)
+        inside = self.sources.where(source_filter(options)).select("source_id")
+        return hits.withColumn("source_id", index.source_of("chunk_id")).join(inside, "source_id", "left_semi").drop("source_id")
+
+
+def _compiled(queries: DataFrame, options: Options) -> tuple[DataFrame, dict[str, set[str]]]:
+    """The terms of each layer, and the table layer, strict, query_id, group_no, term, n (groups of the query there): one small job, then a local table.
 
     strict 1: groups of synonyms, all of which must be met; 0: any of the query's own terms."""
     makers = {"porter": ranking.word_groups, "trigram": ranking.trigram_groups}
@@ -106,44 +146,49 @@ def _compiled(queries: DataFrame, options: Options) -> DataFrame:
     cols = list(zip(*rows, strict=True)) or [()] * 5
     made = {n: pa.array(c, pa.string() if n in ("layer", "term") else pa.int64()) for n, c in zip(names, cols, strict=True)}
     made["n"] = pa.array([len(sizes[r[:3]]) for r in rows], pa.int64())
-    return queries.sparkSession.createDataFrame(pa.table(made))
+    return queries.sparkSession.createDataFrame(pa.table(made)), {name: {r[4] for r in rows if r[0] == name} for name in makers}
 
 
 def _pass(corpus: Corpus, queries: DataFrame, options: Options) -> DataFrame:
     """Fused and reranked candidates: query_id, chunk_id, source_id, title, fused_score, layers, match_layer, rank.
 
     The strict groups count where they find anything, else the flat ones. Both indexes and both modes go through one plan."""
-    groups = _compiled(queries, options)
-    of = lambda name: groups.where(F.col("layer") == name).select("term")
-    word = index.bm25(index.word_hits(corpus.chunks, of("porter")), corpus.word_stats).withColumn("layer", F.lit("porter"))
-    tri = index.bm25(index.trigram_hits(corpus.chunks, of("trigram")), corpus.trigram_stats).withColumn("layer", F.lit("trigram"))
-    scope = corpus.scoped(options).select("chunk_id")
+    groups, of = _compiled(queries, options)
+    hits = [corpus.word_hits(of["porter"]).withColumn("layer", F.lit("porter")), corpus.trigram_hits(of["trigram"]).withColumn("layer", F.lit("trigram"))]
+    # written, since they are counted before they are scored
+    hits = store.kept(hits[0].unionByName(hits[1]), "hits")
+    stats = {"porter": corpus.word_stats, "trigram": corpus.trigram_stats}
+    scored = [index.bm25(hits.where(F.col("layer") == name).drop("layer"), s).withColumn("layer", F.lit(name)) for name, s in stats.items()]
     keys = ("query_id", "strict", "layer")
-    met = F.broadcast(groups).join(word.unionByName(tri), ["layer", "term"]).groupBy(*keys, "n", "chunk_id").agg(F.sum("score").alias("score"), F.count_distinct("group_no").alias("met"))
-    met = met.where("strict = 0 or met = n").join(scope, "chunk_id", "left_semi")
-    both = ranking.fuse(ranking.top(met, max(5 * options.limit, 10), keys), corpus.chunks, ("query_id", "strict"))
+    # rounded, so that the order of equal scores is not that of their summation
+    score = F.round(F.sum("score"), 9).alias("score")
+    met = F.broadcast(groups).join(scored[0].unionByName(scored[1]), ["layer", "term"]).groupBy(*keys, "n", "chunk_id").agg(score, F.count_distinct("group_no").alias("met"))
+    best = ranking.top(corpus.scoped(met.where("strict = 0 or met = n"), options), max(5 * options.limit, 10), keys)
+    both = ranking.fused(corpus.texts(best, "source_id", "title"), ("query_id", "strict"))
     either = both.withColumn("best", F.max("strict").over(W.partitionBy("query_id"))).where("strict = best").drop("strict", "best")
     terms = ranking.query_terms("query")
     groups = F.transform(terms, lambda t: F.concat(F.array(t), ranking._synonyms(t)))
     wide = either.join(F.broadcast(queries.select("query_id", terms.alias("terms"), groups.alias("groups"))), "query_id")
-    wide = wide.join(corpus.chunks.select("chunk_id", "content", "content_type"), "chunk_id")
+    wide = corpus.texts(wide, "content", "content_type")
     boost = ranking.title_boost("title", "content_type", "terms") * ranking.proximity_boost("content", "groups")
     order = W.partitionBy("query_id").orderBy(F.desc("fused_score"), "source_id", "title")
-    reranked = wide.withColumn("fused_score", F.col("fused_score") * boost).withColumn("rank", F.row_number().over(order))
+    reranked = wide.withColumn("fused_score", F.round(F.col("fused_score") * boost, 9)).withColumn("rank", F.row_number().over(order))
     return reranked.drop("terms", "groups")
 
 
 def search(corpus: Corpus, queries: DataFrame, options: Options = Options()) -> DataFrame:
     """query_id, rank, source_id, label, title, content, fused_score, match_layer: at most ``limit`` results of each query."""
-    primary = _pass(corpus, queries, options).withColumn("phase", F.lit(0)).persist()
+    # at most 4 x 5 x limit rows of each query are written and read again: of them the later steps are made
+    primary = store.kept(_pass(corpus, queries, options).withColumn("phase", F.lit(0)), "primary")
     counts = primary.groupBy("query_id").agg(F.count("*").alias("n"))
     needy = queries.join(F.broadcast(counts), "query_id", "left").where(F.coalesce("n", F.lit(0)) < options.limit).select("query_id", "query")
-    fixed = ranking.correct_queries(needy, corpus.vocabulary).persist()
     results = primary
-    if not fixed.isEmpty():
-        second = _pass(corpus, fixed, options).withColumn("phase", F.lit(1)).withColumn("match_layer", F.concat(F.lit("fuzzy+"), "match_layer"))
-        second = second.join(primary.select("query_id", "source_id", "title"), ["query_id", "source_id", "title"], "left_anti")
-        results = primary.unionByName(second)
+    if not needy.isEmpty():
+        fixed = store.kept(ranking.correct_queries(needy, corpus.vocabulary), "corrected")
+        if not fixed.isEmpty():
+            second = _pass(corpus, fixed, options).withColumn("phase", F.lit(1)).withColumn("match_layer", F.concat(F.lit("fuzzy+"), "match_layer"))
+            second = second.join(F.broadcast(primary.select("query_id", "source_id", "title")), ["query_id", "source_id", "title"], "left_anti")
+            results = primary.unionByName(second)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("phase", "rank"))
     spread = ranking.diversify(results.withColumn("rank", rank), options.limit, options.per_source)
     names = queries.select("query_id", ranking.entities("query").alias("names"))

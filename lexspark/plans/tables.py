@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions.text import redact, trim
 from ..operators import chunking, index, lifecycle
 
@@ -35,6 +36,11 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_plain(documents(spark, sf_dir), "source_id").withColumn("chunk_id", index.chunk_id())
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> index.Stored:
+    """The stored index of the chunks; written at the first call of a session."""
+    return index.Stored(spark, store.once(spark, "index", sf_dir, lambda at: index.write_index(chunks(spark, sf_dir), at)))
+
+
 def bare_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_id, label, kind, indexed_at, content_hash."""
     d = F.col("doc_id")

@@ -78,7 +78,7 @@ def test_fuse_collapses_namesakes(spark, chunks):
 
 
 def test_correct(spark):
-    vocabulary = spark.createDataFrame([("authentication", 0), ("nodes", 1), ("modes", 2)], "word string, first_seq long")
+    vocabulary = spark.createDataFrame([("authentication", 0, 0), ("nodes", 0, 1), ("modes", 1, 0)], "word string, chunk_id long, no int")
     words = spark.createDataFrame([("authentcation",), ("nodes",), ("bodes",), ("the",), ("db",), ("zzzzzz",), ("perf",)], "word string")
     got = {r.word: r.fixed for r in ranking.correct(words, vocabulary).collect()}
     assert got == {"authentcation": "authentication", "nodes": None, "bodes": "nodes", "the": None, "db": None, "zzzzzz": None, "perf": None}
@@ -133,3 +133,33 @@ def test_distinctive_terms_need_three_chunks(spark):
     df = spark.createDataFrame(rows, "source_id long, chunk_no int, content string")
     got = [(r.source_id, r.word) for r in index.distinctive_terms(df).orderBy("rank").collect()]
     assert got == [(1, "alpha_0"), (1, "alpha_1")]
+
+
+def test_stored_index_gives_the_same_hits(spark, chunks):
+    """Words, phrases, substrings and statistics of a written index against those of one pass over all chunks."""
+    from lexspark import store
+
+    at = store.path(spark, "index")
+    keyed = chunks.withColumn("source_id", F.col("chunk_id")).withColumn("chunk_id", index.chunk_id())
+    index.write_index(keyed, at)
+    stored = index.Stored(spark, at)
+    assert stored.word_stats == index.word_stats(keyed) and stored.trigram_stats == index.trigram_stats(keyed)
+    words = ["database", "connection", "pools", "max-source", "ete", "tokens", "database connection", "nowhere"]
+    parts = ["nnect", "ete", "pool", "data", "oo", "aaa", "database", "ing", "cac"]
+    rows = lambda hits: sorted(tuple(r) for r in hits.select("term", "chunk_id", "dl", "title_hits", "content_hits").collect())
+    assert rows(stored.word_hits(words)) == rows(index.word_hits(keyed, words)) and len(rows(stored.word_hits(words))) > 8
+    assert rows(stored.trigram_hits(parts)) == rows(index.trigram_hits(keyed, [p for p in parts if len(p) > 2]))
+    assert {r.word for r in stored.read("vocabulary").collect()} == {r.word for r in index.vocabulary(keyed).collect()}
+    sources = spark.createDataFrame([(i, f"doc:{i}", "ephemeral" if i == 5 else "durable") for i in range(1, 6)], "source_id long, label string, kind string")
+    queries = spark.createDataFrame([(1, "db connection"), (2, "authentcation tokens"), (3, "postgres integration"), (4, "qqqqqqq"), (5, "été max-source")], "query_id int, query string")
+    for options in (search.Options(limit=3), search.Options(limit=2, source="doc:2"), search.Options(content_type="prose")):
+        found = [sorted(tuple(r) for r in search.search(c, queries, options).collect()) for c in (search.Corpus(keyed, sources), search.Indexed(stored, sources))]
+        assert found[0] == found[1] and found[0]
+    plan = stored.word_hits(["database"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_vocabulary_of_very_large_source_ids(spark):
+    df = spark.createDataFrame([(2**23 + 5, 0, "alpha beta alpha"), (2**40, 3, "gamma")], "source_id long, chunk_no int, content string").withColumn("chunk_id", index.chunk_id())
+    got = {r.word: (r.chunk_id, r.no) for r in index.vocabulary(df).collect()}
+    assert got == {"alpha": ((2**23 + 5) * 2**20, 0), "beta": ((2**23 + 5) * 2**20, 1), "gamma": (2**60 + 3, 0)}
