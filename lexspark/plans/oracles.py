@@ -5,7 +5,7 @@ The statements are put together from a few common table expressions: redacted do
 
 from __future__ import annotations
 
-from ..functions import lexicon, text
+from ..functions import lexicon, porter, text
 from . import catalogue
 
 AS_OF = "TIMESTAMP '2024-03-15 00:00:00'"
@@ -79,14 +79,59 @@ def _terms(queries, expand: bool = False, trigram: bool = False) -> str:
     return "terms(query_id, group_no, term) AS (VALUES " + ", ".join(f"({a}, {b}, {q(c)})" for a, b, c in rows) + ")"
 
 
+_KIND = "vcccvcccvcccccvcccccvcccc"  # of a to z without y
+
+
+def _kinds(w: str) -> str:
+    """Vowels and consonants of a word: y is one or the other by what stands before it."""
+    out = f"regexp_replace(translate({w}, 'abcdefghijklmnopqrstuvwxz', '{_KIND}'), '^y', 'c')"
+    for _ in range(3):
+        out = f"replace(replace({out}, 'cy', 'cv'), 'vy', 'vc')"
+    return out
+
+
+def _porter(words: str) -> str:
+    """stems(token, stem) of a table of tokens: the published steps, each over the word and its kinds."""
+    left = lambda k: f"left(w, length(w) - {k})"
+    cut = lambda k: f"left(k, length(w) - {k})"
+    m = lambda kinds: f"len(regexp_extract_all({kinds}, 'v+c+'))"
+    cvc = lambda w, kinds: f"({kinds} LIKE '%cvc' AND NOT regexp_matches({w}, '[wxy]$'))"
+    step = lambda name, of, then: f"{name} AS (SELECT token, {_kinds('w')} AS k, w FROM (SELECT token, {then} AS w FROM {of}) t)"
+    rules = lambda table: sorted((r.partition(":")[::2] for r in table.split()), key=lambda r: -len(r[0]))
+
+    def table(rows, least) -> str:
+        return "CASE " + " ".join(f"WHEN ends_with(w, '{a}') THEN CASE WHEN {m(cut(len(a)))} > {least} THEN {left(len(a))} || '{b}' ELSE w END" for a, b in rows) + " ELSE w END"
+
+    fours = " ".join(
+        f"WHEN ends_with(w, '{a}') THEN CASE WHEN {m(cut(len(a)))} > 1" + (f" AND regexp_matches({left(3)}, '[st]$')" if a == "ion" else "") + f" THEN {left(len(a))} ELSE w END"
+        for a in sorted(porter.STEP_4.split(), key=len, reverse=True)
+    )
+    fix = f"CASE WHEN regexp_matches(w, '(at|bl|iz)$') THEN w || 'e' WHEN length(w) > 1 AND right(w, 1) = substr(w, length(w) - 1, 1) AND k LIKE '%c' AND NOT regexp_matches(w, '[lsz]$') THEN {left(1)} WHEN {m('k')} = 1 AND {cvc('w', 'k')} THEN w || 'e' ELSE w END"
+    stripped = f"CASE WHEN ends_with(w, 'eed') THEN '' WHEN ends_with(w, 'ed') AND contains({cut(2)}, 'v') THEN {left(2)} WHEN ends_with(w, 'ing') AND contains({cut(3)}, 'v') THEN {left(3)} ELSE '' END"
+    return ", ".join(
+        [
+            f"plain_ AS (SELECT token FROM {words} WHERE regexp_full_match(token, '[a-z]{{3,}}'))",
+            step("s1a", "plain_", "CASE WHEN regexp_matches(token, '(sses|ies)$') THEN left(token, length(token) - 2) WHEN regexp_matches(token, '[^s]s$') THEN left(token, length(token) - 1) ELSE token END"),
+            f"cut_ AS (SELECT token, w0, {_kinds('w')} AS k, w FROM (SELECT token, CASE WHEN ends_with(w, 'eed') AND {m(cut(3))} > 0 THEN {left(1)} ELSE w END AS w0, {stripped} AS w FROM s1a) t)",
+            step("s1b", "cut_", f"CASE WHEN w = '' THEN w0 ELSE {fix} END"),
+            step("s1c", "s1b", f"CASE WHEN ends_with(w, 'y') AND contains({cut(1)}, 'v') THEN {left(1)} || 'i' ELSE w END"),
+            step("s2", "s1c", table(rules(porter.STEP_2), 0)), step("s3", "s2", table(rules(porter.STEP_3), 0)), step("s4", "s3", f"CASE {fours} ELSE w END"),
+            step("s5", "s4", f"CASE WHEN ends_with(w, 'e') AND ({m(cut(1))} > 1 OR {m(cut(1))} = 1 AND NOT {cvc(left(1), cut(1))}) THEN {left(1)} ELSE w END"),
+            f"stems AS MATERIALIZED (SELECT token, CASE WHEN {m('k')} > 1 AND w LIKE '%ll' THEN {left(1)} ELSE w END AS stem FROM s5 UNION ALL SELECT token, token FROM {words} WHERE NOT regexp_full_match(token, '[a-z]{{3,}}'))",
+        ]
+    )
+
+
 _SCORED = """counted AS (SELECT term, count(*) AS df FROM hits GROUP BY term),
 scored AS (SELECT h.term, h.chunk_id, -(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * (2.0 * th + ch) * 2.2
   / ((2.0 * th + ch) + 1.2 * (0.25 + 0.75 * dl / mean)) AS score FROM hits h JOIN counted USING (term) JOIN lens USING (chunk_id), corpus),
 sizes AS (SELECT query_id, count(DISTINCT group_no) AS g FROM terms GROUP BY query_id),
 layer AS (SELECT query_id, chunk_id, round(sum(score), 9) AS score, count(DISTINCT group_no) AS met FROM terms JOIN scored USING (term) GROUP BY query_id, chunk_id),
 ranked AS (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) - 1 AS INTEGER) AS rank0 FROM layer JOIN sizes USING (query_id) WHERE {where})"""
-_WORD_HITS = """wanted AS (SELECT DISTINCT term FROM terms),
-hits AS MATERIALIZED (SELECT * FROM (SELECT term, chunk_id, len(list_filter(tt, lambda x: x = term)) AS th, len(list_filter(ct, lambda x: x = term)) AS ch FROM tk, wanted) t WHERE th + ch > 0)"""
+_STEMMED = f"""every_ AS (SELECT DISTINCT token FROM (SELECT unnest(list_concat(tt, ct)) AS token FROM tk) t UNION SELECT DISTINCT term FROM terms), {_porter("every_")}"""
+_WORD_HITS = _STEMMED + """, wanted AS (SELECT DISTINCT term, stem FROM terms JOIN stems ON token = term),
+places AS (SELECT chunk_id, 0 AS c, unnest(tt) AS token FROM tk UNION ALL SELECT chunk_id, 1, unnest(ct) FROM tk),
+hits AS MATERIALIZED (SELECT term, chunk_id, count(*) FILTER (WHERE c = 0) AS th, count(*) FILTER (WHERE c = 1) AS ch FROM places JOIN stems USING (token) JOIN wanted USING (stem) GROUP BY term, chunk_id)"""
 _TRI_HITS = """wanted AS (SELECT DISTINCT term FROM terms),
 low AS MATERIALIZED (SELECT chunk_id, lower(title) AS t, lower(content) AS c FROM chunks),
 hits AS MATERIALIZED (SELECT term, chunk_id, len(list_filter(range(1, length(t) + 1), lambda i: substr(t, i, length(term)) = term)) AS th,
@@ -198,6 +243,7 @@ s AS (SELECT source_id, word, ln(n / df) + least(strlen(word) / 20.0, 0.5) + CAS
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY source_id ORDER BY score DESC, word) AS INTEGER) AS rank FROM s) SELECT source_id, rank, word, round(score, 6) AS score FROM r WHERE rank <= 40""",
         "bm25_word_topk": f"{_word('true', True)} {_TOP}",
         "bm25_word_or": f"{_word('true')} {_TOP}",
+        "porter_search": f"{_word('met = g', True)} {_TOP}",
         "bm25_word_and": f"{_word('met = g')} {_TOP}",
         "bm25_trigram_topk": f"{_tri('true')} {_TOP}",
         "rrf_fusion": _rrf(),
