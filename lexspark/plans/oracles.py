@@ -162,6 +162,71 @@ fused AS (SELECT query_id, source_id, title, sum(1.0 / (60 + rank0)) AS fused_sc
 SELECT query_id, source_id, title, round(fused_score, 6) AS fused_score, layers, CASE WHEN fused_score > 1.0 / 60 THEN 'rrf(porter+trigram)' ELSE split_part(layers, ',', 1) END AS match_layer FROM fused"""
 
 
+def _values(name: str, columns: str, rows) -> str:
+    return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(x if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + ")"
+
+
+def _search(queries, entities, limit: int = 10) -> str:
+    """The whole search for queries of plain words, with the entities (single words) that they name: both passes (ps 0: as asked, 1: corrected) go through the
+    same steps side by side."""
+    synonyms = sorted({(t, x) for g in lexicon.SYNONYM_GROUPS for t in g.split() for x in lexicon.synonyms(t)})
+    known = words_in({t for g in lexicon.SYNONYM_GROUPS for t in g.split()} | lexicon.STOPWORDS)
+    stop, keyword = words_in(lexicon.STOPWORDS), words_in(w.lower() for w in lexicon.QUERY_KEYWORDS)
+    return f"""WITH {VOCAB}, {BARE}, tk AS MATERIALIZED (SELECT chunk_id, {_tokens("title")} AS tt, {_tokens("content")} AS ct FROM chunks),
+{_values("asked", "query_id, query", [(i, q(x)) for i, x in queries])}, {_values("syn", "w, alt", [(q(a), q(b)) for a, b in synonyms])},
+v AS (SELECT word AS other, min(chunk_id * 1048576 + no) AS seq FROM vw GROUP BY 1),
+rawq AS (SELECT query_id, no, l[no] AS word FROM (SELECT query_id, string_split(lower(query), ' ') AS l FROM asked) t, unnest(range(1, len(l) + 1)) AS r(no)),
+open_ AS (SELECT DISTINCT word, CASE WHEN strlen(word) <= 4 THEN 1 WHEN strlen(word) <= 12 THEN 2 ELSE 3 END AS m FROM rawq WHERE strlen(word) >= 3 AND word NOT IN {known} AND word NOT IN (SELECT other FROM v)),
+fixed AS (SELECT word, other FROM (SELECT word, other, seq, levenshtein(word, other) AS d, m FROM open_ JOIN v ON strlen(other) BETWEEN strlen(word) - m AND strlen(word) + m) t WHERE d <= m QUALIFY row_number() OVER (PARTITION BY word ORDER BY d, seq, other) = 1),
+each_ AS (SELECT 0 AS ps, query_id, no, word FROM rawq UNION ALL SELECT 1, query_id, no, coalesce(other, word) FROM rawq LEFT JOIN fixed USING (word) WHERE query_id IN (SELECT query_id FROM rawq JOIN fixed USING (word))),
+own AS (SELECT ps, query_id, min(no) AS g, word AS w FROM each_ GROUP BY ALL),
+qt AS MATERIALIZED (SELECT * FROM own o WHERE w NOT IN {stop} OR NOT EXISTS (SELECT 1 FROM own p WHERE p.ps = o.ps AND p.query_id = o.query_id AND p.w NOT IN {stop})),
+qn AS (SELECT ps, query_id, count(*) AS k FROM qt GROUP BY ALL),
+wide AS (SELECT ps, query_id, g, w AS term, 0 AS extra FROM qt UNION SELECT ps, query_id, g, alt, 1 FROM qt JOIN syn USING (w)),
+terms AS MATERIALIZED (SELECT ps, query_id, strict, layer, g, term FROM wide, (VALUES (0), (1)) s(strict), (VALUES ('porter'), ('trigram')) l(layer)
+  WHERE (strict = 1 OR extra = 0) AND CASE layer WHEN 'porter' THEN g NOT IN (SELECT b.g FROM qt b WHERE b.ps = wide.ps AND b.query_id = wide.query_id AND b.w IN {keyword}) ELSE length(term) >= 3 END),
+sizes AS (SELECT ps, query_id, strict, layer, count(DISTINCT g) AS n FROM terms GROUP BY ALL),
+every_ AS (SELECT DISTINCT token FROM (SELECT unnest(list_concat(tt, ct)) AS token FROM tk) t UNION SELECT DISTINCT term FROM wide), {_porter("every_")},
+places AS (SELECT chunk_id, 0 AS c, unnest(tt) AS token FROM tk UNION ALL SELECT chunk_id, 1, unnest(ct) FROM tk),
+wanted AS (SELECT DISTINCT term, stem FROM wide JOIN stems ON token = term),
+low AS MATERIALIZED (SELECT chunk_id, lower(title) AS t, lower(content) AS c FROM chunks),
+hits AS MATERIALIZED (SELECT 'porter' AS layer, term, chunk_id, count(*) FILTER (WHERE c = 0) AS th, count(*) FILTER (WHERE c = 1) AS ch FROM places JOIN stems USING (token) JOIN wanted USING (stem) GROUP BY ALL
+  UNION ALL SELECT 'trigram', term, chunk_id, len(list_filter(range(1, length(t) + 1), lambda i: substr(t, i, length(term)) = term)), CASE WHEN contains(c, term) THEN len(list_filter(range(1, length(c) + 1), lambda i: substr(c, i, length(term)) = term)) ELSE 0 END
+  FROM low, (SELECT DISTINCT term FROM terms WHERE layer = 'trigram') x WHERE contains(c, term) OR contains(t, term)),
+lens AS (SELECT 'porter' AS layer, chunk_id, len(tt) + len(ct) AS dl FROM tk UNION ALL SELECT 'trigram', chunk_id, greatest(0, length(title) - 2) + greatest(0, length(content) - 2) FROM chunks),
+corpus AS (SELECT layer, count(*) AS total, avg(dl) AS mean FROM lens GROUP BY layer), counted AS (SELECT layer, term, count(*) AS df FROM hits GROUP BY ALL),
+scored AS MATERIALIZED (SELECT layer, term, chunk_id, -(CASE WHEN ln((total - df + 0.5) / (df + 0.5)) > 0 THEN ln((total - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * (2.0 * th + ch) * 2.2 / ((2.0 * th + ch) + 1.2 * (0.25 + 0.75 * dl / mean)) AS score
+  FROM hits JOIN counted USING (layer, term) JOIN lens USING (layer, chunk_id) JOIN corpus USING (layer)),
+met AS (SELECT ps, query_id, strict, layer, chunk_id, round(sum(score), 9) AS score, count(DISTINCT g) AS met FROM terms JOIN scored USING (layer, term) GROUP BY ALL),
+ranked AS (SELECT m.*, c.source_id, c.title, row_number() OVER (PARTITION BY ps, query_id, strict, layer ORDER BY score, chunk_id) - 1 AS rank0 FROM met m JOIN sizes USING (ps, query_id, strict, layer) JOIN chunks c USING (chunk_id) JOIN bare USING (source_id)
+  WHERE (strict = 0 OR met = n) AND bare.kind IN ('durable', 'session')),
+fused AS (SELECT ps, query_id, strict, source_id, title, sum(1.0 / (60 + rank0)) AS f, arg_min(chunk_id, (score, layer, chunk_id)) AS chunk_id, min(layer) AS one FROM ranked WHERE rank0 < {max(5 * limit, 10)} GROUP BY ALL),
+best AS MATERIALIZED (SELECT * FROM fused QUALIFY strict = max(strict) OVER (PARTITION BY ps, query_id)),
+tb AS (SELECT ps, query_id, source_id, title, chunk_id, 1.0 + 0.3 * count(*) FILTER (WHERE contains(lower(title), w)) / count(*) AS boost, count(*) AS k FROM best JOIN qt USING (ps, query_id) GROUP BY ALL),
+cand AS MATERIALIZED (SELECT DISTINCT ps, query_id, chunk_id FROM tb WHERE k > 1), shown AS (SELECT DISTINCT chunk_id FROM cand),
+pieces AS (SELECT chunk_id, regexp_extract_all(c, '[^\\p{{L}}\\p{{N}}]*[\\p{{L}}\\p{{N}}]+') AS l FROM low JOIN shown USING (chunk_id)),
+cw AS (SELECT chunk_id, i, regexp_replace(l[i], '^[^\\p{{L}}\\p{{N}}]*', '') AS w, strlen(l[i]) AS n FROM pieces, unnest(range(1, len(l) + 1)) AS r(i)),
+spots AS MATERIALIZED (SELECT chunk_id, w, sum(n) OVER (PARTITION BY chunk_id ORDER BY i) - strlen(w) AS p FROM cw),
+marks AS (SELECT ps, query_id, chunk_id, w, p FROM cand JOIN spots USING (chunk_id) JOIN stems ON token = w WHERE EXISTS (SELECT 1 FROM wide d JOIN stems e ON e.token = d.term WHERE d.ps = cand.ps AND d.query_id = cand.query_id AND e.stem = stems.stem)),
+near AS (SELECT DISTINCT ps, query_id, chunk_id, g, p FROM marks JOIN wide USING (ps, query_id) WHERE contains(w, term)),
+whole AS (SELECT ps, query_id, chunk_id FROM near JOIN qn USING (ps, query_id) GROUP BY ps, query_id, chunk_id, k HAVING count(DISTINCT g) = k),
+loose AS (SELECT DISTINCT ps, query_id, chunk_id, g, strlen(substr(c, 1, i - 1)) AS p FROM cand JOIN low USING (chunk_id) JOIN wide USING (ps, query_id), unnest(range(1, length(c) + 1)) AS r(i) WHERE substr(c, i, length(term)) = term AND (ps, query_id, chunk_id) NOT IN (SELECT (ps, query_id, chunk_id) FROM whole)),
+at_ AS (SELECT near.* FROM near JOIN whole USING (ps, query_id, chunk_id) UNION ALL SELECT loose.* FROM loose JOIN (SELECT ps, query_id, chunk_id FROM loose JOIN qn USING (ps, query_id) GROUP BY ps, query_id, chunk_id, k HAVING count(DISTINCT g) = k) f USING (ps, query_id, chunk_id)),
+nexts AS (SELECT a.ps, a.query_id, a.chunk_id, a.p, b.g, min(b.p) AS nxt FROM (SELECT DISTINCT ps, query_id, chunk_id, p FROM at_) a JOIN at_ b ON b.ps = a.ps AND b.query_id = a.query_id AND b.chunk_id = a.chunk_id AND b.p >= a.p GROUP BY ALL),
+spans AS (SELECT ps, query_id, chunk_id, min(span) AS span FROM (SELECT ps, query_id, chunk_id, p, max(nxt) - p AS span, count(*) AS c FROM nexts GROUP BY ps, query_id, chunk_id, p) s JOIN qn USING (ps, query_id) WHERE c = k GROUP BY ALL),
+rated AS (SELECT b.*, round(f * boost * coalesce(1.0 + 1.0 / (1.0 + span / greatest(strlen(c.content), 1)), 1.0), 9) AS score FROM best b JOIN tb USING (ps, query_id, source_id, title, chunk_id) JOIN chunks c USING (chunk_id) LEFT JOIN spans USING (ps, query_id, chunk_id)),
+firsts_ AS (SELECT query_id, count(*) AS n FROM rated WHERE ps = 0 GROUP BY 1),
+joined AS (SELECT * FROM rated r WHERE ps = 0 OR coalesce((SELECT n FROM firsts_ WHERE firsts_.query_id = r.query_id), 0) < {limit} AND NOT EXISTS (SELECT 1 FROM rated o WHERE o.ps = 0 AND o.query_id = r.query_id AND o.source_id = r.source_id AND o.title = r.title)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ps, score DESC, source_id, title) AS place FROM joined),
+turns AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_id ORDER BY place) > 2 AS late FROM placed),
+spread AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY late, place) AS nth FROM turns QUALIFY nth <= {limit}),
+{_values("names", "query_id, name", [(i, q(x)) for i, x in entities])},
+counts AS (SELECT query_id, chunk_id, least(5, sum(len(regexp_extract_all(content, '\\b' || name || '\\b')))) AS found FROM names JOIN spread USING (query_id) JOIN chunks USING (chunk_id) GROUP BY ALL),
+final AS (SELECT s.*, s.score * (1.0 + 0.3 * coalesce(found, 0)) AS shown_score, found IS NOT NULL AS named FROM spread s LEFT JOIN counts USING (query_id, chunk_id))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN named THEN -shown_score ELSE 0 END, nth) AS INTEGER) AS rank, source_id, title, round(shown_score, 6) AS fused_score,
+  CASE WHEN ps = 1 THEN 'fuzzy+' ELSE '' END || CASE WHEN f > 1.0 / 60 THEN 'rrf(porter+trigram)' ELSE one END AS match_layer FROM final"""
+
+
 BARE = f"bare AS (SELECT doc_id AS source_id, 'doc:' || doc_id AS label, ['durable', 'ephemeral', 'session'][doc_id % 3 + 1] AS kind, {DAY0} + to_days(CAST(doc_id % 90 AS INTEGER)) AS indexed_at, sha256(text) AS content_hash FROM documents)"
 SOURCES = f"""{CHUNKS}, {BARE},
 log AS (SELECT user_id AS source_id, count(*) AS access_count, max(ts) AS last_accessed_at FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id),
@@ -244,6 +309,7 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY source_id ORDER BY score DE
         "bm25_word_topk": f"{_word('true', True)} {_TOP}",
         "bm25_word_or": f"{_word('true')} {_TOP}",
         "porter_search": f"{_word('met = g', True)} {_TOP}",
+        "full_search_pipeline": _search(catalogue.QUERIES + catalogue.TYPOS, [(2, "License")]),
         "bm25_word_and": f"{_word('met = g')} {_TOP}",
         "bm25_trigram_topk": f"{_tri('true')} {_TOP}",
         "rrf_fusion": _rrf(),
