@@ -79,13 +79,18 @@ def max_edits(length: Column) -> Column:
     return F.when(length <= 4, 1).when(length <= 12, 2).otherwise(3)
 
 
+def one_decimal(x: Column) -> Column:
+    """One digit after the point; halves go to the even digit, as in C."""
+    return F.format_string("%.1f", F.bround(x.cast("double"), 1))
+
+
 def human_bytes(n: Column | str) -> Column:
     n = col(n)
     return (
         F.when(n < 1024, F.format_string("%d B", n))
-        .when(n < 1024**2, F.format_string("%.1f KB", n / 1024))
-        .when(n < 1024**3, F.format_string("%.1f MB", n / 1024**2))
-        .otherwise(F.format_string("%.1f GB", n / 1024**3))
+        .when(n < 1024**2, F.concat(one_decimal(n / 1024), F.lit(" KB")))
+        .when(n < 1024**3, F.concat(one_decimal(n / 1024**2), F.lit(" MB")))
+        .otherwise(F.concat(one_decimal(n / 1024**3), F.lit(" GB")))
     )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,18 +23,26 @@ def track(sources: DataFrame, log: DataFrame) -> DataFrame:
 
 def throttle(calls: DataFrame, start: Column, window_s: int = WINDOW_S) -> DataFrame:
     """Calls (client, at) with count in its window and limit (2, 1, 0: blocked). A window begins at ``start`` and then at the
-    first call after the last one ended; one fold per client carries it."""
+    first call after the last one ended; calls are dealt by client, sorted, and folded as they stream past."""
     micros = F.unix_micros(F.col("at").cast("timestamp"))
-    zero = F.struct(F.unix_micros(start.cast("timestamp")).alias("begin"), F.lit(0).alias("n"), F.array().cast("array<struct<at:bigint,n:int>>").alias("out"))
-
-    def step(s: Column, at: Column) -> Column:
-        over = at - s["begin"] > window_s * 1_000_000
-        n = F.when(over, 1).otherwise(s["n"] + 1)
-        return F.struct(F.when(over, at).otherwise(s["begin"]).alias("begin"), n.alias("n"), F.concat(s["out"], F.array(F.struct(at.alias("at"), n.alias("n")))).alias("out"))
+    rows = calls.select("client", micros.alias("us"), F.unix_micros(start.cast("timestamp")).alias("start")).repartition("client").sortWithinPartitions("client", "us")
+    kind = calls.schema["client"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, begin, n, fresh = None, 0, 0, True
+        for batch in batches:
+            counts = []
+            for client, us, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if fresh or client != now:
+                    now, begin, n, fresh = client, first, 0, False
+                if us - begin > window_s * 1_000_000:
+                    begin, n = us, 0
+                n += 1
+                counts.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int32())], names=["client", "us", "count"])
 
-    folded = calls.groupBy("client").agg(F.array_sort(F.collect_list(micros)).alias("ats")).select("client", F.explode(F.aggregate("ats", zero, step)["out"]).alias("x"))
     limit = F.when(F.col("count") > SOME, 0).when(F.col("count") > FULL, 1).otherwise(2)
-    return folded.select("client", F.timestamp_micros("x.at").alias("at"), F.col("x.n").alias("count")).withColumn("limit", limit)
+    return rows.mapInArrow(run, f"client {kind}, us long, count int").select("client", F.timestamp_micros("us").alias("at"), "count").withColumn("limit", limit)
 
 
 def debounce(events: DataFrame, key: str, at: str, gap_ms: int = 200) -> DataFrame:
@@ -63,3 +74,9 @@ def sweep_status(files: DataFrame, indexed: DataFrame) -> DataFrame:
     newest = F.greatest("mtime", F.coalesce("sub_mtime", "mtime"))
     status = F.when(F.col("indexed_at").isNull(), "new").when(newest > F.col("indexed_at"), "changed").otherwise("current")
     return files.join(latest, "session", "left").withColumn("status", status)
+
+
+def outcome_counts(planned: DataFrame) -> DataFrame:
+    """status, n of a sweep or an import; ``total`` counts all."""
+    counted = planned.groupingSets([["status"], []], "status").agg(F.count("*").alias("n"))
+    return counted.select(F.coalesce("status", F.lit("total")).alias("status"), "n")

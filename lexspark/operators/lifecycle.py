@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import store
-from ..functions.text import col
+from ..functions.text import col, one_decimal
 
 #: Decay per day, weight of recent access, tier borders, salience of code, mixed and prose sources.
 DECAY, ACCESS, HOT, WARM, COLD = 0.045, 0.3, 0.7, 0.4, 0.15
@@ -141,13 +141,13 @@ def retag(sources: DataFrame) -> DataFrame:
     return sources.withColumn("kind", F.when(F.col("label").rlike("^(execute|file|batch):"), "ephemeral").otherwise(F.col("kind")))
 
 
-def stats(sources: DataFrame, chunks: DataFrame, as_of: Column) -> DataFrame:
-    """sources, chunks and sources by kind and tier, in long form: metric, value."""
+def stats(sources: DataFrame, chunks: DataFrame, as_of: Column, vocabulary: DataFrame | None = None) -> DataFrame:
+    """sources, chunks, words of the vocabulary (if given) and sources by kind and tier, in long form: metric, value."""
     rated = classify(sources, as_of)
     long = rated.groupBy("kind", "tier").agg(F.count("*").alias("value")).select(F.concat("kind", F.lit("."), "tier").alias("metric"), "value")
-    total = rated.agg(F.count("*").alias("value")).select(F.lit("sources").alias("metric"), "value")
-    pieces = chunks.agg(F.count("*").alias("value")).select(F.lit("chunks").alias("metric"), "value")
-    return long.union(total).union(pieces)
+    count = lambda df, name: df.agg(F.count("*").alias("value")).select(F.lit(name).alias("metric"), "value")
+    both = long.union(count(rated, "sources")).union(count(chunks, "chunks"))
+    return both if vocabulary is None else both.union(count(vocabulary, "vocabulary"))
 
 
 def kind_sizes(sources: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -159,7 +159,27 @@ def top_sources(sources: DataFrame, chunks: DataFrame, n: int = 15) -> DataFrame
 
 
 def oversized(sources: DataFrame, chunks: DataFrame, most: int = MAX_SOURCE_BYTES) -> DataFrame:
-    return source_sizes(sources, chunks).where(F.col("content_bytes") > most)
+    """Largest first."""
+    return source_sizes(sources, chunks).where(F.col("content_bytes") > most).orderBy(F.desc("content_bytes"), "label")
+
+
+def newest(sources: DataFrame, limit: int = 0) -> DataFrame:
+    """Newest first; 0 is no limit."""
+    found = sources.orderBy(F.desc("source_id"))
+    return found.limit(limit) if limit else found
+
+
+def chunks_of(sources: DataFrame, chunks: DataFrame, label: str) -> DataFrame:
+    """The chunks of one source, in order."""
+    one = sources.where(F.col("label") == label).select("source_id")
+    return chunks.join(F.broadcast(one), "source_id").orderBy("chunk_no")
+
+
+def section_inventory(chunks: DataFrame) -> DataFrame:
+    """source_id, inventory: a line of title and size for each section, in order."""
+    line = F.concat(F.lit("- "), "title", F.lit(" ("), one_decimal(F.octet_length("content") / 1024), F.lit("KB)"))
+    listed = F.array_sort(F.collect_list(F.struct("chunk_no", line.alias("line"))))
+    return chunks.groupBy("source_id").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("inventory"))
 
 
 def smart_truncate(x: Column | str, most: int = 100_000, share: float = 0.6) -> Column:
@@ -181,7 +201,7 @@ def smart_truncate(x: Column | str, most: int = 100_000, share: float = 0.6) ->
     room = int(most * share)
     front = fitting(lines, room)
     back = fitting(F.reverse(F.slice(lines, front["n"] + 1, F.greatest(F.lit(0), F.size(lines) - front["n"]))), most - room)
-    note = F.format_string("\n\n... [%d lines / %.1fKB truncated — showing first %d + last %d lines] ...\n\n", F.size(lines) - front["n"] - back["n"], (F.octet_length(x) - front["size"] - back["size"]) / 1024.0, front["n"], back["n"])
+    note = F.format_string("\n\n... [%d lines / %sKB truncated — showing first %d + last %d lines] ...\n\n", F.size(lines) - front["n"] - back["n"], one_decimal((F.octet_length(x) - front["size"] - back["size"]) / 1024.0), front["n"], back["n"])
     tail = F.slice(lines, F.size(lines) - back["n"] + 1, back["n"])
     cut = F.concat(F.array_join(F.slice(lines, F.lit(1), front["n"]), "\n"), note, F.array_join(tail, "\n"))
     return F.when(F.octet_length(x) <= most, x).otherwise(cut)

@@ -144,6 +144,17 @@ def with_subagents(pairs: DataFrame, agents: DataFrame) -> DataFrame:
     return both.withColumn("pair_no", no)
 
 
+def subagent_pairs(lines: DataFrame, metas: DataFrame) -> DataFrame:
+    """Pairs of subagents' logs (session, agent_id, line_no, line), as :func:`with_subagents` takes them. A log's meta file
+    (session, agent_id, meta: JSON) names the agent's type and task; where there is none, or no JSON, both are empty."""
+    one = lines.select(F.to_json(F.struct("session", "agent_id")).alias("session"), "line_no", "line")
+    pairs = turn_pairs(messages(parse_lines(one))).withColumn("of", F.from_json("session", "session string, agent_id string"))
+    v = F.try_parse_json("meta")
+    known = metas.select("session", "agent_id", text_of(v, "$.agentType").alias("agent_type"), text_of(v, "$.description").alias("agent_description"))
+    joined = pairs.select("of.session", "of.agent_id", "pair_no", "human", "assistant", "tools", "tool_lines").join(known, ["session", "agent_id"], "left")
+    return joined.fillna("", ["agent_type", "agent_description"])
+
+
 def sanitised(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("human", redact("human")).withColumn("assistant", redact("assistant")).withColumn("tool_lines", F.transform("tool_lines", redact))
 

@@ -2,55 +2,73 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import byte_prefix, col, trim
+from ..functions.text import byte_prefix, col, one_decimal, trim
 
 #: Reach of a window, bytes of a snippet, of all output, and of a preview.
 REACH, SNIPPET_BYTES, OUTPUT_BYTES, PREVIEW_BYTES = 300, 1500, 40 * 1024, 120
 
 
-def positions(content: Column | str, terms: Column | str) -> Column:
-    """Where each term starts (from 0, overlaps included), sorted. Offsets are characters."""
-    low = F.lower(col(content))
-    each = lambda t: F.filter(F.sequence(F.lit(0), F.length(low) - 1), lambda i: F.substring(low, i + 1, F.length(t)) == t)
-    return F.array_sort(F.flatten(F.transform(col(terms), each)))
+def _places(low: str, terms) -> list[int]:
+    found = set()
+    for t in terms:
+        at = low.find(t) if t else -1
+        while at >= 0:
+            found.add(at)
+            at = low.find(t, at + 1)
+    return sorted(found)
 
 
-def split_terms(query: Column | str) -> Column:
-    return F.filter(F.split(trim(F.lower(col(query))), r"\s+"), lambda t: F.octet_length(t) > 2)
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def positions(content: pd.Series, terms: pd.Series) -> pd.Series:
+    """Where each term starts (from 0, overlaps included), each place once and sorted. Offsets are characters; one search
+    through a text for each term, whose cost is linear."""
+    return pd.Series([None if c is None else _places(c.lower(), ts) for c, ts in zip(content, terms, strict=True)], dtype=object)
 
 
-def merged_windows(at: Column | str, length: Column, reach: int = REACH) -> Column:
-    """array<struct<start, end>>: windows around sorted positions, merged where they touch."""
-    start = lambda p: F.greatest(F.lit(0), p - reach)
-    end = lambda p: F.least(length, p + reach)
-    row = lambda s, e: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"))
+def split_terms(query: Column | str) -> Column:
+    return F.filter(F.split(trim(F.lower(col(query))), r"\s+"), lambda t: F.octet_length(t) > 2)
 
-    def step(done: Column, p: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        before = F.slice(done, F.lit(1), F.greatest(F.lit(0), F.size(done) - 1))
-        return F.when(start(p) <= last["end"], F.concat(before, F.array(row(last["start"], end(p))))).otherwise(F.concat(done, F.array(row(start(p), end(p)))))
 
-    return F.aggregate(col(at), F.array().cast("array<struct<start:int,end:int>>"), step)
+def merged_windows(at: list[int], length: int, reach: int = REACH) -> list[tuple[int, int]]:
+    """(start, end) around sorted positions, merged where they touch."""
+    out: list[tuple[int, int]] = []
+    for p in at:
+        start, end = max(0, p - reach), min(length, p + reach)
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], end)
+        else:
+            out.append((start, end))
+    return out
+
+
+def cut(text: str, terms: list[str], most: int, reach: int) -> str:
+    """The windows around the terms until ``most`` characters are shown, … where text is left out; the start, if there is no hit."""
+    if len(text) <= most:
+        return text
+    parts, total = [], 0
+    for start, end in merged_windows(_places(text.lower(), terms), len(text), reach):
+        if total >= most:
+            break
+        size = min(end - start, most - total)
+        parts.append(("…" if start else "") + text[start : start + size] + ("…" if end < len(text) else ""))
+        total += size
+    return "\n\n".join(parts) if parts else text[:most] + "\n…"
 
 
 def snippet(content: Column | str, query: Column | str, most: int = SNIPPET_BYTES, reach: int = REACH) -> Column:
-    """The windows around the query's words until ``most`` characters are shown, … where text is left out; the start, if there is no hit."""
-    content = col(content)
-    length = F.length(content)
-    at = positions(content, split_terms(query))
-    zero = F.struct(F.lit(0).alias("total"), F.array().cast("array<string>").alias("parts"))
+    """The windows around the query's words, see :func:`cut`; linear in the text."""
 
-    def step(s: Column, w: Column) -> Column:
-        size = F.least(w["end"] - w["start"], most - s["total"])
-        part = F.concat(F.when(w["start"] > 0, "…").otherwise(""), F.substring(content, w["start"] + 1, size), F.when(w["end"] < length, "…").otherwise(""))
-        return F.when(s["total"] >= most, s).otherwise(F.struct((s["total"] + size).alias("total"), F.concat(s["parts"], F.array(part)).alias("parts")))
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series, terms: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else cut(t, list(ts), most, reach) for t, ts in zip(texts, terms, strict=True)], dtype=object)
 
-    shown = F.aggregate(merged_windows(at, length, reach), zero, step)
-    return F.when(length <= most, content).when(F.size(at) == 0, F.concat(F.left(content, F.lit(most)), F.lit("\n…"))).otherwise(F.array_join(shown["parts"], "\n\n"))
+    return run(col(content), split_terms(query))
 
 
 def window_rows(hits: DataFrame, reach: int = REACH) -> DataFrame:
@@ -78,6 +96,6 @@ def intent_summary(results: DataFrame, terms: DataFrame, facts: DataFrame) -> Da
     found = results.groupBy("source_id").agg(listed.alias("listed"), F.count("*").alias("n"))
     words = terms.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]), ", ").alias("words"))
     joined = facts.join(found, "source_id", "left").join(words, "source_id", "left")
-    head = F.format_string("Indexed %d sections from \"%s\" into knowledge base.\n%d sections matched (%d lines, %.1fKB):\n\n", "chunks", "label", F.coalesce("n", F.lit(0)), "lines", F.col("bytes") / 1024)
+    head = F.format_string("Indexed %d sections from \"%s\" into knowledge base.\n%d sections matched (%d lines, %sKB):\n\n", "chunks", "label", F.coalesce("n", F.lit(0)), "lines", one_decimal(F.col("bytes") / 1024))
     tail = F.when(F.col("words").isNull(), "").otherwise(F.concat(F.lit("\n\nSearchable terms: "), "words"))
     return joined.select("source_id", F.concat(head, F.coalesce("listed", F.lit("")), tail).alias("summary"))

@@ -10,8 +10,8 @@ from ..functions.text import head, head_tail, redact, trim
 from . import index
 from .sessions import blocks, clean_text, merged_blocks, text_of
 
-#: Characters of a tool's result, of a title, of an agent's prompt; words of a snippet.
-RESULT_CHARS, TITLE_CHARS, PROMPT_CHARS, SNIPPET = 16_384, 120, 200, 16
+#: Characters of a tool's result, of a title, of an agent's prompt; words of a snippet; characters of a launch.
+RESULT_CHARS, TITLE_CHARS, PROMPT_CHARS, SNIPPET, LAUNCH_CHARS = 16_384, 120, 200, 16, 100
 ATTACHED = ("text", "filename", "fileName", "name", "title", "source", "path")
 
 
@@ -114,7 +114,8 @@ def lookup(archive: DataFrame, prefix: str) -> DataFrame:
     """Sessions whose id starts with 8 characters or more of ``prefix``: none, the one, or the candidates, with ambiguous."""
     if len(prefix) < 8:
         raise ValueError("a prefix has 8 characters or more")
-    return archive.where(F.startswith("session", F.lit(prefix))).withColumn("ambiguous", F.count("*").over(W.partitionBy()) > 1)
+    found = archive.where(F.startswith("session", F.lit(prefix)))
+    return found.crossJoin(F.broadcast(found.agg((F.count("*") > 1).alias("ambiguous"))))
 
 
 def listing(archive: DataFrame, project: str = "", after: Column | None = None, before: Column | None = None, limit: int = 0) -> DataFrame:
@@ -188,3 +189,53 @@ def row_for_line(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     both = marks.unionByName(wanted.select("session", "line", F.lit(None).cast("int").alias("message"), F.lit(1).alias("asked")))
     last = F.last("message", ignorenulls=True).over(W.partitionBy("session").orderBy("line", "asked").rowsBetween(W.unboundedPreceding, 0))
     return both.withColumn("message", F.coalesce(last, F.lit(0))).where("asked = 1").drop("asked")
+
+
+def line_for_row(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """session, row, line (0 where none): the line of the last message whose display row (session, line_no, row) is at or
+    before each wanted row."""
+    marks = rows.select("session", "row", F.col("line_no").cast("long").alias("line"), F.lit(0).alias("asked"))
+    both = marks.unionByName(wanted.select("session", "row", F.lit(None).cast("long").alias("line"), F.lit(1).alias("asked")))
+    last = F.last("line", ignorenulls=True).over(W.partitionBy("session").orderBy("row", "asked").rowsBetween(W.unboundedPreceding, 0))
+    return both.withColumn("line", F.coalesce(last, F.lit(0).cast("long"))).where("asked = 1").drop("asked")
+
+
+def of_project(incoming: DataFrame, part: str) -> DataFrame:
+    """Sessions whose project folder, as its name is mangled, holds ``part``, in the same case."""
+    return incoming.where(F.contains("project_dir", F.lit(part))) if part else incoming
+
+
+def project_path(cwd: Column | str = "cwd", project_dir: Column | str = "project_dir") -> Column:
+    """The working folder that a log names, else the mangled name of the project's folder."""
+    c, p = (F.col(x) if isinstance(x, str) else x for x in (cwd, project_dir))
+    return F.coalesce(F.nullif(c, F.lit("")), p)
+
+
+def viewer(parsed: DataFrame, agents: DataFrame) -> DataFrame:
+    """A transcript as it is shown: session, no, line_no, role (user, tool, assistant, subagent, system), body, agent_id, openable.
+
+    A launch of a subagent is a marker of its own. Markers are paired with the archived subagents (session, agent_id), in
+    order, only where a session has as many of one as of the other; else they can't be opened."""
+    user = parsed.where("type = 'user' and message is not null")
+    texts = F.filter(F.transform(F.filter(blocks(F.col("message")), lambda b: b["type"] == "text"), lambda b: clean_text(F.coalesce(b["text"], F.lit("")))), lambda t: t != "")
+    row = lambda role, no, body: (F.lit(role).alias("role"), no.alias("nth"), body.alias("body"))
+    human = user.select("session", "line_no", *row("user", F.lit(-1), F.array_join(texts, "\n")))
+    results = F.filter(blocks(F.col("message")), lambda b: b["type"] == "tool_result")
+    tools = user.select("session", "line_no", F.posexplode(F.transform(results, lambda b: _plain(b["content"]))).alias("nth", "body")).select("session", "line_no", F.lit("tool").alias("role"), "nth", "body")
+    launch = lambda b: (b["type"] == "tool_use") & F.coalesce(b["name"], F.lit("")).isin("Agent", "Task")
+    part = lambda b: F.when(b["type"] == "text", trim(F.coalesce(b["text"], F.lit("")))).when((b["type"] == "tool_use") & ~launch(b), F.concat(F.lit("→ "), tool_summary(F.coalesce(b["name"], F.lit("")), b["input"])))
+    got = lambda b, k: F.nullif(trim(F.coalesce(F.get_json_object(b["input"], f"$.{k}"), F.lit(""))), F.lit(""))
+    label = lambda b: head(F.coalesce(got(b, "description"), got(b, "subagent_type"), got(b, "prompt"), F.lit("subagent")), LAUNCH_CHARS)
+    said = merged_blocks(parsed)
+    mine = said.select("session", "line_no", *row("assistant", F.lit(-1), F.array_join(F.filter(F.transform("blocks", part), lambda t: t.isNotNull() & (t != "")), "\n")))
+    marks = said.select("session", "line_no", F.posexplode(F.transform(F.filter("blocks", launch), label)).alias("nth", "body")).select("session", "line_no", F.lit("subagent").alias("role"), "nth", "body")
+    told = F.when(F.col("type") == "pr-link", pr_link(F.col("prNumber"), F.col("prRepository"), F.col("prUrl"))).otherwise(trim(F.coalesce("content", F.lit(""))))
+    system = parsed.where("type = 'pr-link' or type = 'system' and subtype = 'away_summary'").select("session", "line_no", *row("system", F.lit(0), told))
+    rows = human.unionByName(tools).unionByName(mine).unionByName(marks).unionByName(system).where("body <> ''")
+    order = W.partitionBy("session").orderBy("line_no", "nth")
+    rows = rows.withColumn("no", F.row_number().over(order) - 1).withColumn("marker", F.sum((F.col("role") == "subagent").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    ids = agents.groupBy("session").agg(F.array_sort(F.collect_list("agent_id")).alias("ids"))
+    sizes = rows.groupBy("session").agg(F.count_if(F.col("role") == "subagent").alias("markers"))
+    paired = rows.join(sizes, "session").join(ids, "session", "left")
+    agent = F.when((F.col("role") == "subagent") & (F.size("ids") == F.col("markers")), F.get("ids", F.col("marker") - 1))
+    return paired.select("session", "no", "line_no", "role", "body", agent.alias("agent_id"), agent.isNotNull().alias("openable"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import coerce, text
 from ..operators import access, chunking, evaluate, index, lifecycle, policy, ranking, sessions, snippets, vault
 from ..sources import files, pages
 from . import search, tables
@@ -310,7 +310,36 @@ def evict_apply(spark, sf):
 
 @query
 def kb_stats(spark, sf):
-    return lifecycle.stats(tables.sources(spark, sf), tables.chunks(spark, sf), tables.as_of())
+    return lifecycle.stats(tables.sources(spark, sf), tables.chunks(spark, sf), tables.as_of(), tables.stored_index(spark, sf).read("vocabulary"))
+
+
+@query
+def sources_newest(spark, sf):
+    return lifecycle.newest(tables.bare_sources(spark, sf), 100).select("source_id", "label")
+
+
+@query
+def chunks_of_source(spark, sf):
+    return lifecycle.chunks_of(tables.bare_sources(spark, sf), tables.chunks(spark, sf), "doc:10").select("chunk_no", "title", sha("content").alias("content_sha"))
+
+
+@query
+def section_inventory(spark, sf):
+    return lifecycle.section_inventory(tables.chunks(spark, sf)).select("source_id", sha("inventory").alias("inventory_sha"))
+
+
+@query
+def retag_sources(spark, sf):
+    kinds = F.array(*map(F.lit, ("execute:", "file:", "batch:", "doc:")))
+    labelled = tables.bare_sources(spark, sf).withColumn("label", F.concat(F.element_at(kinds, (F.col("source_id") % 4 + 1).cast("int")), F.col("source_id").cast("string")))
+    return lifecycle.retag(labelled).select("label", "kind")
+
+
+@query
+def exit_classes(spark, sf):
+    n = F.col("event_id")
+    runs = tables.read(spark, sf, "events").select(F.when(n % 2 == 0, "shell").otherwise("python").alias("language"), (n % 3).cast("int").alias("code"), F.when(n % 5 == 0, " ").otherwise("out").alias("stdout"))
+    return runs.groupBy("language", "code", "stdout", lifecycle.exit_class(F.col("language"), F.col("code"), F.col("stdout")).alias("class")).agg(F.count("*").alias("n"))
 
 
 @query
@@ -456,6 +485,26 @@ def vault_import_status(spark, sf):
     return vault.import_plan(incoming, have, tables.as_of()).select("session", "status")
 
 
+@query
+def import_counts(spark, sf):
+    return access.outcome_counts(vault_import_status(spark, sf))
+
+
+def _foldered(spark, sf) -> DataFrame:
+    n = F.substring("session", 1, 8).cast("int")
+    return _archive(spark, sf).select("session", F.concat(F.lit("-home-P"), (n % 7).cast("string")).alias("project_dir"), F.when(n % 3 == 0, "").when(n % 3 == 1, F.concat(F.lit("/home/P"), (n % 7).cast("string"))).alias("cwd"))
+
+
+@query
+def project_sessions(spark, sf):
+    return vault.of_project(_foldered(spark, sf), "-P1").select("session", vault.project_path().alias("project_path"))
+
+
+@query
+def vault_delete(spark, sf):
+    return vault.delete("00000003-aaaa", _archive(spark, sf))[0].select("session", "message_count")
+
+
 @query
 def vault_stats(spark, sf):
     return vault.stats(_archive(spark, sf), "m0").select("sessions", "messages", "size_bytes", "other_machines", F.date_format("first_start", "yyyy-MM-dd HH:mm:ss").alias("first_start"), F.date_format("last_end", "yyyy-MM-dd HH:mm:ss").alias("last_end"))
@@ -505,6 +554,43 @@ def asof_message(spark, sf):
     return vault.row_for_line(rows, wanted).select("session", "line", F.col("message").cast("int").alias("message"))
 
 
+@query
+def line_for_row(spark, sf):
+    """The line at display rows 0, 4 and 10 of each session, whose messages begin at every third row."""
+    c = tables.read(spark, sf, "conversations")
+    rows = c.where(F.col("turn") % 2 == 1).select(F.col("conv_id").alias("session"), F.col("turn").alias("line_no"), (F.col("turn") * 3).alias("row"))
+    wanted = c.select(F.col("conv_id").alias("session")).distinct().select("session", F.explode(F.array(*[F.lit(x).cast("long") for x in (0, 4, 10)])).alias("row"))
+    return vault.line_for_row(rows, wanted)
+
+
+@query
+def viewer_messages(spark, sf):
+    """Assistants launch a subagent in each message; sessions of even numbers have as many archived ones."""
+    c = tables.read(spark, sf, "conversations").where("role <> 'system'")
+    none, uuid = F.lit(None).cast("string"), F.concat_ws("-", "conv_id", "turn")
+    block = lambda kind, text, name, task: F.struct(F.lit(kind).alias("type"), text.alias("text"), name.alias("name"), F.struct(task.alias("description")).alias("input"))
+    content = F.when(F.col("role") == "assistant", F.array(block("text", F.col("text"), none, none), block("tool_use", none, F.lit("Task"), F.concat(F.lit("task "), "turn")), block("tool_use", none, F.lit("Grep"), none))).otherwise(F.array(block("text", F.col("text"), none, none)))
+    line = F.to_json(F.struct(F.col("role").alias("type"), uuid.alias("uuid"), F.struct(uuid.alias("id"), F.col("role").alias("role"), content.alias("content")).alias("message")))
+    lines = c.select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("line_no"), line.alias("line"))
+    agents = c.where("role = 'assistant' and (conv_id % 2 = 0 or turn < 2)").select(F.col("conv_id").cast("string").alias("session"), F.format_string("a%03d", "turn").alias("agent_id"))
+    shown = vault.viewer(sessions.parse_lines(lines), agents)
+    return shown.select("session", F.col("no").cast("int").alias("no"), F.col("line_no").cast("int").alias("line_no"), "role", sha("body").alias("body_sha"), "agent_id", "openable")
+
+
+@query
+def subagent_logs(spark, sf):
+    """Conversations as logs of subagents, half of them with a meta file."""
+    of = tables.log_lines(spark, sf).select(F.concat(F.lit("s"), (F.col("session").cast("int") % 50).cast("string")).alias("session"), F.concat(F.lit("agent-"), "session").alias("agent_id"), "line_no", "line")
+    n = F.substring("agent_id", 7, 9).cast("int")
+    metas = of.select("session", "agent_id").distinct().withColumn("meta", F.when(n % 2 == 0, F.concat(F.lit('{"agentType":"type'), (n % 3).cast("string"), F.lit('","description":"d"}'))).otherwise("no json"))
+    return sessions.subagent_pairs(of, metas).select("session", "agent_id", F.col("pair_no").cast("int").alias("pair_no"), sha("human").alias("human_sha"), "agent_type", "agent_description")
+
+
+@query
+def session_labels(spark, sf):
+    return tables.starts(spark, sf).select(sessions.label(F.col("session"), F.col("start_time")).alias("label"))
+
+
 # -- access, statistics, policy -------------------------------------------------------------------------------------------------
 
 
@@ -587,6 +673,25 @@ def path_policy(spark, sf):
     return tables.read(spark, sf, "events").select("event_id", policy.path_denied(path, ["**/.env", "src/a3/**"]).alias("denied_by"))
 
 
+@query
+def web_fetches(spark, sf):
+    forms = ("curl https://x.org", "curl -o f https://x.org", "ls; wget x.org/a", "wget x.org > f", "echo curly", "python -c requests.get(1)")
+    command = F.element_at(F.array(*map(F.lit, forms)), (F.col("event_id") % len(forms) + 1).cast("int"))
+    return tables.read(spark, sf, "events").select(command.alias("command"), policy.fetches_web(command).alias("fetches")).groupBy("command", "fetches").agg(F.count("*").alias("n"))
+
+
+@query
+def coerce_commands(spark, sf):
+    n = F.col("event_id").cast("string")
+    number = F.col("event_id") % 5
+    form = F.when(number == 0, F.concat(F.lit('["ls '), n, F.lit('", 3, {"command":"pwd"}]'))).when(number == 1, F.concat(F.lit('[{"label":"a","command":"c'), n, F.lit('"},{"label":"b"},{"label":"","command":"d"}]')))
+    form = form.when(number == 2, F.to_json(F.struct(F.concat(F.lit('["x'), n, F.lit('"]')).alias("v")))).when(number == 3, F.lit('"plain"')).otherwise(F.lit("7"))
+    whole = F.try_parse_json(form)
+    value = F.when(number == 2, F.try_variant_get(whole, "$.v", "variant")).otherwise(whole)
+    got = tables.read(spark, sf, "events").select("event_id", coerce.commands(value).alias("c"), coerce.strings(value).alias("s"))
+    return got.select("event_id", F.array_join(F.transform("c", lambda x: F.concat(x["label"], F.lit("="), x["command"])), ";").alias("commands"), F.array_join("s", ";").alias("strings"))
+
+
 @query
 def shell_extract(spark, sf):
     code = F.format_string("import os\nos.system('rm %d')\nsubprocess.run([\"ls\", '-l'])\nsubprocess.call(\"x %d\")", "event_id", "event_id")
@@ -608,7 +713,7 @@ def _found(spark, sf) -> DataFrame:
     """Documents that hold an item, and two others of each item, in the order of ids."""
     docs = tables.read(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
     items = tables.read(spark, sf, "benchmark")
-    held = docs.join(F.broadcast(items.select(F.col("item_id").alias("query_id"), "text")), F.contains("content", F.col("text"))).select("query_id", "doc_id", "content")
+    held = evaluate.holders(docs, items.select(F.col("item_id").alias("query_id"), "text"))
     extra = items.select(F.col("item_id").alias("query_id"), F.explode(F.array(F.col("item_id") * 2, F.col("item_id") * 2 + 1)).alias("doc_id")).join(docs, "doc_id").select("query_id", "doc_id", "content")
     both = held.union(extra).dropDuplicates(["query_id", "doc_id"])
     return both.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("doc_id")))
@@ -638,20 +743,46 @@ def niah_summary(spark, sf):
 @query
 def niah_search(spark, sf):
     """The search itself on the needles: each item's first words as a query, among all chunks, whatever their kind."""
-    cases = _cases(spark, sf).persist()
+    cases = _cases(spark, sf)
     found = search.search(_corpus(spark, sf), cases.select("query_id", "query"), search.Options(limit=10, kinds=search.KINDS))
-    # a chunk is trimmed and redacted, so a needle counts by its first words' line
-    needles = cases.withColumn("needles", F.transform("needles", lambda n: F.left(F.trim(F.substring_index(n, "\n", 1)), F.lit(40))))
-    held = needles.join(F.broadcast(_held(spark, sf)), "query_id", "left_semi")
+    # a needle counts as a whole, as its document was indexed: redacted and trimmed; items that no document holds are negative
+    holding = _held(spark, sf).withColumn("in_corpus", F.lit(True))
+    whole = F.transform("needles", lambda n: text.trim(text.redact(n)))
+    held = cases.join(F.broadcast(holding), "query_id", "left").withColumn("needles", F.when(F.col("in_corpus"), whole).otherwise(F.array().cast("array<string>"))).drop("in_corpus")
     means = evaluate.summary(evaluate.case_metrics(found.select("query_id", "rank", "content"), held))
     return means.select(F.coalesce("content_type", F.lit("(all)")).alias("content_type"), *[r6(c).alias(c) for c in NAMES[:-1]], r6("avg_context_recall").alias("avg_context_recall"), "case_count")
 
 
 def _held(spark, sf) -> DataFrame:
     """Items that some document holds."""
-    docs = tables.read(spark, sf, "documents").select(F.col("text").alias("content"))
+    docs = tables.read(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
     items = tables.read(spark, sf, "benchmark")
-    return docs.join(F.broadcast(items.select(F.col("item_id").alias("query_id"), "text")), F.contains("content", F.col("text"))).select("query_id").distinct()
+    return evaluate.holders(docs, items.select(F.col("item_id").alias("query_id"), "text")).select("query_id").distinct()
+
+
+@query
+def layer_checks(spark, sf):
+    """Results of odd ranks are said to come from the trigram layer, which all cases expect; ceilings are 0 to 2."""
+    found = _found(spark, sf).withColumn("match_layer", F.when(F.col("rank") % 2 == 1, "trigram").otherwise("porter"))
+    cases = _cases(spark, sf).withColumns({"expected_layer": F.when(F.col("query_id") % 4 == 0, "porter").otherwise("trigram"), "ceiling": (F.col("query_id") % 3).cast("int")})
+    return evaluate.layer_checks(found, cases).select("query_id", "layer_match", F.col("first").cast("int").alias("first"), "ceiling_pass", "failure")
+
+
+def _reduced(spark, sf) -> DataFrame:
+    per = evaluate.case_metrics(_found(spark, sf), _cases(spark, sf))
+    returned = F.when(F.col("query_id") % 10 == 9, 0).otherwise(3)
+    return evaluate.context_reduction(per.select("query_id", "content_type", "needles", "context_recall", returned.alias("returned"), ((F.col("query_id") % 8) / 8).alias("compression")))
+
+
+@query
+def context_reduction(spark, sf):
+    return _reduced(spark, sf).select("query_id", *[r6(c).alias(c) for c in evaluate.REDUCTION])
+
+
+@query
+def reduction_summary(spark, sf):
+    means = evaluate.reduction_summary(_reduced(spark, sf))
+    return means.select(F.coalesce("content_type", F.lit("(all)")).alias("content_type"), *[r6(c).alias(c) for c in evaluate.REDUCTION.values()])
 
 
 @query

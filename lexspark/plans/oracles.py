@@ -258,6 +258,10 @@ spans AS (SELECT session, conv_id, 0 AS first, n - 1 AS last FROM per WHERE byte
 wins AS (SELECT s.session, s.conv_id, first, last, {trim("string_agg(text, chr(10) ORDER BY pair_no)")} AS content FROM spans s JOIN rendered r ON r.session = s.session AND pair_no BETWEEN first AND last GROUP BY ALL)"""
 
 
+_REDUCED = """reduced AS (SELECT query_id, content_type, CASE WHEN needle IS NULL AND query_id % 10 = 9 THEN 1.0 ELSE (query_id % 8) / 8 END AS compression, CASE WHEN needle IS NOT NULL THEN context_recall WHEN query_id % 10 = 9 THEN 1.0 ELSE 0.0 END AS recall,
+  CASE WHEN needle IS NOT NULL THEN CASE WHEN context_recall = 1 THEN 1.0 ELSE 0.0 END WHEN query_id % 10 = 9 THEN 1.0 ELSE 0.0 END AS perfect, CASE WHEN needle IS NOT NULL THEN (query_id % 8) / 8 * context_recall WHEN query_id % 10 = 9 THEN 1.0 ELSE 0.0 END AS effective FROM metrics)"""
+
+
 def _found() -> str:
     return """items AS (SELECT item_id AS query_id, text FROM benchmark),
 base AS (SELECT query_id, doc_id, d.text AS content FROM documents d JOIN items i ON contains(d.text, i.text) UNION SELECT item_id, d.doc_id, d.text FROM benchmark, unnest([item_id * 2, item_id * 2 + 1]) AS r(x) JOIN documents d ON d.doc_id = x),
@@ -343,7 +347,40 @@ SELECT doc_id, round(1.0 + 0.3 * n, 6) AS boost FROM m WHERE n > 0""",
         "cleanup_candidates": f"WITH {SOURCES} SELECT source_id, eviction_reason FROM candidates WHERE eviction_reason IS NOT NULL",
         "eviction_breakdown": f"WITH {SOURCES} SELECT kind, eviction_reason, count(*) AS n FROM candidates WHERE eviction_reason IS NOT NULL GROUP BY ALL",
         "evict_apply": f"WITH {SOURCES} SELECT source_id, chunk_count AS chunks FROM sources JOIN candidates USING (source_id) WHERE eviction_reason IS NULL",
-        "kb_stats": f"WITH {SOURCES} {_STATS}",
+        "kb_stats": f"WITH {SOURCES}{VOCAB.removeprefix(CHUNKS)} {_STATS} UNION ALL SELECT 'vocabulary', count(DISTINCT word) FROM vw",
+        "sources_newest": f"WITH {BARE} SELECT source_id, label FROM bare ORDER BY source_id DESC LIMIT 100",
+        "chunks_of_source": f"WITH {CHUNKS} SELECT chunk_no, title, sha256(content) AS content_sha FROM chunks WHERE source_id = 10",
+        "section_inventory": f"WITH {CHUNKS} SELECT source_id, sha256(string_agg('- ' || title || ' (' || printf('%.1f', strlen(content) / 1024.0) || 'KB)', chr(10) ORDER BY chunk_no)) AS inventory_sha FROM chunks GROUP BY source_id",
+        "retag_sources": f"WITH {BARE} SELECT ['execute:', 'file:', 'batch:', 'doc:'][source_id % 4 + 1] || source_id AS label, CASE WHEN source_id % 4 < 3 THEN 'ephemeral' ELSE kind END AS kind FROM bare",
+        "exit_classes": """WITH r AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'shell' ELSE 'python' END AS language, CAST(event_id % 3 AS INTEGER) AS code, CASE WHEN event_id % 5 = 0 THEN ' ' ELSE 'out' END AS stdout FROM events)
+SELECT language, code, stdout, CASE WHEN code = 0 THEN 'ok' WHEN language = 'shell' AND code = 1 AND stdout = 'out' THEN 'soft_fail' ELSE 'fail' END AS class, count(*) AS n FROM r GROUP BY ALL""",
+        "import_counts": f"WITH {ARCHIVE}, s AS (SELECT CASE conv_id % 4 WHEN 0 THEN 'new' WHEN 3 THEN 'updated' ELSE 'skipped' END AS status FROM archive) SELECT coalesce(status, 'total') AS status, count(*) AS n FROM s GROUP BY GROUPING SETS ((status), ())",
+        "project_sessions": f"WITH {ARCHIVE} SELECT session, CASE WHEN conv_id % 3 = 1 THEN '/home/P1' ELSE '-home-P1' END AS project_path FROM archive WHERE conv_id % 7 = 1",
+        "vault_delete": f"WITH {ARCHIVE} SELECT session, message_count FROM archive WHERE conv_id <> 3",
+        "line_for_row": "WITH c AS (SELECT DISTINCT conv_id FROM conversations), w AS (SELECT conv_id AS session, x AS row FROM c, unnest([0, 4, 10]) AS r(x)) SELECT w.session, CAST(w.row AS BIGINT) AS row, coalesce(max(k.turn), 0) AS line FROM w LEFT JOIN conversations k ON k.conv_id = w.session AND k.turn % 2 = 1 AND k.turn * 3 <= w.row GROUP BY ALL",
+        "viewer_messages": f"""WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS session, conv_id, turn, role, {trim("text")} AS t FROM conversations WHERE role <> 'system'),
+m AS (SELECT session, conv_id, turn, role, 0 AS k, CASE role WHEN 'user' THEN t ELSE CASE WHEN t = '' THEN '' ELSE t || chr(10) END || '→ Grep' END AS body FROM c UNION ALL SELECT session, conv_id, turn, 'subagent', 1, 'task ' || turn FROM c WHERE role = 'assistant'),
+a AS (SELECT conv_id, count(*) AS markers, count(*) FILTER (WHERE conv_id % 2 = 0 OR turn < 2) AS agents FROM c WHERE role = 'assistant' GROUP BY 1)
+SELECT session, CAST(row_number() OVER (PARTITION BY session ORDER BY turn, k) - 1 AS INTEGER) AS no, CAST(turn AS INTEGER) AS line_no, role, sha256(body) AS body_sha, CASE WHEN role = 'subagent' AND markers = agents THEN printf('a%03d', turn) END AS agent_id, role = 'subagent' AND markers = agents AS openable FROM m LEFT JOIN a USING (conv_id) WHERE body <> ''""",
+        "subagent_logs": f"WITH {PAIRS} SELECT 's' || (conv_id % 50) AS session, 'agent-' || conv_id AS agent_id, pair_no, sha256(human) AS human_sha, CASE WHEN conv_id % 2 = 0 THEN 'type' || (conv_id % 3) ELSE '' END AS agent_type, CASE WHEN conv_id % 2 = 0 THEN 'd' ELSE '' END AS agent_description FROM pairs",
+        "session_labels": f"SELECT DISTINCT 'session:' || strftime({DAY0} + to_hours(CAST(conv_id AS INTEGER)), '%Y-%m-%dT%H:%M:%SZ') || ':' || conv_id AS label FROM conversations",
+        "web_fetches": "WITH c AS (SELECT ['curl https://x.org', 'curl -o f https://x.org', 'ls; wget x.org/a', 'wget x.org > f', 'echo curly', 'python -c requests.get(1)'][event_id % 6 + 1] AS command, event_id % 6 IN (0, 2, 5) AS fetches FROM events) SELECT command, fetches, count(*) AS n FROM c GROUP BY ALL",
+        "coerce_commands": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'cmd_1=ls ' || event_id || ';cmd_3=pwd' WHEN 1 THEN 'a=c' || event_id || ';cmd_3=d' WHEN 2 THEN 'cmd_1=x' || event_id END AS commands, CASE event_id % 5 WHEN 0 THEN 'ls ' || event_id WHEN 1 THEN '' WHEN 2 THEN 'x' || event_id END AS strings FROM events",
+        "command_policy": """WITH c AS (SELECT ['git status', 'git push origin', 'ls', 'ls && rm -rf /', 'echo "a; rm b"', 'cat x | sudo tee y'][event_id % 6 + 1] AS command FROM events)
+SELECT command, CASE command WHEN 'git push origin' THEN 'ask' WHEN 'git status' THEN 'allow' WHEN 'ls' THEN 'allow' WHEN 'echo "a; rm b"' THEN 'ask' ELSE 'deny' END AS decision,
+  CASE command WHEN 'git push origin' THEN 'Bash(git push:*)' WHEN 'git status' THEN 'Bash(git:*)' WHEN 'ls' THEN 'Bash(ls)' WHEN 'ls && rm -rf /' THEN 'Bash(rm:*)' WHEN 'cat x | sudo tee y' THEN 'Bash(sudo *)' END AS pattern, count(*) AS n FROM c GROUP BY ALL""",
+        "layer_checks": f"""WITH {_found()}, per AS (SELECT query_id, CASE WHEN count(*) > 0 THEN 'trigram' END AS layer, min(rank) FILTER (WHERE relevant) AS first FROM rel GROUP BY 1),
+j AS (SELECT c.query_id, layer, coalesce(layer = CASE WHEN c.query_id % 4 = 0 THEN 'porter' ELSE 'trigram' END, false) AS layer_match, CAST(coalesce(first, 0) AS INTEGER) AS first, c.query_id % 3 AS ceiling FROM cases c LEFT JOIN per USING (query_id) WHERE needle IS NOT NULL)
+SELECT query_id, layer_match, first, CASE WHEN ceiling > 0 THEN first > 0 AND first <= ceiling END AS ceiling_pass, CASE WHEN layer IS NULL THEN 'no_results' WHEN NOT layer_match THEN 'match_layer' WHEN ceiling > 0 AND NOT (first > 0 AND first <= ceiling) THEN 'rank_ceiling' END AS failure FROM j""",
+        "context_reduction": f"WITH {_found()}, {_REDUCED} SELECT query_id, round(compression, 6) AS compression, round(recall, 6) AS recall, round(perfect, 6) AS perfect, round(effective, 6) AS effective FROM reduced",
+        "reduction_summary": f"WITH {_found()}, {_REDUCED} SELECT coalesce(content_type, '(all)') AS content_type, round(avg(compression), 6) AS avg_compression_ratio, round(avg(recall), 6) AS avg_context_recall, round(avg(perfect), 6) AS perfect_recall_rate, round(avg(effective), 6) AS avg_effective_compression FROM reduced GROUP BY GROUPING SETS ((content_type), ())",
+        "vault_render": f"WITH {ROLES} SELECT session, string_agg('## ' || upper(left(role, 1)) || substr(role, 2) || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY nth) AS text FROM turned GROUP BY session",
+        "snippet_text": """WITH d AS (SELECT doc_id, text, length(text) AS n, lower(text) AS l FROM documents WHERE contains(lower(text), 'license')),
+h AS (SELECT DISTINCT doc_id, i - 1 AS pos FROM d, unnest(range(1, n + 1)) AS r(i) WHERE substr(l, i, 7) = 'license' OR substr(l, i, 6) = 'apache'),
+s AS (SELECT doc_id, pos, greatest(0, pos - 300) AS s, least(n, pos + 300) AS e FROM h JOIN d USING (doc_id)), m AS (SELECT *, CASE WHEN lag(e) OVER w IS NULL OR s > lag(e) OVER w THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+i AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS isl FROM m) x GROUP BY doc_id, isl), c AS (SELECT *, coalesce(sum(e - s) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM i),
+p AS (SELECT doc_id, string_agg(CASE WHEN s > 0 THEN '…' ELSE '' END || substr(text, s + 1, CAST(least(e - s, 400 - before) AS BIGINT)) || CASE WHEN e < n THEN '…' ELSE '' END, chr(10) || chr(10) ORDER BY s) AS t FROM c JOIN d USING (doc_id) WHERE before < 400 GROUP BY doc_id)
+SELECT doc_id, CASE WHEN n <= 400 THEN text ELSE t END AS snippet FROM d LEFT JOIN p USING (doc_id)""",
         "kind_sizes": f"WITH {CHUNKS}, {BARE}, {_SIZES} SELECT kind, count(*) AS sources, CAST(sum(chunk_rows) AS BIGINT) AS chunks, CAST(sum(content_bytes) AS BIGINT) AS content_bytes FROM sized GROUP BY kind",
         "top_sources": f"WITH {CHUNKS}, {BARE}, {_SIZES} SELECT label, content_bytes, chunk_rows FROM sized ORDER BY content_bytes DESC, label LIMIT 15",
         "oversized": f"WITH {CHUNKS}, {BARE}, {_SIZES} SELECT source_id, content_bytes FROM sized WHERE content_bytes > 15000",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from pathlib import PurePosixPath
 
@@ -82,10 +83,31 @@ def fixtures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FIXTURES).json(path)
 
 
-def manifest_hash(files: DataFrame) -> DataFrame:
-    """sha256 over the contents of (path, content) in the order of names."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "content"))), lambda x: F.hex(x["content"])), "")
-    return files.agg(F.sha2(F.unhex(joined), 256).alias("hash"))
+def manifest_hash(files: DataFrame) -> str:
+    """sha256 over the contents of (path, content) in the order of names; the driver holds one partition's files at a time."""
+    total = hashlib.sha256()
+    for row in files.select("path", "content").orderBy("path").toLocalIterator():
+        total.update(bytes(row.content))
+    return total.hexdigest()
+
+
+def by_path(files: DataFrame) -> DataFrame:
+    return files.orderBy("relative_path")
+
+
+def projects_root(root: str) -> str:
+    """Where the session folders are: below a configuration folder its ``projects``, else the folder itself."""
+    below = os.path.join(root, "projects")
+    return below if os.path.isdir(below) else root
+
+
+def report_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """timestamp, git_sha, git_branch, dataset_hash, and the report's failures (case_id, type, expected, actual, detail)."""
+    v = F.parse_json("value")
+    raw = spark.read.option("wholetext", True).text(path).select(v.alias("v"))
+    names = ("timestamp", "git_sha", "git_branch", "dataset_hash")
+    failures = F.coalesce(F.try_variant_get("v", "$.failures", "array<struct<case_id:string,type:string,expected:string,actual:string,detail:string>>"), F.array())
+    return raw.select(*[F.try_variant_get("v", f"$.metadata.{n}", "string").alias(n) for n in names], failures.alias("failures"))
 
 
 def report(spark: SparkSession, path: str) -> DataFrame:

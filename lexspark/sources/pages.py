@@ -138,7 +138,15 @@ def route(media_type: Column, body: Column) -> Column:
     return F.when(policy.is_binary(media_type, body), "reject").when(F.contains(kind, F.lit("json")), "json").when(F.contains(kind, F.lit("html")), "markdown").otherwise("plaintext")
 
 
-def page_chunks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, chunk_no, title, content, has_code of pages as Markdown sections."""
-    parts = pages.select(key, F.posexplode(chunking.markdown_chunks(html_to_markdown(html))).alias("chunk_no", "c"))
-    return parts.select(key, "chunk_no", "c.title", "c.content", "c.has_code")
+def page_chunks(pages: DataFrame, key: str = "page_id", html: str = "html", media_type: str = "") -> DataFrame:
+    """key, chunk_no, title, content, has_code of fetched bodies, each by its route: HTML as Markdown sections, JSON and plain
+    text as they are chunked. Without a column of media types all are HTML; rejected bodies have no chunks."""
+    kind = route(F.col(media_type), F.col(html)) if media_type else F.lit("markdown")
+    routed = pages.select(key, F.col(html).alias("body"), kind.alias("route"))
+    made = routed.where("route = 'markdown'").select(key, F.posexplode(chunking.markdown_chunks(html_to_markdown("body"))).alias("chunk_no", "c")).select(key, "chunk_no", "c.title", "c.content", "c.has_code")
+    if not media_type:
+        return made
+    json = routed.where("route = 'json'").select(key, "body", chunking.json_text_chunks(F.col("body")).alias("c"))
+    parts = json.where("c is not null").select(key, F.posexplode("c").alias("chunk_no", "c")).select(key, "chunk_no", "c.title", "c.content", "c.has_code")
+    plain = routed.where("route = 'plaintext'").select(key, "body").union(json.where("c is null").select(key, "body"))
+    return made.unionByName(parts).unionByName(chunking.plain_pieces(plain, key, "body").withColumn("has_code", F.lit(False)))
