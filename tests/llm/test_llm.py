@@ -141,6 +141,12 @@ def test_toxicity_held_out(spark):
     found = toxicity.passages(bad, model).collect()
     assert found and all(25 <= r.begin <= 40 and r.e_value < 0.05 for r in found)
     assert toxicity.clean(d, y).columns == d.columns
+    # odd texts are clean, and of two very long ones that without a toxic passage
+    strange = odd(spark).withColumn("doc_id", F.col("doc_id") + 1000)
+    long = "alpha1 beta2 gamma3 " * 30_000
+    both = docs(spark, [long, long + "vileword nastyword badword vileword nastyword badword " * 4 + long], 2000)
+    kept = [r.doc_id for r in toxicity.clean(d.union(strange).union(both), y).select("doc_id").collect()]
+    assert sum(i is None or 1000 <= i < 2000 for i in kept) == strange.count() and 2000 in kept and 2001 not in kept
 
 
 @pytest.mark.parametrize("of", [toxicity, quality])
@@ -269,6 +275,23 @@ def test_packing_round_trip(spark):
     assert total / (256 * len(bins)) > 0.95
 
 
+def test_fast_tokens_equal_the_named_library():
+    """Over every code point of the first three planes that is not a surrogate, in the contexts that split words; and over texts of the data."""
+    import os
+
+    encode = packing.ByteBpe()
+    whole = lambda t: encode.whole.encode(t, add_special_tokens=False).ids
+    points = [c for c in (*range(0x32000), *range(0xE0000, 0xE0200)) if not 0xD800 <= c < 0xE000]
+    for c in map(chr, points):
+        x = f"a{c}b {c} {c}{c}1{c}2 .{c}' {c}s\n{c}\n {c}"
+        assert encode.fast(x) == whole(x), hex(ord(c))
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if os.path.exists(path):
+        import pyarrow.parquet as pq
+
+        assert all(encode(t) == whole(t) for t in pq.read_table(path, columns=["text"]).column(0).to_pylist() if t)
+
+
 def test_best_fit_equals_brute_force():
     rng = random.Random(2)
     for _ in range(50):
@@ -355,6 +378,22 @@ def test_simhash_odd_and_representatives(spark):
     assert ids.count(0) == 1 and not {1, 2, 3} & set(ids) and ids.count(5) == 1 and ids.count(None) == 1
 
 
+def test_near_duplicates_equal_brute_force(spark):
+    """Fingerprints, links of up to two bits and components of small texts, against all pairs; repeated doc_ids with other texts too."""
+    rng = random.Random(17)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(9))) for _ in range(150)]
+    rows = [(i // 2 if 20 < i < 30 else i, t) for i, t in enumerate(texts)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    prints = [simhash.fingerprint(t.encode()) for t in texts]
+    pairs = [(i, j) for i, j in combinations(range(len(texts)), 2) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    root = union(range(len(texts)), pairs)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        least[root[i]] = min(doc_id, least.get(root[i], doc_id))
+    assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got) == sorted((d, f"{prints[i]:016x}", least[root[i]]) for i, (d, _) in enumerate(rows))
+    assert len(pairs) > 30
+
+
 def test_representatives_catch_most_edited_copies(spark):
     """Of texts with words as frequent as in prose, most copies with a few changed words go, and no text of its own does."""
     rng = random.Random(11)

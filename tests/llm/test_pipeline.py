@@ -29,3 +29,27 @@ def test_pipeline(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").collect()} == expected[-1]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash", "decontamination", "packing"]
+
+
+def test_pipeline_on_odd_documents(spark, tmp_path):
+    """Nulls in any column, empty and long texts, ties, repeated rows, clashing names, and tables without rows."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, did long, rk long, row string, key string"
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(0, None), (1, ""), (2, " \n "), (None, "an unnamed text of some words"), (None, None), (5, long), (6, long + " more"), (7, "short"), (7, "short"), (8, "shared line\n" * 30), (9, "one two three four five six")]
+    rows = [(i, t, None, None, None, 1, 2, "r", "k") for i, t in rows]
+    labels = [(i, i % 2, int(i == 8)) for i in range(10)] + [(None, 1, 1), (4, None, None)]
+    for name, docs, known, items in (("odd", rows, labels, [(1, "one two three four five six"), (None, None), (2, "")]), ("none", [], [], [])):
+        at = str(tmp_path / name)
+        spark.createDataFrame(docs, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame(known, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        frame = spark.read.parquet(f"{at}/documents.parquet")
+        for stage, function in corpus_pipeline.STAGES[:-1]:
+            frame = function(spark, frame, at)
+            assert frame.columns == [x.split()[0] for x in schema.split(", ")], stage
+        pieces = corpus_pipeline.run(spark, at).collect()
+        kept = {r.doc_id for r in pieces}
+        if name == "odd":
+            assert 5 in kept and 6 not in kept and 9 not in kept and 7 in kept and len([r for r in pieces if r.doc_id == 7]) == 1
+        else:
+            assert not pieces
