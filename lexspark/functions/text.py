@@ -80,8 +80,9 @@ def max_edits(length: Column) -> Column:
 
 
 def one_decimal(x: Column) -> Column:
-    """One digit after the point; halves go to the even digit, as in C."""
-    return F.format_string("%.1f", F.bround(x.cast("double"), 1))
+    """One digit after the point; halves go to the even digit, and what is just below zero is -0.0, as in C."""
+    rounded = F.bround(x.cast("double"), 1)
+    return F.concat(F.when((rounded == 0) & (x < 0), "-").otherwise(""), F.format_string("%.1f", rounded))
 
 
 def human_bytes(n: Column | str) -> Column:

@@ -374,6 +374,25 @@ j AS (SELECT c.query_id, layer, coalesce(layer = CASE WHEN c.query_id % 4 = 0 TH
 SELECT query_id, layer_match, first, CASE WHEN ceiling > 0 THEN first > 0 AND first <= ceiling END AS ceiling_pass, CASE WHEN layer IS NULL THEN 'no_results' WHEN NOT layer_match THEN 'match_layer' WHEN ceiling > 0 AND NOT (first > 0 AND first <= ceiling) THEN 'rank_ceiling' END AS failure FROM j""",
         "context_reduction": f"WITH {_found()}, {_REDUCED} SELECT query_id, round(compression, 6) AS compression, round(recall, 6) AS recall, round(perfect, 6) AS perfect, round(effective, 6) AS effective FROM reduced",
         "reduction_summary": f"WITH {_found()}, {_REDUCED} SELECT coalesce(content_type, '(all)') AS content_type, round(avg(compression), 6) AS avg_compression_ratio, round(avg(recall), 6) AS avg_context_recall, round(avg(perfect), 6) AS perfect_recall_rate, round(avg(effective), 6) AS avg_effective_compression FROM reduced GROUP BY GROUPING SETS ((content_type), ())",
+        "smart_truncate": """WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE strlen(text) > 2000),
+x AS (SELECT doc_id, i, l[i] AS line, strlen(l[i]) + 1 AS b, len(l) AS n FROM d, unnest(range(1, len(l) + 1)) AS r(i)), f AS (SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM x),
+a AS (SELECT doc_id, greatest(1, count(*) FILTER (WHERE c <= 1200)) AS front FROM f GROUP BY 1), g AS (SELECT f.*, front, sum(b) OVER (PARTITION BY doc_id ORDER BY i DESC) AS e FROM f JOIN a USING (doc_id)),
+k AS (SELECT doc_id, front, any_value(n) AS n, CASE WHEN any_value(n) > front THEN greatest(1, count(*) FILTER (WHERE i > front AND e <= 800)) ELSE 0 END AS back FROM g GROUP BY doc_id, front),
+z AS (SELECT doc_id, k.front, k.back, k.n, sum(b) FILTER (WHERE i <= k.front) AS fb, coalesce(sum(b) FILTER (WHERE i > k.n - k.back), 0) AS bb, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE i <= k.front) AS head, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE i > k.n - k.back), '') AS tail FROM g JOIN k USING (doc_id) GROUP BY ALL)
+SELECT doc_id, sha256(head || chr(10) || chr(10) || '... [' || (n - front - back) || ' lines / ' || printf('%.1f', (strlen(text) - fb - bb) / 1024.0) || 'KB truncated — showing first ' || front || ' + last ' || back || ' lines] ...' || chr(10) || chr(10) || tail) AS cut_sha FROM z JOIN d USING (doc_id)""",
+        "intent_summary": f"""WITH {VOCAB}, n AS (SELECT source_id, count(*) AS n FROM chunks GROUP BY 1), df AS (SELECT source_id, word, count(DISTINCT chunk_no) AS df FROM vw GROUP BY 1, 2),
+s AS (SELECT source_id, word, ln(n / df) + least(strlen(word) / 20.0, 0.5) + CASE WHEN contains(word, '_') THEN 1.5 WHEN strlen(word) >= 12 THEN 0.8 ELSE 0 END AS score FROM df JOIN n USING (source_id) WHERE n >= 3 AND df >= 2 AND df <= greatest(3, ceil(n * 0.4))),
+t AS (SELECT source_id, string_agg(word, ', ' ORDER BY score DESC, word) AS words FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY score DESC, word) <= 5) x GROUP BY 1),
+f AS (SELECT *, split_part(content, chr(10), 1) AS first_ FROM chunks WHERE contains(lower(content), 'license') QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY chunk_no) <= 3),
+l AS (SELECT source_id, count(*) AS k, string_agg('  - ' || title || ': ' || {byte_prefix("first_", 120)}, chr(10) ORDER BY chunk_no) AS listed FROM f GROUP BY 1)
+SELECT source_id, 'Indexed ' || n || ' sections from "doc:' || source_id || '" into knowledge base.' || chr(10) || coalesce(k, 0) || ' sections matched (' || len(string_split(text, chr(10))) || ' lines, ' || printf('%.1f', strlen(text) / 1024.0) || 'KB):' || chr(10) || chr(10) || coalesce(listed, '')
+  || coalesce(chr(10) || chr(10) || 'Searchable terms: ' || words, '') AS summary FROM red JOIN n USING (source_id) LEFT JOIN l USING (source_id) LEFT JOIN t USING (source_id)""",
+        "vault_search": f"""WITH {ROLES}, placed AS (SELECT *, row_number() OVER (PARTITION BY session, turn_index ORDER BY nth) - 1 AS message_index, {_tokens("text")} AS tk FROM turned),
+c AS (SELECT count(*) AS total, avg(len(tk)) AS mean FROM placed), w AS (SELECT * FROM (VALUES ('the'), ('of')) v(term)), h AS (SELECT p.*, term, len(list_filter(tk, lambda x: x = term)) AS tf FROM placed p, w WHERE list_contains(tk, term)),
+df AS (SELECT term, count(*) AS df FROM h GROUP BY 1), g AS (SELECT session, turn_index, message_index, role, text, sum(-(CASE WHEN ln((total - df + 0.5) / (df + 0.5)) > 0 THEN ln((total - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(tk) / mean))) AS score, count(*) AS k FROM h JOIN df USING (term), c GROUP BY ALL),
+b AS (SELECT *, regexp_split_to_array(text, '\\s+') AS p FROM g WHERE k = 2 ORDER BY score, session, turn_index, message_index LIMIT 20),
+q AS (SELECT *, greatest(0, coalesce(list_min(list_filter(range(0, len(p)), lambda i: contains(lower(p[i + 1]), 'the') OR contains(lower(p[i + 1]), 'of'))), 0) - 8) AS st FROM b)
+SELECT session, turn_index, role, round(score, 6) AS score, CASE WHEN st > 0 THEN '…' ELSE '' END || array_to_string(list_transform(p[st + 1:st + 16], lambda x: CASE WHEN contains(lower(x), 'the') OR contains(lower(x), 'of') THEN '[' || x || ']' ELSE x END), ' ') || CASE WHEN st + 16 < len(p) THEN '…' ELSE '' END AS snippet FROM q""",
         "vault_render": f"WITH {ROLES} SELECT session, string_agg('## ' || upper(left(role, 1)) || substr(role, 2) || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY nth) AS text FROM turned GROUP BY session",
         "snippet_text": """WITH d AS (SELECT doc_id, text, length(text) AS n, lower(text) AS l FROM documents WHERE contains(lower(text), 'license')),
 h AS (SELECT DISTINCT doc_id, i - 1 AS pos FROM d, unnest(range(1, n + 1)) AS r(i) WHERE substr(l, i, 7) = 'license' OR substr(l, i, 6) = 'apache'),
