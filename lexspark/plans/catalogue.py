@@ -121,6 +121,12 @@ def distinctive_terms(spark, sf):
     return index.distinctive_terms(tables.chunks(spark, sf)).withColumn("score", r6("score"))
 
 
+@query
+def index_stats(spark, sf):
+    """Builds the stored index, if this session has none yet."""
+    return tables.stored_index(spark, sf).read("stats").select("n", r6("words").alias("words"), r6("grams").alias("grams"))
+
+
 # -- ranking --------------------------------------------------------------------------------------------------------------
 
 

@@ -312,6 +312,7 @@ s AS (SELECT source_id, word, ln(n / df) + least(strlen(word) / 20.0, 0.5) + CAS
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY source_id ORDER BY score DESC, word) AS INTEGER) AS rank FROM s) SELECT source_id, rank, word, round(score, 6) AS score FROM r WHERE rank <= 40""",
         "bm25_word_topk": f"{_word('true', True)} {_TOP}",
         "bm25_word_or": f"{_word('true')} {_TOP}",
+        "index_stats": f"WITH {TOKENS} SELECT n, round(mean, 6) AS words, (SELECT round(avg(greatest(0, length(title) - 2) + greatest(0, length(content) - 2)), 6) FROM chunks) AS grams FROM corpus",
         "porter_search": f"{_word('met = g', True)} {_TOP}",
         "full_search_pipeline": _search(catalogue.QUERIES + catalogue.TYPOS, [(2, "License")]),
         "bm25_word_and": f"{_word('met = g')} {_TOP}",

@@ -106,3 +106,32 @@ def test_platform_urls(spark):
     urls = ["https://github.com/a/b/pull/7", "https://gitlab.x.org/g/p/-/merge_requests/3", "https://github.com/a/b", "nonsense", "https://gist.github.com/x"]
     got = spark.createDataFrame([(u,) for u in urls], "u string").select(policy.platform_url("u").alias("i"), policy.is_gist("u").alias("g")).collect()
     assert [(r.i.kind, r.i.number) if r.i else None for r in got] == [("pr", "7"), ("mr", "3"), None, None, None] and got[4].g
+
+
+def test_throttle_folds_many_calls_of_one_client(spark):
+    import datetime
+
+    from lexspark.operators import access
+
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(k % 2, start + datetime.timedelta(seconds=k * k % 5000)) for k in range(4000)]
+    got = {}
+    for r in access.throttle(spark.createDataFrame(rows, "client int, at timestamp"), F.lit("2024-01-01").cast("timestamp"), 60).collect():
+        got.setdefault(r.client, []).append((r["at"], r["count"], r.limit))
+    for client in (0, 1):
+        begin, n, expected = start, 0, []
+        for at in sorted(a for c, a in rows if c == client):
+            if (at - begin).total_seconds() > 60:
+                begin, n = at, 0
+            n += 1
+            expected.append((at, n, 2 if n <= 3 else 1 if n <= 8 else 0))
+        assert sorted(got[client]) == sorted(expected)
+
+
+def test_holders_equal_containment(spark):
+    from lexspark.operators import evaluate
+
+    docs = [(1, "say alpha beta gamma delta epsilon zeta now"), (2, "alpha beta gamma"), (3, "xalpha beta gamma delta epsilon zetax"), (4, "one two"), (5, "beta gamma delta epsilon")]
+    items = [(10, "alpha beta gamma delta epsilon zeta"), (11, "two"), (12, "alpha beta gamma delta  epsilon zeta")]
+    found = evaluate.holders(spark.createDataFrame(docs, "doc_id int, content string"), spark.createDataFrame(items, "query_id int, text string"))
+    assert {(r.query_id, r.doc_id) for r in found.collect()} == {(q, d) for q, t in items for d, c in docs if t in c}

@@ -120,3 +120,47 @@ def test_plain_windows_cover_all_lines(n):
     got = plain(spark, "\n".join(f"l{i}" for i in range(n)))
     assert {x for _, c in got for x in c.split("\n")} == {f"l{i}" for i in range(n)}
     assert all(len(c.split("\n")) <= 20 for _, c in got)
+
+
+def test_coercion(spark):
+    from lexspark.functions import coerce
+
+    def of(f, raw):
+        got = spark.createDataFrame([(raw,)], "raw string").select(f(F.parse_json("raw")).alias("x")).first().x
+        return got and [tuple(r) if not isinstance(r, str) else r for r in got]
+
+    assert of(coerce.strings, '["a", 1, "b"]') == ["a", "b"] and of(coerce.strings, '"[\\"a\\", null]"') == ["a", ""]
+    assert of(coerce.strings, '"[1]"') is None and of(coerce.strings, "7") is None and of(coerce.strings, '"no json"') is None
+    assert of(coerce.commands, '["ls", {"label": "x", "command": "pwd"}, {"label": "y"}, 5, {"command": "w"}]') == [("cmd_1", "ls"), ("x", "pwd"), ("cmd_5", "w")]
+    assert of(coerce.commands, '"[\\"ls\\"]"') == [("cmd_1", "ls")] and of(coerce.commands, '"plain"') is None and of(coerce.commands, "{}") is None
+
+
+def test_configuration_layers(tmp_path):
+    import pytest
+
+    from lexspark.plans import config
+
+    user, project = tmp_path / "user.toml", tmp_path / "project.toml"
+    user.write_text("[store]\ntitle_weight = 3.0\n[store.cleanup]\nsession_ttl_days = 90\n[executor]\ntimeout = 5\n")
+    project.write_text("[store]\ntitle_weight = 0\n[executor]\ntimeout = 7\n[server]\nlog_level = 'debug'\n")
+    got = config.load([str(user), str(tmp_path / "none.toml"), str(project)])
+    assert (got.title_weight, got.session_ttl_days, got.timeout, got.log_level, got.ephemeral_ttl_hours) == (3.0, 90, 7, "debug", 24)
+    project.write_text("[store.cleanup]\nephemeral_ttl_hours = 0\n")
+    with pytest.raises(ValueError):
+        config.load([str(project)])
+
+
+def test_sizes_round_to_even(spark):
+    from lexspark.functions import text
+
+    got = spark.createDataFrame([(256.0,), (768.0,), (1.0,), (-1.0,), (-600.0,)], "x double").select(text.one_decimal(F.col("x") / 1024).alias("s")).collect()
+    assert [r.s for r in got] == ["0.2", "0.8", "0.0", "-0.0", "-0.6"]
+
+
+def test_snippets_of_very_long_texts(spark):
+    """A megabyte of hits takes seconds, not hours."""
+    from lexspark.operators import snippets
+
+    long = "license aaa " * 100_000
+    row = spark.createDataFrame([(long,)], "t string").select(snippets.positions("t", F.array(F.lit("license"), F.lit("aa"))).alias("p"), snippets.snippet("t", F.lit("license"), 400).alias("s")).first()
+    assert len(row.p) == 300_000 and row.p[:4] == [0, 8, 9, 12] and len(row.s) == 400
