@@ -120,15 +120,15 @@ def _counted(each: DataFrame) -> DataFrame:
     return marked.select("term", "chunk_id", "dl", count("t").alias("title_hits"), count("c").alias("content_hits"))
 
 
-def bm25(hits: DataFrame, stats: tuple[int, float]) -> DataFrame:
-    """term, chunk_id, score: negative, lower is better. ``stats`` are those of all chunks."""
+def bm25(hits: DataFrame, stats: tuple[int, float | Column], by: tuple[str, ...] = ()) -> DataFrame:
+    """``by``, term, chunk_id, score: negative, lower is better. ``stats`` are those of all chunks; a column for hits of several indexes."""
     n, mean = stats
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(LEAST_IDF)
     tf = TITLE_WEIGHT * F.col("title_hits") + CONTENT_WEIGHT * F.col("content_hits")
     score = -idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / mean))
-    counts = hits.groupBy("term").agg(F.count("*").alias("df"))
-    return hits.join(F.broadcast(counts), "term").select("term", "chunk_id", score.alias("score"))
+    counts = hits.groupBy(*by, "term").agg(F.count("*").alias("df"))
+    return hits.join(F.broadcast(counts), [*by, "term"]).select(*by, "term", "chunk_id", score.alias("score"))
 
 
 def vocabulary(chunks: DataFrame) -> DataFrame:

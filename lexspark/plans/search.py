@@ -157,12 +157,12 @@ def _pass(corpus: Corpus, queries: DataFrame, options: Options) -> DataFrame:
     hits = [corpus.word_hits(of["porter"]).withColumn("layer", F.lit("porter")), corpus.trigram_hits(of["trigram"]).withColumn("layer", F.lit("trigram"))]
     # written, since they are counted before they are scored
     hits = store.kept(hits[0].unionByName(hits[1]), "hits")
-    stats = {"porter": corpus.word_stats, "trigram": corpus.trigram_stats}
-    scored = [index.bm25(hits.where(F.col("layer") == name).drop("layer"), s).withColumn("layer", F.lit(name)) for name, s in stats.items()]
+    (n, words), (_, grams) = corpus.word_stats, corpus.trigram_stats
+    scored = index.bm25(hits, (n, F.when(F.col("layer") == "porter", words).otherwise(grams)), ("layer",))
     keys = ("query_id", "strict", "layer")
     # rounded, so that the order of equal scores is not that of their summation
     score = F.round(F.sum("score"), 9).alias("score")
-    met = F.broadcast(groups).join(scored[0].unionByName(scored[1]), ["layer", "term"]).groupBy(*keys, "n", "chunk_id").agg(score, F.count_distinct("group_no").alias("met"))
+    met = F.broadcast(groups).join(scored, ["layer", "term"]).groupBy(*keys, "n", "chunk_id").agg(score, F.count_distinct("group_no").alias("met"))
     best = ranking.top(corpus.scoped(met.where("strict = 0 or met = n"), options), max(5 * options.limit, 10), keys)
     both = ranking.fused(corpus.texts(best, "source_id", "title"), ("query_id", "strict"))
     either = both.withColumn("best", F.max("strict").over(W.partitionBy("query_id"))).where("strict = best").drop("strict", "best")
