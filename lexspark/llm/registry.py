@@ -1,4 +1,4 @@
-"""The queries of this package: op1_ to op10_, each over its whole table with production parameters."""
+"""The queries of this package: op1_ to op12_, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, lines, packing, quality, simhash, substrings, topk, toxicity, urls
+from . import decontamination, language, licenses, lines, packing, quality, simhash, substrings, topk, toxicity, trie, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,8 +59,19 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_read(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.digest(_read(spark, sf_dir, "conversations"))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.digest(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    made = (op1_line_dedup, op2_toxicity, op3_substring_dedup, op4_packing, op5_quality, op6_simhash, op7_licenses, op8_decontamination, op9_top_k, op10_urls)
+    made = (
+        op1_line_dedup, op2_toxicity, op3_substring_dedup, op4_packing, op5_quality, op6_simhash, op7_licenses, op8_decontamination, op9_top_k, op10_urls,
+        op11_prefix_trie, op12_language,
+    )
     return {f.__name__: f for f in made}
 
 
@@ -99,5 +110,40 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+# DuckDB's crc32 is not among its functions: the table's steps are spelt out over the digits of an id.
+OP11_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT b, CAST(b AS BIGINT) AS c, 0 AS n FROM range(256) AS r(b)
+  UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n + 1 FROM bits WHERE n < 8
+), steps AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE n = 8),
+ids AS (SELECT DISTINCT CAST(conv_id AS BIGINT) AS c FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (
+  SELECT c, CASE WHEN c % 20 = 0 THEN 0 ELSE xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda s, x: xor(s // 256, t[xor(s % 256, x) + 1])), 4294967295) % 4 END AS h FROM ids, steps
+), seq AS (
+  SELECT CAST(conv_id AS BIGINT) AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p FROM conversations WHERE conv_id IS NOT NULL
+), mixed AS (
+  SELECT crc.c, 0 AS mine, p, role, text FROM crc JOIN seq ON seq.c = crc.c - crc.c % 20 AND p <= h WHERE crc.c % 20 <> 0
+  UNION ALL SELECT crc.c, 1, p, role, text FROM crc JOIN seq USING (c) WHERE p > h
+), turns AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY mine, p) AS d, md5(role || chr(1) || text) AS k, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM mixed
+), paths AS (
+  SELECT c, d, words, md5(string_agg(k, '' ORDER BY d) OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING)) AS k FROM turns UNION ALL SELECT c, 0, 0, '' FROM ids
+), lens AS (SELECT c, max(d) AS l FROM paths GROUP BY c),
+owned AS (SELECT p.*, l, min(p.c) OVER (PARTITION BY d, k) AS o FROM paths p JOIN lens USING (c)),
+nodes AS (
+  SELECT o, d, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved, max(l) = d AS leaf,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE d = l), '')) AS ends FROM owned GROUP BY o, d
+), up AS (SELECT n.o, n.d, p.o AS parent FROM nodes n LEFT JOIN owned p ON p.c = n.o AND p.d = n.d - 1),
+below AS (
+  SELECT a.o, a.d, sum(n.saved) AS saved_tokens, sum(CAST(n.leaf AS INTEGER)) AS n_leaves FROM nodes n JOIN owned a ON a.c = n.o AND a.d <= n.d GROUP BY a.o, a.d
+), kids AS (SELECT parent AS o, d - 1 AS d, count(*) AS n FROM up WHERE parent IS NOT NULL GROUP BY parent, d)
+SELECT n.o AS conv_id, CAST(n.d AS BIGINT) AS depth, parent AS parent_conv_id, n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, ends AS ends_sha256
+FROM nodes n JOIN up USING (o, d) JOIN below USING (o, d) LEFT JOIN kids USING (o, d)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op9_top_k": OP9_SQL}
+    return {"op11_prefix_trie": OP11_SQL, "op1_line_dedup": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op9_top_k": OP9_SQL}
