@@ -16,7 +16,7 @@ S = TypeVar("S")
 
 def settings(spark: SparkSession, kind: type[S], config: str | None, given: dict[str, Any]) -> S:
     """Defaults of ``kind``, over them the config file's values (JSON, of any path that Spark reads), over them ``given``."""
-    found = json.loads(spark.read.option("wholetext", True).text(config).first()[0]) if config else {}
+    found = json.loads(spark.read.text(config, wholetext=True).first()[0]) if config else {}
     names = {f.name for f in dataclasses.fields(kind)}
     if unknown := set(found) - names:
         raise ValueError(f"{config}: unknown settings {sorted(unknown)}")
