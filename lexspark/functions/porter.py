@@ -13,21 +13,35 @@ STEP_3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
 STEP_4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
 
 
+def _rules(table: str) -> dict[str, list[tuple[str, str]]]:
+    """suffix, replacement by the suffix's last letter, the longest first."""
+    rules = sorted((r.partition(":")[::2] for r in table.split()), key=lambda r: -len(r[0]))
+    return {c: [r for r in rules if r[0][-1] == c] for c in {r[0][-1] for r in rules}}
+
+
+_STEP_2, _STEP_3, _STEP_4 = map(_rules, (STEP_2, STEP_3, STEP_4))
+_KINDS = str.maketrans("abcdefghijklmnopqrstuvwxz", "vcccvcccvcccccvcccccvcccc")
+
+
+def _kinds(w: str) -> str:
+    """v and c for vowels and consonants: a y is a vowel after a consonant."""
+    kinds = w.translate(_KINDS)
+    while (at := kinds.find("y")) >= 0:
+        kinds = kinds[:at] + ("v" if at and kinds[at - 1] == "c" else "c") + kinds[at + 1 :]
+    return kinds
+
+
 def _consonant(w: str, i: int) -> bool:
-    c = w[i]
-    if c in "aeiou":
-        return False
-    return c != "y" or i == 0 or not _consonant(w, i - 1)
+    return _kinds(w[: i + 1])[-1] == "c"
 
 
 def _measure(w: str) -> int:
     """How often a consonant follows a vowel."""
-    kinds = [_consonant(w, i) for i in range(len(w))]
-    return sum(b and not a for a, b in zip(kinds, kinds[1:], strict=False))
+    return _kinds(w).count("vc")
 
 
 def _has_vowel(w: str) -> bool:
-    return any(not _consonant(w, i) for i in range(len(w)))
+    return "v" in _kinds(w)
 
 
 def _double(w: str) -> bool:
@@ -35,12 +49,11 @@ def _double(w: str) -> bool:
 
 
 def _cvc(w: str) -> bool:
-    return len(w) > 2 and _consonant(w, len(w) - 3) and not _consonant(w, len(w) - 2) and _consonant(w, len(w) - 1) and w[-1] not in "wxy"
+    return w[-1:] not in "wxy" and _kinds(w)[-3:] == "cvc"
 
 
-def _table(w: str, table: str, least: int) -> str:
-    for rule in sorted(table.split(), key=lambda r: -len(r.partition(":")[0])):
-        suffix, _, to = rule.partition(":")
+def _table(w: str, rules: dict[str, list[tuple[str, str]]], least: int) -> str:
+    for suffix, to in rules.get(w[-1:], ()):
         if w.endswith(suffix):
             root = w[: len(w) - len(suffix)]
             return root + to if _measure(root) > least else w
@@ -71,8 +84,8 @@ def stem(w: str) -> str:
                 break
     if w.endswith("y") and _has_vowel(w[:-1]):
         w = w[:-1] + "i"
-    w = _table(_table(w, STEP_2, 0), STEP_3, 0)
-    for suffix in sorted(STEP_4.split(), key=len, reverse=True):
+    w = _table(_table(w, _STEP_2, 0), _STEP_3, 0)
+    for suffix, _ in _STEP_4.get(w[-1:], ()):
         if w.endswith(suffix):
             root = w[: len(w) - len(suffix)]
             if _measure(root) > 1 and (suffix != "ion" or root.endswith(("s", "t"))):

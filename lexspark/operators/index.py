@@ -9,7 +9,9 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -159,9 +161,8 @@ def distinctive_terms(chunks: DataFrame, most: int = 40) -> DataFrame:
 
 # -- the stored index -------------------------------------------------------------------------------------------------------
 
-#: Buckets of terms and of chunks: a search reads those of its terms. Beyond so many chunks a bucket, and with it a term that
-#: is in most of them, is written by several tasks.
-BUCKETS, CHUNKS_A_TASK = 32, 1_000_000
+#: Buckets of terms and of chunks: a search reads those of its terms. As many tasks write a bucket as its rows need.
+BUCKETS = 32
 _POSTINGS = "stem string, chunk_id long, dl long, title_at array<int>, at array<int>"
 
 
@@ -174,24 +175,35 @@ def source_of(chunk_id: Column | str) -> Column:
 
 
 def _stemmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """chunk_id, dl, tokens of title and content -> _POSTINGS: each chunk's stems with their places."""
+    """chunk_id, dl, tokens of title and content -> _POSTINGS: each chunk's stems with their places. A distinct token of a batch
+    is looked up once; places are sorted and cut into lists as whole arrays."""
     memo: dict[str, str] = {}
     for batch in batches:
-        rows: list[tuple] = []
-        for chunk, dl, columns in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            places: dict[str, tuple[list[int], list[int]]] = {}
-            for c, tokens in enumerate(columns):
-                for i, t in enumerate(tokens):
-                    s = memo.get(t)
-                    if s is None:
-                        s = memo[t] = stem(t)
-                    places.setdefault(s, ([], []))[c].append(i)
-            rows += [(s, chunk, dl, *both) for s, both in places.items()]
+        sides = batch.column(2).flatten()
+        sizes = pc.fill_null(pc.list_value_length(sides), 0).to_numpy()
+        tokens = sides.flatten().dictionary_encode()
+        words = tokens.dictionary.to_pylist()
+        for w in words:
+            if w not in memo:
+                memo[w] = stem(w)
+        stems = pa.array([memo[w] for w in words], pa.string()).dictionary_encode()
+        which = stems.indices.to_numpy()[tokens.indices.to_numpy()].astype(np.int64) if len(words) else np.zeros(0, np.int64)
         if len(memo) > 1_000_000:
             memo.clear()
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _POSTINGS.split(", ")])
+        side = np.repeat(np.arange(len(sizes)), sizes)
+        place = (np.arange(len(side)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+        key = (side // 2) * max(len(stems.dictionary), 1) + which
+        order = np.argsort(key * 2 + side % 2, kind="stable")
+        key, at, content = key[order], place[order], side[order] % 2 == 1
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        lists = []
+        for mine in (~content, content):
+            upto = np.append(0, np.cumsum(mine))
+            lists.append(pa.ListArray.from_arrays(pa.array(upto[np.append(starts, len(key))].astype(np.int32)), pa.array(at[mine])))
+        rows = key[starts] // max(len(stems.dictionary), 1)
+        names = stems.dictionary.take(pa.array(which[order][starts]))
+        made = [names, batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), *lists]
+        yield pa.RecordBatch.from_arrays(made, names=[x.split()[0] for x in _POSTINGS.split(", ")])
 
 
 def _grammed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,39 +218,71 @@ def _grammed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["gram", "chunk_ids"])
 
 
-def write_index(chunks: DataFrame, path: str) -> None:
-    """chunks (chunk_id, source_id, chunk_no, title, content, content_type) as a folder of tables: ``chunks`` by bucket of the
-    source, ``words`` (postings with places, of stems) and ``grams`` (trigram, chunk_ids) by bucket of the term and sorted by it,
-    ``vocabulary``, and ``stats``. Built of one written table of chunks, in one pass for each other table."""
+def write_index(chunks: DataFrame, path: str, segment: int = 0) -> None:
+    """chunks (chunk_id, source_id, chunk_no, title, content, content_type) as one segment of a folder of tables: ``chunks`` by
+    bucket of the source, ``words`` (postings with places, of stems) and ``grams`` (trigram, chunk_ids) by bucket of the term and
+    sorted by it, ``vocabulary``, and ``sizes`` by source. Built of one written table of chunks, in one pass for each other
+    table. A segment that is written again replaces itself and nothing else."""
     spark = chunks.sparkSession
-    counted = F.size(word_tokens("title")) + F.size(word_tokens("content"))
-    sized = chunks.select("chunk_id", "source_id", "chunk_no", "title", "content", "content_type", counted.cast("long").alias("n_words"), trigram_length().alias("n_grams"), bucket("source_id").alias("bucket"))
-    sized.repartition("bucket").sortWithinPartitions("bucket", "chunk_id").write.partitionBy("bucket").parquet(f"{path}/chunks")
-    held = spark.read.parquet(f"{path}/chunks")
-    parts = 1 + held.count() // CHUNKS_A_TASK
-    spread = F.pmod(F.xxhash64("chunk_id"), F.lit(parts))
 
-    def put(rows: DataFrame, term: str, name: str) -> None:
-        dealt = rows.withColumn("bucket", bucket(term)).repartition(BUCKETS * parts, "bucket", spread).sortWithinPartitions("bucket", term, "chunk_id")
-        dealt.write.partitionBy("bucket").parquet(f"{path}/{name}")
+    def put(rows: DataFrame, name: str, *order: str) -> None:
+        # dealt by bucket, into as many tasks as their bytes need: a large bucket gets several
+        dealt = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *order) if order else rows
+        dealt = dealt.withColumn("segment", F.lit(segment).cast("long"))
+        parts = ("segment", "bucket") if order else ("segment",)
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{path}/{name}")
 
+    counted = F.size(word_tokens("title")) + F.size(word_tokens("content"))
+    sized = chunks.select("chunk_id", "source_id", "chunk_no", "title", "content", "content_type", counted.cast("long").alias("n_words"), trigram_length().alias("n_grams"), bucket("source_id").alias("bucket"))
+    put(sized, "chunks", "chunk_id")
+    held = spark.read.schema(_CHUNKS).parquet(f"{path}/chunks").where(F.col("segment") == segment)
+    cores = spark.sparkContext.defaultParallelism
     tokens = held.select("chunk_id", F.col("n_words").alias("dl"), F.array(word_tokens("title"), word_tokens("content")).alias("tokens"))
-    put(tokens.mapInArrow(_stemmed, _POSTINGS), "stem", "words")
+    tokens = tokens.repartition(cores) if tokens.rdd.getNumPartitions() < cores else tokens
+    put(tokens.mapInArrow(_stemmed, _POSTINGS).withColumn("bucket", bucket("stem")), "words", "stem", "chunk_id")
     texts = held.select("chunk_id", F.lower("title").alias("t"), F.lower("content").alias("c"))
-    put(texts.mapInArrow(_grammed, "gram string, chunk_ids array<long>").withColumn("chunk_id", F.get("chunk_ids", F.lit(0))), "gram", "grams")
-    vocabulary(held).write.parquet(f"{path}/vocabulary")
-    held.agg(F.count("*").alias("n"), F.avg("n_words").alias("words"), F.avg("n_grams").alias("grams")).write.parquet(f"{path}/stats")
+    grams = texts.mapInArrow(_grammed, "gram string, chunk_ids array<long>")
+    put(grams.withColumn("bucket", bucket("gram")), "grams", "gram")
+    put(vocabulary(held), "vocabulary")
+    put(held.groupBy("source_id").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"), F.sum("n_grams").alias("grams")), "sizes")
 
 
-class Stored:
-    """A written index. Only the buckets of a search's terms are read, and of them the row groups with the terms."""
+_CHUNKS = "chunk_id long, source_id long, chunk_no int, title string, content string, content_type string, n_words long, n_grams long, segment long, bucket int"
+_TABLES = {
+    "chunks": _CHUNKS, "words": f"{_POSTINGS}, segment long, bucket int", "grams": "gram string, chunk_ids array<long>, segment long, bucket int",
+    "vocabulary": "word string, chunk_id long, no int, segment long", "sizes": "source_id long, n long, words long, grams long, segment long",
+}
+
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        self.n, self.words, self.grams = spark.read.parquet(f"{path}/stats").first()
+class Stored:
+    """A written index. Only the buckets of a search's terms are read, and of them the row groups with the terms. Of an index
+    of several segments, ``segments`` are those to read (all, if none are named), and ``dead`` (source_id) the sources that
+    stand in them and count no more: statistics are those of the others."""
+
+    def __init__(self, spark: SparkSession, path: str, segments: list[int] | None = None, dead: DataFrame | None = None):
+        self.spark, self.path, self.segments, self.dead = spark, path, segments, dead
+        sums = self._living(self._read("sizes")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("words"), F.sum("grams")).first()
+        self.n = sums[0]
+        self.words, self.grams = ((x or 0) / self.n if self.n else 0.0 for x in sums[1:])
+
+    def _read(self, name: str) -> DataFrame:
+        df = self.spark.read.schema(_TABLES[name]).parquet(f"{self.path}/{name}")
+        return df if self.segments is None else df.where(F.col("segment").isin(*self.segments))
+
+    def _living(self, df: DataFrame) -> DataFrame:
+        """Rows of living sources, by source_id or by that of chunk_id."""
+        if self.dead is None:
+            return df
+        if "source_id" in df.columns:
+            return df.join(self.dead, "source_id", "left_anti")
+        return df.join(self.dead, source_of("chunk_id") == self.dead["source_id"], "left_anti")
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        """A whole table of all living sources. The vocabulary is never shrunk."""
+        if name == "vocabulary":
+            first = self._read(name).groupBy("word").agg(F.min(F.struct("chunk_id", "no")).alias("first"))
+            return (self._read(name) if self.dead is None else first.select("word", "first.*")).select("word", "chunk_id", "no")
+        return self._living(self._read(name)).drop("segment")
 
     @property
     def word_stats(self) -> tuple[int, float]:
@@ -251,7 +295,7 @@ class Stored:
     def _of(self, name: str, column: str, terms: list[str]) -> DataFrame:
         """The rows of a list of terms: filters on the bucket and on the term, so that partitions and row groups are skipped."""
         buckets = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
-        return self.read(name).where(F.col("bucket").isin(*buckets) & F.col(column).isin(*terms))
+        return self._read(name).where(F.col("bucket").isin(*buckets) & F.col(column).isin(*terms))
 
     def word_hits(self, terms: DataFrame | Iterable[str]) -> DataFrame:
         """As :func:`word_hits`, stemmed."""
@@ -260,7 +304,7 @@ class Stored:
         made = [(r.term, r.n, r.no, stem(r.token)) for r in rows]
         cols = list(zip(*made, strict=True)) or [()] * 4
         wanted = self.spark.createDataFrame(pa.table(dict(zip(("term", "n", "no", "stem"), (pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)), strict=True))))
-        found = self._of("words", "stem", sorted({r[3] for r in made})).join(F.broadcast(wanted), "stem")
+        found = self._living(self._of("words", "stem", sorted({r[3] for r in made}))).join(F.broadcast(wanted), "stem")
         single = found.where("n = 1").select("term", "chunk_id", "dl", F.size("title_at").cast("long").alias("title_hits"), F.size("at").cast("long").alias("content_hits"))
         if all(r[1] == 1 for r in made):
             return single
@@ -274,12 +318,14 @@ class Stored:
         cols = list(zip(*made, strict=True)) or [()] * 3
         grams = F.broadcast(self.spark.createDataFrame(pa.table({"term": pa.array(cols[0], pa.string()), "gram": pa.array(cols[1], pa.string()), "n": pa.array(cols[2], pa.int64())})))
         listed = self._of("grams", "gram", sorted(set(cols[1]))).select("gram", F.explode("chunk_ids").alias("chunk_id"))
-        met = listed.join(grams, "gram").groupBy("term", "n", "chunk_id").agg(F.count("*").alias("met"))
-        likely = met.where("met = n").select("term", "chunk_id")
-        texts = self.read("chunks").select("chunk_id", F.col("n_grams").alias("dl"), F.lower("title").alias("t"), F.lower("content").alias("c"))
-        return _counted(texts.join(likely, "chunk_id").where(F.contains("c", F.col("term")) | F.contains("t", F.col("term"))))
+        met = self._living(listed).join(grams, "gram").groupBy("term", "n", "chunk_id").agg(F.count("*").alias("met"))
+        likely = met.where("met = n").select("term", "chunk_id", bucket(source_of("chunk_id")).alias("bucket"))
+        texts = self._read("chunks").select("bucket", "chunk_id", F.col("n_grams").alias("dl"), "title", "content")
+        # texts are lower-cased where they are candidates; their buckets are those of the candidates
+        near = texts.join(likely, ["bucket", "chunk_id"]).select("term", "chunk_id", "dl", F.lower("title").alias("t"), F.lower("content").alias("c"))
+        return _counted(near.where(F.contains("c", F.col("term")) | F.contains("t", F.col("term"))))
 
     def texts(self, rows: DataFrame, *columns: str) -> DataFrame:
         """Rows with a chunk_id, and columns of their chunks: few rows, so only the buckets of their sources are read."""
-        few = F.broadcast(rows.withColumn("bucket", bucket(source_of("chunk_id"))))
-        return self.read("chunks").select("bucket", "chunk_id", *columns).join(few, ["bucket", "chunk_id"]).drop("bucket")
+        few = rows.withColumn("bucket", bucket(source_of("chunk_id")))
+        return self._read("chunks").select("bucket", "chunk_id", *columns).join(few, ["bucket", "chunk_id"]).drop("bucket")

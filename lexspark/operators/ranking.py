@@ -70,7 +70,8 @@ def layer(groups: DataFrame, scored: DataFrame, every_group: bool) -> DataFrame:
 def top(ranked: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """The k best of each query, with rank0 from 0."""
     order = W.partitionBy(*keys).orderBy("score", "chunk_id")
-    return ranked.withColumn("rank0", F.row_number().over(order) - 1).where(F.col("rank0") < k)
+    # the planner knows a limit on row_number itself: each task passes on its k best of a query
+    return ranked.withColumn("rank0", F.row_number().over(order)).where(F.col("rank0") <= k).withColumn("rank0", F.col("rank0") - 1)
 
 
 def fuse(ranked: DataFrame, chunks: DataFrame, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -177,7 +178,7 @@ def correct_queries(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """query_id, query with words replaced; only queries that change."""
     cleaned = F.split(trim(F.regexp_replace(F.lower("query"), _SPECIAL, " ")), r"[\t\n\x0B\f\r ]+")
     words = queries.select("query_id", "query", F.posexplode(F.transform(cleaned, lambda w: F.btrim(w, F.lit(".,!?;:")))).alias("no", "word"))
-    fixed = words.join(F.broadcast(correct(words, vocabulary)), "word", "left")
+    fixed = words.join(correct(words, vocabulary), "word", "left")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", F.coalesce("fixed", "word").alias("w")))), lambda x: x["w"]), " ")
     return fixed.groupBy("query_id").agg(text.alias("query"), F.count("fixed").alias("n")).where("n > 0").drop("n")
 

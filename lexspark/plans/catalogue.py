@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions import coerce, text
-from ..operators import access, chunking, evaluate, index, lifecycle, policy, ranking, sessions, snippets, vault
+from ..operators import access, chunking, evaluate, index, lifecycle, policy, ranking, segments, sessions, snippets, vault
 from ..sources import files, pages
 from . import search, tables
 
@@ -124,7 +125,8 @@ def distinctive_terms(spark, sf):
 @query
 def index_stats(spark, sf):
     """Builds the stored index, if this session has none yet."""
-    return tables.stored_index(spark, sf).read("stats").select("n", r6("words").alias("words"), r6("grams").alias("grams"))
+    stored = tables.stored_index(spark, sf)
+    return stored.read("sizes").agg(F.sum("n").alias("n"), r6(F.sum("words") / F.sum("n")).alias("words"), r6(F.sum("grams") / F.sum("n")).alias("grams"))
 
 
 # -- ranking --------------------------------------------------------------------------------------------------------------
@@ -377,6 +379,46 @@ def index_upsert_plan(spark, sf):
     return lifecycle.upsert_plan(_incoming(spark, sf), tables.bare_sources(spark, sf)).select("label", "action", "seq")
 
 
+def _segments(spark, sf) -> segments.Segments:
+    """All documents; then all again, some with other text, some of another kind, some under new labels, a tenth deleted.
+    Written at the first call of a session."""
+    docs = tables.read(spark, sf, "documents")
+    d, text_ = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    kind = F.element_at(F.array(*map(F.lit, ("durable", "ephemeral", "session"))), (d % 3 + 1).cast("int"))
+    label = F.concat(F.lit("doc:"), d.cast("string"))
+    again = F.when(d % 4 == 3, F.concat(F.lit("new:"), (d % 50).cast("string"))).otherwise(label)
+    changed = F.when(d % 10 != 0, F.concat(text_, F.when(d % 4 == 1, F.lit(" license!")).otherwise("")))
+    batches = (
+        docs.select(label.alias("label"), kind.alias("kind"), text_.alias("text"), d.alias("seq")),
+        docs.select(again.alias("label"), F.when(d % 4 == 2, "durable").otherwise(kind).alias("kind"), changed.alias("text"), d.alias("seq")),
+    )
+
+    def write(at: str) -> None:
+        made = segments.Segments(spark, at)
+        for number, rows in enumerate(batches):
+            made.apply(number, rows, tables.as_of())
+
+    return segments.Segments(spark, store.once(spark, "segments", sf, write))
+
+
+@query
+def index_segments(spark, sf):
+    """Hits of words in an index of two segments, with the labels of their sources."""
+    made = _segments(spark, sf)
+    groups = ranking.word_groups(_batch(spark), False)
+    stored = made.open()
+    hits = ranking.layer(groups, index.bm25(stored.word_hits(groups.select("term")), stored.word_stats), False).withColumn("source_id", index.source_of("chunk_id"))
+    return hits.join(made.sources(), "source_id").select("query_id", "label", (F.col("chunk_id") % 2**20).cast("int").alias("chunk_no"), r6("score").alias("score"))
+
+
+@query
+def segment_actions(spark, sf):
+    """What each segment did to labels, and how many sources of a kind live in the end."""
+    made = _segments(spark, sf)
+    log = made.log().groupBy(F.col("segment").cast("string").alias("of"), F.col("action").alias("what")).agg(F.count("*").alias("n"))
+    return log.unionByName(made.sources().groupBy(F.lit("alive").alias("of"), F.col("kind").alias("what")).agg(F.count("*").alias("n")))
+
+
 @query
 def index_upsert_apply(spark, sf):
     have = tables.sources(spark, sf).select("source_id", "label", "kind", "content_hash", "indexed_at", "last_accessed_at", "access_count")

@@ -162,6 +162,18 @@ fused AS (SELECT query_id, source_id, title, sum(1.0 / (60 + rank0)) AS fused_sc
 SELECT query_id, source_id, title, round(fused_score, 6) AS fused_score, layers, CASE WHEN fused_score > 1.0 / 60 THEN 'rrf(porter+trigram)' ELSE split_part(layers, ',', 1) END AS match_layer FROM fused"""
 
 
+_FINAL = f"""seg AS (SELECT CASE WHEN doc_id % 4 = 3 THEN 'new:' || (doc_id % 50) ELSE 'doc:' || doc_id END AS label, CASE WHEN doc_id % 4 = 2 THEN 'durable' ELSE ['durable', 'ephemeral', 'session'][doc_id % 3 + 1] END AS kind,
+  CASE WHEN doc_id % 10 <> 0 THEN coalesce(text, '') || CASE WHEN doc_id % 4 = 1 THEN ' license!' ELSE '' END END AS text, doc_id AS seq FROM documents),
+first_ AS (SELECT 'doc:' || doc_id AS label, ['durable', 'ephemeral', 'session'][doc_id % 3 + 1] AS kind, coalesce(text, '') AS text, doc_id FROM documents),
+second_ AS (SELECT *, true AS later FROM seg QUALIFY row_number() OVER (PARTITION BY label ORDER BY seq DESC) = 1),
+final_ AS (SELECT label, coalesce(s.kind, f.kind) AS kind, {_redacted("coalesce(s.text, f.text)")} AS text FROM first_ f FULL JOIN second_ s USING (label) WHERE later IS NULL OR s.text IS NOT NULL),
+named AS MATERIALIZED (SELECT label, kind, text, row_number() OVER (ORDER BY label) AS source_id FROM final_)"""
+_ACTIONS = f"""SELECT '0' AS of, 'insert' AS what, count(*) AS n FROM first_
+UNION ALL SELECT '1', CASE WHEN f.label IS NULL THEN 'insert' WHEN s.text IS NULL THEN 'delete' WHEN {_redacted('f.text')} <> {_redacted('s.text')} THEN 'replace' WHEN f.kind <> s.kind THEN 'rekind' ELSE 'skip' END AS what, count(*)
+  FROM second_ s LEFT JOIN first_ f USING (label) WHERE s.text IS NOT NULL OR f.label IS NOT NULL GROUP BY what
+UNION ALL SELECT 'alive', kind, count(*) FROM final_ GROUP BY kind"""
+
+
 def _values(name: str, columns: str, rows) -> str:
     return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(x if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + ")"
 
@@ -313,6 +325,9 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY source_id ORDER BY score DE
         "bm25_word_topk": f"{_word('true', True)} {_TOP}",
         "bm25_word_or": f"{_word('true')} {_TOP}",
         "index_stats": f"WITH {TOKENS} SELECT n, round(mean, 6) AS words, (SELECT round(avg(greatest(0, length(title) - 2) + greatest(0, length(content) - 2)), 6) FROM chunks) AS grams FROM corpus",
+        "index_segments": _word("true").replace(RED, f"{_FINAL}, red AS (SELECT source_id, text FROM named)")
+        + " SELECT query_id, label, chunk_no, round(score, 6) AS score FROM layer JOIN chunks USING (chunk_id) JOIN named USING (source_id)",
+        "segment_actions": f"WITH {_FINAL} {_ACTIONS}",
         "porter_search": f"{_word('met = g', True)} {_TOP}",
         "full_search_pipeline": _search(catalogue.QUERIES + catalogue.TYPOS, [(2, "License")]),
         "bm25_word_and": f"{_word('met = g')} {_TOP}",
