@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -311,6 +313,15 @@ class Stored:
         places = found.where("n > 1").select("term", "n", "no", "chunk_id", "dl", F.posexplode(F.array("title_at", "at")).alias("col", "ps"))
         return single.unionByName(_phrases(places.select("term", "n", "no", "chunk_id", "dl", "col", F.explode("ps").alias("pos"))))
 
+    def places(self, stems: list[str], begins: list[str] = ()) -> DataFrame:
+        """stem, chunk_id, dl, col (0 title, 1 content), pos of stems, or of those that begin in some way: as they are sorted,
+        a range of each bucket."""
+        stem_ = F.col("stem")
+        ranges = [(stem_ >= b) & ((stem_ < b[:-1] + chr(ord(b[-1]) + 1)) if ord(b[-1]) < 0xD7FF else F.startswith(stem_, F.lit(b))) for b in begins]
+        found = self._of("words", "stem", sorted(set(stems))) if not begins else self._read("words").where(reduce(or_, ranges))
+        sides = self._living(found).select("stem", "chunk_id", "dl", F.posexplode(F.array("title_at", "at")).alias("col", "ps"))
+        return sides.select("stem", "chunk_id", "dl", "col", F.explode("ps").alias("pos"))
+
     def trigram_hits(self, terms: DataFrame | Iterable[str]) -> DataFrame:
         """As :func:`trigram_hits`: chunks that hold some of a term's trigrams are its candidates; their texts are then looked at."""
         # three of a term's trigrams, from its begin, middle and end, leave few wrong candidates

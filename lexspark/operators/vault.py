@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import head, head_tail, redact, trim
-from . import index
+from . import index, rawquery
 from .sessions import blocks, clean_text, merged_blocks, text_of
 
 #: Characters of a tool's result, of a title, of an agent's prompt; words of a snippet; characters of a launch.
@@ -162,6 +162,18 @@ def search(rows: DataFrame, archive: DataFrame, query: str, role: str = "", limi
     return found.orderBy("score", "session", "turn_index", "message_index").limit(limit).select("session", "turn_index", "message_index", "role", "score", snippet(F.col("content"), words).alias("snippet"))
 
 
+def write_messages(rows: DataFrame, path: str) -> None:
+    """An index of messages: session (a number), line_no, text; a message is a chunk of its session by its line."""
+    keyed = rows.select(F.col("session").cast("long").alias("source_id"), F.col("line_no").cast("int").alias("chunk_no"), F.lit("").alias("title"), F.col("text").alias("content"), F.lit("prose").alias("content_type"))
+    index.write_index(keyed.withColumn("chunk_id", index.chunk_id()), path)
+
+
+def raw_search(stored: index.Stored, queries: list[tuple[int, str]]) -> DataFrame:
+    """query_id, session, line_no, score of messages that meet raw queries; the messages' one column is content_text."""
+    found = rawquery.search(stored, queries, ("", "content_text"))
+    return found.select("query_id", index.source_of("chunk_id").alias("session"), (F.col("chunk_id") % 2**20).cast("int").alias("line_no"), "score")
+
+
 def snippet(text: Column, words: list[str], n: int = SNIPPET) -> Column:
     """About ``n`` words around the first hit, hits in [ ]."""
     parts = F.split(text, r"\s+")

@@ -576,6 +576,19 @@ def vault_search(spark, sf):
     return vault.search(rows, archive, "the of", stemmed=False).select("session", F.col("turn_index").cast("int").alias("turn_index"), "role", r6("score").alias("score"), "snippet")
 
 
+RAW_QUERIES = (
+    (1, "NEAR(the of, 2)"), (2, "thi* NOT of"), (3, "content_text : (und OR die) AND der"), (4, '^the OR "of the"'), (5, '"of the" + th* NOT {content_text} : and'), (6, "role: the OR de la"),
+    (7, 'NEAR("of the" and en*, 4) AND the'),
+)
+
+
+@query
+def vault_raw_search(spark, sf):
+    rows = _archive_rows(spark, sf)
+    stored = index.Stored(spark, store.once(spark, "messages", sf, lambda at: vault.write_messages(rows, at)))
+    return vault.raw_search(stored, list(RAW_QUERIES)).select("query_id", "session", "line_no", r6("score").alias("score"))
+
+
 @query
 def uuid_prefix_lookup(spark, sf):
     return vault.lookup(_archive(spark, sf), "00000001").select("session", "ambiguous")

@@ -174,6 +174,47 @@ UNION ALL SELECT '1', CASE WHEN f.label IS NULL THEN 'insert' WHEN s.text IS NUL
 UNION ALL SELECT 'alive', kind, count(*) FROM final_ GROUP BY kind"""
 
 
+def _raw() -> str:
+    """Places of stems, phrases as joins of consecutive ones, and each query's condition spelt out."""
+    phrases = {  # name: (tokens, the last is a prefix, only at the start)
+        "the": ("the", 0, 0), "of_": ("of", 0, 0), "thi": ("thi", 1, 0), "und": ("und", 0, 0), "die": ("die", 0, 0), "der": ("der", 0, 0), "first_the": ("the", 0, 1), "of_the": ("of the", 0, 0),
+        "of_the_th": ("of the th", 1, 0), "and_": ("and", 0, 0), "de": ("de", 0, 0), "la": ("la", 0, 0), "en": ("en", 1, 0),
+    }
+
+    def occurrences(name: str, tokens: str, prefix: int, first: int) -> str:
+        ts = tokens.split()
+        stems = [porter.stem(t) for t in ts]
+        on = [f"p{i}.stem = {q(x)}" if not (prefix and i == len(ts) - 1) else f"starts_with(p{i}.stem, {q(x)})" for i, x in enumerate(stems)]
+        joins = " ".join(f"JOIN pos p{i} ON p{i}.m = p0.m AND p{i}.pl = p0.pl + {i}" for i in range(1, len(ts)))
+        return f"o_{name} AS MATERIALIZED (SELECT p0.m, p0.pl, {len(ts)} AS n FROM pos p0 {joins} WHERE {' AND '.join(on)}{' AND p0.pl = 0' if first else ''})"
+
+    def near(name: str, parts: list[str], n: int) -> str:
+        """Places of each part in a stretch that ends where some part begins and holds all."""
+        ends = " UNION ".join(f"SELECT m, pl FROM o_{p}" for p in parts)
+        inside = lambda p, e: f"{p}.m = {e}.m AND {p}.pl <= {e}.pl AND {p}.pl + {p}.n + {n} >= {e}.pl"
+        whole = " AND ".join(f"EXISTS (SELECT 1 FROM o_{p} x WHERE {inside('x', 'e')})" for p in parts)
+        lists = ", ".join(f"{name}_{p} AS MATERIALIZED (SELECT DISTINCT x.m, x.pl, x.n FROM o_{p} x JOIN {name} e ON {inside('x', 'e')})" for p in parts)
+        return f"{name} AS MATERIALIZED (SELECT * FROM ({ends}) e WHERE {whole}), {lists}"
+
+    # query: (table of places, its phrase) for each leaf, and the condition over leaves a, b, c ...
+    asked = {
+        1: ([("n1_the", "the"), ("n1_of_", "of_")], "a AND b"), 2: ([("o_thi", "thi"), ("o_of_", "of_")], "a AND NOT b"), 3: ([("o_und", "und"), ("o_die", "die"), ("o_der", "der")], "(a OR b) AND c"),
+        4: ([("o_first_the", "first_the"), ("o_of_the", "of_the")], "a OR b"), 5: ([("o_of_the_th", "of_the_th"), ("o_and_", "and_")], "a AND NOT b"), 6: ([("o_de", "de"), ("o_la", "la")], "a AND b"),
+        7: ([("n7_of_the", "of_the"), ("n7_and_", "and_"), ("n7_en", "en"), ("o_the", "the")], "a AND b AND c AND d"),
+    }
+    leaves = " UNION ALL ".join(f"SELECT {i} AS query_id, {k} AS leaf, '{phrase}' AS phrase, m, count(*) AS tf FROM {table} GROUP BY m" for i, (ls, _) in asked.items() for k, (table, phrase) in enumerate(ls))
+    counted = " UNION ALL ".join(f"SELECT '{p}' AS phrase, count(DISTINCT m) AS df FROM o_{p}" for p in phrases)
+    flags = ", ".join(f"coalesce(bool_or(leaf = {k}), false) AS {c}" for k, c in enumerate("abcd"))
+    meets = " OR ".join(f"query_id = {i} AND ({cond})" for i, (_, cond) in asked.items())
+    return f"""WITH {ROLES}, tk AS (SELECT CAST(session AS BIGINT) * 1048576 + line_no AS m, {_tokens("text")} AS t FROM turned), every_ AS (SELECT DISTINCT unnest(t) AS token FROM tk), {_porter("every_")},
+pos AS MATERIALIZED (SELECT m, i - 1 AS pl, stem FROM tk, unnest(range(1, len(t) + 1)) AS r(i) JOIN stems ON token = t[i]), lens AS (SELECT m, len(t) AS dl FROM tk), corpus AS (SELECT count(*) AS n, avg(dl) AS mean FROM lens),
+{", ".join(occurrences(k, *v) for k, v in phrases.items())}, {near("n1", ["the", "of_"], 2)}, {near("n7", ["of_the", "and_", "en"], 4)},
+leaves AS ({leaves}), dfs AS ({counted}),
+scored AS (SELECT query_id, leaf, m, -(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)) AS score FROM leaves JOIN dfs USING (phrase) JOIN lens USING (m), corpus),
+met AS (SELECT query_id, m, sum(score) AS score, {flags} FROM scored GROUP BY query_id, m)
+SELECT query_id, m // 1048576 AS session, CAST(m % 1048576 AS INTEGER) AS line_no, round(score, 6) AS score FROM met WHERE {meets}"""
+
+
 def _values(name: str, columns: str, rows) -> str:
     return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(x if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + ")"
 
@@ -325,6 +366,7 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY source_id ORDER BY score DE
         "bm25_word_topk": f"{_word('true', True)} {_TOP}",
         "bm25_word_or": f"{_word('true')} {_TOP}",
         "index_stats": f"WITH {TOKENS} SELECT n, round(mean, 6) AS words, (SELECT round(avg(greatest(0, length(title) - 2) + greatest(0, length(content) - 2)), 6) FROM chunks) AS grams FROM corpus",
+        "vault_raw_search": _raw(),
         "index_segments": _word("true").replace(RED, f"{_FINAL}, red AS (SELECT source_id, text FROM named)")
         + " SELECT query_id, label, chunk_no, round(score, 6) AS score FROM layer JOIN chunks USING (chunk_id) JOIN named USING (source_id)",
         "segment_actions": f"WITH {_FINAL} {_ACTIONS}",
