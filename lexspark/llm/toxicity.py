@@ -148,13 +148,13 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return float(w[0]), max(0.0, float(w[1])), max(0.0, float(w[2]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, terms: int = 20_000, prior: float = 50.0, flat: float = 0.5, sure: float | None = None, least: float = 2.0, min_docs: int | None = None) -> Model:
-    """sure, least: the z-score and the log-odds from which a token counts (unless given, 3 and, where fewer than 100 toxic
-    texts are known, 2.5). min_docs: texts that hold it (5, or 4). prior, flat: pseudo-counts of all tokens together, and of each."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float = 50.0, flat: float = 0.5, sure: float = 3.0, slack: float = 0.6, least: float = 2.0, min_docs: int = 4) -> Model:
+    """sure, least: the z-score and the log-odds from which a token counts; the z-score gives way by ``slack`` where toxic texts
+    are few, the less the more there are (half of it at 100). min_docs: texts that hold it. prior, flat: pseudo-counts of all
+    tokens together, and of each. There are at most as many weights as the sample of ``most`` texts has frequent tokens."""
     small_batches(docs.sparkSession)
     train = sample(docs, labels, "toxic", held_out(5, 0), most)
-    few = (train.agg(F.sum("label")).first()[0] or 0) < 100
-    sure, min_docs = sure or (2.5 if few else 3.0), min_docs or (4 if few else 5)
+    sure -= slack * 100 / (100 + (train.agg(F.sum("label")).first()[0] or 0))
     tokens = train.mapInArrow(_counts, "token binary, clean_docs long, toxic_docs long")
     tokens = tokens.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("clean_docs", "toxic_docs")])
     whole = F.substring("token", -1, 1) != F.lit(b"*")
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, terms: int = 20_
     ranked = tokens.where(F.col("toxic_docs") + F.col("clean_docs") >= min_docs)
     ranked = ranked.withColumn("weight", odds("toxic_docs", n_toxic) - odds("clean_docs", n_clean))
     ranked = ranked.withColumn("z", F.col("weight") / F.sqrt(1 / (F.col("clean_docs") + alpha) + 1 / (F.col("toxic_docs") + alpha)))
-    top = ranked.where((F.col("z") >= sure) & (F.col("weight") >= least)).orderBy(F.desc("z"), "token").limit(terms).select("token", "weight").collect()
+    top = ranked.where((F.col("z") >= sure) & (F.col("weight") >= least)).select("token", "weight").collect()
     weights = {bytes(r.token): float(r.weight) for r in top}
     # words without weight of their own speak a little against toxicity: the mean must be negative
     model = Model(weights, default=-0.1)
