@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.porter import stem, stem_udf
-from ..functions.text import col, vocabulary_words, word_tokens
+from ..functions.text import col, max_edits, vocabulary_words, word_tokens
 
 #: Distinct terms that one batch of queries may hold.
 MAX_TERMS = 10_000
@@ -142,6 +142,43 @@ def vocabulary(chunks: DataFrame) -> DataFrame:
     return first.select("word", "first.chunk_id", "first.no")
 
 
+def _cut(length: Column, edits: int, i: int) -> tuple[Column, Column]:
+    """Begin (from 0) and size of part ``i`` of a word of ``length`` bytes in ``edits`` + 1 parts as even as can be."""
+    base, small = F.floor(length / (edits + 1)).cast("int"), edits + 1 - length % (edits + 1)
+    return (i * base + F.greatest(F.lit(0), i - small)).cast("int"), (base + (F.lit(i) >= small).cast("int")).cast("int")
+
+
+def _spelling(length: Column, edits: int, i: int, part: Column) -> Column:
+    return F.xxhash64(length.cast("int"), F.lit(edits), F.lit(i), part)
+
+
+def spellings(vocabulary: DataFrame) -> DataFrame:
+    """key, word, chunk_id, no: a word of a vocabulary under each of its parts. A word within so many edits has one part more
+    unchanged, shifted by the edits at most: so words that may be meant meet by equal keys, and only they are compared. Parts
+    are those for the edits that words of nearly the same length allow, and the whole word; under ten rows a word."""
+    word, n = F.encode("word", "UTF-8"), F.octet_length("word")
+    # edits by the length of the other word: 1 up to 4 bytes, 2 up to 12, 3 beyond
+    fits = {0: F.lit(True), 1: n <= 5, 2: n <= 14, 3: n >= 10}
+    keys = [F.when(fits[d], F.array(*[_spelling(n, d, i, F.substr(word, at + 1, size)) for i in range(d + 1) for at, size in [_cut(n, d, i)]])).otherwise(F.array().cast("array<bigint>")) for d in fits]
+    return vocabulary.select(F.explode(F.array_distinct(F.concat(*keys))).alias("key"), "word", "chunk_id", "no")
+
+
+def spelling_probes(words: DataFrame) -> DataFrame:
+    """word, edits (allowed), key of distinct words: the keys of every vocabulary word within the allowed edits; edits 0: of itself."""
+    n = F.octet_length("word")
+    rows = words.select("word", F.encode("word", "UTF-8").alias("w"), n.alias("n"), max_edits(n).alias("edits"))
+    keys = []
+    for d in (1, 2, 3):
+        each = rows.where(F.col("edits") == d).withColumn("length", F.explode(F.sequence(F.col("n") - d, F.col("n") + d)))
+        for i in range(d + 1):
+            at, size = _cut(F.col("length"), d, i)
+            places = F.filter(F.sequence(at - d, at + d), lambda p, size=size: (p >= 0) & (p + size <= F.col("n")))
+            there = each.where(size > 0).withColumn("place", F.explode(places))
+            keys.append(there.select("word", "edits", _spelling(F.col("length"), d, i, F.substr("w", F.col("place") + 1, size)).alias("key")))
+    keys.append(rows.select("word", F.lit(0).alias("edits"), _spelling(F.col("n"), 0, 0, F.col("w")).alias("key")))
+    return reduce(DataFrame.unionByName, keys).distinct()
+
+
 def doc_frequency(chunks: DataFrame) -> DataFrame:
     """word, df: the chunks that hold each vocabulary word."""
     words = chunks.select("chunk_id", F.explode(F.array_distinct(vocabulary_words("content"))).alias("word"))
@@ -246,13 +283,15 @@ def write_index(chunks: DataFrame, path: str, segment: int = 0) -> None:
     grams = texts.mapInArrow(_grammed, "gram string, chunk_ids array<long>")
     put(grams.withColumn("bucket", bucket("gram")), "grams", "gram")
     put(vocabulary(held), "vocabulary")
+    words = spark.read.schema(_TABLES["vocabulary"]).parquet(f"{path}/vocabulary").where(F.col("segment") == segment)
+    put(spellings(words).withColumn("bucket", bucket("key")), "spellings", "key")
     put(held.groupBy("source_id").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"), F.sum("n_grams").alias("grams")), "sizes")
 
 
 _CHUNKS = "chunk_id long, source_id long, chunk_no int, title string, content string, content_type string, n_words long, n_grams long, segment long, bucket int"
 _TABLES = {
     "chunks": _CHUNKS, "words": f"{_POSTINGS}, segment long, bucket int", "grams": "gram string, chunk_ids array<long>, segment long, bucket int",
-    "vocabulary": "word string, chunk_id long, no int, segment long", "sizes": "source_id long, n long, words long, grams long, segment long",
+    "vocabulary": "word string, chunk_id long, no int, segment long", "spellings": "key long, word string, chunk_id long, no int, segment long, bucket int", "sizes": "source_id long, n long, words long, grams long, segment long",
 }
 
 
@@ -281,6 +320,8 @@ class Stored:
 
     def read(self, name: str) -> DataFrame:
         """A whole table of all living sources. The vocabulary is never shrunk."""
+        if name == "spellings":
+            return self._read(name)
         if name == "vocabulary":
             first = self._read(name).groupBy("word").agg(F.min(F.struct("chunk_id", "no")).alias("first"))
             return (self._read(name) if self.dead is None else first.select("word", "first.*")).select("word", "chunk_id", "no")

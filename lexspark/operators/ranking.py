@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from ..functions import lexicon
 from ..functions.porter import stem
-from ..functions.text import WORD_EDGE, byte_levenshtein, col, max_edits, trim
+from ..functions.text import WORD_EDGE, byte_levenshtein, col, trim
+from . import index
 
 #: The fusion constant, title boosts of prose and code, and the entity boost with its cap.
 RRF_K, TITLE_PROSE, TITLE_CODE, ENTITY_BOOST, ENTITY_CAP = 60, 0.3, 0.6, 0.3, 5
@@ -156,29 +157,28 @@ def term_spans(positions: DataFrame, keys: list[str]) -> DataFrame:
     return whole.groupBy(*keys).agg(F.min(F.array_max("nexts") - F.col("pos")).alias("span"))
 
 
-def correct(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def correct(words: DataFrame, spellings: DataFrame) -> DataFrame:
     """word, fixed (null: none) of distinct words: the nearest vocabulary word within the allowed edits, the earliest of equals.
 
-    Words of under 3 bytes, stopwords, words with synonyms and words of the vocabulary are left. Lengths differ by the edits
-    at most, so the join is by length.
-    """
-    length = F.octet_length("word")
+    Words of under 3 bytes, stopwords, words with synonyms and words of the vocabulary are left. ``spellings`` is that of
+    :func:`index.spellings`: words meet those that share a part by equal keys, in the buckets of the words' keys."""
     left = sorted(lexicon.STOPWORDS | {t for g in lexicon.SYNONYM_GROUPS for t in g.split()})
-    open_ = words.select("word").distinct().where((length >= 3) & ~F.col("word").isin(*left))
-    open_ = open_.join(vocabulary.select("word"), "word", "left_anti")
-    edits = max_edits(length)
-    probes = open_.select("word", edits.alias("edits"), F.explode(F.sequence(length - edits, length + edits)).alias("size"))
-    pairs = vocabulary.select(F.col("word").alias("other"), "chunk_id", "no", F.octet_length("word").alias("size")).join(F.broadcast(probes), "size")
-    near = pairs.withColumn("distance", byte_levenshtein("word", "other")).where("distance <= edits")
-    best = near.groupBy("word").agg(F.min_by("other", F.struct("distance", "chunk_id", "no", "other")).alias("fixed"))
-    return words.select("word").distinct().join(best, "word", "left")
-
-
-def correct_queries(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    open_ = words.select("word").distinct().where((F.octet_length("word") >= 3) & ~F.col("word").isin(*left))
+    probes = index.spelling_probes(open_).withColumnRenamed("word", "asked")
+    on = ["key"]
+    if "bucket" in spellings.columns:
+        probes, on = probes.withColumn("bucket", index.bucket("key")), ["bucket", "key"]
+    pairs = spellings.select(*on, F.col("word").alias("other"), "chunk_id", "no").join(probes, on).withColumn("distance", byte_levenshtein("asked", "other")).where("distance <= edits")
+    # a word of the vocabulary finds itself, at distance 0
+    best = pairs.groupBy(F.col("asked").alias("word")).agg(F.min(F.struct("distance", "chunk_id", "no", "other")).alias("x")).where("x.distance > 0")
+    return words.select("word").distinct().join(best.select("word", F.col("x.other").alias("fixed")), "word", "left")
+
+
+def correct_queries(queries: DataFrame, spellings: DataFrame) -> DataFrame:
     """query_id, query with words replaced; only queries that change."""
     cleaned = F.split(trim(F.regexp_replace(F.lower("query"), _SPECIAL, " ")), r"[\t\n\x0B\f\r ]+")
     words = queries.select("query_id", "query", F.posexplode(F.transform(cleaned, lambda w: F.btrim(w, F.lit(".,!?;:")))).alias("no", "word"))
-    fixed = words.join(correct(words, vocabulary), "word", "left")
+    fixed = words.join(correct(words, spellings), "word", "left")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", F.coalesce("fixed", "word").alias("w")))), lambda x: x["w"]), " ")
     return fixed.groupBy("query_id").agg(text.alias("query"), F.count("fixed").alias("n")).where("n > 0").drop("n")
 

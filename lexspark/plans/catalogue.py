@@ -254,7 +254,7 @@ def and_or_fallback(spark, sf):
 @query
 def fuzzy_correct(spark, sf):
     words = _batch(spark, TYPOS).select(F.explode(F.split(F.lower("query"), " ")).alias("word")).distinct()
-    return ranking.correct(words, tables.stored_index(spark, sf).read("vocabulary"))
+    return ranking.correct(words, tables.stored_index(spark, sf).read("spellings"))
 
 
 @query

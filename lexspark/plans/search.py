@@ -72,8 +72,8 @@ class Corpus:
         self.chunks, self.sources = chunks, sources
 
     @cached_property
-    def vocabulary(self) -> DataFrame:
-        return index.vocabulary(self.chunks)
+    def spellings(self) -> DataFrame:
+        return index.spellings(index.vocabulary(self.chunks))
 
     @cached_property
     def word_stats(self) -> tuple[int, float]:
@@ -108,8 +108,8 @@ class Indexed(Corpus):
         self.word_hits, self.trigram_hits = stored.word_hits, stored.trigram_hits
 
     @cached_property
-    def vocabulary(self) -> DataFrame:
-        return self.stored.read("vocabulary")
+    def spellings(self) -> DataFrame:
+        return self.stored.read("spellings")
 
     @property
     def word_stats(self) -> tuple[int, float]:
@@ -184,7 +184,7 @@ def search(corpus: Corpus, queries: DataFrame, options: Options = Options()) ->
     needy = queries.join(F.broadcast(counts), "query_id", "left").where(F.coalesce("n", F.lit(0)) < options.limit).select("query_id", "query")
     results = primary
     if not needy.isEmpty():
-        fixed = store.kept(ranking.correct_queries(needy, corpus.vocabulary), "corrected")
+        fixed = store.kept(ranking.correct_queries(needy, corpus.spellings), "corrected")
         if not fixed.isEmpty():
             second = _pass(corpus, fixed, options).withColumn("phase", F.lit(1)).withColumn("match_layer", F.concat(F.lit("fuzzy+"), "match_layer"))
             second = second.join(primary.select("query_id", "source_id", "title"), ["query_id", "source_id", "title"], "left_anti")

@@ -4,6 +4,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from lexspark.functions import text
 from lexspark.operators import index, ranking
 from lexspark.plans import search
 
@@ -80,7 +81,7 @@ def test_fuse_collapses_namesakes(spark, chunks):
 def test_correct(spark):
     vocabulary = spark.createDataFrame([("authentication", 0, 0), ("nodes", 0, 1), ("modes", 1, 0)], "word string, chunk_id long, no int")
     words = spark.createDataFrame([("authentcation",), ("nodes",), ("bodes",), ("the",), ("db",), ("zzzzzz",), ("perf",)], "word string")
-    got = {r.word: r.fixed for r in ranking.correct(words, vocabulary).collect()}
+    got = {r.word: r.fixed for r in ranking.correct(words, index.spellings(vocabulary)).collect()}
     assert got == {"authentcation": "authentication", "nodes": None, "bodes": "nodes", "the": None, "db": None, "zzzzzz": None, "perf": None}
 
 
@@ -163,3 +164,26 @@ def test_vocabulary_of_very_large_source_ids(spark):
     df = spark.createDataFrame([(2**23 + 5, 0, "alpha beta alpha"), (2**40, 3, "gamma")], "source_id long, chunk_no int, content string").withColumn("chunk_id", index.chunk_id())
     got = {r.word: (r.chunk_id, r.no) for r in index.vocabulary(df).collect()}
     assert got == {"alpha": ((2**23 + 5) * 2**20, 0), "beta": ((2**23 + 5) * 2**20, 1), "gamma": (2**60 + 3, 0)}
+
+
+def test_words_meet_all_that_are_near(spark):
+    """Every pair within the allowed edits, over bytes, against the distance of all pairs."""
+    rng = random.Random(3)
+    known = ["".join(rng.choices("abé", k=rng.choice([3, 4, 5, 8, 10, 12, 13, 15, 16, 20]))) for _ in range(150)]
+
+    def changed(w: str) -> str:
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randrange(len(w) + 1)
+            w = rng.choice([w[:i] + rng.choice("abé") + w[i:], w[:i] + w[i + 1 :], w[:i] + rng.choice("abé") + w[i + 1 :]])
+        return w
+
+    asked = sorted({changed(w) for w in known} - {""})
+    words = spark.createDataFrame([(w,) for w in asked], "word string").where(F.octet_length("word") >= 3)
+    vocabulary = spark.createDataFrame([(w, i, 0) for i, w in enumerate(sorted(set(known)))], "word string, chunk_id long, no int")
+    edits = F.when(F.octet_length("word") <= 4, 1).when(F.octet_length("word") <= 12, 2).otherwise(3)
+    all_pairs = words.crossJoin(vocabulary.select(F.col("word").alias("other"))).where(text.byte_levenshtein("word", "other") <= edits)
+    keys = index.spelling_probes(words).join(index.spellings(vocabulary).withColumnRenamed("word", "other"), "key")
+    met = keys.where(text.byte_levenshtein("word", "other") <= edits).select("word", "other").distinct()
+    assert set(map(tuple, met.collect())) == set(map(tuple, all_pairs.collect())) and met.count() > 100
+    rows = index.spellings(vocabulary).groupBy("word").count()
+    assert rows.agg(F.max("count")).first()[0] <= 10
