@@ -13,6 +13,7 @@ from .. import store
 from ..functions import coerce, text
 from ..operators import access, chunking, evaluate, index, lifecycle, policy, ranking, segments, sessions, snippets, vault
 from ..sources import files, pages
+from ..streaming import state
 from . import search, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -666,6 +667,37 @@ def search_throttle(spark, sf):
     return counted.groupBy("client", "count", "limit").agg(F.count("*").alias("n"))
 
 
+def _streamed(spark, sf, name: str, made) -> DataFrame:
+    """What a stream over a table's files has written when it has seen them all: ``made`` goes from rows to rows."""
+    at, provider = store.path(spark, "stream"), "spark.sql.streaming.stateStore.providerClass"
+    files = f"{sf}/{name}.parquet*"
+    rows = made(spark.readStream.schema(spark.read.parquet(files).schema).parquet(files))
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, state.PROVIDER)
+    try:
+        rows.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema(rows.schema).parquet(f"{at}/out")
+
+
+@query
+def throttle_stream(spark, sf):
+    """As search_throttle, of a stream that keeps each client's window."""
+    calls = lambda df: state.throttle(df.select(F.col("user_id").alias("client"), F.col("ts").cast("timestamp").alias("at")), 36_000)
+    return _streamed(spark, sf, "events", calls).groupBy("client", "count", "limit").agg(F.count("*").alias("n"))
+
+
+@query
+def expiry_stream(spark, sf):
+    """Sources whose time has ended by the latest index time, from timers of a stream."""
+    d = F.col("doc_id")
+    kind = F.element_at(F.array(*map(F.lit, ("durable", "ephemeral", "session"))), (d % 3 + 1).cast("int"))
+    at = F.timestamp_micros(F.unix_micros(F.lit("2024-01-01").cast("timestamp")) + (d % 90) * 86_400_000_000)
+    life = lambda df: state.expiries(df.select(F.concat(F.lit("doc:"), d.cast("string")).alias("label"), kind.alias("kind"), at.alias("indexed_at")))
+    return _streamed(spark, sf, "documents", life).select("label", "kind", F.date_format("expired_at", "yyyy-MM-dd HH:mm:ss").alias("expired_at"))
+
+
 @query
 def debounce_latest(spark, sf):
     kept = access.debounce(_calls(spark, sf).dropDuplicates(["client", "at"]), "client", "at", 600_000)

@@ -174,6 +174,11 @@ UNION ALL SELECT '1', CASE WHEN f.label IS NULL THEN 'insert' WHEN s.text IS NUL
 UNION ALL SELECT 'alive', kind, count(*) FROM final_ GROUP BY kind"""
 
 
+_THROTTLE = """WITH RECURSIVE e AS (SELECT user_id AS client, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+f AS (SELECT client, i, t, t AS b, 1 AS n FROM e WHERE i = 1 UNION ALL SELECT e.client, e.i, e.t, CASE WHEN e.t - b > 36000000000 THEN e.t ELSE b END, CASE WHEN e.t - b > 36000000000 THEN 1 ELSE n + 1 END FROM f JOIN e ON e.client = f.client AND e.i = f.i + 1)
+SELECT client, n AS count, CASE WHEN n > 8 THEN 0 WHEN n > 3 THEN 1 ELSE 2 END AS "limit", count(*) AS n FROM f GROUP BY client, f.n"""
+
+
 def _raw() -> str:
     """Places of stems, phrases as joins of consecutive ones, and each query's condition spelt out."""
     phrases = {  # name: (tokens, the last is a prefix, only at the start)
@@ -484,9 +489,9 @@ SELECT session, count(*) AS pairs, sha256(string_agg(text, chr(10) ORDER BY no))
         "vault_list": f"WITH {ARCHIVE} SELECT session, project_path, message_count FROM archive WHERE project_path ILIKE '%/P1%' AND end_time >= {DAY0} AND end_time <= TIMESTAMP '2024-01-02 23:59:59'",
         "uuid_prefix_lookup": f"WITH {ARCHIVE} SELECT session, count(*) OVER () > 1 AS ambiguous FROM archive WHERE starts_with(session, '00000001')",
         "asof_message": "WITH c AS (SELECT DISTINCT conv_id FROM conversations), w AS (SELECT conv_id AS session, x AS line FROM c, unnest([0, 2, 9]) AS r(x)) SELECT w.session, CAST(line AS BIGINT) AS line, CAST(greatest(0, count(k.turn) - 1) AS INTEGER) AS message FROM w LEFT JOIN conversations k ON k.conv_id = w.session AND k.turn % 2 = 1 AND k.turn <= line GROUP BY ALL",
-        "search_throttle": """WITH RECURSIVE e AS (SELECT user_id AS client, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
-f AS (SELECT client, i, t, t AS b, 1 AS n FROM e WHERE i = 1 UNION ALL SELECT e.client, e.i, e.t, CASE WHEN e.t - b > 36000000000 THEN e.t ELSE b END, CASE WHEN e.t - b > 36000000000 THEN 1 ELSE n + 1 END FROM f JOIN e ON e.client = f.client AND e.i = f.i + 1)
-SELECT client, n AS count, CASE WHEN n > 8 THEN 0 WHEN n > 3 THEN 1 ELSE 2 END AS "limit", count(*) AS n FROM f GROUP BY client, f.n""",
+        "search_throttle": _THROTTLE,
+        "throttle_stream": _THROTTLE,
+        "expiry_stream": f"WITH {BARE}, due AS (SELECT label, kind, indexed_at + CASE kind WHEN 'ephemeral' THEN INTERVAL 1 DAY ELSE INTERVAL 60 DAY END AS at_ FROM bare WHERE kind <> 'durable') SELECT label, kind, strftime(at_, '%Y-%m-%d %H:%M:%S') AS expired_at FROM due WHERE at_ < (SELECT max(indexed_at) FROM bare)",
         "debounce_latest": "WITH e AS (SELECT DISTINCT user_id AS client, ts FROM events), g AS (SELECT client, epoch_us(lead(ts) OVER (PARTITION BY client ORDER BY ts)) - epoch_us(ts) AS gap FROM e) SELECT client, count(*) AS n FROM g WHERE gap IS NULL OR gap > 600000000 GROUP BY client",
         "guidance_once": "SELECT user_id AS client, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1",
         "tool_stats": """WITH c AS (SELECT event_type AS tool, strlen(props) * 100 AS r, strlen(props) * 7 AS s FROM events), g AS (SELECT coalesce(tool, '(all)') AS tool, count(*) AS calls, CAST(sum(r) AS BIGINT) AS raw_bytes, CAST(sum(s) AS BIGINT) AS shown_bytes FROM c GROUP BY GROUPING SETS ((tool), ()))

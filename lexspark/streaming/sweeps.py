@@ -1,16 +1,13 @@
-"""Incremental sweeps and per-client state as Structured Streaming queries."""
+"""Incremental sweeps as Structured Streaming queries; :mod:`state` has what keeps state with timers."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.access import FULL, SOME, WINDOW_S
 from ..operators.segments import Segments
 
 
@@ -37,30 +34,6 @@ def into_index(spark: SparkSession, root: str, checkpoint: str, index: Segments,
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def throttle(calls: DataFrame, window_s: int = WINDOW_S) -> DataFrame:
-    """Calls (client, at) with count and limit; the window's begin and count are kept per client."""
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        begin, n = state.get if state.exists else (None, 0)
-        for pdf in parts:
-            rows = []
-            for at in pdf["at"].sort_values():
-                t = int(at.value // 1000)
-                if begin is None or t - begin > window_s * 1_000_000:
-                    begin, n = t, 0
-                n += 1
-                rows.append((key[0], at, n, 0 if n > SOME else 1 if n > FULL else 2))
-            yield pd.DataFrame(rows, columns=["client", "at", "count", "limit"])
-        state.update((begin, n))
-
-    return calls.groupBy("client").applyInPandasWithState(run, "client string, at timestamp, count int, limit int", "begin long, n int", "append", GroupStateTimeout.NoTimeout)
-
-
 def once_per_session(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """The first event of each session and type; state older than ``delay`` is let go."""
     return events.withWatermark("at", delay).dropDuplicatesWithinWatermark(["session", "type"])
-
-
-def expiring(sources: DataFrame, hours: int) -> DataFrame:
-    """Counts of sources by kind over the windows in which they live."""
-    return sources.withWatermark("indexed_at", f"{hours} hours").groupBy(F.window("indexed_at", f"{hours} hours"), "kind").agg(F.count("*").alias("sources"))
