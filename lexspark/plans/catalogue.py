@@ -21,9 +21,6 @@ ALL: dict[str, Query] = {}
 
 QUERIES = ((1, "general public license"), (2, "Apache License version"), (3, "pathetic idiot"), (4, "mit license released"))
 TYPOS = ((11, "licnese apache"), (12, "pathetik moron"), (13, "genral pubic license"), (14, "error log thandsnd"))
-ENTITY_QUERIES = (
-    (21, 'What is "Apache License" under GNU?'), (22, "Released the MIT License by camelCase My_Var"), (23, "The Server config.yaml C++ Then Foo-Bar."), (24, 'say "the" AND "x"'),
-)
 
 
 def query(f: Query) -> Query:
@@ -237,8 +234,9 @@ def snippet_windows(spark, sf):
 
 @query
 def synonym_expand(spark, sf):
-    words = ((31, "auth error"), (32, "slow db migrations"), (33, "the will"), (34, "log Logs LOGGING!"))
-    return ranking.word_groups(_batch(spark, words), True).select("query_id", F.col("group_no").cast("int").alias("group_no"), "term")
+    """Each user's message of a conversation as a query: its terms with their synonyms."""
+    said = tables.read(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.coalesce("text", F.lit("")).alias("query"))
+    return ranking.word_groups(said, True).select("query_id", F.col("group_no").cast("int").alias("group_no"), "term")
 
 
 @query
@@ -260,7 +258,8 @@ def fuzzy_correct(spark, sf):
 
 @query
 def entity_extract(spark, sf):
-    return _batch(spark, ENTITY_QUERIES).select("query_id", F.posexplode(ranking.entities("query")).alias("no", "entity")).select("query_id", F.col("no").cast("int").alias("no"), "entity")
+    docs = tables.read(spark, sf, "documents").select("doc_id", F.posexplode(ranking.entities(F.coalesce("text", F.lit("")))).alias("no", "entity"))
+    return docs.select("doc_id", F.col("no").cast("int").alias("no"), "entity")
 
 
 @query
@@ -835,15 +834,28 @@ def niah_summary(spark, sf):
 
 @query
 def niah_search(spark, sf):
-    """The search itself on the needles: each item's first words as a query, among all chunks, whatever their kind."""
-    cases = _cases(spark, sf)
-    found = search.search(_corpus(spark, sf), cases.select("query_id", "query"), search.Options(limit=10, kinds=search.KINDS))
-    # a needle counts as a whole, as its document was indexed: redacted and trimmed; items that no document holds are negative
-    holding = _held(spark, sf).withColumn("in_corpus", F.lit(True))
-    whole = F.transform("needles", lambda n: text.trim(text.redact(n)))
-    held = cases.join(F.broadcast(holding), "query_id", "left").withColumn("needles", F.when(F.col("in_corpus"), whole).otherwise(F.array().cast("array<string>"))).drop("in_corpus")
-    means = evaluate.summary(evaluate.case_metrics(found.select("query_id", "rank", "content"), held))
-    return means.select(F.coalesce("content_type", F.lit("(all)")).alias("content_type"), *[r6(c).alias(c) for c in NAMES[:-1]], r6("avg_context_recall").alias("avg_context_recall"), "case_count")
+    """The search itself on all benchmark items, whatever the kind of their sources: an item's first eight words are the query.
+
+    An item that some document holds is a needle, as a whole, as its document was indexed (redacted and trimmed); the others
+    are negative cases, and whatever is found for them is a false positive. Results are shown as snippets: what those save of
+    the chunks is the compression, and the recall of contexts is that of whole needles in them."""
+    cases = _cases(spark, sf).select("query_id", "query", "content_type")
+    whole = tables.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), text.trim(text.redact("text")).alias("needle"))
+    holding = whole.join(_held(spark, sf), "query_id")
+    none = F.array().cast("array<string>")
+    asked = store.kept(cases.join(holding, "query_id", "left").withColumn("needles", F.when(F.col("needle").isNotNull(), F.array("needle")).otherwise(none)).drop("needle"), "cases")
+    results = store.kept(search.search(_corpus(spark, sf), asked.select("query_id", "query"), search.Options(limit=10, kinds=search.KINDS)), "results")
+    per = evaluate.case_metrics(results.select("query_id", "rank", "content"), asked)
+    shown = store.kept(results.join(asked.select("query_id", "query"), "query_id").withColumn("snippet", snippets.snippet("content", "query")), "shown")
+    sizes = shown.groupBy("query_id").agg(F.count("*").alias("returned"), F.sum(F.octet_length("snippet")).alias("s"), F.sum(F.octet_length("content")).alias("w"))
+    in_snippets = evaluate.case_metrics(shown.select("query_id", "rank", F.col("snippet").alias("content")), asked)
+    reduced = evaluate.context_reduction(in_snippets.join(sizes, "query_id", "left").withColumn("compression", F.coalesce(F.greatest(F.lit(0.0), 1.0 - F.col("s") / F.col("w")), F.lit(1.0))).drop("s", "w"))
+    layers = evaluate.layer_checks(results.select("query_id", "rank", "content", "match_layer"), asked.withColumns({"expected_layer": F.lit("rrf(porter+trigram)"), "ceiling": F.lit(3)}))
+    type_ = F.coalesce("content_type", F.lit("(all)")).alias("content_type")
+    means = evaluate.summary(per).select(type_, *[r6(c).alias(c) for c in NAMES[:-1]], r6("avg_context_recall").alias("avg_context_recall"), "case_count", "negative_case_count", "negative_false_positive_count")
+    saved = evaluate.reduction_summary(reduced).select(type_, *[r6(c).alias(c) for c in ("avg_compression_ratio", "perfect_recall_rate", "avg_effective_compression")])
+    checked = evaluate.layer_summary(layers).select(type_, r6("match_layer_accuracy").alias("match_layer_accuracy"), r6("rank_ceiling_pass_rate").alias("rank_ceiling_pass_rate"))
+    return means.join(saved, "content_type", "left").join(checked, "content_type", "left")
 
 
 def _held(spark, sf) -> DataFrame:

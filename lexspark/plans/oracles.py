@@ -344,10 +344,25 @@ _STATS = "SELECT kind || '.' || tier AS metric, count(*) AS value FROM rated GRO
 _SIZES = "sized AS (SELECT bare.*, coalesce(chunk_rows, 0) AS chunk_rows, CAST(coalesce(content_bytes, 0) AS BIGINT) AS content_bytes FROM bare LEFT JOIN (SELECT source_id, count(*) AS chunk_rows, sum(length(content)) AS content_bytes FROM chunks GROUP BY source_id) USING (source_id))"
 
 
+def _query_terms() -> str:
+    """Terms of users' messages, numbered, with the synonyms of each."""
+    synonyms = ", ".join(f"({q(t)}, {q(x)})" for t, x in sorted({(t, x) for g in lexicon.SYNONYM_GROUPS for t in g.split() for x in lexicon.synonyms(t)}))
+    words = f"list_filter(list_transform(regexp_split_to_array({trim('t')}, '[\\t\\n\\x0B\\f\\r ]+'), lambda x: lower(trim(x, '.,!?;:'))), lambda x: x <> '')"
+    return f"""WITH q AS (SELECT conv_id * 1000 + turn AS query_id, regexp_replace(coalesce(text, ''), '[''"(){{}}\[\]*:^~]', ' ', 'g') AS t FROM conversations WHERE role = 'user'),
+w AS (SELECT query_id, {words} AS ws FROM q), u AS (SELECT query_id, list_filter(ws, lambda x, i: list_position(ws, x) = i) AS ws FROM w),
+k AS (SELECT query_id, ws, list_filter(ws, lambda x: x NOT IN {words_in(lexicon.STOPWORDS)}) AS kept FROM u),
+e AS (SELECT query_id, CASE WHEN len(kept) = 0 THEN ws ELSE kept END AS ws FROM k), g AS (SELECT query_id, CAST(i - 1 AS INTEGER) AS group_no, ws[i] AS term FROM e, unnest(range(1, len(ws) + 1)) AS r(i)),
+own AS (SELECT * FROM g WHERE upper(term) NOT IN {words_in(lexicon.QUERY_KEYWORDS)}), syn(term, other) AS (VALUES {synonyms})
+SELECT * FROM own UNION ALL SELECT query_id, group_no, other FROM own JOIN syn USING (term)"""
+
+
 def _entities() -> str:
-    """Stated case by case: the rules are short, the queries few."""
-    rows = ((21, 0, "Apache License"), (21, 1, "GNU"), (22, 0, "MIT"), (22, 1, "License"), (22, 2, "My_Var"), (23, 0, "Server"), (23, 1, "Then"), (23, 2, "Foo-Bar"), (24, 0, "the"), (24, 1, "AND"))
-    return "SELECT * FROM (VALUES " + ", ".join(f"({a}, {b}, {q(c)})" for a, b, c in rows) + ") t(query_id, no, entity)"
+    return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '"[^"]+"', ' ', 'g') AS rest FROM documents),
+p AS (SELECT doc_id, rest, list_filter(list_transform(regexp_extract_all(text, '"([^"]+)"', 1), lambda x: {trim("x")}), lambda x: strlen(x) >= 2) AS phrases, regexp_extract_all(rest, '\b[A-Z][a-zA-Z0-9_.\-]+\b') AS ids FROM d),
+k AS (SELECT doc_id, list_concat(phrases, list_filter(ids, lambda x, i: x NOT IN {words_in(lexicon.ENTITY_STOPWORDS)} AND strlen(x) >= 2
+  AND NOT (i = 1 AND starts_with({trim("rest")}, x) AND NOT regexp_matches(x, '[_.]|[a-z][A-Z]|[A-Z][A-Z][a-z]')))) AS es FROM p),
+u AS (SELECT doc_id, list_filter(es, lambda x, i: list_position(es, x) = i) AS es FROM k)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS no, es[i] AS entity FROM u, unnest(range(1, len(es) + 1)) AS r(i)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -395,7 +410,7 @@ sp AS (SELECT query_id, chunk_id, p, max(nxt) - p AS span, count(*) AS k FROM nx
         "snippet_windows": """WITH h AS (SELECT doc_id AS id, length(text) AS n, i - 1 AS pos FROM documents, unnest(range(1, length(text) + 1)) AS r(i) WHERE contains(lower(text), 'license') AND substr(lower(text), i, 7) = 'license'),
 s AS (SELECT id, pos, greatest(0, pos - 300) AS s, least(n, pos + 300) AS e FROM h), m AS (SELECT *, CASE WHEN lag(e) OVER w IS NULL OR s > lag(e) OVER w THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY id ORDER BY pos)),
 i AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY pos) AS isl FROM m) SELECT id, CAST(min(s) AS INTEGER) AS start, CAST(max(e) AS INTEGER) AS end_ FROM i GROUP BY id, isl""",
-        "synonym_expand": f"WITH {_terms(((31, 'auth error'), (32, 'slow db migrations'), (33, 'the will'), (34, 'log Logs LOGGING!')), True)} SELECT * FROM terms",
+        "synonym_expand": _query_terms(),
         "and_or_fallback": f"""{_word("true", queries=((1, "general public license"), (5, "pathetic apache"), (6, "idiot general scum trash loser")))}, full_ AS (SELECT query_id, chunk_id FROM layer JOIN sizes USING (query_id) WHERE met = g)
 SELECT query_id, chunk_id, 'and' AS mode, round(score, 6) AS score FROM layer JOIN full_ USING (query_id, chunk_id) UNION ALL SELECT query_id, chunk_id, 'or', round(score, 6) FROM layer WHERE query_id NOT IN (SELECT query_id FROM full_)""",
         "fuzzy_correct": f"""WITH {VOCAB}, v AS (SELECT word AS other, min(chunk_id * 1048576 + no) AS seq FROM vw GROUP BY 1), w AS ({fuzzy}),
