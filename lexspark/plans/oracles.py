@@ -348,7 +348,7 @@ def _query_terms() -> str:
     """Terms of users' messages, numbered, with the synonyms of each."""
     synonyms = ", ".join(f"({q(t)}, {q(x)})" for t, x in sorted({(t, x) for g in lexicon.SYNONYM_GROUPS for t in g.split() for x in lexicon.synonyms(t)}))
     words = f"list_filter(list_transform(regexp_split_to_array({trim('t')}, '[\\t\\n\\x0B\\f\\r ]+'), lambda x: lower(trim(x, '.,!?;:'))), lambda x: x <> '')"
-    return f"""WITH q AS (SELECT conv_id * 1000 + turn AS query_id, regexp_replace(coalesce(text, ''), '[''"(){{}}\[\]*:^~]', ' ', 'g') AS t FROM conversations WHERE role = 'user'),
+    return rf"""WITH q AS (SELECT conv_id * 1000 + turn AS query_id, regexp_replace(coalesce(text, ''), '[''"(){{}}\[\]*:^~]', ' ', 'g') AS t FROM conversations WHERE role = 'user'),
 w AS (SELECT query_id, {words} AS ws FROM q), u AS (SELECT query_id, list_filter(ws, lambda x, i: list_position(ws, x) = i) AS ws FROM w),
 k AS (SELECT query_id, ws, list_filter(ws, lambda x: x NOT IN {words_in(lexicon.STOPWORDS)}) AS kept FROM u),
 e AS (SELECT query_id, CASE WHEN len(kept) = 0 THEN ws ELSE kept END AS ws FROM k), g AS (SELECT query_id, CAST(i - 1 AS INTEGER) AS group_no, ws[i] AS term FROM e, unnest(range(1, len(ws) + 1)) AS r(i)),
