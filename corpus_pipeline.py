@@ -1,5 +1,10 @@
 """A training corpus from ``documents``: toxic documents go, frequent lines go, one document of each near-duplicate group
-stays, documents that hold benchmark passages go, and what is left is packed into sequences."""
+stays, documents that hold benchmark passages go, and what is left is packed into sequences.
+
+Odd rows: a null text is the empty one, and an empty text is clean, keeps its one empty line, and is a near copy only of texts
+that have no words either; of rows with a null doc_id each stage keeps or drops each by its text, and of near copies one with
+an id stays before one without. Repeated rows are near copies. An empty table gives an empty one. Columns beyond
+those of documents pass through all stages but the last, whatever their names."""
 
 from __future__ import annotations
 

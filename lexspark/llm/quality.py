@@ -1,7 +1,8 @@
 """Quality: histogram gradient-boosted trees over document statistics, flattened into arrays.
 
 The driver fits on at most ``most`` labelled documents (a documented bound: ``most`` rows of some thirty numbers); every text
-is scored whole. Null and empty texts have statistics too (all zero). Without two classes all scores are the base rate.
+is scored whole. Null and empty texts have statistics too (all zero). Without two classes all scores are the base rate. A row
+with a null doc_id is scored like any other and teaches nothing; repeated rows are scored each, and teach once.
 """
 
 from __future__ import annotations

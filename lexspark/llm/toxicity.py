@@ -6,8 +6,9 @@ plus proportional to the counts of both. A linear scan finds all maximal segment
 extreme-value law of Karlin and Altschul, whose two parameters come from clean documents. The best segment's and the sum of
 all significant segments' evidence go through a logistic calibration.
 
-The fit takes at most ``most`` labelled documents and keeps at most ``terms`` tokens (both parameters bound what the driver
-holds); every text is scored whole. Null and empty texts have no segment; without two classes all scores are the base rate.
+The fit takes at most ``most`` labelled documents, which bounds the weights that the driver holds; every text is scored whole.
+Null and empty texts have no segment; without two classes all scores are the base rate. A row with a null doc_id counts as held
+out and is scored like any other; repeated rows are scored each, and teach once; of other columns none is read.
 """
 
 from __future__ import annotations
