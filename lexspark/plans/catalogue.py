@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import store
 from ..functions import coerce, text
-from ..operators import access, chunking, evaluate, index, lifecycle, policy, ranking, segments, sessions, snippets, vault
+from ..operators import access, chunking, evaluate, folders, highlights, index, lifecycle, policy, ranking, segments, sessions, snippets, vault
 from ..sources import files, pages
 from ..streaming import state
 from . import search, tables
@@ -232,6 +232,21 @@ def snippet_windows(spark, sf):
     return snippets.window_rows(hits).select("id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end_"))
 
 
+@query
+def highlight(spark, sf):
+    """The best 20 chunks of each query by words and their synonyms, with marks around what it hits: their bytes, the shortest
+    stretch that holds one of each group, and the text."""
+    groups = ranking.word_groups(_batch(spark), True)
+    stored = tables.stored_index(spark, sf)
+    scored = index.bm25(stored.word_hits(groups.select("term")), stored.word_stats)
+    best = ranking.top(ranking.layer(groups, scored, False).withColumn("score", F.round("score", 9)), 20)
+    lists = groups.groupBy("query_id", "group_no").agg(F.collect_list("term").alias("g")).groupBy("query_id").agg(F.collect_list("g").alias("groups"))
+    found = highlights.marks(stored, best, groups).join(F.broadcast(lists), "query_id")
+    marked = found.withColumn("text", highlights.highlighted("content", "marks"))
+    at = F.array_join(F.transform("marks", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), ",")
+    return marked.select("query_id", "chunk_id", at.alias("marks"), highlights.span("content", "marks", "groups").alias("span"), sha("text").alias("text_sha"), (highlights.stripped("text") == F.col("content")).alias("strips"))
+
+
 @query
 def synonym_expand(spark, sf):
     """Each user's message of a conversation as a query: its terms with their synonyms."""
@@ -548,6 +563,14 @@ def project_sessions(spark, sf):
     return vault.of_project(_foldered(spark, sf), "-P1").select("session", vault.project_path().alias("project_path"))
 
 
+@query
+def project_paths(spark, sf):
+    """Pages' places as project folders, nine tenths of which still stand, and the mangled names of all of them."""
+    place = F.concat(F.lit("/srv/"), F.regexp_replace(F.regexp_extract("url", r"^[^:]*://([^?#]*)", 1), "/+$", ""), F.when(F.col("page_id") % 4 == 0, "/.cache").otherwise(""))
+    at = tables.read(spark, sf, "pages").where("url is not null").select("page_id", F.regexp_replace(place, "/+", "/").alias("path"))
+    return folders.unmangled(at.select(folders.mangled("path").alias("project_dir")), at.where("page_id % 10 <> 9").select("path"))
+
+
 @query
 def vault_delete(spark, sf):
     return vault.delete("00000003-aaaa", _archive(spark, sf))[0].select("session", "message_count")

@@ -148,6 +148,36 @@ def _tri(where: str) -> str:
     return f"WITH {TRI_LENS}, {_terms(catalogue.QUERIES, trigram=True)}, {_TRI_HITS}, {_SCORED.format(where=where)}"
 
 
+def _highlight() -> str:
+    """Bytes of tokens from the gaps between them; synonyms are single tokens here or phrases of several."""
+    token = r"[\p{L}\p{N}\p{Co}]+"
+    return f"""{_word("true", True)}, best AS (SELECT query_id, chunk_id FROM ranked WHERE rank0 < 20),
+cut AS (SELECT chunk_id, content, regexp_extract_all(content, '{token}') AS ts, regexp_split_to_array(content, '{token}') AS gaps FROM chunks WHERE chunk_id IN (SELECT chunk_id FROM best)),
+at_ AS (SELECT chunk_id, p, ts[p + 1] AS t, CAST(list_sum(list_transform(gaps[1:p + 1], lambda g: strlen(g))) + coalesce(list_sum(list_transform(ts[1:p], lambda g: strlen(g))), 0) AS BIGINT) AS s FROM cut, unnest(range(0, len(ts))) AS r(p)),
+tok AS (SELECT chunk_id, p, t, s, s + strlen(t) AS e, stem FROM at_ JOIN tk USING (chunk_id) JOIN stems ON token = ct[p + 1]),
+mk AS (SELECT DISTINCT query_id, chunk_id, s, e, lower(t) AS t FROM tok JOIN wanted USING (stem) JOIN terms USING (term) JOIN best USING (query_id, chunk_id)),
+grp AS (SELECT query_id, group_no, list(term) AS g FROM terms GROUP BY ALL), ev AS (SELECT query_id, chunk_id, s, group_no FROM mk JOIN grp USING (query_id) WHERE len(list_filter(g, lambda x: contains(t, x))) > 0),
+nx AS (SELECT a.query_id, a.chunk_id, a.s, b.group_no, min(b.s) AS nxt FROM (SELECT DISTINCT query_id, chunk_id, s FROM ev) a JOIN ev b ON b.query_id = a.query_id AND b.chunk_id = a.chunk_id AND b.s >= a.s GROUP BY ALL),
+sp AS (SELECT query_id, chunk_id, s, max(nxt) - s AS w, count(*) AS k FROM nx GROUP BY query_id, chunk_id, s), least_ AS (SELECT query_id, chunk_id, min(w) AS span FROM sp JOIN sizes USING (query_id) WHERE k = g GROUP BY ALL),
+ms AS (SELECT query_id, chunk_id, string_agg(s || '-' || e, ',' ORDER BY s) AS marks, list(DISTINCT s) AS ss FROM mk GROUP BY ALL),
+body AS (SELECT query_id, chunk_id, string_agg(gaps[i + 1] || CASE WHEN i >= len(ts) THEN '' WHEN list_contains(ss, s) THEN chr(2) || ts[i + 1] || chr(3) ELSE ts[i + 1] END, '' ORDER BY i) AS text
+  FROM ms JOIN cut USING (chunk_id), unnest(range(0, len(ts) + 1)) AS r(i) LEFT JOIN at_ ON at_.chunk_id = cut.chunk_id AND at_.p = i GROUP BY ALL)
+SELECT query_id, chunk_id, marks, span, sha256(text) AS text_sha, true AS strips FROM ms JOIN body USING (query_id, chunk_id) LEFT JOIN least_ USING (query_id, chunk_id)"""
+
+
+#: The probe itself, part by part: a state is a folder that stands, the parts left, and the choices made so far.
+_PROJECT_PATHS = r"""WITH RECURSIVE place AS (SELECT page_id, regexp_replace('/srv/' || regexp_replace(regexp_extract(url, '^[^:]*://([^?#]*)', 1), '/+$', '') || CASE WHEN page_id % 4 = 0 THEN '/.cache' ELSE '' END, '/+', '/', 'g') AS path FROM pages WHERE url IS NOT NULL),
+names AS (SELECT DISTINCT translate(path, '/.', '--') AS m FROM place),
+whole AS (SELECT DISTINCT path FROM place WHERE page_id % 10 <> 9), cut AS (SELECT path, string_split(path, '/') AS ps FROM whole),
+dirs AS (SELECT DISTINCT array_to_string(ps[1:i], '/') AS path FROM cut, unnest(range(1, len(ps) + 1)) AS r(i)),
+walk AS (SELECT m, '' AS at_, string_split(substr(m, 2), '-') AS rest, CAST([] AS BIGINT[]) AS taken FROM names
+UNION ALL SELECT m, to_, rest[i + 1:], list_append(taken, i * 3 + kind) FROM (SELECT m, rest, taken, i, kind, CASE WHEN kind < 2 AND array_to_string(rest[1:i], '') = '' AND i = 1 THEN at_
+  WHEN kind = 0 THEN at_ || '/' || array_to_string(rest[1:i], '-') WHEN kind = 1 THEN at_ || '/' || array_to_string(rest[1:i], '.') WHEN rest[1] = '' THEN at_ ELSE at_ || '/.' || rest[1] END AS to_
+  FROM walk, unnest(range(1, len(rest) + 1)) AS r(i), unnest([0, 1, 2]) AS k(kind) WHERE kind = 0 OR kind = 1 AND i > 1 OR kind = 2 AND i = 1) t JOIN dirs ON dirs.path = to_),
+done AS (SELECT m, at_ FROM walk WHERE len(rest) = 0 AND at_ IN (SELECT path FROM whole) QUALIFY row_number() OVER (PARTITION BY m ORDER BY taken) = 1)
+SELECT m AS project_dir, at_ AS path FROM names LEFT JOIN done USING (m)"""
+
+
 def _rrf() -> str:
     word = _SCORED.format(where="true")
     tri = word
@@ -410,6 +440,7 @@ sp AS (SELECT query_id, chunk_id, p, max(nxt) - p AS span, count(*) AS k FROM nx
         "snippet_windows": """WITH h AS (SELECT doc_id AS id, length(text) AS n, i - 1 AS pos FROM documents, unnest(range(1, length(text) + 1)) AS r(i) WHERE contains(lower(text), 'license') AND substr(lower(text), i, 7) = 'license'),
 s AS (SELECT id, pos, greatest(0, pos - 300) AS s, least(n, pos + 300) AS e FROM h), m AS (SELECT *, CASE WHEN lag(e) OVER w IS NULL OR s > lag(e) OVER w THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY id ORDER BY pos)),
 i AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY pos) AS isl FROM m) SELECT id, CAST(min(s) AS INTEGER) AS start, CAST(max(e) AS INTEGER) AS end_ FROM i GROUP BY id, isl""",
+        "highlight": _highlight(),
         "synonym_expand": _query_terms(),
         "and_or_fallback": f"""{_word("true", queries=((1, "general public license"), (5, "pathetic apache"), (6, "idiot general scum trash loser")))}, full_ AS (SELECT query_id, chunk_id FROM layer JOIN sizes USING (query_id) WHERE met = g)
 SELECT query_id, chunk_id, 'and' AS mode, round(score, 6) AS score FROM layer JOIN full_ USING (query_id, chunk_id) UNION ALL SELECT query_id, chunk_id, 'or', round(score, 6) FROM layer WHERE query_id NOT IN (SELECT query_id FROM full_)""",
@@ -434,6 +465,7 @@ SELECT doc_id, round(1.0 + 0.3 * n, 6) AS boost FROM m WHERE n > 0""",
 SELECT language, code, stdout, CASE WHEN code = 0 THEN 'ok' WHEN language = 'shell' AND code = 1 AND stdout = 'out' THEN 'soft_fail' ELSE 'fail' END AS class, count(*) AS n FROM r GROUP BY ALL""",
         "import_counts": f"WITH {ARCHIVE}, s AS (SELECT CASE conv_id % 4 WHEN 0 THEN 'new' WHEN 3 THEN 'updated' ELSE 'skipped' END AS status FROM archive) SELECT coalesce(status, 'total') AS status, count(*) AS n FROM s GROUP BY GROUPING SETS ((status), ())",
         "project_sessions": f"WITH {ARCHIVE} SELECT session, CASE WHEN conv_id % 3 = 1 THEN '/home/P1' ELSE '-home-P1' END AS project_path FROM archive WHERE conv_id % 7 = 1",
+        "project_paths": _PROJECT_PATHS,
         "vault_delete": f"WITH {ARCHIVE} SELECT session, message_count FROM archive WHERE conv_id <> 3",
         "line_for_row": "WITH c AS (SELECT DISTINCT conv_id FROM conversations), w AS (SELECT conv_id AS session, x AS row FROM c, unnest([0, 4, 10]) AS r(x)) SELECT w.session, CAST(w.row AS BIGINT) AS row, coalesce(max(k.turn), 0) AS line FROM w LEFT JOIN conversations k ON k.conv_id = w.session AND k.turn % 2 = 1 AND k.turn * 3 <= w.row GROUP BY ALL",
         "viewer_messages": f"""WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS session, conv_id, turn, role, {trim("text")} AS t FROM conversations WHERE role <> 'system'),
