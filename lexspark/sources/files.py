@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+import uuid
 from pathlib import PurePosixPath
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes a log line may have, and a sidecar file.
 LINE_BYTES, SIDECAR_BYTES = 16 * 1024 * 1024, 5 * 1024 * 1024
@@ -29,17 +33,55 @@ def lines_until_oversize(lines: DataFrame, key: str, most: int = LINE_BYTES) ->
     return lines.withColumn("over", over).where("over = 0").drop("over")
 
 
+@F.pandas_udf(T.BooleanType())
+def _linked(path: pd.Series, root: pd.Series) -> pd.Series:
+    """Whether a local path is a symbolic link, or lies behind one below the root. Other stores have no links."""
+
+    def one(p: str, top: str) -> bool:
+        local = re.sub("^file:(//)?", "", p) if p.startswith("file:") else ""
+        while len(local) > len(top):
+            if os.path.islink(local):
+                return True
+            local = os.path.dirname(local)
+        return False
+
+    return pd.Series([one(p, t) for p, t in zip(path, root, strict=True)], dtype=bool)
+
+
+def listed(files: DataFrame, root: str) -> DataFrame:
+    """session, project_dir, relative_path, is_subagent and the columns of ``files`` (path, modificationTime, length and others)
+    that are session files under ``root``. Three layouts are told apart by what lies in it: a configuration folder with
+    ``projects`` in it, one project's folder with logs (``*.jsonl``) right in it, or a folder of such project folders.
+
+    A log's name is its session, and what lies in the folder of that name belongs to it, by its relative path. Symbolic links
+    are left out, and files of over SIDECAR_BYTES that are neither logs nor logs of subagents. The layout is one row, told from
+    names alone; links are looked for by the tasks that hold the names."""
+    base = "/" + PurePosixPath(re.sub(r"^[a-z0-9]+:(//[^/]*)?(?=/)", "", root)).as_posix().strip("/")
+    at = F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?(?=/)", "")
+    below = files.withColumn("rest_", F.substr(at, F.lit(len(base) + 2))).where(F.startswith(at, F.lit(base.rstrip("/") + "/")))
+    below = below.where(~_linked("path", F.lit(base)))
+    log = F.col("rest_").rlike(r"^[^/]+\.jsonl$")
+    layout = below.agg(F.coalesce(F.max(F.startswith("rest_", F.lit("projects/"))), F.lit(False)).alias("config_"), F.coalesce(F.max(log), F.lit(False)).alias("single_"))
+    name = F.lit(PurePosixPath(base).name)
+    placed = below.crossJoin(F.broadcast(layout))
+    under = F.when(F.col("config_"), F.regexp_extract("rest_", r"^projects/([^/]+/.+)$", 1)).when(F.col("single_"), F.concat(name, F.lit("/"), "rest_")).otherwise(F.col("rest_"))
+    parts = placed.withColumn("under_", under).withColumn("project_dir", F.regexp_extract("under_", "^([^/]+)/", 1)).withColumn("inner_", F.regexp_extract("under_", "^[^/]+/(.+)$", 1))
+    main = F.regexp_extract("inner_", r"^([^/]+)\.jsonl$", 1)
+    made = parts.withColumn("session", F.coalesce(F.nullif(main, F.lit("")), F.regexp_extract("inner_", "^([^/]+)/", 1))).withColumn("relative_path", F.when(main != "", "").otherwise(F.regexp_extract("inner_", "^[^/]+/(.+)$", 1)))
+    made = made.withColumn("is_subagent", F.col("relative_path").rlike(r"(^|/)subagents/agent-[^/]+\.jsonl$"))
+    is_main = F.col("inner_").rlike(r"^[^/]+\.jsonl$")
+    kept = made.where((F.col("session") != "") & (is_main | (F.col("relative_path") != "") & (F.col("is_subagent") | (F.col("length") <= SIDECAR_BYTES))))
+    return kept.select("session", "project_dir", "relative_path", "is_subagent", *files.columns)
+
+
 def discover(spark: SparkSession, root: str) -> DataFrame:
-    """path, session, project_dir, relative_path, is_subagent, mtime, size, content of the session files under ``root``;
-    other sidecars over the limit are left out before their content is read."""
+    """path, session, project_dir, relative_path, is_subagent, mtime, size, content of the session files under ``root``, as in
+    :func:`listed`: a log, and sidecars of sessions that have one. What is left out is so before its content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    name = F.col("path")
-    session = F.regexp_extract(name, r"/([0-9a-fA-F-]{36})(?:\.jsonl$|/)", 1)
-    project = F.regexp_extract(name, r"/([^/]+)/[0-9a-fA-F-]{36}(?:\.jsonl$|/)", 1)
-    relative = F.regexp_extract(name, r"/[0-9a-fA-F-]{36}/(.+)$", 1)
-    agent = name.rlike(r"/subagents/agent-[^/]+\.jsonl$")
-    found = files.select("path", session.alias("session"), project.alias("project_dir"), relative.alias("relative_path"), agent.alias("is_subagent"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
-    return found.where((F.col("session") != "") & ((F.col("relative_path") == "") | F.col("is_subagent") | (F.col("size") <= SIDECAR_BYTES)))
+    found = listed(files, root)
+    logs = listed(files.drop("content"), root).where("relative_path = ''").select("session", "project_dir").distinct()
+    mine = found.join(logs, ["session", "project_dir"], "left_semi")
+    return mine.select("path", "session", "project_dir", "relative_path", "is_subagent", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
 
 
 def guarded(spark: SparkSession, path: str, most: int) -> DataFrame:
@@ -60,19 +102,28 @@ def safe_relative(path: Column) -> Column:
 
 
 def restore(files: DataFrame, target: str) -> int:
-    """Write relative_path, content rows under ``target``, a row at a time; returns how many. Unsafe paths raise."""
+    """Write relative_path, content rows under ``target``, a folder that driver and executors share; returns how many. Each task
+    writes its own rows, and one that runs again writes the same. Unsafe paths, paths that are there twice and links that lead
+    out of the target raise; the former two before anything is written."""
     if bad := files.where(~safe_relative(F.col("relative_path"))).select("relative_path").first():
         raise ValueError(f"unsafe path {bad[0]!r}")
-    n = 0
-    for row in files.select("relative_path", "content").toLocalIterator():
-        to = os.path.join(target, *PurePosixPath(row.relative_path).parts)
-        os.makedirs(os.path.dirname(to), exist_ok=True)
-        if os.path.islink(to) or not inside(os.path.dirname(to), target):
-            raise ValueError(f"{row.relative_path!r} leads out of the target")
-        with open(to, "wb") as f:
-            f.write(bytes(row.content))
-        n += 1
-    return n
+    if twice := files.groupBy("relative_path").count().where("count > 1").first():
+        raise ValueError(f"{twice[0]!r} is there more than once")
+
+    def write(batches):
+        for batch in batches:
+            for path, content in zip(batch["relative_path"], batch["content"], strict=True):
+                to = os.path.join(target, *PurePosixPath(path).parts)
+                os.makedirs(os.path.dirname(to), exist_ok=True)
+                if os.path.islink(to) or not inside(os.path.dirname(to), target):
+                    raise ValueError(f"{path!r} leads out of the target")
+                part = f"{to}.{uuid.uuid4().hex}"
+                with open(part, "wb") as f:
+                    f.write(bytes(content))
+                os.replace(part, to)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return files.select("relative_path", "content").mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 #: A corpus of needles in haystacks.
