@@ -13,7 +13,7 @@ from .. import store
 from ..functions import coerce, text
 from ..operators import access, chunking, evaluate, folders, highlights, index, lifecycle, policy, ranking, segments, sessions, snippets, vault
 from ..sources import files, pages
-from ..streaming import state
+from ..streaming import archive, state
 from . import search, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -548,6 +548,24 @@ def vault_import_status(spark, sf):
     return vault.import_plan(incoming, have, tables.as_of()).select("session", "status")
 
 
+@query
+def archive_import(spark, sf):
+    """Conversations as session logs, imported twice: two thirds of them first, a seventh of which can't be read; then all, half
+    of those mended. What stands in the archive then, and what is set apart."""
+    lines = tables.log_lines(spark, sf).groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("log"))
+    n = F.col("session").cast("long")
+    logs = store.kept(lines.select("session", F.lit("-srv").alias("project_dir"), F.lit("").alias("relative_path"), "log"), "logs")
+    of = lambda poisoned: logs.select("session", "project_dir", "relative_path", F.when(poisoned, "no log").otherwise(F.col("log")).cast("binary").alias("content"))
+    made = archive.Archive(spark, store.path(spark, "archive"))
+    made.apply(0, of(n % 7 == 3).where(n % 3 != 2), tables.as_of())
+    made.apply(1, of((n % 7 == 3) & (n % 2 == 1)), F.timestamp_micros(F.unix_micros(tables.as_of()) + 86_400_000_000))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn_index", "message_index", "text"))), lambda x: x["text"]), "\n")
+    said = made.messages().groupBy("session").agg(F.count("*").alias("messages"), sha(texts).alias("text_sha"))
+    kept = made.sessions().join(said, "session", "left").select("session", F.lit("archived").alias("state"), F.coalesce("messages", F.lit(0)).alias("messages"), "text_sha", F.date_format("archived_at", "yyyy-MM-dd").alias("archived_at"))
+    none = F.lit(None).cast("string")
+    return kept.union(made.quarantine().select("session", F.col("error").alias("state"), F.lit(0).cast("long").alias("messages"), none.alias("text_sha"), none.alias("archived_at")).distinct())
+
+
 @query
 def import_counts(spark, sf):
     return access.outcome_counts(vault_import_status(spark, sf))

@@ -465,6 +465,10 @@ SELECT doc_id, round(1.0 + 0.3 * n, 6) AS boost FROM m WHERE n > 0""",
 SELECT language, code, stdout, CASE WHEN code = 0 THEN 'ok' WHEN language = 'shell' AND code = 1 AND stdout = 'out' THEN 'soft_fail' ELSE 'fail' END AS class, count(*) AS n FROM r GROUP BY ALL""",
         "import_counts": f"WITH {ARCHIVE}, s AS (SELECT CASE conv_id % 4 WHEN 0 THEN 'new' WHEN 3 THEN 'updated' ELSE 'skipped' END AS status FROM archive) SELECT coalesce(status, 'total') AS status, count(*) AS n FROM s GROUP BY GROUPING SETS ((status), ())",
         "project_sessions": f"WITH {ARCHIVE} SELECT session, CASE WHEN conv_id % 3 = 1 THEN '/home/P1' ELSE '-home-P1' END AS project_path FROM archive WHERE conv_id % 7 = 1",
+        "archive_import": f"""WITH {ROLES}, c AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS session, conv_id % 7 = 3 AS bad, conv_id % 7 = 3 AND conv_id % 2 = 1 AS lost FROM conversations),
+m AS (SELECT session, count(*) AS n, sha256(string_agg(text, chr(10) ORDER BY line_no)) AS h FROM turns GROUP BY session)
+SELECT session, CASE WHEN lost THEN 'no readable line' ELSE 'archived' END AS state, CASE WHEN lost THEN 0 ELSE coalesce(n, 0) END AS messages, CASE WHEN NOT lost THEN h END AS text_sha,
+  CASE WHEN lost THEN NULL WHEN conv_id % 3 <> 2 AND NOT bad THEN '2024-03-15' ELSE '2024-03-16' END AS archived_at FROM c LEFT JOIN m USING (session)""",
         "project_paths": _PROJECT_PATHS,
         "vault_delete": f"WITH {ARCHIVE} SELECT session, message_count FROM archive WHERE conv_id <> 3",
         "line_for_row": "WITH c AS (SELECT DISTINCT conv_id FROM conversations), w AS (SELECT conv_id AS session, x AS row FROM c, unnest([0, 4, 10]) AS r(x)) SELECT w.session, CAST(w.row AS BIGINT) AS row, coalesce(max(k.turn), 0) AS line FROM w LEFT JOIN conversations k ON k.conv_id = w.session AND k.turn % 2 = 1 AND k.turn * 3 <= w.row GROUP BY ALL",
