@@ -57,6 +57,11 @@ def word_tokens(x: Column | str) -> Column:
     return F.regexp_extract_all(fold(F.lower(col(x))), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
 
 
+def token_count(x: Column | str) -> Column:
+    """How many word_tokens there are, without the tokens: folding makes a letter of a letter."""
+    return F.regexp_count(F.lower(col(x)), F.lit(r"[\p{L}\p{N}\p{Co}]+"))
+
+
 #: Latin letters with diacritics and their bases.
 _MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
 _PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
