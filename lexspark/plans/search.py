@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -126,8 +127,8 @@ class Indexed(Corpus):
         return hits.withColumn("source_id", index.source_of("chunk_id")).join(inside, "source_id", "left_semi").drop("source_id")
 
 
-def _compiled(queries: DataFrame, options: Options) -> tuple[DataFrame, dict[str, set[str]]]:
-    """The terms of each layer, and the table layer, strict, query_id, group_no, term, n (groups of the query there): one small job, then a local table.
+def _compiled(queries: DataFrame, options: Options) -> tuple[DataFrame, dict[str, set[str]], int]:
+    """The terms of each layer, the largest group_no, and the table layer, strict, query_id, group_no, term, n (groups of the query there): one small job, then a local table.
 
     strict 1: groups of synonyms, all of which must be met; 0: any of the query's own terms."""
     makers = {"porter": ranking.word_groups, "trigram": ranking.trigram_groups}
@@ -146,14 +147,14 @@ def _compiled(queries: DataFrame, options: Options) -> tuple[DataFrame, dict[str
     cols = list(zip(*rows, strict=True)) or [()] * 5
     made = {n: pa.array(c, pa.string() if n in ("layer", "term") else pa.int64()) for n, c in zip(names, cols, strict=True)}
     made["n"] = pa.array([len(sizes[r[:3]]) for r in rows], pa.int64())
-    return queries.sparkSession.createDataFrame(pa.table(made)), {name: {r[4] for r in rows if r[0] == name} for name in makers}
+    return queries.sparkSession.createDataFrame(pa.table(made)), {name: {r[4] for r in rows if r[0] == name} for name in makers}, max((r[3] for r in rows), default=0)
 
 
 def _pass(corpus: Corpus, queries: DataFrame, options: Options) -> DataFrame:
     """Fused and reranked candidates: query_id, chunk_id, source_id, title, fused_score, layers, match_layer, rank.
 
     The strict groups count where they find anything, else the flat ones. Both indexes and both modes go through one plan."""
-    groups, of = _compiled(queries, options)
+    groups, of, widest = _compiled(queries, options)
     hits = [corpus.word_hits(of["porter"]).withColumn("layer", F.lit("porter")), corpus.trigram_hits(of["trigram"]).withColumn("layer", F.lit("trigram"))]
     # written, since they are counted before they are scored
     hits = store.kept(hits[0].unionByName(hits[1]), "hits")
@@ -162,7 +163,11 @@ def _pass(corpus: Corpus, queries: DataFrame, options: Options) -> DataFrame:
     keys = ("query_id", "strict", "layer")
     # rounded, so that the order of equal scores is not that of their summation
     score = F.round(F.sum("score"), 9).alias("score")
-    met = F.broadcast(groups).join(scored, ["layer", "term"]).groupBy(*keys, "n", "chunk_id").agg(score, F.count_distinct("group_no").alias("met"))
+    # a chunk's hits are dealt to one task before they are joined with the queries, which have many more rows in all: they are
+    # summed up there, in as many parts as shuffles have, and a group that was met is a bit of as many words as there are groups for
+    dealt = scored.repartition(int(corpus.chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk_id")
+    bits = [F.bit_or(F.when(F.floor(F.col("group_no") / 62) == w, F.expr("shiftleft(1L, cast(group_no % 62 as int))")).otherwise(F.lit(0).cast("long"))) for w in range(widest // 62 + 1)]
+    met = F.broadcast(groups).join(dealt, ["layer", "term"]).groupBy(*keys, "n", "chunk_id").agg(score, reduce(add, [F.bit_count(b) for b in bits]).alias("met"))
     best = ranking.top(corpus.scoped(met.where("strict = 0 or met = n"), options), max(5 * options.limit, 10), keys)
     both = ranking.fused(corpus.texts(best, "source_id", "title"), ("query_id", "strict"))
     either = both.withColumn("best", F.max("strict").over(W.partitionBy("query_id"))).where("strict = best").drop("strict", "best")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import text
 from lexspark.operators import chunking, index
+from lexspark.plans import search
 
 
 def plan(df) -> str:
@@ -56,3 +57,28 @@ def test_trigrams_of_any_character():
 def test_token_count(spark):
     df = spark.createDataFrame([("Ä b-c İx \u0301e 12",), ("",), ("ÀÉ_é",)], "x string")
     assert all(r[0] == r[1] for r in df.select(text.token_count("x"), F.size(text.word_tokens("x"))).collect())
+
+
+def test_places_of_some_terms_leave_the_others_in_their_chunk(spark):
+    chunks = keyed(spark, ["alpha beta alpha", "gamma"])
+    found = index.postings(chunks, ["alpha", "gamma"]).where("col = 1")
+    assert sorted(map(tuple, found.collect())) == [(0, 1, 0, "alpha"), (0, 1, 2, "alpha"), (2**20, 1, 0, "gamma")]
+
+
+def test_a_candidate_text_is_joined_once_for_all_terms(spark, tmp_path):
+    chunks = keyed(spark, ["banana Ananas", "nana ban", "aaaa"])
+    index.write_index(chunks, str(tmp_path))
+    terms = ["ana", "ban", "nan", "aaa"]
+    hits = index.Stored(spark, str(tmp_path)).trigram_hits(terms)
+    assert "collect_list" in plan(hits)
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, index.trigram_hits(chunks, terms).where("title_hits + content_hits > 0").collect()))
+
+
+def test_groups_beyond_one_word_of_bits(spark, tmp_path):
+    words = [f"word{i}" for i in range(70)]
+    chunks = keyed(spark, [" ".join(words), " ".join(words[:69])])
+    index.write_index(chunks, str(tmp_path))
+    sources = spark.createDataFrame([(0, "a", "durable"), (1, "b", "durable")], "source_id long, label string, kind string")
+    corpus = search.Indexed(index.Stored(spark, str(tmp_path)), sources)
+    found = search.search(corpus, spark.createDataFrame([(1, " ".join(words))], "query_id int, query string")).collect()
+    assert [r["label"] for r in found] == ["a"]
