@@ -218,8 +218,9 @@ def source_filter(spark, sf):
 def proximity_span(spark, sf):
     """The shortest stretch, in words, that holds all words of a query."""
     groups = ranking.word_groups(_batch(spark), False)
-    tokens = index.postings(tables.chunks(spark, sf)).where("col = 1")
-    at = tokens.join(F.broadcast(groups), "term").select("query_id", "chunk_id", "group_no", "pos")
+    tokens = index.postings(tables.chunks(spark, sf), groups.select("term")).where("col = 1")
+    # written, since it is read four times and the chunks would be made as often
+    at = store.kept(tokens.join(F.broadcast(groups), "term").select("query_id", "chunk_id", "group_no", "pos"), "places")
     sizes = groups.groupBy("query_id").agg(F.count_distinct("group_no").alias("n"))
     full = at.groupBy("query_id", "chunk_id").agg(F.count_distinct("group_no").alias("met")).join(F.broadcast(sizes), "query_id").where("met = n").select("query_id", "chunk_id")
     return ranking.term_spans(at.join(full, ["query_id", "chunk_id"], "left_semi"), ["query_id", "chunk_id"])
