@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions.porter import stem
 from ..functions.text import word_tokens
 from . import index
@@ -193,18 +194,24 @@ def search(stored: index.Stored, queries: Iterable[tuple[int, str]], columns: tu
         of = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(i).alias("phrase"), F.lit(at).alias("no")) for s, i, at in begins])
         places.append(stored.places([], [s for s, _, _ in begins]).withColumn("b", F.explode(F.filter(of, lambda b: F.startswith("stem", b["s"])))).select("stem", "chunk_id", "dl", "col", "pos", "b.phrase", "b.no"))
     rows = places[0] if len(places) == 1 else places[0].unionByName(places[1])
-    runs = rows.groupBy("phrase", "chunk_id", "dl", "col", (F.col("pos") - F.col("no")).alias("start")).agg(F.count_distinct("no").alias("met"))
+    # a word stands at each of its places; a place holds one word of a phrase at most, so that words are counted as rows
+    one = F.col("phrase").isin([f[0] for f in facts if f[5] == 1])
+    runs = rows.where(~one).groupBy("phrase", "chunk_id", "dl", "col", (F.col("pos") - F.col("no")).alias("start")).agg(F.count("*").alias("met"))
+    runs = runs.unionByName(rows.where(one).select("phrase", "chunk_id", "dl", "col", F.col("pos").alias("start"), F.lit(1).cast("long").alias("met")))
     held = runs.join(known, "phrase").where((F.col("met") == F.col("n")) & F.array_contains("cols", F.col("col")) & (~F.col("first") | (F.col("start") == 0)))
     # of one leaf in one column of a chunk: how often each phrase stands there, and how often within a stretch of all
-    each = held.groupBy("query_id", "leaf", "phrases", "near", "chunk_id", "dl", "col").agg(F.collect_list(F.struct("phrase", "start", "n")).alias("at"))
+    each = held.where("phrases > 1").groupBy("query_id", "leaf", "phrases", "near", "chunk_id", "dl", "col").agg(F.collect_list(F.struct("phrase", "start", "n")).alias("at"))
     ids = F.array_distinct(F.transform("at", lambda a: a["phrase"]))
     within = lambda a, last: (a["start"] <= last) & (a["start"] + a["n"] + F.col("near") >= last)
     whole = lambda last: F.size(F.array_distinct(F.transform(F.filter("at", lambda a: within(a, last)), lambda a: a["phrase"]))) == F.col("phrases")
-    lasts = F.when((F.col("phrases") > 1) & (F.size(ids) == F.col("phrases")), F.filter(F.array_distinct(F.transform("at", lambda a: a["start"])), whole))
+    lasts = F.when(F.size(ids) == F.col("phrases"), F.filter(F.array_distinct(F.transform("at", lambda a: a["start"])), whole))
     near = each.withColumn("lasts", lasts).select("query_id", "leaf", "phrases", "chunk_id", "dl", "col", "near", "lasts", F.explode("at").alias("a"))
-    counts = F.when(F.col("phrases") == 1, F.lit(True)).otherwise(F.coalesce(F.exists("lasts", lambda last: within(F.col("a"), last)), F.lit(False)))
+    near = near.select("query_id", "leaf", F.col("a.phrase").alias("term"), "chunk_id", "dl", "col", F.coalesce(F.exists("lasts", lambda last: within(F.col("a"), last)), F.lit(False)).alias("ok"))
+    # a leaf of one phrase has nothing to be near to: its places are not gathered
+    every = near.unionByName(held.where("phrases = 1").select("query_id", "leaf", F.col("phrase").alias("term"), "chunk_id", "dl", "col", F.lit(True).alias("ok")))
     side = lambda c: F.count_if(F.col("ok") & (F.col("col") == c))
-    hits = near.withColumn("ok", counts).groupBy("query_id", "leaf", F.col("a.phrase").alias("term"), "chunk_id", "dl").agg(side(0).alias("title_hits"), side(1).alias("content_hits"))
+    # written, since hits are counted, scored and joined with their scores
+    hits = store.kept(every.groupBy("query_id", "leaf", "term", "chunk_id", "dl").agg(side(0).alias("title_hits"), side(1).alias("content_hits")), "hits")
     scored = index.bm25(hits, stored.word_stats, ("query_id", "leaf")).join(hits, ["query_id", "leaf", "term", "chunk_id"]).where("title_hits + content_hits > 0")
     bit = F.expr("shiftleft(1L, leaf)")
     chunks = scored.groupBy("query_id", "chunk_id").agg(F.bit_or(bit).alias("met"), F.sum("score").alias("score"))
