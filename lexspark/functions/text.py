@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,7 +42,8 @@ def byte_prefix(x: Column | str, most: int) -> Column:
 def redact(x: Column | str) -> Column:
     """Replace private blocks, then each kind of secret in order. Texts without any hint of one are passed as they are."""
     x = col(x)
-    some = x.rlike("(?i)" + "|".join(lexicon.SECRET_HINTS))
+    # plain searches in one lower-cased copy: an alternation would be tried at every character
+    some = let(F.lower(x), lambda low: reduce(or_, [F.contains(low, F.lit(hint)) for hint in lexicon.SECRET_HINTS]))
     out = F.regexp_replace(x, lexicon.PRIVATE_BLOCK, lexicon.PRIVATE_MARK)
     for pattern in lexicon.SECRET_PATTERNS:
         out = F.regexp_replace(out, pattern, lexicon.SECRET_MARK)
@@ -54,12 +58,21 @@ def vocabulary_words(x: Column | str) -> Column:
 
 def word_tokens(x: Column | str) -> Column:
     """Tokens of the word index: runs of letters and digits, lower case, Latin diacritics folded."""
-    return F.regexp_extract_all(fold(F.lower(col(x))), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
+    return _tokens(fold(F.lower(col(x))))
+
+
+def bare_tokens(x: Column | str) -> Column:
+    """word_tokens before they are folded: as many, since folding makes a letter of a letter."""
+    return _tokens(F.lower(col(x)))
+
+
+def _tokens(x: Column) -> Column:
+    return F.array_remove(F.split(x, r"[^\p{L}\p{N}\p{Co}]+"), "")
 
 
 def token_count(x: Column | str) -> Column:
-    """How many word_tokens there are, without the tokens: folding makes a letter of a letter."""
-    return F.regexp_count(F.lower(col(x)), F.lit(r"[\p{L}\p{N}\p{Co}]+"))
+    """How many word_tokens there are."""
+    return F.size(bare_tokens(x))
 
 
 #: Latin letters with diacritics and their bases.
@@ -67,6 +80,10 @@ _MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩ
 _PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
 
 
+#: The same for Python's str.translate.
+FOLDED = str.maketrans(_MARKED, _PLAIN)
+
+
 def fold(x: Column | str) -> Column:
     """Texts of one byte per character have nothing to fold."""
     x = col(x)

@@ -82,3 +82,43 @@ def test_groups_beyond_one_word_of_bits(spark, tmp_path):
     corpus = search.Indexed(index.Stored(spark, str(tmp_path)), sources)
     found = search.search(corpus, spark.createDataFrame([(1, " ".join(words))], "query_id int, query string")).collect()
     assert [r["label"] for r in found] == ["a"]
+
+
+def test_hints_of_secrets_are_no_alternation(spark):
+    odd = ["TOKEN = " + "b" * 30, "<PRIVATE>x</private>", "no more", "Key: " + "c" * 30, "sk-" + "a" * 25, "", None, "AKIA" + "A" * 16, "akia" + "A" * 16]
+    df = spark.createDataFrame([(x,) for x in odd], "x string")
+    found = df.select(text.redact("x").alias("out"))
+    assert "RLIKE" not in plan(found)
+    mark = "[REDACTED_SECRET]"
+    assert [r[0] for r in found.collect()] == [mark, "[REDACTED]", "no more", odd[3], mark, "", None, mark, odd[8]]
+
+
+def test_tokens_are_split_off_once_and_folded_by_the_stemmer(spark, tmp_path):
+    df = spark.createDataFrame([("Éa b-c, 12",), (",",), ("",), (None,)], "x string")
+    found = df.select(text.word_tokens("x"), text.token_count("x"))
+    assert "extract_all" not in plan(found) and "regexp_count" not in plan(found)
+    assert [r[0] for r in found.collect()] == [["ea", "b", "c", "12"], [], [], None]
+    index.write_index(keyed(spark, ["Éclairs éclair", "eclair"]), str(tmp_path))
+    hits = index.Stored(spark, str(tmp_path)).word_hits(["éclair"]).collect()
+    assert sorted((r["chunk_id"] >> 20, r["content_hits"]) for r in hits) == [(0, 2), (1, 1)]
+
+
+def test_spellings_are_one_short_expression(spark):
+    words = spark.createDataFrame([("a", 1, 2), ("abcdef", 3, 4), ("é" * 7, 5, 6), ("x" * 20, 7, 8)], "word string, chunk_id long, no int")
+    found = index.spellings(words)
+    assert plan(found).count("xxhash64") == 1
+    sizes = {r["word"]: r["n"] for r in found.groupBy("word").agg(F.count_distinct("key").alias("n")).collect()}
+    assert sizes == {"a": 6, "abcdef": 4, "é" * 7: 8, "x" * 20: 5}
+    probes = index.spelling_probes(spark.createDataFrame([("abcxef",), ("x" * 21,)], "word string"))
+    met = probes.withColumnRenamed("word", "asked").join(found, "key").select("asked", "word").distinct().collect()
+    assert {("abcxef", "abcdef"), ("x" * 21, "x" * 20)} == set(map(tuple, met))
+
+
+def test_vocabulary_without_decimals_where_the_numbers_fit(spark, tmp_path):
+    chunks = keyed(spark, ["beta alpha beta", "alpha gamma", "", "İİİ delta"])
+    index.write_index(chunks, str(tmp_path))
+    held = spark.read.schema(index._CHUNKS).parquet(f"{tmp_path}/chunks")
+    fits = index._fits(held)
+    assert fits and "decimal" not in plan(index.vocabulary(held, fits))
+    assert sorted(map(tuple, index.vocabulary(held, fits).collect())) == sorted(map(tuple, index.vocabulary(chunks).collect()))
+    assert index._fits(held.withColumn("chunk_id", F.col("chunk_id") + F.when(F.col("source_id") > 0, 2**62).otherwise(-(2**62)))) is None and index._fits(held.where("false")) is None
