@@ -117,7 +117,7 @@ def doc_frequency(spark, sf):
 
 @query
 def distinctive_terms(spark, sf):
-    return index.distinctive_terms(tables.chunks(spark, sf)).withColumn("score", r6("score"))
+    return index.distinctive_terms(tables.kept_chunks(spark, sf, "source_id", "content")).withColumn("score", r6("score"))
 
 
 @query

@@ -50,8 +50,13 @@ def bare_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(d.alias("source_id"), F.concat(F.lit("doc:"), d.cast("string")).alias("label"), kind.alias("kind"), at.alias("indexed_at"), lifecycle.content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"))
 
 
-def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """bare_sources with access_count, last_accessed_at, chunk_count, code_chunk_count (a fifth of the sources count as code)."""
+def kept_chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the chunks, written: for what reads them more than once, so that texts are redacted and cut once."""
+    return store.kept(chunks(spark, sf_dir).select(*columns), "chunks")
+
+
+def sources(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """Of chunks that are at hand, or made: bare_sources with access_count, last_accessed_at, chunk_count, code_chunk_count (a fifth of the sources count as code)."""
     seen = read(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click")).groupBy(F.col("user_id").alias("source_id"))
     log = seen.agg(F.count("*").alias("access_count"), F.max(F.col("ts").cast("timestamp")).alias("last_accessed_at"))
     pieces = chunks(spark, sf_dir).groupBy("source_id").agg(F.count("*").alias("chunk_count"))

@@ -122,3 +122,11 @@ def test_vocabulary_without_decimals_where_the_numbers_fit(spark, tmp_path):
     assert fits and "decimal" not in plan(index.vocabulary(held, fits))
     assert sorted(map(tuple, index.vocabulary(held, fits).collect())) == sorted(map(tuple, index.vocabulary(chunks).collect()))
     assert index._fits(held.withColumn("chunk_id", F.col("chunk_id") + F.when(F.col("source_id") > 0, 2**62).otherwise(-(2**62)))) is None and index._fits(held.where("false")) is None
+
+
+def test_only_words_of_sources_with_three_chunks_are_counted(spark):
+    chunks = keyed(spark, ["\n".join(f"alpha beta_{i} w{i % 2}ord" for i in range(60)), "alpha beta", "one\ntwo"]).select("source_id", "chunk_no", "content")
+    found = index.distinctive_terms(chunks.unionByName(chunks.where("source_id = 2")).unionByName(chunks.where("source_id = 2")))
+    steps = plan(found)
+    assert 0 <= steps.index("Generate explode") < steps.index("BroadcastHashJoin")
+    assert {r["source_id"] for r in found.collect()} == {0, 2}
