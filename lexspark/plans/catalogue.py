@@ -967,7 +967,7 @@ def edit_distance(spark, sf):
 
 @query
 def intent_summary(spark, sf):
-    chunks = tables.chunks(spark, sf)
+    chunks = tables.kept_chunks(spark, sf, "source_id", "chunk_no", "title", "content")
     found = chunks.where(F.contains(F.lower("content"), F.lit("license"))).withColumn("rank", F.row_number().over(W.partitionBy("source_id").orderBy("chunk_no"))).where("rank <= 3")
     facts = tables.documents(spark, sf).select("source_id", F.concat(F.lit("doc:"), F.col("source_id").cast("string")).alias("label"), F.size(F.split("text", "\n")).alias("lines"), F.octet_length("text").alias("bytes"))
     counts = chunks.groupBy("source_id").agg(F.count("*").alias("chunks"))

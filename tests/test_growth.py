@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import text
 from lexspark.operators import chunking, index
-from lexspark.plans import search
+from lexspark.plans import catalogue, search
 
 
 def plan(df) -> str:
@@ -130,3 +130,8 @@ def test_only_words_of_sources_with_three_chunks_are_counted(spark):
     steps = plan(found)
     assert 0 <= steps.index("Generate explode") < steps.index("BroadcastHashJoin")
     assert {r["source_id"] for r in found.collect()} == {0, 2}
+
+
+def test_chunks_are_made_once_and_read(spark):
+    for name in ("intent_summary", "evict_apply"):
+        assert "posexplode" not in plan(catalogue.ALL[name](spark, "/root/testdata/sf0.001")), name
