@@ -311,24 +311,30 @@ def ttl_buckets(spark, sf):
     return lifecycle.classify(tables.sources(spark, sf), tables.as_of()).where("kind <> 'durable'").groupBy("kind", "tier").agg(F.count("*").alias("n"))
 
 
-def _candidates(spark, sf) -> DataFrame:
-    return lifecycle.eviction_candidates(tables.sources(spark, sf), tables.chunks(spark, sf), tables.as_of(), most=20_000)
+def _sized(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Sources and chunks, written: no stage makes them while it joins them."""
+    chunks = tables.kept_chunks(spark, sf, "source_id", "content")
+    return store.kept(tables.sources(spark, sf, chunks), "sources"), chunks
+
+
+def _candidates(sources: DataFrame, chunks: DataFrame) -> DataFrame:
+    return lifecycle.eviction_candidates(sources, chunks, tables.as_of(), most=20_000)
 
 
 @query
 def cleanup_candidates(spark, sf):
-    return _candidates(spark, sf).select("source_id", "eviction_reason")
+    return _candidates(*_sized(spark, sf)).select("source_id", "eviction_reason")
 
 
 @query
 def eviction_breakdown(spark, sf):
-    return _candidates(spark, sf).groupBy("kind", "eviction_reason").agg(F.count("*").alias("n"))
+    return _candidates(*_sized(spark, sf)).groupBy("kind", "eviction_reason").agg(F.count("*").alias("n"))
 
 
 @query
 def evict_apply(spark, sf):
-    sources, chunks = tables.sources(spark, sf), tables.chunks(spark, sf)
-    left, pieces = lifecycle.evict(sources, chunks, _candidates(spark, sf))
+    sources, chunks = _sized(spark, sf)
+    left, pieces = lifecycle.evict(sources, chunks, store.kept(_candidates(sources, chunks).select("source_id"), "gone"))
     return left.join(pieces.groupBy("source_id").agg(F.count("*").alias("chunks")), "source_id", "left").select("source_id", F.coalesce("chunks", F.lit(0)).alias("chunks"))
 
 

@@ -59,7 +59,7 @@ def sources(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> Da
     """Of chunks that are at hand, or made: bare_sources with access_count, last_accessed_at, chunk_count, code_chunk_count (a fifth of the sources count as code)."""
     seen = read(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click")).groupBy(F.col("user_id").alias("source_id"))
     log = seen.agg(F.count("*").alias("access_count"), F.max(F.col("ts").cast("timestamp")).alias("last_accessed_at"))
-    pieces = chunks(spark, sf_dir).groupBy("source_id").agg(F.count("*").alias("chunk_count"))
+    pieces = (chunks(spark, sf_dir) if of is None else of).groupBy("source_id").agg(F.count("*").alias("chunk_count"))
     code = F.when(F.col("source_id") % 5 == 0, F.col("chunk_count")).when(F.col("source_id") % 5 == 1, 1).otherwise(0)
     joined = bare_sources(spark, sf_dir).join(log, "source_id", "left").join(pieces, "source_id", "left").fillna(0, ["access_count", "chunk_count"])
     return joined.withColumn("code_chunk_count", code)
