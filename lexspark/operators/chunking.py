@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -225,12 +225,26 @@ def chunk_json(text: str, most: int = MAX_BYTES) -> list[Chunk] | None:
         return None
 
 
+#: Texts of a batch that are Python objects at once.
+PART = 64
+
+
+def in_parts(values: pa.Array, f: Callable, kind: pa.DataType) -> pa.Array:
+    """f of each value: of a batch of whole texts only a part is held as Python objects, beside the batch and its results."""
+    parts = [pa.array(map(f, values.slice(i, PART).to_pylist()), kind) for i in range(0, len(values), PART)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def _each(cut: Callable[[str], list[Chunk] | None]):
-    @F.pandas_udf(CHUNKS)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            found = [None if t is None else cut(t) for t in texts]
-            yield pd.Series([None if c is None else [{"title": a, "content": b, "has_code": d} for a, b, d in c] for c in found], dtype=object)
+    kind = pa.list_(pa.struct([("title", pa.string()), ("content", pa.string()), ("has_code", pa.bool_())]))
+
+    def rows(text: str | None) -> list[dict] | None:
+        found = None if text is None else cut(text)
+        return None if found is None else [{"title": a, "content": b, "has_code": d} for a, b, d in found]
+
+    @F.arrow_udf(CHUNKS)
+    def run(texts: pa.Array) -> pa.Array:
+        return in_parts(texts, rows, kind)
 
     return run
 

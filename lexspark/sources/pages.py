@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,9 +127,9 @@ def markdown(html: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r" +\n", lambda m: "  \n" if len(m[0]) == 3 else "\n", "".join(parser.out))).strip()
 
 
-@F.pandas_udf(T.StringType())
-def html_to_markdown(html: pd.Series) -> pd.Series:
-    return html.map(markdown, na_action="ignore")
+@F.arrow_udf(T.StringType())
+def html_to_markdown(html: pa.Array) -> pa.Array:
+    return chunking.in_parts(html, lambda x: None if x is None else markdown(x), pa.string())
 
 
 def route(media_type: Column, body: Column) -> Column:
