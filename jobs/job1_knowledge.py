@@ -49,43 +49,46 @@ def _kind(origin, kinds):
     return found.otherwise("ephemeral")
 
 
-def _documents(spark: SparkSession, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """(source_id, origin, content_hash, text: one row each, redacted; rejected rows)."""
+def _documents(spark: SparkSession, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(row, text: redacted ones that may stay; source_id, origin, content_hash, row: one each; rejected rows). Texts are written
+    once, and which of them stay is found by ids, hashes and row numbers alone."""
     raw = spark.read.parquet(s.documents)
     text = F.coalesce("text", F.lit(""))
     rows = raw.select(F.col("doc_id").cast("long").alias("source_id"), F.col("source").alias("origin"), F.octet_length(text).cast("long").alias("bytes"), redact(text).alias("text"))
     rows = rows.withColumn("content_hash", lifecycle.content_hash("text"))
     wrong = F.when(F.col("source_id").isNull(), "no id").when(F.col("bytes") > s.most_bytes, "too large")
-    marked = store.kept(rows.withColumn("reason", wrong), "marked")
+    marked = rows.withColumn("reason", wrong).withColumn("text", F.when(F.col("reason").isNull(), F.col("text")))
+    marked = store.kept(marked.withColumn("row", F.monotonically_increasing_id()), "marked")
     right = marked.where("reason is null")
-    # a text belongs to the smallest id that has it, an id has the first of its texts: both over ids and hashes alone
-    owners = right.groupBy("content_hash").agg(F.min("source_id").alias("source_id"))
+    # a text belongs to the smallest id that has it, an id has the first of its texts
+    facts = right.groupBy("source_id", "content_hash").agg(F.max("bytes").alias("bytes"), F.count("*").alias("rows"), F.min("origin").alias("origin"), F.min("row").alias("row"))
+    facts = store.kept(facts, "facts")
+    owners = facts.groupBy("content_hash").agg(F.min("source_id").alias("source_id"))
     chosen = owners.groupBy("source_id").agg(F.min("content_hash").alias("content_hash")).withColumn("chosen", F.lit(True))
-    facts = right.groupBy("source_id", "content_hash").agg(F.max("bytes").alias("bytes"), F.count("*").alias("rows")).join(chosen, ["source_id", "content_hash"], "left")
+    facts = facts.join(chosen, ["source_id", "content_hash"], "left")
     repeated = facts.where("chosen is null or rows > 1").select("source_id", "content_hash", "bytes", F.lit("repeated").alias("reason"), (F.col("rows") - F.coalesce(F.col("chosen").cast("int"), F.lit(0))).alias("rows"))
     other = marked.where("reason is not null").groupBy("source_id", "content_hash", "bytes", "reason").agg(F.count("*").alias("rows"))
-    docs = right.join(chosen.drop("chosen"), ["source_id", "content_hash"]).groupBy("source_id", "content_hash").agg(F.min("origin").alias("origin"), F.min("text").alias("text"))
-    return docs, repeated.unionByName(other)
+    return right.select("row", "text"), facts.where("chosen").select("source_id", "origin", "content_hash", "row"), repeated.unionByName(other)
 
 
 def run(spark: SparkSession, s: Settings) -> dict[str, DataFrame]:
     """The tables that were written, read back."""
-    docs, rejected = _documents(spark, s)
-    docs = store.kept(docs, "docs")
-    chunks = store.kept(chunking.chunk_plain(docs, "source_id").withColumn("has_code", chunking.has_code(F.col("content"))), "chunks")
+    texts, docs, rejected = _documents(spark, s)
+    coded = chunking.has_code(F.col("content"))
+    counts = chunking.chunk_plain(texts, "row").groupBy("row").agg(F.count("*").alias("chunk_count"), F.count_if(coded).alias("code_chunk_count"), F.sum(F.length("content")).alias("content_bytes"))
     events = spark.read.parquet(s.events).select(F.col("user_id").cast("long").alias("source_id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_type").isin(*s.accesses[0]).alias("access"))
     seen = events.groupBy("source_id").agg(F.min("at").alias("first_at"), F.count_if("access").alias("access_count"), F.max(F.when(F.col("access"), F.col("at"))).alias("last_accessed_at"))
-    counts = chunks.groupBy("source_id").agg(F.count("*").alias("chunk_count"), F.count_if("has_code").alias("code_chunk_count"))
     indexed = F.coalesce("first_at", F.lit(s.since).cast("timestamp")).alias("indexed_at")
-    sources = docs.select("source_id", "origin", "content_hash").join(seen, "source_id", "left").join(counts, "source_id", "left").fillna(0, ["access_count", "chunk_count", "code_chunk_count"])
-    sources = sources.select("source_id", "origin", _kind(F.col("origin"), s.kinds).alias("kind"), "content_hash", "chunk_count", "code_chunk_count", "access_count", indexed, "last_accessed_at")
-    sources = store.kept(sources, "sources")
-    as_of = F.lit(s.as_of).cast("timestamp")
-    gone = store.kept(lifecycle.eviction_candidates(sources, chunks, as_of, s.most_content), "gone")
-    left, pieces = lifecycle.evict(sources, chunks, gone)
+    sources = docs.join(seen, "source_id", "left").join(counts, "row", "left").fillna(0, ["access_count", "chunk_count", "code_chunk_count", "content_bytes"])
+    sources = sources.select("row", "source_id", "origin", _kind(F.col("origin"), s.kinds).alias("kind"), "content_hash", "chunk_count", "code_chunk_count", "access_count", indexed, "last_accessed_at", F.col("chunk_count").alias("chunk_rows"), "content_bytes")
+    judged = store.kept(lifecycle.judged(sources, F.lit(s.as_of).cast("timestamp"), s.most_content), "judged")
+    left = judged.where("eviction_reason is null")
+    # written, so that few of them are known to be few; only the texts of sources that stay are cut into chunks to keep
+    staying = store.kept(left.select("row", F.struct("source_id", "kind").alias("of")), "staying")
+    pieces = chunking.chunk_plain(texts.join(staying, "row"), "of")
     made = {
-        "chunks": pieces.join(left.select("source_id", "kind"), "source_id").select("source_id", "chunk_no", "title", "content", "has_code", "kind"),
-        "sources": lifecycle.classify(left, as_of), "evicted": gone, "rejected": rejected,
+        "chunks": pieces.select("of.source_id", "chunk_no", "title", "content", coded.alias("has_code"), "of.kind"),
+        "sources": left.drop("row", "chunk_rows", "content_bytes", "eviction_reason"), "evicted": judged.where("eviction_reason is not null").drop("row"), "rejected": rejected,
     }
     log.info("read %s and %s", s.documents, s.events)
     written = {}

@@ -70,12 +70,18 @@ def source_sizes(sources: DataFrame, chunks: DataFrame) -> DataFrame:
     return sources.join(sums, "source_id", "left").fillna(0, ["chunk_rows", "content_bytes"])
 
 
-def eviction_candidates(sources: DataFrame, chunks: DataFrame, as_of: Column, most: int = MAX_SOURCE_BYTES, ephemeral_hours: float = EPHEMERAL_HOURS, session_hours: float = SESSION_HOURS) -> DataFrame:
-    """Sources to evict with eviction_reason; the first that fits: oversized, retention, then the kind's age."""
-    rated = classify(source_sizes(sources, chunks), as_of, ephemeral_hours, session_hours)
+def judged(sized: DataFrame, as_of: Column, most: int = MAX_SOURCE_BYTES, ephemeral_hours: float = EPHEMERAL_HOURS, session_hours: float = SESSION_HOURS) -> DataFrame:
+    """source_sizes with tier, retention_score and eviction_reason, null for sources that stay; the first that fits: oversized,
+    retention, then the kind's age."""
+    rated = classify(sized, as_of, ephemeral_hours, session_hours)
     forgotten = (F.col("kind") == "durable") & (F.col("retention_score") < COLD) & (F.col("access_count") == 0)
     reason = F.when(F.col("content_bytes") > most, "oversized").when(forgotten, "retention").when(F.col("tier") == "stale", F.concat(F.lit("ttl_"), "kind"))
-    return rated.withColumn("eviction_reason", reason).where("eviction_reason is not null")
+    return rated.withColumn("eviction_reason", reason)
+
+
+def eviction_candidates(sources: DataFrame, chunks: DataFrame, as_of: Column, most: int = MAX_SOURCE_BYTES, ephemeral_hours: float = EPHEMERAL_HOURS, session_hours: float = SESSION_HOURS) -> DataFrame:
+    """Sources to evict with eviction_reason."""
+    return judged(source_sizes(sources, chunks), as_of, most, ephemeral_hours, session_hours).where("eviction_reason is not null")
 
 
 def by_label(sources: DataFrame, pattern: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The jobs: whole runs, reruns, growing input, odd rows and the command line, on small copies."""
 
+import hashlib
 import json
 import os
 import subprocess
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobs import common, job1_knowledge, job2_archive
+from lexspark import store
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 TURNS = "conv_id long, turn long, role string, text string"
@@ -120,6 +122,16 @@ def test_knowledge_base(spark, tmp_path):
     assert {r[0] for r in again()["sources"]} == {1}
 
 
+def test_texts_of_a_knowledge_base_are_written_once(spark, tmp_path, monkeypatch):
+    docs = [(i, f"{i} " + hashlib.sha256(str(i).encode()).hexdigest() * 40, "web9", "k") for i in range(300)]
+    s, run = knowledge(spark, tmp_path, [*docs, (300, docs[0][1], "web9", "k")], [(7, "view", "2024-03-14 12:00:00")])
+    made, kept = [], store.kept
+    monkeypatch.setattr(store, "kept", lambda df, name: made.append(kept(df, name)) or made[-1])
+    out = run()
+    assert [r[0] for r in out["chunks"]] == [7] and [r[0] for r in out["rejected"]] == [300] and len(out["evicted"]) == 299
+    assert sum(bool({"text", "content"} & set(df.columns)) for df in made) == 1
+
+
 def test_knowledge_base_of_nothing(spark, tmp_path):
     _, run = knowledge(spark, tmp_path, [], [])
     assert run() == {"chunks": [], "sources": [], "evicted": [], "rejected": []}
