@@ -13,6 +13,9 @@ An item is leaked into a text if, along one alignment, ``similarity`` of all its
 Items are hashed at their seeds, texts at each position under each mask that the items use, and both are joined on the hash.
 Every hit fixes an alignment, along which the whole item and the windows around the hit are compared word by word.
 
+Spark gathers all rows that a join makes of one row before it passes them on: texts are cut into blocks first, with as many
+words of their neighbours as the longest item has, and a hit takes along the words that stand along it, not the text.
+
 The item side is broadcast if its bytes, counted first, are at most ``most_bytes``; else hashes are joined like any table, in
 rows of a few numbers, and words are fetched for the hits alone. Words are runs of letters and digits, in lower case. Defined
 cases: an item of few words matches like any other, one of a single word wherever that word stands; items shorter than a
@@ -29,6 +32,8 @@ from .licenses import words_of
 
 #: Most words of a seed: a part of a whole seed is whole too.
 WEIGHT = 8
+#: Words of a text whose hits are gathered at once; more where items are longer.
+BLOCK = 256
 
 
 def _words(text: str) -> Column:
@@ -78,14 +83,34 @@ class Window:
         return F.when(first <= last, F.filter(F.sequence(first, last), agree)).otherwise(F.array().cast("array<int>"))
 
 
-def _positions(texts: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
-    """A row for each position and mask (stride, weight): ``i`` and ``hash``."""
+def _blocks(texts: DataFrame, reach: int) -> DataFrame:
+    """The columns of ``texts`` but w; then of each block ``w``, its words with ``reach`` more on either side, ``at`` (place of w's
+    first word in the text), and ``first`` and ``last``, which of w are the block's own."""
+    n = max(BLOCK, reach)
+
+    def cut(b: Column) -> Column:
+        at = F.greatest(F.lit(0), b - reach)
+        return F.struct(at.alias("at"), (b - at).alias("first"), (F.least(b + n, F.size("w")) - at - 1).alias("last"), F.slice("w", at + 1, b - at + n + reach).alias("w"))
+
+    return texts.select(*[c for c in texts.columns if c != "w"], F.inline(F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(n)), cut)))
+
+
+def _positions(blocks: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
+    """A row for each of a block's own positions and each mask (stride, weight): ``i`` (in w) and ``hash``."""
     words = lambda stride, weight: [F.get("w", F.col("i") + F.lit(k * stride)) for k in range(weight)]
     hashes = F.array(*[F.when(F.col("i") + stride * (weight - 1) < F.size("w"), F.xxhash64(F.lit(stride), F.lit(weight), *words(stride, weight))) for stride, weight in masks])
-    every = texts.select("*", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
+    every = blocks.select("*", F.explode(F.sequence("first", "last")).alias("i"))
     return every.select("*", F.explode(hashes.cast("array<bigint>")).alias("hash"))
 
 
+def _alongside(hits: DataFrame) -> DataFrame:
+    """Hits (at, w, i, item, j) with ``begin`` (where in the text the item's first word stands), ``before`` (its words before the text)
+    and ``span``, the text's words along the others."""
+    begin, before = F.col("i") - F.col("j"), F.greatest(F.lit(0), F.col("j") - F.col("i"))
+    span = F.slice("w", F.greatest(F.lit(0), begin) + 1, F.size("item") - before)
+    return hits.select("doc_id", "item_id", "item", "j", (F.col("at") + begin).alias("begin"), before.alias("before"), span.alias("span"))
+
+
 def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, window: int = 13, most_bytes: int = 64 << 20) -> DataFrame:
     """The leaked items of each text: doc_id, item_id, similarity of the whole item along its best alignment, begin (word of the
     text where its first word stands there), hits (seeds' places) of that alignment, covered (words of the item in overlaps, of all alignments)."""
@@ -96,20 +121,21 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, window: in
     keyed = tests.select(F.col("key").alias("item_id"), "item")
     seeds = _whole_seeds(keyed, similarity).union(overlap.seeds(keyed)).distinct()
     used = seeds.groupBy("stride", "weight").count().orderBy("stride", "weight").collect()  # at most four strides by WEIGHT weights
-    size = 48 * sum(r["count"] for r in used) + (tests.agg(F.sum(F.octet_length(F.array_join("item", " ")) + 16 * F.size("item"))).first()[0] or 0)
+    held, reach = tests.agg(F.sum(F.octet_length(F.array_join("item", " ")) + 16 * F.size("item")), F.max(F.size("item"))).first()
+    size, reach = 48 * sum(r["count"] for r in used) + (held or 0), reach or 0
     masks = [(r.stride, r.weight) for r in used]
     seeds = seeds.select("hash", F.col("item_id").alias("key"), "j")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _words("text").alias("w"))
     if size <= most_bytes:
-        hits = _positions(texts, masks).join(F.broadcast(seeds), "hash").join(F.broadcast(tests), "key")
+        hits = _positions(_blocks(texts, reach), masks).join(F.broadcast(seeds), "hash").join(F.broadcast(tests), "key")
     else:
         rows = texts.withColumn("row", F.xxhash64("doc_id", "w")).dropDuplicates(["row"])
-        slim = _positions(rows, masks).select("row", "i", "hash").join(seeds, "hash").select("row", "key", "i", "j").distinct()
-        hits = slim.join(tests, "key").join(rows, "row")
+        slim = _positions(_blocks(rows.select("row", "w"), reach), masks).select("row", (F.col("at") + F.col("i")).alias("i"), "hash")
+        hits = slim.join(seeds, "hash").select("row", "key", "i", "j").distinct().join(tests, "key").join(rows, "row").withColumn("at", F.lit(0))
     # the comparison sits in a generator: as a filter it would move into the join and take that out of generated code
-    compared = F.struct((F.col("i") - F.col("j")).alias("begin"), (_same() / F.size("item")).alias("similarity"), overlap.starts().alias("starts"))
+    compared = F.struct((_same() / F.size("item")).alias("similarity"), overlap.starts().alias("starts"))
     good = F.filter(F.array(compared), lambda c: (c["similarity"] >= similarity) | (F.size(c["starts"]) > 0))
-    checked = hits.select("doc_id", "item_id", "j", F.explode(good).alias("c")).select("doc_id", "item_id", "j", "c.*")
+    checked = _alongside(hits).select("doc_id", "item_id", "begin", "j", F.explode(good).alias("c")).select("doc_id", "item_id", "begin", "j", "c.*")
     # distinct starts and places are no more than the item's words, however often the text repeats them
     starts = F.flatten(F.collect_set("starts"))
     found = checked.groupBy("doc_id", "item_id", "begin").agg(F.max("similarity").alias("similarity"), F.size(F.collect_set("j")).cast("long").alias("hits"), F.array_sort(F.array_distinct(starts)).alias("starts"))
@@ -121,8 +147,8 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, window: in
 
 def _agrees(word: Column, k: Column) -> Column:
     """Whether the item's word k stands at its place in the text; those before or after the text count as changed."""
-    at = F.col("i") - F.col("j") + k
-    return (at >= 0) & F.get("w", F.greatest(F.lit(0), at)).eqNullSafe(word)
+    at = k - F.col("before")
+    return (at >= 0) & F.get("span", F.greatest(F.lit(0), at)).eqNullSafe(word)
 
 
 def _same() -> Column:

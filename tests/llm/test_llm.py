@@ -644,6 +644,28 @@ def test_leaks_of_parts_of_items(spark):
     assert (one.item_id, one.similarity, one.begin, one.covered) == (3, 0.7, 0, 16)
 
 
+def test_leaks_in_a_long_text_of_one_repeated_item(spark):
+    """20,000 words, each a hit: with the whole text beside each hit they would take some 10 GB."""
+    item = [f"r{k}" for k in range(30)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    text = item[10:] + item * 667
+    (got,) = decontamination.leaks(docs(spark, [" ".join(text)]), bench).collect()
+    assert (got.item_id, got.similarity, got.begin, got.covered) == (1, 1.0, 20, 30)
+    (shuffled,) = decontamination.leaks(docs(spark, [" ".join(text)]), bench, most_bytes=0).collect()
+    assert shuffled == got
+
+
+def test_blocks_hold_each_position_once_with_its_neighbours(spark):
+    texts = spark.createDataFrame([(n, [str(k) for k in range(n)]) for n in (1, 255, 256, 257, 600, 2000)], "doc_id long, w array<string>")
+    for reach in (1, 50, 700):
+        own: dict[int, list[int]] = {}
+        for r in decontamination._blocks(texts, reach).collect():
+            assert [int(x) for x in r.w] == list(range(r.at, r.at + len(r.w))) and len(r.w) <= max(decontamination.BLOCK, reach) + 2 * reach
+            assert r.at == max(0, r.at + r.first - reach) and r.at + len(r.w) >= min(r.doc_id, r.at + r.last + 1 + reach)
+            own.setdefault(r.doc_id, []).extend(range(r.at + r.first, r.at + r.last + 1))
+        assert {n: sorted(x) for n, x in own.items()} == {n: list(range(n)) for n in (1, 255, 256, 257, 600, 2000)}
+
+
 def test_leaks_odd(spark):
     df = odd(spark)
     bench = spark.createDataFrame([(1, "word " * 12), (2, None), (3, "")], "item_id long, text string")
