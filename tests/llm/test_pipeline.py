@@ -53,3 +53,12 @@ def test_pipeline_on_odd_documents(spark, tmp_path):
             assert 5 in kept and 6 not in kept and 9 not in kept and 7 in kept and len([r for r in pieces if r.doc_id == 7]) == 1
         else:
             assert not pieces
+
+
+def test_decontamination_of_a_long_text_of_one_repeated_item(spark, tmp_path):
+    """The stage drops it, and holds no more of it at once than a block's hits."""
+    item = " ".join(f"r{k}" for k in range(30))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, " ".join([item] * 667)), (2, "something else"), (None, item), (None, None)], "doc_id long, text string")
+    left = dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path))
+    assert {(r.doc_id, r.text) for r in left.collect()} == {(2, "something else"), (None, None)}
