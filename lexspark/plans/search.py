@@ -157,7 +157,8 @@ def _pass(corpus: Corpus, queries: DataFrame, options: Options) -> DataFrame:
     groups, of, widest = _compiled(queries, options)
     hits = [corpus.word_hits(of["porter"]).withColumn("layer", F.lit("porter")), corpus.trigram_hits(of["trigram"]).withColumn("layer", F.lit("trigram"))]
     # written, since they are counted before they are scored
-    hits = store.kept(hits[0].unionByName(hits[1]), "hits")
+    with index.small_batches(queries.sparkSession):
+        hits = store.kept(hits[0].unionByName(hits[1]), "hits")
     (n, words), (_, grams) = corpus.word_stats, corpus.trigram_stats
     scored = index.bm25(hits, (n, F.when(F.col("layer") == "porter", words).otherwise(grams)), ("layer",))
     keys = ("query_id", "strict", "layer")

@@ -99,6 +99,32 @@ def test_a_candidate_text_is_joined_once_for_all_terms(spark, tmp_path):
     assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, index.trigram_hits(chunks, terms).where("title_hits + content_hits > 0").collect()))
 
 
+def test_many_terms_are_counted_in_one_pass_over_the_texts(spark, tmp_path):
+    """The texts are read, and no lists of trigrams; overlaps, other scripts and borders of texts count as with few terms."""
+    texts = ["aaaa banana", "aa", "", "bananaban ana", "ÄÖÜß äöü 🙂🙂🙂🙂", "nab", "anan", "a.b*c a.b*c", "x" * 3000 + "yz"]
+    chunks = keyed(spark, texts).cache()
+    index.write_index(chunks, str(tmp_path))
+    terms = ["aaa", "ana", "anana", "banana", "äöü", "🙂🙂🙂", "a.b*c", "xyz", "xxxxx", "nanab", "an", "x" * 40, *(f"ban{i}" for i in range(120))]
+    dead = spark.createDataFrame([(0,)], "source_id long")
+    for stored, left in ((index.Stored(spark, str(tmp_path)), chunks), (index.Stored(spark, str(tmp_path), dead=dead), chunks.where("source_id <> 0"))):
+        hits = stored.trigram_hits(terms)
+        assert not [f for f in hits.inputFiles() if "/grams/" in f] and [f for f in stored.trigram_hits(terms[:9]).inputFiles() if "/grams/" in f]
+        expected = index.trigram_hits(left, [t for t in terms if len(t) > 2]).where("title_hits + content_hits > 0")
+        assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, expected.collect())) and hits.dtypes == expected.dtypes
+
+
+def test_terms_that_begin_alike_are_compared_in_parts(monkeypatch):
+    terms = [f"abc{i:03}" for i in range(500)]
+    texts = [f"abcab{'c' * (i % 3)} abc{i % 500:03}abc{i % 7:03}" for i in range(300)] + [None, "", "abc"]
+    expected = sorted((i * 500 + k, t.count(w)) for i, t in enumerate(texts) for k, w in enumerate(terms) if t and w in t)
+    count = index._Counter(terms)
+    parts = []
+    monkeypatch.setattr(index, "RUN_SIZE", 5000)
+    monkeypatch.setattr(count, "_compared", lambda *x, f=count._compared: parts.append(count.n[x[-1]].sum()) or f(*x))
+    held, times = count(pa.array(texts, pa.string()))
+    assert list(zip(held, times, strict=True)) == expected and len(parts) > 9 and max(parts) <= 5500
+
+
 def test_groups_beyond_one_word_of_bits(spark, tmp_path):
     words = [f"word{i}" for i in range(70)]
     chunks = keyed(spark, [" ".join(words), " ".join(words[:69])])
